@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import decontaminate, lines, ngram_join, packing, sharding, substrings
+from . import decontaminate, fingerprints, lines, ngram_join, packing, sharding, substrings
 
 
 
@@ -26,6 +26,11 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_size(read_table(spark, sf_dir, "documents"))
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    return fingerprints.fingerprints_with_edits(docs).withColumnRenamed("edited", "edited_sha256")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents", ["doc_id", "text"]))
 
@@ -51,6 +56,7 @@ def queries() -> dict:
         "op1_substring_dedup": op1_substring_dedup,
         "op2_line_dedup": op2_line_dedup,
         "op5_sharding": op5_sharding,
+        "op6_fingerprints": op6_fingerprints,
         "op7_packing": op7_packing,
         "op8_ngram_join": op8_ngram_join,
         "op10_decontamination": op10_decontamination,
