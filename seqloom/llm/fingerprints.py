@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 from .wordkit import BYTE_CODE, U64, mix, powers
 
 K, S, SIZE, SLACK = 16, 6, 64, 8
+SHORT = (6, 2)
 #: Range buckets of document ids; each is sorted in one task.
 ROWS_PER_BUCKET = 4096
 
@@ -71,12 +72,13 @@ def syncmers(buf: np.ndarray, k: int = K, s: int = S) -> tuple[np.ndarray, np.nd
 
 def sketch(data: bytes, k: int = K, s: int = S, size: int = SIZE) -> tuple[np.ndarray, np.ndarray]:
     """Hashes (32 bits, distinct, ascending) and first positions of the kept anchors.  A
-    text of fewer than 4 k bytes has shorter k-mers, a quarter of its length; one
-    without any k-mer is one anchor itself; an empty one has none."""
-    if len(data) < 4 * k:
-        k = max(3, len(data) // 4)
-        s = max(1, k // 2 - 1)
-    at, h = syncmers(np.frombuffer(data, np.uint8), k, s)
+    text of fewer than 8 k bytes has anchors of the SHORT kind too, one of fewer than
+    4 k only those; one without any k-mer is one anchor itself; an empty one has none."""
+    buf = np.frombuffer(data, np.uint8)
+    at, h = syncmers(buf, k, s) if len(data) >= 4 * k else syncmers(buf, *SHORT)
+    if 4 * k <= len(data) < 8 * k:
+        more, short = syncmers(buf, *SHORT)
+        at, h = np.concatenate([at, more]), np.concatenate([h, short])
     if not len(h):
         if not data:
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
