@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import decontaminate, fingerprints, lines, ngram_join, packing, sharding, substrings
+from . import decontaminate, fingerprints, lines, ngram_join, packing, secrets, sharding, substrings
 
 
 
@@ -39,6 +39,19 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicate_components(read_table(spark, sf_dir, "documents", ["doc_id", "text"]), shingle=3, percent=90)
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(read_table(spark, sf_dir, "documents", ["doc_id", "text"]))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id",
+        count("assign").alias("n_assign"),
+        count("access").alias("n_access"),
+        count("hex").alias("n_hex"),
+        F.sha2(secrets.render(F.col("base")), 256).alias("base_sha256"),
+        secrets.render(F.col("spans")).alias("spans"),
+    )
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -59,6 +72,7 @@ def queries() -> dict:
         "op6_fingerprints": op6_fingerprints,
         "op7_packing": op7_packing,
         "op8_ngram_join": op8_ngram_join,
+        "op9_secret_scan": op9_secret_scan,
         "op10_decontamination": op10_decontamination,
     }
 
