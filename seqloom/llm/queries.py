@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import decontaminate, fingerprints, lines, ngram_join, packing, secrets, sharding, substrings
+from . import decontaminate, fingerprints, lines, ngram_join, packing, secrets, sharding, substrings, toxicity
 
 
 
@@ -22,6 +22,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(read_table(spark, sf_dir, "documents", ["doc_id", "text"]), read_table(spark, sf_dir, "labels", ["doc_id", "toxic"]))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_size(read_table(spark, sf_dir, "documents"))
 
@@ -68,6 +72,7 @@ def queries() -> dict:
     return {
         "op1_substring_dedup": op1_substring_dedup,
         "op2_line_dedup": op2_line_dedup,
+        "op4_toxicity": op4_toxicity,
         "op5_sharding": op5_sharding,
         "op6_fingerprints": op6_fingerprints,
         "op7_packing": op7_packing,
