@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import decontaminate, fingerprints, lines, ngram_join, packing, secrets, sharding, substrings, toxicity
+from . import decontaminate, fingerprints, lines, ngram_join, packing, secrets, sharding, substrings, suffix_tree, toxicity
 
 
 
@@ -22,6 +22,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.score_documents(read_table(spark, sf_dir, "documents", ["doc_id", "text"]))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(read_table(spark, sf_dir, "documents", ["doc_id", "text"]), read_table(spark, sf_dir, "labels", ["doc_id", "toxic"]))
 
@@ -72,6 +76,7 @@ def queries() -> dict:
     return {
         "op1_substring_dedup": op1_substring_dedup,
         "op2_line_dedup": op2_line_dedup,
+        "op3_lm_scoring": op3_lm_scoring,
         "op4_toxicity": op4_toxicity,
         "op5_sharding": op5_sharding,
         "op6_fingerprints": op6_fingerprints,
