@@ -3,17 +3,17 @@
 A document is the set of its distinct word shingles ("tokens", as 64-bit hashes
 under a pseudo-random global order).  Equal sets are one class from the start.
 
-1. Single tokens.  If two sets of sizes n and m are similar, each misses at most
-   n - ceil(t * n) tokens of the other, so they share one of their first
-   n - ceil(t * n) + 1 tokens.  Postings of these prefixes, sorted by token, show
-   each token's document frequency among them.  A token with at most `rare`
-   postings is rare and links its few sets as candidates.
-2. Token combinations.  A set with a frequent token in its prefix extends it to
-   the whole set and indexes combinations: tokens are dealt to bins by hash, and
-   a bin's tokens together are one key.  Similar sets differ in at most H tokens,
-   so of more than H bins one is the same in both.  (Pairs all of whose shared
-   prefix tokens are frequent have extended both, so none is lost.)
-   Keys of about 1 / (1 - t) tokens are selective where single tokens are not.
+1. Single tokens.  If two sets are similar, a set of n tokens misses at most
+   r = n - ceil(t * n) of the other's, so that prefixes of r + k tokens share k.
+   Prefixes extended to k = r + 2 are posted by token.  A token posted by one set
+   only is rare; a set with fewer than k other tokens in its prefix is ruled out
+   by its rare ones and has no partner.  (Lists of two to a few sets make poor
+   candidates: a chance shingle in common links unrelated texts.)
+2. Token combinations.  The other sets extend the prefix to the whole set and
+   index combinations of frequent tokens: tokens are dealt to bins by hash, and a
+   bin's tokens together are one key.  Similar sets differ in at most H tokens, so
+   of more than H bins one is the same in both.  Keys of about 1 / (1 - t) tokens
+   are selective where single tokens are not.
 3. Verification.  Candidates become clusters (connected components, not yet
    verified); each set is sent to its cluster once, and the exact overlaps of the
    pairs in it are counted there.  Large clusters are cut into blocks and done by
@@ -33,7 +33,6 @@ from .components import connected_components
 from .stash import release, stash
 from .wordkit import LOWER, U64, as_int64, chunks, mix, owners, powers, words
 
-RARE = 16
 #: Tokens in one block of a cluster.
 BLOCK_TOKENS = 1 << 19
 #: Documents of clusters up to this many (16 bytes each) are found by a broadcast of their ids; beyond that by a shuffle join.
@@ -95,6 +94,17 @@ def needed(n: np.ndarray, percent: int) -> np.ndarray:
     return -(-n * percent // 100)
 
 
+def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
+    return np.minimum(n, 2 * (n - needed(n, percent)) + 2)
+
+
+def least_shared(n: np.ndarray, percent: int) -> np.ndarray:
+    """How many prefix tokens a set of n tokens shares with any similar set, at least: what
+    the smallest similar set's prefix is long beyond the tokens it may miss."""
+    m = needed(n, percent)
+    return prefix_length(m, percent) - (m - needed(m, percent))
+
+
 def prefix_rows(k: int, percent: int):
     def run(batches):
         seen: set[int] = set()
@@ -109,7 +119,7 @@ def prefix_rows(k: int, percent: int):
                         if len(seen) >= SEEN:
                             seen.clear()
                         seen.add(c)
-                take = np.where(fresh, n - needed(n, percent) + 1, 0)
+                take = np.where(fresh, prefix_length(n, percent), 0)
                 rank = np.arange(len(token)) - np.repeat(r[:-1], n)
                 pick = rank < np.repeat(take, n)
                 of = np.repeat(np.arange(len(n)), take)
@@ -118,57 +128,56 @@ def prefix_rows(k: int, percent: int):
     return run
 
 
-def list_rows(percent: int, rare: int | None):
-    """From postings sorted by (key, class): candidate edges (a, b) of each key's
-    classes, from the first one to the others; with `rare`, the classes of a
-    longer list come out as (class, null) instead.
-
-    Only up to `rare` + 1 rows of the open list are carried over a batch's end.
-    """
-
-    def run(batches):
-        carry, open_long, first = None, False, None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key, own, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(3))
-            if carry is not None:
-                key, own, n = (np.concatenate([x, y]) for x, y in zip(carry, (key, own, n), strict=True))
-            new = np.ones(len(key), bool)
-            new[1:] = (key[1:] != key[:-1]) | (own[1:] != own[:-1])
-            key, own, n = key[new], own[new], n[new]
-            start = np.ones(len(key), bool)
-            start[1:] = key[1:] != key[:-1]
-            group, at = np.cumsum(start) - 1, np.flatnonzero(start)
-            size = np.diff(np.append(at, len(key)))
-            long = size > rare if rare is not None else np.zeros(len(size), bool)
-            if open_long:
-                long[0] = True
-            last = len(at) - 1
-            out_a, out_b, ok = [], [], []
-            done = group < last if rare is not None else np.ones(len(key), bool)
-            pair = done & ~long[group] & ~start
-            out_a.append(own[pair])
-            out_b.append(own[at[group[pair]]])
-            ok.append(np.ones(pair.sum(), bool))
-            mark = long[group] & (done | (group == last))
-            if open_long:
-                mark[0] = False
-            out_a.append(own[mark])
-            out_b.append(own[mark])
-            ok.append(np.zeros(mark.sum(), bool))
-            valid = np.concatenate(ok)
-            a, b = np.concatenate(out_a), np.concatenate(out_b)
-            if len(a):
-                both = np.unique(np.stack([a, b, valid.astype(np.int64)]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1], mask=both[2] == 0)], names=CANDIDATE.names)
-            open_long = bool(long[last])
-            keep = slice(at[last], at[last] + 1) if open_long or rare is None else slice(at[last], len(key))
-            carry = (key[keep], own[keep], n[keep])
-        if carry is not None and not open_long and rare is not None and len(carry[0]) > 1:
-            yield pa.RecordBatch.from_arrays([pa.array(carry[1][1:]), pa.array(np.repeat(carry[1][:1], len(carry[1]) - 1))], names=CANDIDATE.names)
-
-    return run
+def lists(batches):
+    """Batches of postings sorted by (token, class), without repeated ones: classes, n, the
+    list's number, its start, and how many first rows were there before.  The last
+    list's first two rows are carried into the next batch."""
+    carry = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, own, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(3))
+        old = 0
+        if carry is not None:
+            key, own, n = (np.concatenate([x, y]) for x, y in zip(carry, (key, own, n), strict=True))
+            old = len(carry[0])
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (own[1:] != own[:-1])
+        new[:old] = True
+        key, own, n = key[new], own[new], n[new]
+        start = np.ones(len(key), bool)
+        start[1:] = key[1:] != key[:-1]
+        yield own, n, np.cumsum(start) - 1, np.flatnonzero(start), old
+        last = int(np.flatnonzero(start)[-1])
+        at = [last] if last == len(key) - 1 else [last, len(key) - 1]
+        carry = (key[at], own[at], n[at])
+
+
+SHARED = T.StructType([T.StructField("class", T.LongType()), T.StructField("n", T.LongType()), T.StructField("shared", T.LongType())])
+
+
+def shared_rows(batches):
+    """For each class how many of its postings are in lists with other classes."""
+    for own, n, group, at, old in lists(batches):
+        size = np.diff(np.append(at, len(own)))
+        shared = size[group] > 1
+        if old == 2:
+            shared[:2] = False  # counted before
+        elif old == 1:
+            pass  # a list of one so far: its row counts now, if others follow
+        if shared.any():
+            u, where, count = np.unique(own[shared], return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(n[shared][where]), pa.array(count)], names=SHARED.names)
+
+
+def star_rows(batches):
+    """Candidate edges from each list's other classes to its first."""
+    for own, _, group, at, _ in lists(batches):
+        other = np.ones(len(own), bool)
+        other[at] = False
+        if other.any():
+            both = np.unique(np.stack([own[other], own[at[group[other]]]]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=CANDIDATE.names)
 
 
 def size_bounds(percent: int, most: int) -> np.ndarray:
@@ -311,7 +320,7 @@ def restricted(docs: DataFrame, ids: DataFrame, n_ids: int) -> DataFrame:
     return docs.join(F.broadcast(ids) if n_ids <= BROADCAST_IDS else ids, "doc_id")
 
 
-def near_duplicate_components(documents: DataFrame, shingle: int = 5, percent: int = 80, rare: int = RARE, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def near_duplicate_components(documents: DataFrame, shingle: int = 5, percent: int = 80, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """One row per document: doc_id, n_shingles and component_id, the smallest doc_id
     that can be reached over links; documents link if 100 * |intersection| >=
     percent * |union| of their sets of `shingle`-word shingles (A-Z lower-cased).
@@ -331,12 +340,14 @@ def near_duplicate_components(documents: DataFrame, shingle: int = 5, percent: i
         return postings.repartition(n_parts, key).sortWithinPartitions(key, "class")
 
     singles = docs.mapInArrow(prefix_rows(shingle, percent), POSTING)
-    found = stash(sorted_by(singles, "token").mapInArrow(list_rows(percent, rare), CANDIDATE), "rare-candidates")
+    shared = sorted_by(singles, "token").mapInArrow(shared_rows, SHARED).groupBy("class").agg(F.sum("shared").alias("shared"), F.first("n").alias("n"))
+    m = F.expr(f"(n * {percent} + 99) div 100")
+    spare = F.expr(f"m - (m * {percent} + 99) div 100")
+    enough = shared.withColumn("m", m).withColumn("spare", spare).where("shared >= least(m, 2 * spare + 2) - spare")
+    extended = stash(enough.select("class").join(classes, "class").select("doc_id"), "extended")
     release(spark)
-    extended = stash(found.where("b is null").select(F.col("a").alias("class")).distinct().join(classes, "class").select("doc_id"), "extended")
     combos = restricted(docs, extended, extended.count()).select("doc_id", "text").mapInArrow(combination_rows(shingle, percent), POSTING)
-    more = sorted_by(combos, "token").mapInArrow(list_rows(percent, None), CANDIDATE)
-    clusters = connected_components(found.where("b is not null").unionByName(more).distinct())
+    clusters = connected_components(sorted_by(combos, "token").mapInArrow(star_rows, CANDIDATE).distinct())
     release(spark)
 
     members = clusters.withColumnRenamed("node", "class").join(classes, "class")
