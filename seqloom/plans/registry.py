@@ -2,10 +2,24 @@
 
 from __future__ import annotations
 
+from ..operators.profile import PROFILE
+from ..operators.protocol import PROTOCOL
+from ..operators.relations import RELATIONS
+from .graph import Graph
+
+#: Relations that only feed other operators.
+INTERNAL = {"gaps", "count_histogram", "popularity_thresholds", "popularity_labels", "candidate_fields", "valid_vectors", "sample_rows", "sample_offsets", "timestamp_counts", "boundaries", "first_cutoff", "split_samples", "ordered_targets", "additions", "strength_groups", "drift_targets", "drift_days"}
+
+GRAPH = Graph(RELATIONS | PROFILE | PROTOCOL)
+
+
+def names() -> list[str]:
+    return [n for n in GRAPH.operators if n not in INTERNAL and (n not in RELATIONS or n == "item_map")]
+
 
 def queries() -> dict:
-    return {}
+    return {n: GRAPH.query(n) for n in names()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {n: GRAPH.duckdb(n) for n in names()}
