@@ -1,5 +1,7 @@
 """Data health, sequence, long-tail, cold-start and vector-coverage profiles."""
 
+from ..plans.graph import Operator
+
 PROFILE = {
     # scans and scalar conversions
     "scan_projection": """
@@ -116,7 +118,7 @@ PROFILE = {
                            sum(items) over () as all_items, sum(total * items) over () as all_events from {count_histogram}) h
               cross join (values (0.01e0), (0.05e0), (0.1e0), (0.2e0)) f(fraction)) x
         group by fraction, top_items""",
-    "popularity_thresholds": "select @percentile(total, 0.5) as p50, @percentile(total, 0.9) as p90 from {item_popularity}",
+    "popularity_thresholds": Operator(row=True, sql="select @percentile(total, 0.5) as p50, @percentile(total, 0.9) as p90 from {item_popularity}"),
     "popularity_labels": """
         select item_rid, total, case when total <= p50 then 'tail' when total <= p90 then 'mid' else 'head' end as popularity_group
         from {item_popularity} cross join {popularity_thresholds}""",

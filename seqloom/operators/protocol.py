@@ -42,10 +42,10 @@ PROTOCOL = {
         select ts, cast(coalesce(sum(n) over (order by ts rows between unbounded preceding and 1 preceding), 0) as double) as before, cast(sum(n) over () as double) as total,
                row_number() over (order by ts) as place, count(*) over () as places
         from {timestamp_counts}""",
-    "first_cutoff": "select @arg_min(ts, abs(before - total * 0.8e0), ts) as validation_start from {boundaries} where place > 1 and place < places",
-    "temporal_cutoffs": """
+    "first_cutoff": Operator(row=True, sql="select @arg_min(ts, abs(before - total * 0.8e0), ts) as validation_start from {boundaries} where place > 1 and place < places"),
+    "temporal_cutoffs": Operator(row=True, sql="""
         select max(c.validation_start) as validation_start, @arg_min(ts, abs(before - total * (0.8e0 + 0.1e0)), ts) as test_start
-        from {boundaries} cross join {first_cutoff} c where ts > c.validation_start""",
+        from {boundaries} cross join {first_cutoff} c where ts > c.validation_start"""),
     "split_samples": """
         select s.*, case when s.target_timestamp < c.validation_start then 'train' when s.target_timestamp < c.test_start then 'validation' else 'test' end as split
         from {next_click_samples} s cross join {temporal_cutoffs} c""",
@@ -88,9 +88,9 @@ PROTOCOL = {
     # strength
     "item_train_counts": """
         select e.item_rid, count(*) as train_event_count from {interactions} e cross join {temporal_cutoffs} c where e.ts < c.validation_start group by e.item_rid""",
-    "strength_thresholds": """
+    "strength_thresholds": Operator(row=True, sql="""
         select @percentile(train_event_count, 0.5) as p50, @percentile(train_event_count, 0.9) as p90, count(*) as seen_items, cast(sum(train_event_count) as bigint) as counted_events
-        from {item_train_counts}""",
+        from {item_train_counts}"""),
     "item_strength": """
         select m.item_rid, coalesce(t.train_event_count, 0) as train_event_count,
                case when coalesce(t.train_event_count, 0) <= 0 then 'Unseen' when t.train_event_count <= h.p50 then 'Tail' when t.train_event_count <= h.p90 then 'Mid' else 'Head' end as strength_group

@@ -34,6 +34,7 @@ SPARK = {
     "list": "collect_list({0})",
     "date": "cast(date_from_unix_date(cast(floor(({0}) / 86400.0) as int)) as string)",
     "md5": "md5(cast({0} as string))",
+    "join": "array_join({0}, ',')",
     "ilog2": "log2({0})",
     "array": "array({0})",
     "strings": "transform({0}, x -> cast(x as string))",
@@ -68,6 +69,7 @@ DUCKDB = {
     "list": "list({0})",
     "date": "strftime(make_timestamp(cast(({0}) as bigint) * 1000000), '%Y-%m-%d')",
     "md5": "md5(cast({0} as varchar))",
+    "join": "array_to_string({0}, ',')",
     "ilog2": "log2({0})",
     "array": "[{0}]",
     "strings": "list_transform({0}, lambda x: cast(x as varchar))",

@@ -24,11 +24,15 @@ INPUT = re.compile(r"\{(\w+)\}")
 @dataclass(frozen=True)
 class Operator:
     """sql: for both engines, or for Spark only where `oracle` gives DuckDB's text.
-    hint: names of inputs that are broadcast, all of a size fixed by their definition."""
+    row: the result is one row by definition (cutoffs, thresholds); it is computed once
+    and enters further plans as a literal relation.
+    function, takes: a DataFrame function of the named inputs instead of SQL."""
 
-    sql: str
+    sql: str = ""
     oracle: str | None = None
-    hint: tuple[str, ...] = ()
+    row: bool = False
+    function: Callable[..., DataFrame] | None = None
+    takes: tuple[str, ...] = ()
 
 
 class Graph:
@@ -37,6 +41,8 @@ class Graph:
 
     def inputs(self, name: str, oracle: bool = False) -> list[str]:
         op = self.operators[name]
+        if op.function and not oracle:
+            return list(op.takes)
         return list(dict.fromkeys(INPUT.findall(op.oracle if oracle and op.oracle else op.sql)))
 
     def frame(self, spark: SparkSession, name: str, root: str | None = None, **given: DataFrame) -> DataFrame:
@@ -48,10 +54,9 @@ class Graph:
             if node not in done:
                 if node in self.operators:
                     op = self.operators[node]
-                    frames = {}
-                    for x in self.inputs(node):
-                        frames[x] = build(x).hint("broadcast") if x in op.hint else build(x)
-                    done[node] = spark.sql(expand(op.sql, SPARK), **frames)
+                    frames = {x: build(x) for x in self.inputs(node)}
+                    df = op.function(**frames) if op.function else spark.sql(expand(op.sql, SPARK), **frames)
+                    done[node] = spark.createDataFrame(df.limit(2).collect(), df.schema) if op.row else df
                 elif root is None or node not in TABLES:
                     raise KeyError(f"{node} is neither an operator nor given")
                 else:

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from ..operators.evaluation import EVALUATION
+from ..operators.features import FEATURES
+from ..operators.itemcf import ITEMCF
 from ..operators.profile import PROFILE
 from ..operators.protocol import PROTOCOL
 from ..operators.relations import RELATIONS
 from .graph import Graph
 
 #: Relations that only feed other operators.
-INTERNAL = {"gaps", "count_histogram", "popularity_thresholds", "popularity_labels", "candidate_fields", "valid_vectors", "sample_rows", "sample_offsets", "timestamp_counts", "boundaries", "first_cutoff", "split_samples", "ordered_targets", "additions", "strength_groups", "drift_targets", "drift_days"}
+INTERNAL = {"gaps", "count_histogram", "popularity_thresholds", "popularity_labels", "candidate_fields", "valid_vectors", "sample_rows", "sample_offsets", "timestamp_counts", "boundaries", "first_cutoff", "split_samples", "ordered_targets", "additions", "strength_groups", "drift_targets", "drift_days", "side_values", "train_users", "vocab_values", "user_lists", "val_samples", "train_prefix_sums", "activity_events", "activity_samples", "session_candidates", "session_starts", "length_ranks", "train_events", "known_items", "item_norms", "pair_sums", "query_samples", "experiments", "cutoffs_k", "metric_groups", "rank_pairs", "channel_lists", "alphas", "fused_scores", "fused_ranks", "ablation_metrics"}
 
-GRAPH = Graph(RELATIONS | PROFILE | PROTOCOL)
+GRAPH = Graph(RELATIONS | PROFILE | PROTOCOL | FEATURES | ITEMCF | EVALUATION)
 
 
 def names() -> list[str]:
