@@ -28,7 +28,7 @@ from .wordkit import BYTE_CODE, U64, mix, powers
 K, S, SIZE, SLACK = 16, 6, 64, 8
 SHORT = (6, 2)
 #: Range buckets of document ids; each is sorted in one task.
-ROWS_PER_BUCKET = 4096
+ROWS_PER_BUCKET = 1024
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
