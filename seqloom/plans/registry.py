@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..operators.dense import DENSE
 from ..operators.evaluation import EVALUATION
 from ..operators.features import FEATURES
 from ..operators.itemcf import ITEMCF
@@ -11,9 +12,11 @@ from ..operators.relations import RELATIONS
 from .graph import Graph
 
 #: Relations that only feed other operators.
-INTERNAL = {"gaps", "count_histogram", "popularity_thresholds", "popularity_labels", "candidate_fields", "valid_vectors", "sample_rows", "sample_offsets", "timestamp_counts", "boundaries", "first_cutoff", "split_samples", "ordered_targets", "additions", "strength_groups", "drift_targets", "drift_days", "side_values", "train_users", "vocab_values", "user_lists", "val_samples", "train_prefix_sums", "activity_events", "activity_samples", "session_candidates", "session_starts", "length_ranks", "train_events", "known_items", "item_norms", "pair_sums", "query_samples", "experiments", "cutoffs_k", "metric_groups", "rank_pairs", "channel_lists", "alphas", "fused_scores", "fused_ranks", "ablation_metrics"}
+INTERNAL = {"gaps", "count_histogram", "popularity_thresholds", "popularity_labels", "candidate_fields", "valid_vectors", "sample_rows", "sample_offsets", "timestamp_counts", "boundaries", "first_cutoff", "split_samples", "ordered_targets", "additions", "strength_groups", "drift_targets", "drift_days", "side_values", "train_users", "vocab_values", "user_lists", "val_samples", "train_prefix_sums", "activity_events", "activity_samples", "session_candidates", "session_starts", "length_ranks", "train_events", "known_items", "item_norms", "pair_sums", "query_samples", "experiments", "cutoffs_k", "metric_groups", "rank_pairs", "channel_lists", "alphas", "fused_scores", "fused_ranks", "ablation_metrics", "vector_rows", "history_dims", "query_vectors", "index_vectors", "history_items", "shallow_lists", "negative_pool", "loss_samples", "softmax_scores", "epoch_losses"}
+#: Without a SQL form: hashing decides which pairs are compared.
+ROWS_ONLY = {"dense_topk_lsh"}
 
-GRAPH = Graph(RELATIONS | PROFILE | PROTOCOL | FEATURES | ITEMCF | EVALUATION)
+GRAPH = Graph(RELATIONS | PROFILE | PROTOCOL | FEATURES | ITEMCF | EVALUATION | DENSE)
 
 
 def names() -> list[str]:
@@ -25,4 +28,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {n: GRAPH.duckdb(n) for n in names()}
+    return {n: GRAPH.duckdb(n) for n in names() if n not in ROWS_ONLY}
