@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .stash import modest_batches
 from .wordkit import ALNUM, LOWER, U64, chunks, mix, owners, words
 
 #: Benchmark text up to this many bytes is searched for in one pass, whose pattern table is then at most about 40 times as large; a larger benchmark is split into blocks of items, one pass each.
@@ -136,6 +137,7 @@ def tables_of(benchmark: DataFrame, window: int, block_bytes: int):
     At most about block_bytes of benchmark text (an uneven hash or one long item
     apart) are on the driver and in a broadcast at a time.
     """
+    modest_batches(benchmark.sparkSession)
     sc = benchmark.sparkSession.sparkContext
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text") + F.octet_length("item_id")), F.lit(0)).alias("b")).first()["b"]

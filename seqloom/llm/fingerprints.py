@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .stash import modest_batches
 from .wordkit import BYTE_CODE, U64, mix, powers
 
 K, S, SIZE, SLACK = 16, 6, 64, 8
@@ -175,6 +176,7 @@ def fingerprints_with_edits(documents: DataFrame, rows_per_bucket: int = ROWS_PE
     only these come to the driver.
     """
     spark = documents.sparkSession
+    modest_batches(spark)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("doc_id is not null")
     total = docs.count()
     if not total:

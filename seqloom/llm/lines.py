@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .stash import stash
+from .stash import modest_batches, stash
 from .wordkit import LOWER, NOT_SPACE, U64, as_int64, chunks, code_point_positions, hash_spans, mix
 
 MIN_CHARS = 40
@@ -223,6 +223,7 @@ class LineIndex:
     """The incremental state: insert and delete documents, then ask what to drop."""
 
     def __init__(self, spark: SparkSession, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, postings: DataFrame | None = None):
+        modest_batches(spark)
         self.spark, self.min_chars, self.min_docs = spark, min_chars, min_docs
         self.postings = spark.createDataFrame([], POSTING) if postings is None else postings
         self._frequent: DataFrame | None = None

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import connected_components
-from .stash import release, stash
+from .stash import modest_batches, release, stash
 from .wordkit import LOWER, U64, as_int64, chunks, mix, owners, powers, words
 
 #: Tokens in one block of a cluster.
@@ -331,6 +331,7 @@ def near_duplicate_components(documents: DataFrame, shingle: int = 5, percent: i
     out.  An empty table gives an empty result.
     """
     spark = documents.sparkSession
+    modest_batches(spark)
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     info = stash(docs.mapInArrow(info_rows(shingle), INFO), "sets")

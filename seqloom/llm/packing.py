@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .sharding import ranked
-from .stash import release, stash
+from .stash import modest_batches, release, stash
 
 CAPACITY = 1024
 END = 0
@@ -301,6 +301,7 @@ def pack(documents: DataFrame, capacity: int = CAPACITY, tokenizer: str | None =
     tokenizer's file must be readable on the executors.
     """
     spark = documents.sparkSession
+    modest_batches(spark)
     path = tokenizer or default_tokenizer()
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     pieces = stash(docs.mapInArrow(piece_rows(path, capacity), PIECE), "pieces")

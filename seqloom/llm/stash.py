@@ -22,6 +22,18 @@ def shared_folder(spark: SparkSession) -> str:
     return root
 
 
+#: Bytes of one Arrow batch handed to Python: texts differ in length a thousandfold, so rows bound nothing.
+BATCH_BYTES = 4 << 20
+
+
+def modest_batches(spark: SparkSession) -> None:
+    """Have the session hand Python small batches; every operator with Python kernels asks for it."""
+    size = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(spark.conf.get(size).rstrip("bB"))
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(size, str(BATCH_BYTES))
+
+
 def stash(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and return the written table: its lineage ends
     there, so a lost executor costs no recomputation of what came before."""

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .stash import release, stash
+from .stash import modest_batches, release, stash
 from .wordkit import NOT_SPACE, U64, as_int64, chunks, mix, owners, powers, spans, words
 
 WIDTH = 13
@@ -266,6 +266,7 @@ def dedup_substrings(documents: DataFrame, width: int = WIDTH) -> DataFrame:
         raise ValueError(f"width {width}: a window must have a symbol in its interior")
     spark = documents.sparkSession
     plain = documents.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
+    modest_batches(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = plain.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = base.where("doc_id is not null")

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .stash import stash
+from .stash import modest_batches, stash
 from .wordkit import LOWER, NOT_SPACE, U64, as_int64, chunks, hash_spans, spans
 
 #: Labelled documents that the classifier is fitted on, at most; the least by hash of doc_id.
@@ -313,8 +313,9 @@ class ToxicityModel:
 
     @classmethod
     def train(cls, documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityModel:
-        """Without labels of both kinds, or features, every text scores the base rate."""
+        """Without labels of both kinds, or features, every text scores the base rate (0.25 without any label)."""
         spark = documents.sparkSession
+        modest_batches(spark)
         docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         counts = np.zeros(SYMBOLS**3)
         for r in docs.select("text").mapInArrow(count_rows, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():  # at most SYMBOLS ** 3 rows
@@ -326,7 +327,7 @@ class ToxicityModel:
         learn = stash(docs.join(F.broadcast(few), "doc_id").select("text", "label"), "labelled")
         total = {r["label"]: r["n"] for r in learn.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
         n1, n0 = total.get(1, 0), total.get(0, 0)
-        chosen, weights, intercept, words = np.zeros(0, np.uint64), np.zeros(0), float(np.log((n1 + 0.5) / (n0 + 0.5))), counts * 0
+        chosen, weights, intercept, words = np.zeros(0, np.uint64), np.zeros(0), float(np.log((n1 + 0.5) / (n0 + 1.5))), counts * 0
         if n1 and n0:
             by = learn.mapInArrow(document_counts(plain), "feature long, label int, n long").groupBy("feature").agg(
                 F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("label") == 1, 0).otherwise(F.col("n"))).alias("b")
