@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
 from . import decontaminate, fingerprints, lines, ngram_join, packing, secrets, sharding, substrings, suffix_tree, toxicity
+from .oracles import ORACLES
 
 
 
@@ -88,4 +89,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
