@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.staging import materialize
 from ..sources.tables import read_table
 from .dialect import DUCKDB, SPARK, expand
 
@@ -36,7 +37,11 @@ class Operator:
 
 
 class Graph:
-    def __init__(self, operators: Mapping[str, Operator | str]):
+    """keep: operators that are written to the shared folder where a plan needs them more
+    than once (Spark has no common table expressions that are computed once)."""
+
+    def __init__(self, operators: Mapping[str, Operator | str], keep: frozenset[str] = frozenset()):
+        self.keep = keep
         self.operators = {k: o if isinstance(o, Operator) else Operator(o) for k, o in operators.items()}
 
     def inputs(self, name: str, oracle: bool = False) -> list[str]:
@@ -49,6 +54,16 @@ class Graph:
         """The operator's result over the tables under root; relations in `given` replace
         the ones of that name, so any operator applies to any DataFrame."""
         done: dict[str, DataFrame] = dict(given)
+        uses: dict[str, int] = {}
+
+        def count(node: str) -> None:
+            for x in self.inputs(node):
+                uses[x] = uses.get(x, 0) + 1
+                if uses[x] == 1 and x in self.operators and x not in given:
+                    count(x)
+
+        if name in self.operators:
+            count(name)
 
         def build(node: str) -> DataFrame:
             if node not in done:
@@ -56,7 +71,7 @@ class Graph:
                     op = self.operators[node]
                     frames = {x: build(x) for x in self.inputs(node)}
                     df = op.function(**frames) if op.function else spark.sql(expand(op.sql, SPARK), **frames)
-                    done[node] = spark.createDataFrame(df.limit(2).collect(), df.schema) if op.row else df
+                    done[node] = spark.createDataFrame(df.limit(2).collect(), df.schema) if op.row else materialize(df, node) if node in self.keep and uses.get(node, 0) > 1 else df
                 elif root is None or node not in TABLES:
                     raise KeyError(f"{node} is neither an operator nor given")
                 else:

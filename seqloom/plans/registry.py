@@ -16,7 +16,13 @@ INTERNAL = {"gaps", "count_histogram", "popularity_thresholds", "popularity_labe
 #: Without a SQL form: hashing decides which pairs are compared.
 ROWS_ONLY = {"dense_topk_lsh"}
 
-GRAPH = Graph(RELATIONS | PROFILE | PROTOCOL | FEATURES | ITEMCF | EVALUATION | DENSE)
+#: Costly where several branches of a plan need them.
+KEEP = frozenset(
+    "interactions split_samples item_strength item_train_counts drift_daily feature_vocab user_features candidate_side eval_candidates activity_events session_split "
+    "itemcf_neighbors itemcf_retrieve itemcf_ranks retrieval_metrics item_norms fused_scores fused_ranks rank_pairs history_dims query_vectors index_vectors dense_topk_exact user_action_ratios".split()
+)
+
+GRAPH = Graph(RELATIONS | PROFILE | PROTOCOL | FEATURES | ITEMCF | EVALUATION | DENSE, KEEP)
 
 
 def names() -> list[str]:
