@@ -16,8 +16,8 @@ under a pseudo-random global order).  Equal sets are one class from the start.
    are selective where single tokens are not.
 3. Verification.  Candidates become clusters (connected components, not yet
    verified); each set is sent to its cluster once, and the exact overlaps of the
-   pairs in it are counted there.  Large clusters are cut into blocks and done by
-   pairs of blocks.  A block reports a spanning forest of its links, so results
+   pairs in it are counted there.  Large clusters are cut into blocks, by size and
+   hash, and done by pairs of blocks of similar sizes.  A block reports a spanning forest of its links, so results
    grow with the sets and never with their pairs.
 """
 
@@ -225,18 +225,20 @@ def combination_rows(k: int, percent: int):
     return run
 
 
-SETS = T.StructType([T.StructField("cluster", T.LongType()), T.StructField("blocks", T.IntegerType()), T.StructField("class", T.LongType()), T.StructField("tokens", T.BinaryType())])
+SETS = T.StructType(
+    [T.StructField("cluster", T.LongType()), T.StructField("block", T.LongType()), T.StructField("partners", T.ArrayType(T.LongType())), T.StructField("class", T.LongType()), T.StructField("tokens", T.BinaryType())]
+)
 
 
 def set_rows(k: int):
     def run(batches):
         for batch in batches:
-            rest = [batch.column(c) for c in (2, 3)]
+            rest = [batch.column(c) for c in (2, 3, 4)]
             for lo, hi, buf, off in chunks(batch.column(1)):
                 token, r = token_sets(buf, off, k)
                 raw = token.tobytes()
                 data = [raw[8 * r[i] : 8 * r[i + 1]] for i in range(hi - lo)]
-                yield pa.RecordBatch.from_arrays([rest[0].slice(lo, hi - lo), rest[1].slice(lo, hi - lo), pa.array(as_int64(class_ids(token, r))), pa.array(data, pa.binary())], names=SETS.names)
+                yield pa.RecordBatch.from_arrays([*(x.slice(lo, hi - lo) for x in rest), pa.array(as_int64(class_ids(token, r))), pa.array(data, pa.binary())], names=SETS.names)
 
     return run
 
@@ -320,6 +322,32 @@ def restricted(docs: DataFrame, ids: DataFrame, n_ids: int) -> DataFrame:
     return docs.join(F.broadcast(ids) if n_ids <= BROADCAST_IDS else ids, "doc_id")
 
 
+def partner_blocks(members: DataFrame, percent: int, block_tokens: int) -> DataFrame:
+    """doc_id, cluster, its block and the blocks that hold sets it may be similar to.
+
+    A cluster of up to block_tokens tokens is one block.  A larger one is cut by size
+    class, and those by hash; a set meets the blocks of its own and the two
+    neighbouring classes only, as others differ too much in size.
+    """
+    most = members.agg(F.coalesce(F.max("n"), F.lit(1)).alias("n")).first()["n"]
+    bounds = F.array(*[F.lit(int(b)) for b in size_bounds(percent, most)])
+    total = members.groupBy("root").agg(F.sum("n").alias("total"))
+    level = F.when(F.col("total") <= block_tokens, 0).otherwise(F.size(F.filter(bounds, lambda b: b <= F.col("n")))).cast("long")
+    sized = members.join(total, "root").withColumn("level", level)
+    counts = sized.groupBy("root", "level").agg(F.ceil(F.sum("n") / F.lit(block_tokens)).cast("long").alias("blocks"))
+    for step in (-1, 0, 1):
+        near = counts.select("root", (F.col("level") - step).alias("level"), F.col("blocks").alias(f"blocks{step}"))
+        sized = sized.join(near, ["root", "level"], "left")
+
+    def blocks(step: int):
+        n = F.col(f"blocks{step}")
+        numbers = F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.expr("cast(array() as array<bigint>)"))
+        return F.transform(numbers, lambda b: F.shiftleft(F.col("level") + step, 32) + b)
+
+    own = F.shiftleft(F.col("level"), 32) + F.pmod(F.xxhash64("class"), F.col("blocks0"))
+    return sized.select("doc_id", F.col("root").alias("cluster"), own.alias("block"), F.concat(blocks(-1), blocks(0), blocks(1)).alias("partners"))
+
+
 def near_duplicate_components(documents: DataFrame, shingle: int = 5, percent: int = 80, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """One row per document: doc_id, n_shingles and component_id, the smallest doc_id
     that can be reached over links; documents link if 100 * |intersection| >=
@@ -351,17 +379,10 @@ def near_duplicate_components(documents: DataFrame, shingle: int = 5, percent: i
     clusters = connected_components(sorted_by(combos, "token").mapInArrow(star_rows, CANDIDATE).distinct())
     release(spark)
 
-    members = clusters.withColumnRenamed("node", "class").join(classes, "class")
-    totals = members.groupBy("root").agg(F.sum("n").alias("tokens"))
-    ids = stash(
-        members.join(totals, "root").select("doc_id", F.col("root").alias("cluster"), F.ceil(F.col("tokens") / F.lit(block_tokens)).cast("int").alias("blocks")), "clusters"
-    )
-    sets = restricted(docs, ids, ids.count()).select("doc_id", "text", "cluster", "blocks").mapInArrow(set_rows(shingle), SETS)
-    mine = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
-    pairs = (
-        sets.withColumn("mine", mine)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("cluster", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "class", "tokens", (F.col("mine") > F.col("other")).cast("int").alias("side"))
+    ids = stash(partner_blocks(clusters.withColumnRenamed("node", "class").join(classes, "class"), percent, block_tokens), "clusters")
+    sets = restricted(docs, ids, ids.count()).select("doc_id", "text", "cluster", "block", "partners").mapInArrow(set_rows(shingle), SETS)
+    pairs = sets.withColumn("other", F.explode("partners")).select(
+        "cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "class", "tokens", (F.col("block") > F.col("other")).cast("int").alias("side")
     )
     links = pairs.repartition(n_parts, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(link_rows(percent), CANDIDATE)
     roots = connected_components(links)
