@@ -3,23 +3,13 @@
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.staging import materialize as stash
+from ..sources.staging import shared_folder
 
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder of this machine only where that is unset and the master is local."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root
-    master = spark.sparkContext.master
-    if not master.startswith("local[") and master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    root = "file://" + tempfile.mkdtemp(prefix="seqloom-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+__all__ = ["drop_stash", "modest_batches", "release", "shared_folder", "stash"]
 
 
 #: Bytes of one Arrow batch handed to Python: texts differ in length a thousandfold, so rows bound nothing.
@@ -34,18 +24,6 @@ def modest_batches(spark: SparkSession) -> None:
         spark.conf.set(size, str(BATCH_BYTES))
 
 
-def stash(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and return the written table: its lineage ends
-    there, so a lost executor costs no recomputation of what came before."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def drop_stash(df: DataFrame) -> None:
     """Delete a stash that nothing reads any more."""
     spark = df.sparkSession

@@ -27,7 +27,7 @@ from .wordkit import LOWER, NOT_SPACE, U64, as_int64, chunks, hash_spans, spans
 #: Labelled documents that the classifier is fitted on, at most; the least by hash of doc_id.
 SAMPLE = 16_384
 #: Features kept, at most; each must be in MIN_DOCS sampled documents and differ by MIN_Z standard errors.
-FEATURES, MIN_DOCS, MIN_Z = 2048, 6, 4.0
+FEATURES, MIN_DOCS, MIN_Z = 2048, 4, 4.0
 PREFIXES = (4, 5, 6)
 
 LETTER = np.zeros(256, bool)
