@@ -7,11 +7,17 @@ likelihood-ratio test).  Distributions are smoothed by interpolation with the
 suffix's: P(w | s) = (c(s, w) + strength * P(w | suffix of s)) / (c(s) + strength).
 A token is scored in the longest retained context that the text before it ends in.
 
-All counts cover the whole training corpus.  What is shipped to every task is
-bounded whatever the corpus: a context is kept only if it makes up 1 / CONTEXTS
-of the training tokens, a transition or a word of its own right 1 / TRANSITIONS
-or 1 / HEAD; as occurrences add up to the number of tokens, there are at most so
-many.  Rarer words are looked up exactly, by a shuffle join.
+All counts cover the whole training corpus, and every context and transition that
+passes the constant floors and the test is kept, in written tables that grow with the
+corpus.  What is shipped to every task is bounded all the same: the values of n-grams
+that make up 1 / TRANSITIONS of the tokens (words: 1 / HEAD), so at most so many, and
+bit sets of BITS bits, which only tell what can't be in a table.  All other words and
+n-grams of a document are looked up exactly, by a shuffle join.
+
+A document's score over the root's is a sum over its words (log of the mass that a
+one-word context leaves to its suffix), its word pairs (the bonus of a transition of
+such a context, and the mass left by the pair as a context) and its triples (the bonus
+of a transition of a two-word context).
 """
 
 from __future__ import annotations
@@ -22,16 +28,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .stash import modest_batches, release, stash
+from .stash import drop_stash, modest_batches, release, stash
 from .wordkit import LOWER, U64, as_int64, chunks, mix, owners, words
 
-#: Contexts, transitions and words in the broadcast tables, at most (8 to 24 bytes each).
-CONTEXTS, TRANSITIONS, HEAD = 1 << 16, 1 << 20, 1 << 22
+#: Pairs, triples and words in the broadcast tables, at most (16 to 24 bytes each); bits of a set that is broadcast.
+TRANSITIONS, HEAD, BITS = 1 << 20, 1 << 22, 1 << 27
 STRENGTH = 20.0
 #: Transitions counted at least so often are evidence; the divergence test's threshold on the gain in nats.
 LEAST, LEAST_CONTEXT, GAIN = 3, 8, 12.0
 END = mix(np.array([0x454E44], np.uint64))[0]
-C1, C2 = U64(0x8CB92BA72F3D8DD7), U64(0xABC98388FB8FAC03)
+C1, C2, C3 = U64(0x8CB92BA72F3D8DD7), U64(0xABC98388FB8FAC03), U64(0xD6E8FEB86659FD93)
 
 
 def in_training(folds: int = 7, out: int = 2) -> Column:
@@ -48,15 +54,22 @@ def token_stream(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return out, ranges
 
 
-def contexts_of(tokens: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the one and two tokens before each token (0 where the text has fewer)."""
-    one, two = np.zeros(len(tokens), np.uint64), np.zeros(len(tokens), np.uint64)
+def pair_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix(mix(a ^ C1) + b * C2)
+
+
+def triple_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """From the keys of the first and the last two tokens."""
+    return mix(mix(a ^ C3) + b * C2)
+
+
+def grams(tokens: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Where a token has one and two tokens before it in its text: the positions, and the keys of the pairs and triples that end there."""
     place = np.arange(len(tokens)) - np.repeat(r[:-1], np.diff(r))
-    a = np.flatnonzero(place >= 1)
-    one[a] = mix(tokens[a - 1] ^ C1)
-    b = np.flatnonzero(place >= 2)
-    two[b] = mix(mix(tokens[b - 1] ^ C1) + tokens[b - 2] * C2)
-    return one, two
+    second, third = np.flatnonzero(place >= 1), np.flatnonzero(place >= 2)
+    pair = np.zeros(len(tokens), np.uint64)
+    pair[second] = pair_key(tokens[second - 1], tokens[second])
+    return second, pair[second], third, triple_key(pair[third - 1], pair[third])
 
 
 def unigram_rows(batches):
@@ -114,53 +127,76 @@ def gather(batches, pick, limit: int = 2_000_000):
 COUNTS = "a long, b long, n long"
 
 
-def transitions(depth: int, frequent, head):
-    """Counts of (context, next token) where both are frequent enough to be kept."""
+def within(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """False for keys that are not in the set."""
+    at = keys & U64(BITS - 1)
+    return (bits[at >> U64(6)] >> (at & U64(63))) & U64(1) == 1
+
+
+def bit_set(df: DataFrame, key: str) -> np.ndarray:
+    """A set of BITS bits, those of the keys' low bits, whatever the number of keys."""
+    low = F.col(key).bitwiseAND(F.lit(BITS - 1))
+    table = df.groupBy(F.shiftright(low, 6).alias("at")).agg(F.expr(f"bit_or(shiftleft(1L, cast({key} & 63 as int)))").alias("bits")).toArrow()
+    out = np.zeros(BITS >> 6, np.uint64)
+    out[table.column("at").to_numpy()] = table.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def pairs_of(first, second):
+    """Counts of two adjacent tokens, without pairs of which a token is too rare for the pair to be kept."""
 
     def run(batches):
         def pick(tokens, r):
-            context = contexts_of(tokens, r)[depth - 1]
-            hit = (context != 0) & find(frequent.value, context)[1] & find(head.value, tokens)[1]
-            return np.stack([context[hit], tokens[hit]])
+            at = grams(tokens, r)[0]
+            a, b = tokens[at - 1], tokens[at]
+            hit = within(first.value, a) & within(second.value, b)
+            return np.stack([a[hit], b[hit]])
 
         return gather(batches, pick)
 
     return run
 
 
-def pairs_of(frequent):
-    """Counts of (two-token context, its one-token suffix) where both tokens are frequent."""
+def triples_of(first, second):
+    """Counts of three adjacent tokens, as the keys of their first and last two, likewise."""
 
     def run(batches):
         def pick(tokens, r):
-            one, two = contexts_of(tokens, r)
-            known = find(frequent.value, one)[1]
-            hit = np.flatnonzero(known & (two != 0))
-            hit = hit[known[hit - 1]]
-            return np.stack([two[hit], one[hit]])
+            second_at, key, at, _ = grams(tokens, r)
+            pair = np.zeros(len(tokens), np.uint64)
+            pair[second_at] = key
+            a, b = pair[at - 1], pair[at]
+            hit = within(first.value, a) & within(second.value, b)
+            return np.stack([a[hit], b[hit]])
 
         return gather(batches, pick)
 
     return run
 
 
-def columns(df: DataFrame) -> list[np.ndarray]:
-    """The columns of a table of bounded size, hashes as unsigned numbers, sorted by the first."""
-    table = df.toArrow()
-    out = [table.column(c).to_numpy().astype(np.int64) for c in range(table.num_columns)]
-    order = np.argsort(out[0].view(np.uint64), kind="stable")
-    return [x[order] for x in out]
+def keyed(df: DataFrame, kernel) -> DataFrame:
+    """df with the key of its columns a and b."""
+
+    def run(batches):
+        for batch in batches:
+            a, b = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False).view(np.uint64) for c in "ab")
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(as_int64(kernel(a, b)))], names=[*batch.schema.names, "key"])
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("key", T.LongType())]))
 
 
 class SuffixTree:
-    """The fitted tree's tables (numpy arrays), see the module."""
+    """What is broadcast of the fitted tree: arrays of the frequent words', pairs' and triples' logs."""
 
     def __init__(self):
         none = np.zeros(0, np.uint64)
-        self.head, self.head_count = none, np.zeros(0)
+        self.head, self.head_count, self.head_left = none, np.zeros(0), np.zeros(0)
         self.total = self.distinct = 0
-        self.nodes, self.node_scale, self.node_left = [none, none], [np.zeros(0)] * 2, [np.zeros(0)] * 2
-        self.moves, self.move_count = [none, none], [np.zeros(0)] * 2
+        #: kept contexts of one and two words among the frequent ones
+        self.nodes = [none, none]
+        self.keys, self.bonus, self.left = [none, none], [np.zeros(0)] * 2, [np.zeros(0)] * 2
+        #: bits of the n-grams that are only in the table
+        self.more: np.ndarray | None = None
 
     def root(self, token: np.ndarray) -> np.ndarray:
         """Add-one probability of tokens that are in the head."""
@@ -168,61 +204,67 @@ class SuffixTree:
         count = np.where(hit, self.head_count[at] if len(self.head) else 0, 0)
         return (count + 1) / (self.total + self.distinct + 1)
 
-    def grow(self, depth: int, context: np.ndarray, size: np.ndarray, suffix: np.ndarray | None, move: list[np.ndarray]) -> None:
-        """Keep the contexts (sorted) whose transitions diverge from those of their suffix."""
-        owner, token, count = move[0].view(np.uint64), move[1].view(np.uint64), move[2].astype(float)
-        at, hit = find(context, owner)
-        at, token, count = at[hit], token[hit], count[hit]
-        kept = np.bincount(at, weights=count, minlength=len(context))
-        left = STRENGTH + size - kept
-        scale = size + STRENGTH
-        below = self.root(token) if depth == 1 else self.one(suffix[at], token)
-        gain = np.bincount(at, weights=count * np.log(((count + left[at] * below) / scale[at]) / below), minlength=len(context))
-        gain += (size - kept) * np.log(left / scale)
-        good = gain >= GAIN
-        keep = good[at]
-        self.nodes[depth - 1], self.node_scale[depth - 1], self.node_left[depth - 1] = context[good], scale[good], left[good]
-        key = mix(context[at[keep]]) + token[keep] * C2
-        order = np.argsort(key)
-        self.moves[depth - 1], self.move_count[depth - 1] = key[order], count[keep][order]
-
-    def one(self, context: np.ndarray, token: np.ndarray) -> np.ndarray:
-        """P(token | one-token context) of head tokens; the root's where the context isn't kept."""
-        at, hit = find(self.nodes[0], context)
-        root = self.root(token)
-        if not len(self.nodes[0]):
-            return root
-        where, moved = find(self.moves[0], mix(context) + token * C2)
-        count = np.where(moved, self.move_count[0][where] if len(self.moves[0]) else 0, 0)
-        return np.where(hit, (count + self.node_left[0][at] * root) / self.node_scale[0][at], root)
+    def parts(self, tokens: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """log10 of P(token | longest kept context) over the root's, for each token, as far as
+        the frequent n-grams give it; the positions and keys of n-grams to look up."""
+        out = np.zeros(len(tokens))
+        second, pair, third, triple = grams(tokens, r)
+        at, hit = find(self.head, tokens[second - 1])
+        if len(self.head):
+            out[second] += np.where(hit, self.head_left[at], 0)
+        where, keys = [], []
+        for depth, (place, key) in enumerate(((second, pair), (third, triple))):
+            at, hit = find(self.keys[depth], key)
+            h = np.flatnonzero(hit)
+            out[place[h]] += self.bonus[depth][at[h]]
+            if depth == 0:  # what a pair leaves as a context counts for the token after it; the end is no part of a context
+                h = h[(self.left[0][at[h]] != 0) & (place[h] + 1 < len(tokens))]
+                out[place[h] + 1] += self.left[0][at[h]]
+            if self.more is not None:
+                m = np.flatnonzero(~hit)
+                m = m[within(self.more, key[m])]
+                where.append(place[m])
+                keys.append(key[m])
+        if not where:
+            return out, np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return out, np.concatenate(where), np.concatenate(keys)
 
     def gains(self, tokens: np.ndarray, r: np.ndarray) -> np.ndarray:
-        """log10 of P(token | longest kept context) over the root's, for each token.
+        return self.parts(tokens, r)[0]
 
-        For a token that is no kept transition both are the same up to the
-        context's remaining mass, so rare tokens need no count here.
-        """
-        contexts = contexts_of(tokens, r)
-        out = np.zeros(len(tokens))
-        for depth in (1, 2):
-            if not len(self.nodes[depth - 1]):
-                continue
-            context = contexts[depth - 1]
-            at, hit = find(self.nodes[depth - 1], context)
-            hit = np.flatnonzero(hit & (context != 0))
-            at, token = at[hit], tokens[hit]
-            where, moved = find(self.moves[depth - 1], mix(context[hit]) + token * C2)
-            ratio = np.zeros(len(hit))
-            m = np.flatnonzero(moved)
-            if len(m):
-                below = self.root(token[m]) if depth == 1 else self.one(contexts[0][hit[m]], token[m])
-                ratio[m] = self.move_count[depth - 1][where[m]] / below
-            out[hit] += np.log10((ratio + self.node_left[depth - 1][at]) / self.node_scale[depth - 1][at])
-        return out
 
+def grow(moves: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
+    """From the transitions (context a, key, count n, the context's size, below: the
+    probability by the suffix) of all contexts those contexts that diverge from their
+    suffix (a, size, left, scale), and their transitions (key, n, bonus, p)."""
+    kept = moves.groupBy("a").agg(F.sum("n").alias("kept"))
+    joined = moves.join(kept, "a").withColumns({"left": F.lit(STRENGTH) + F.col("size") - F.col("kept"), "scale": F.col("size") + F.lit(STRENGTH)})
+    term = F.col("n") * F.log((F.col("n") + F.col("left") * F.col("below")) / F.col("scale") / F.col("below"))
+    # written, as a sum straight above the join would keep a context's rows in one task
+    all_moves = stash(joined.withColumn("term", term), f"{label}-terms")
+    gain = F.col("terms") + (F.col("size") - F.col("kept")) * F.log(F.col("left") / F.col("scale"))
+    sums = all_moves.groupBy("a").agg(F.sum("term").alias("terms"), *(F.max(c).alias(c) for c in ("size", "kept", "left", "scale")))
+    nodes = stash(sums.where(gain >= GAIN).select("a", "size", "left", "scale"), f"{label}-contexts")
+    bonus = F.log10((F.col("n") / F.col("below") + F.col("left")) / F.col("left"))
+    p = (F.col("n") + F.col("left") * F.col("below")) / F.col("scale")
+    grown = stash(all_moves.join(nodes.select("a"), "a", "left_semi").select("key", "n", bonus.alias("bonus"), p.alias("p")), f"{label}-moves")
+    drop_stash(all_moves)
+    release(moves.sparkSession)
+    return nodes, grown
 
-def train(documents: DataFrame) -> tuple[SuffixTree, DataFrame]:
-    """The tree, and the table of all training tokens' counts (token, n)."""
+
+def often_found(texts: DataFrame, kernel, label: str, finish) -> DataFrame:
+    """The written counts of what the kernel gives, from LEAST on; its shuffle files can go when this returns."""
+    found = texts.mapInArrow(kernel, COUNTS).groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST)
+    return stash(finish(found), label)
+
+
+LOOKUP = "key long, n long, gain double"
+
+
+def fit(documents: DataFrame) -> tuple[SuffixTree, DataFrame, DataFrame]:
+    """The tree, the table of all training tokens' counts (token, n), and what isn't in
+    the tree's arrays: words (key, n, gain) and n-grams (the same without n)."""
     spark = documents.sparkSession
     texts = documents.select(F.col("text").cast("string").alias("text"))
     counts = stash(texts.mapInArrow(unigram_rows, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")), "unigrams")
@@ -231,36 +273,68 @@ def train(documents: DataFrame) -> tuple[SuffixTree, DataFrame]:
     row = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     tree.total, tree.distinct = row["n"], row["v"]
     if not tree.total:
-        return tree, counts
-    head, n = columns(counts.where(F.col("n") >= tree.total / HEAD))
-    tree.head, tree.head_count = head.view(np.uint64), n.astype(float)
+        return tree, counts, spark.createDataFrame([], LOOKUP)
     broadcast = spark.sparkContext.broadcast
-    often = max(LEAST, tree.total / TRANSITIONS)
-    targets = broadcast(tree.head[tree.head_count >= often])
-    enough = max(LEAST_CONTEXT, tree.total / CONTEXTS)
-
-    # contexts of one token; the end never precedes a token
-    mine = (tree.head_count >= enough) & (tree.head != END)
-    context, size = mix(tree.head[mine] ^ C1), tree.head_count[mine]
-    order = np.argsort(context)
-    context, size = context[order], size[order]
-    first = broadcast(context)
-    moves = texts.mapInArrow(transitions(1, first, targets), COUNTS).groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= often)
-    tree.grow(1, context, size, None, columns(moves))
-    release(spark)
+    end = int(as_int64(np.array([END], np.uint64))[0])
 
-    # contexts of two tokens whose suffix was kept
-    kept = broadcast(tree.nodes[0])
-    two = texts.mapInArrow(pairs_of(first), COUNTS).groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= enough)
-    context, suffix, size = columns(two)
-    context, suffix = context.view(np.uint64), suffix.view(np.uint64)
-    mine = find(kept.value, suffix)[1]
-    context, suffix, size = context[mine], suffix[mine], size[mine].astype(float)
-    if len(context):
-        moves = texts.mapInArrow(transitions(2, broadcast(context), targets), COUNTS).groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= often)
-        tree.grow(2, context, size, suffix, columns(moves))
+    # pairs: the transitions of contexts of one token; the end never precedes a token
+    first = broadcast(bit_set(counts.where(F.col("n") >= LEAST_CONTEXT), "token"))
+    second = broadcast(bit_set(counts.where(F.col("n") >= LEAST), "token"))
+    pairs = often_found(texts, pairs_of(first, second), "pairs", lambda found: keyed(found, pair_key))
+    release(spark)
+    root = (F.col("n") + 1) / F.lit(float(tree.total + tree.distinct + 1))
+    sizes = counts.where((F.col("n") >= LEAST_CONTEXT) & (F.col("token") != end)).select(F.col("token").alias("a"), F.col("n").alias("size"))
+    sized = pairs.join(counts.select(F.col("token").alias("b"), root.alias("below")), "b").join(sizes, "a").select("a", "key", "n", "size", "below")
+    moves = stash(sized, "pairs-sized")
+    ones, one_moves = grow(moves, "pairs")
+    drop_stash(moves)
+
+    # triples: the transitions of contexts of two tokens whose suffix was kept
+    contexts = stash(pairs.where(F.col("n") >= LEAST_CONTEXT).join(ones.select(F.col("a").alias("b")), "b", "left_semi").select(F.col("key").alias("a"), F.col("n").alias("size")), "contexts")
+    drop_stash(pairs)
+    first = broadcast(bit_set(contexts, "a"))
+    second = broadcast(bit_set(one_moves, "key"))
+    triples = often_found(texts, triples_of(first, second), "triples", lambda found: found)
     release(spark)
-    return tree, counts
+    sized = triples.join(one_moves.select(F.col("key").alias("b"), F.col("p").alias("below")), "b").join(contexts, "a").select("a", "b", "n", "size", "below")
+    moves = stash(keyed(sized, triple_key), "triples-sized")
+    drop_stash(triples)
+    twos, two_moves = grow(moves, "triples")
+    drop_stash(moves)
+    drop_stash(contexts)
+
+    remains = F.log10(F.col("left") / F.col("scale"))
+    words_left = counts.join(ones.select(F.col("a").alias("token"), remains.alias("left")), "token", "left").select("token", "n", F.coalesce("left", F.lit(0.0)).alias("left"))
+    word_values = stash(words_left, "word-values")
+    none = F.lit(0.0)
+    both = one_moves.select("key", "n", "bonus", none.alias("left")).union(twos.select(F.col("a").alias("key"), F.col("size").alias("n"), none.alias("bonus"), remains.alias("left")))
+    pair_values = stash(both.groupBy("key").agg(F.max("n").alias("n"), F.sum("bonus").alias("bonus"), F.sum("left").alias("left")), "pair-values")
+    for used in (ones, one_moves, twos):
+        drop_stash(used)
+    triple_values = two_moves.select("key", "n", "bonus", none.alias("left"))
+
+    def table(df):
+        got = df.toArrow()
+        key = got.column(0).to_numpy().view(np.uint64)
+        order = np.argsort(key, kind="stable")
+        return [key[order], *(got.column(c).to_numpy().astype(float)[order] for c in range(1, got.num_columns))]
+
+    tree.head, tree.head_count, tree.head_left = table(word_values.where(F.col("n") >= tree.total / HEAD))
+    often = tree.total / TRANSITIONS
+    for depth, values in enumerate((pair_values, triple_values)):
+        tree.keys[depth], _, tree.bonus[depth], tree.left[depth] = table(values.where(F.col("n") >= often))
+    tree.nodes = [tree.head[tree.head_left != 0], tree.keys[0][tree.left[0] != 0]]
+    rare = pair_values.union(triple_values).where(F.col("n") < often).select("key", F.lit(None).cast("long").alias("n"), (F.col("bonus") + F.col("left")).alias("gain"))
+    bits = bit_set(rare, "key")
+    tree.more = bits if bits.any() else None
+    lookup = word_values.where(F.col("n") < tree.total / HEAD).select(F.col("token").alias("key"), "n", F.col("left").alias("gain")).union(rare)
+    release(spark)
+    return tree, counts, lookup
+
+
+def train(documents: DataFrame) -> tuple[SuffixTree, DataFrame]:
+    """The tree, and the table of all training tokens' counts (token, n)."""
+    return fit(documents)[:2]
 
 
 PARTIAL = T.StructType(
@@ -276,7 +350,7 @@ PARTIAL = T.StructType(
 
 
 def partial_rows(tree):
-    """Per document what the broadcast tables give, and the tokens they lack."""
+    """Per document what the broadcast tables give, and the tokens and n-grams they lack."""
 
     def run(batches):
         t: SuffixTree = tree.value
@@ -286,10 +360,13 @@ def partial_rows(tree):
                 doc = owners(r)
                 at, hit = find(t.head, tokens)
                 logs = np.log10(np.where(hit, t.head_count[at] if len(t.head) else 0, 0) + 1)
-                gain = t.gains(tokens, r)
+                gain, place, key = t.parts(tokens, r)
                 n = hi - lo
-                rare = np.flatnonzero(~hit)
-                cut = np.searchsorted(doc[rare], np.arange(n + 1))
+                miss = np.flatnonzero(~hit)
+                place, key = np.concatenate([miss, place]), np.concatenate([tokens[miss], key])
+                order = np.argsort(place, kind="stable")
+                place, key = place[order], key[order]
+                cut = np.searchsorted(doc[place], np.arange(n + 1))
                 total = lambda x: np.bincount(doc, weights=x, minlength=n)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -298,7 +375,7 @@ def partial_rows(tree):
                         pa.array(total(hit).astype(np.int64)),
                         pa.array(total(logs)),
                         pa.array(total(gain)),
-                        pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(as_int64(tokens[rare]))),
+                        pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(as_int64(key))),
                     ],
                     names=PARTIAL.names,
                 )
@@ -318,11 +395,12 @@ def score_documents(documents: DataFrame) -> DataFrame:
     """
     modest_batches(documents.sparkSession)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    tree, counts = train(docs.where(in_training()))
+    tree, _, lookup = fit(docs.where(in_training()))
     shared = documents.sparkSession.sparkContext.broadcast(tree)
     partial = stash(docs.mapInArrow(partial_rows(shared), PARTIAL).withColumn("row", F.monotonically_increasing_id()), "partial-scores")
-    rare = partial.select("row", F.explode("rare").alias("token")).groupBy("row", "token").agg(F.count(F.lit(1)).alias("times"))
-    looked = rare.join(counts, "token").groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more_logs"))
+    release(documents.sparkSession)
+    rare = partial.select("row", F.explode("rare").alias("key"))
+    looked = rare.join(lookup, "key").groupBy("row").agg(F.count("n").alias("more"), F.sum(F.log10(F.col("n") + 1)).alias("more_logs"), F.sum("gain").alias("more_gain"))
     base = F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) - F.col("n_tokens") * F.log10(F.lit(float(tree.total + tree.distinct + 1)))
     return partial.join(looked, "row", "left").select(
         "doc_id",
@@ -331,5 +409,5 @@ def score_documents(documents: DataFrame) -> DataFrame:
         (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
         F.lit(tree.total).cast("long").alias("train_tokens"),
         base.alias("base_score"),
-        (base + F.col("gain")).alias("score"),
+        (base + F.col("gain") + F.coalesce("more_gain", F.lit(0.0))).alias("score"),
     )

@@ -240,6 +240,42 @@ def test_suffix_tree_is_a_distribution(spark):
     assert len(context) == 3
 
 
+@pytest.mark.parametrize("share", [1 << 20, 16])
+def test_suffix_tree_keeps_rare_contexts(spark, monkeypatch, share):
+    # "q w z" is far below every share of the tokens, but above the constant floors; with 16 it is in no broadcast table
+    monkeypatch.setattr(suffix_tree, "TRANSITIONS", share)
+    monkeypatch.setattr(suffix_tree, "HEAD", share)
+    monkeypatch.setattr(suffix_tree, "CONTEXTS", 16, raising=False)
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("abcd") for _ in range(60)) for _ in range(200)] + ["q w z"] * 40 + ["v w y"] * 40
+    ids = [d for d in range(2000) if zlib.crc32(str(d).encode()) % 7 != 2][: len(texts)]
+    df = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in suffix_tree.score_documents(df).collect()}
+    one, two, three = Counter(), Counter(), Counter()
+    for t in texts:
+        w = [*t.split(), "END"]
+        one.update(w)
+        two.update(zip(w, w[1:], strict=False))
+        three.update(zip(w, w[1:], w[2:], strict=False))
+    z = sum(one.values()) + len(one) + 1
+
+    def node(moves, size, below):
+        kept = {x: n for x, n in moves.items() if n >= 3}
+        left, scale = 20 + size - sum(kept.values()), size + 20
+        p = lambda x: (kept.get(x, 0) + left * below(x)) / scale
+        gain = sum(n * np.log(p(x) / below(x)) for x, n in kept.items()) + (size - sum(kept.values())) * np.log(left / scale)
+        return p if size >= 8 and gain >= 12 else None
+
+    root = lambda x: (one[x] + 1) / z
+    ones = {a: node({y: n for (x, y), n in two.items() if x == a}, one[a], root) for a in one if a != "END"}
+    twos = {(a, b): node({y: n for (x, m, y), n in three.items() if (x, m) == (a, b)}, n, ones[b]) if b != "END" and ones[b] else None for (a, b), n in two.items()}
+    assert ones["q"] and ones["w"] and twos["q", "w"] and twos["v", "w"]
+    for d, t in zip(ids, texts, strict=True):
+        w = [*t.split(), "END"]
+        p = [(i > 1 and twos[w[i - 2], w[i - 1]] or i and ones[w[i - 1]] or root)(x) for i, x in enumerate(w)]
+        assert got[d] == pytest.approx(np.log10(p).sum(), abs=1e-6)
+
+
 def test_toxicity(spark, empty):
     rng = random.Random(6)
     plain = ["lorem", "ipsum", "dolor", "sit", "amet", "tempor", "labore", "magna"]
