@@ -58,26 +58,43 @@ def exact_top_k(queries: DataFrame, items: DataFrame, k: int, digits: int = 6, b
     return parts.withColumn("rank", ranked).where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long"))
 
 
-def lsh_top_k(queries: DataFrame, items: DataFrame, k: int, tables: int = 24, bits: int = 6, seed: int = 7, digits: int = 6) -> DataFrame:
+def _buckets(planes: np.ndarray, probes: int):
+    """Rows (id, bucket) of vectors (id, vector): each table's bucket, and those of which the
+    sign nearest to its plane differs, one of the `probes` nearest at a time."""
+    tables, bits, _ = planes.shape
+    weight = 1 << np.arange(bits)
+
+    def run(batches):
+        for batch in batches:
+            vectors = np.array(batch.column(1).to_pylist(), np.float64)
+            if not len(vectors):
+                continue
+            side = np.einsum("nd,tbd->ntb", vectors, planes)
+            own = ((side > 0) * weight).sum(2) + (np.arange(tables) << bits)
+            near = np.argsort(np.abs(side), axis=2, kind="stable")[:, :, : min(probes, bits)]
+            flipped = own[:, :, None] ^ weight[near]
+            all_of = np.concatenate([own[:, :, None], flipped], axis=2).reshape(len(vectors), -1)
+            ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), all_of.shape[1])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(all_of.ravel().astype(np.int64))], names=["id", "b"])
+
+    return run
+
+
+def lsh_top_k(queries: DataFrame, items: DataFrame, k: int, tables: int = 24, bits: int = 6, seed: int = 7, digits: int = 6, probes: int = 4) -> DataFrame:
     """Approximate top k by random hyperplanes: query and item are compared if they agree
-    in all signs of one of the tables.  Same columns as exact_top_k."""
+    in all signs of one of the tables, or in all but one of the query's `probes` signs that
+    are nearest to change.  Same columns as exact_top_k."""
     spark = queries.sparkSession
     first = items.where("vector is not null").select(F.size("vector").alias("d")).first()
     if first is None:
         return spark.createDataFrame([], "query_id long, item_id long, score double, rank long")
     planes = np.random.default_rng(seed).standard_normal((tables, bits, first["d"]))
-
-    def bucket(column):
-        signs = []
-        for t in range(tables):
-            parts = [F.when(F.aggregate(F.zip_with(column, F.array(*[F.lit(float(x)) for x in planes[t, b]]), lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x) > 0, 1 << b).otherwise(0) for b in range(bits)]
-            signs.append(sum(parts[1:], parts[0]) + F.lit(t << bits))
-        return F.array(*signs)
-
     q = queries.where("vector is not null").select(F.col("query_id").cast("long").alias("query_id"), F.col("vector").cast("array<double>").alias("qv"))
     i = items.where("vector is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("vector").cast("array<double>").alias("iv"))
     q = q.where("aggregate(qv, 0D, (a, x) -> a + x * x) > 0")
-    pairs = q.withColumn("b", F.explode(bucket(F.col("qv")))).join(i.withColumn("b", F.explode(bucket(F.col("iv")))), "b").dropDuplicates(["query_id", "item_id"])
+    of_query = q.mapInArrow(_buckets(planes, probes), "id long, b long").withColumnRenamed("id", "query_id")
+    of_item = i.mapInArrow(_buckets(planes, 0), "id long, b long").withColumnRenamed("id", "item_id")
+    pairs = of_query.join(of_item, "b").select("query_id", "item_id").distinct().join(q, "query_id").join(i, "item_id")
     score = F.round(F.aggregate(F.zip_with("qv", "iv", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x), digits)
     ranked = F.expr("row_number() over (partition by query_id order by score desc, item_id)")
     scored = pairs.select("query_id", "item_id", score.alias("score")).withColumn("rank", ranked)

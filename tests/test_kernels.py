@@ -102,6 +102,14 @@ def test_top_k_by_blocks(spark):
     assert len(near & {(r[0], r[1]) for r in one}) / 45 >= 0.9
 
 
+def test_hashed_top_k_finds_the_neighbours(spark):
+    # the registered queries' parameters over the tables' vectors
+    q, it = (GRAPH.frame(spark, x, "/root/testdata/sf0.01").localCheckpoint() for x in ("query_vectors", "index_vectors"))
+    exact = {(r["query_id"], r["item_id"]) for r in dense.exact_top_k(q, it, 50).collect()}
+    near = {(r["query_id"], r["item_id"]) for r in dense.lsh_top_k(q, it, 50).collect()}
+    assert len(exact & near) / len(exact) >= 0.95
+
+
 def test_macros():
     assert expand("select @count_if(a in (1, 2)) from x where @size(@map(v, x + 1)) > 0", SPARK) == "select count_if(a in (1, 2)) from x where cast(size(transform(v, x -> x + 1)) as bigint) > 0"
     assert "filter (where a > 1)" in expand("@count_if(a > 1)", DUCKDB)
