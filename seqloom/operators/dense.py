@@ -62,11 +62,13 @@ DENSE = {
         takes=("query_vectors", "index_vectors", "history_items"),
         oracle=TOP_SQL.replace("{filter}", "where not exists (select 1 from {history_items} h where h.query_id = q.query_id and h.item_id = i.item_id)"),
     ),
-    "shallow_lists": "select query_id, item_id, rank from {dense_topk_exact} where item_id % 10 <> 3",
+    # all queries' hashed lists against their exact ones, cut at the same k
     "ann_recall_audit": """
-        select avg(overlap) as mean_overlap, @percentile(overlap, 0.05) as p05_overlap, @percentile(overlap, 0.5) as p50_overlap, min(overlap) as min_overlap, count(*) as query_count
-        from (select e.query_id, cast(count(a.item_id) as double) / count(*) as overlap
-              from {dense_topk_exact} e left join {shallow_lists} a on e.query_id = a.query_id and e.item_id = a.item_id where e.rank <= 10 group by e.query_id) o""",
+        select k, avg(overlap) as mean_overlap, @percentile(overlap, 0.05) as p05_overlap, @percentile(overlap, 0.5) as p50_overlap, min(overlap) as min_overlap, count(*) as query_count
+        from (select k.k, e.query_id, cast(count(a.item_id) as double) / count(*) as overlap
+              from {dense_topk_exact} e join (select cast(k as bigint) as k from (values (10), (20), (50)) v(k)) k on e.rank <= k.k
+              left join {dense_topk_lsh} a on e.query_id = a.query_id and e.item_id = a.item_id and a.rank <= k.k group by k.k, e.query_id) o
+        group by k""",
     "two_tower_metrics": """
         select k.k as k, count(*) as sample_count, cast(@count_if(rank <= k.k) as double) / count(*) as recall,
                round(sum(case when rank <= k.k then 1.0e0 / @ilog2(rank + 1.0e0) else 0.0e0 end) / count(*), 6) as ndcg

@@ -101,3 +101,11 @@ def test_user_lists_keep_missing_and_oov_apart(spark):
     vocab = spark.createDataFrame([("user", "f103", 5, 3), ("user", "f104", 1, 3), ("user", "f106", 3, 3)], "entity string, field string, value long, token long")
     got = rows(GRAPH.frame(spark, "user_features", user_raw=raw, relevant_users=users, feature_vocab=vocab), "user_id")
     assert got == [(1, 3, False, False, 3, False, False, "3,2"), (2, 1, True, False, 2, False, True, "1"), (3, 2, False, True, 1, True, False, "")]
+
+
+def test_recall_audit_reads_the_hashed_lists(spark):
+    exact = spark.createDataFrame([(q, i, 1.0 - i / 100, i) for q in (1, 2) for i in range(1, 51)], "query_id long, item_id long, score double, rank long")
+    near = exact.where("query_id = 1 or rank > 10")  # the second query's list lacks the ten best
+    near = near.selectExpr("query_id", "item_id", "score", "case when query_id = 1 then rank else rank - 10 end as rank")
+    got = {r["k"]: (r["mean_overlap"], r["min_overlap"], r["query_count"]) for r in GRAPH.frame(spark, "ann_recall_audit", dense_topk_exact=exact, dense_topk_lsh=near).collect()}
+    assert got == {10: (0.5, 0.0, 2), 20: (0.75, 0.5, 2), 50: (0.9, 0.8, 2)}
