@@ -105,8 +105,8 @@ DENSE = {
         from {softmax_scores} s join (select query_id, sum(exp(score)) as negatives from {softmax_scores} where not positive group by query_id) n on s.query_id = n.query_id where s.positive""",
     "two_tower_batches": """
         select s.sample_id, s.target_item_rid, t.item_token as target_token, count(h.item_token) as token_count, cast(coalesce(sum(h.item_token), 0) as bigint) as token_checksum
-        from {val_samples} s join {item_tokens} t on s.target_item_rid = t.item_rid
-        left join {interactions} e on s.user_id = e.user_id and e.pos < s.history_end_position and s.history_end_position - e.pos <= 50
+        from {val_samples} s join {item_tokens} t on s.target_item_rid = t.item_rid cross join {batch_limits} l
+        left join {interactions} e on s.user_id = e.user_id and e.pos < s.history_end_position and (l.max_history is null or s.history_end_position - e.pos <= l.max_history)
         left join (select item_rid, item_token from {item_tokens} where item_token > 1) h on e.item_rid = h.item_rid
         group by s.sample_id, s.target_item_rid, t.item_token""",
     # early stopping replayed over a loss per day: stop after 3 adjacent improvements below min_delta in a row

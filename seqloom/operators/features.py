@@ -122,9 +122,12 @@ FEATURES = {
     "session_split": """
         select s.sample_id, cast(b.gap_seconds as bigint) as gap_seconds, s.history_end - coalesce(b.boundary, 0) as short_length, coalesce(b.boundary, 0) as long_length
         from {activity_samples} s join {session_starts} b on s.user_id = b.user_id and b.pos = s.history_end - 1""",
+    # no limits unless given: the most events of a history, of a short session and of what comes before it
+    "batch_limits": Operator(row=True, sql="select cast(null as bigint) as max_history, cast(null as bigint) as short_events, cast(null as bigint) as long_events"),
     "session_batches": """
-        select sample_id, gap_seconds, least(short_length, 20) as short_kept, least(long_length, 100) as long_kept, short_length > 20 as short_truncated, long_length > 100 as long_truncated
-        from {session_split}""",
+        select s.sample_id, s.gap_seconds, least(s.short_length, coalesce(l.short_events, s.short_length)) as short_kept, least(s.long_length, coalesce(l.long_events, s.long_length)) as long_kept,
+               coalesce(s.short_length > l.short_events, false) as short_truncated, coalesce(s.long_length > l.long_events, false) as long_truncated
+        from {session_split} s cross join {batch_limits} l""",
     "length_ranks": """
         select gap_seconds, short_length, row_number() over (partition by gap_seconds order by short_length, sample_id) as place, count(*) over (partition by gap_seconds) as n from {session_split}""",
     "session_gap_stats": """

@@ -12,7 +12,7 @@ from ..operators.relations import RELATIONS
 from .graph import Graph
 
 #: Relations that only feed other operators.
-INTERNAL = {"gaps", "count_histogram", "popularity_thresholds", "popularity_labels", "candidate_fields", "valid_vectors", "sample_rows", "sample_offsets", "timestamp_counts", "boundaries", "first_cutoff", "split_samples", "ordered_targets", "additions", "strength_groups", "drift_targets", "drift_days", "side_values", "train_users", "vocab_values", "user_lists", "val_samples", "train_prefix_sums", "activity_events", "activity_samples", "session_candidates", "session_starts", "length_ranks", "train_events", "known_items", "item_norms", "pair_sums", "query_samples", "experiments", "cutoffs_k", "metric_groups", "rank_pairs", "channel_lists", "alphas", "fused_scores", "fused_ranks", "ablation_metrics", "vector_rows", "history_dims", "query_vectors", "index_vectors", "history_items", "negative_pool", "loss_samples", "softmax_scores", "epoch_losses"}
+INTERNAL = {"gaps", "count_histogram", "popularity_thresholds", "popularity_labels", "candidate_fields", "valid_vectors", "sample_rows", "sample_offsets", "timestamp_counts", "boundaries", "first_cutoff", "split_samples", "ordered_targets", "additions", "strength_groups", "drift_targets", "drift_days", "side_values", "train_users", "vocab_values", "user_lists", "val_samples", "train_prefix_sums", "activity_events", "activity_samples", "session_candidates", "session_starts", "length_ranks", "batch_limits", "train_events", "known_items", "item_norms", "pair_sums", "query_samples", "experiments", "cutoffs_k", "metric_groups", "rank_pairs", "channel_lists", "alphas", "fused_scores", "fused_ranks", "ablation_metrics", "vector_rows", "history_dims", "query_vectors", "index_vectors", "history_items", "negative_pool", "loss_samples", "softmax_scores", "epoch_losses"}
 #: Without a SQL form: hashing decides which pairs are compared.
 ROWS_ONLY = {"dense_topk_lsh", "ann_recall_audit"}
 

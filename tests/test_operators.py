@@ -109,3 +109,19 @@ def test_recall_audit_reads_the_hashed_lists(spark):
     near = near.selectExpr("query_id", "item_id", "score", "case when query_id = 1 then rank else rank - 10 end as rank")
     got = {r["k"]: (r["mean_overlap"], r["min_overlap"], r["query_count"]) for r in GRAPH.frame(spark, "ann_recall_audit", dense_topk_exact=exact, dense_topk_lsh=near).collect()}
     assert got == {10: (0.5, 0.0, 2), 20: (0.75, 0.5, 2), 50: (0.9, 0.8, 2)}
+
+
+LIMITS = "max_history long, short_events long, long_events long"
+
+
+def test_batches_keep_whole_histories(spark):
+    e = events(spark, {1: [(10, 1, t) for t in range(70)]})
+    val = spark.createDataFrame([(5, 1, 10, 70, 70)], "sample_id long, user_id long, target_item_rid long, target_timestamp long, history_end_position long")
+    tokens = spark.createDataFrame([(10, 11)], "item_rid long, item_token long")
+    given = {"val_samples": val, "interactions": e, "item_tokens": tokens}
+    assert rows(GRAPH.frame(spark, "two_tower_batches", **given)) == [(5, 10, 11, 70, 770)]
+    limit = spark.createDataFrame([(50, 20, 100)], LIMITS)
+    assert rows(GRAPH.frame(spark, "two_tower_batches", batch_limits=limit, **given)) == [(5, 10, 11, 50, 550)]
+    split = spark.createDataFrame([(5, 1800, 30, 130)], "sample_id long, gap_seconds long, short_length long, long_length long")
+    assert rows(GRAPH.frame(spark, "session_batches", session_split=split)) == [(5, 1800, 30, 130, False, False)]
+    assert rows(GRAPH.frame(spark, "session_batches", session_split=split, batch_limits=limit)) == [(5, 1800, 20, 100, True, True)]
