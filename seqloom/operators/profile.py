@@ -1,12 +1,20 @@
 """Data health, sequence, long-tail, cold-start and vector-coverage profiles."""
 
+from pyspark.sql import DataFrame
+
 from ..plans.graph import Operator
 
+
+def first_users(interactions: DataFrame, max_users: int | None = None) -> DataFrame:
+    """The events of the users with the smallest ids, for trials: to be given as `interactions`."""
+    if max_users is None:
+        return interactions
+    return interactions.join(interactions.select("user_id").distinct().orderBy("user_id").limit(max_users), "user_id", "left_semi")
+
+
 PROFILE = {
     # scans and scalar conversions
-    "scan_projection": """
-        select i.user_id, i.pos, i.item_rid, i.action_type, i.ts from {interactions} i
-        where i.user_id in (select user_id from (select distinct user_id from {interactions} order by user_id limit 50) u)""",
+    "scan_projection": "select user_id, pos, item_rid, action_type, ts from {interactions}",
     "events_exploded": """
         select user_id, cast(x.pos as bigint) as pos, x.item_rid as item_rid from (
             select user_id, @explode(@pack(pos, item_rid)) as x from {interactions} group by user_id) s""",

@@ -125,3 +125,12 @@ def test_batches_keep_whole_histories(spark):
     split = spark.createDataFrame([(5, 1800, 30, 130)], "sample_id long, gap_seconds long, short_length long, long_length long")
     assert rows(GRAPH.frame(spark, "session_batches", session_split=split)) == [(5, 1800, 30, 130, False, False)]
     assert rows(GRAPH.frame(spark, "session_batches", session_split=split, batch_limits=limit)) == [(5, 1800, 20, 100, True, True)]
+
+
+def test_scan_gives_all_users(spark):
+    from seqloom.operators.profile import first_users
+
+    e = events(spark, {u: [(10, 1, 5), (11, 0, 6)] for u in range(1, 61)})
+    scan = lambda **x: GRAPH.frame(spark, "scan_projection", interactions=first_users(e, **x))
+    assert scan().count() == 120
+    assert {r["user_id"] for r in scan(max_users=3).collect()} == {1, 2, 3} and scan(max_users=3).count() == 6
