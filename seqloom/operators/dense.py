@@ -87,19 +87,53 @@ DENSE = {
         select count(*) as row_count, @count_if(@all(emb, x = 0)) as zero_vectors, @count_if(@any(emb, @nan(x))) as non_finite,
                count(*) - count(distinct @join(@strings(@map(emb, cast(round(cast(x as double) * 10000000) as bigint))))) as duplicates
         from {vector_rows}""",
-    # negatives: a seeded hash orders the pool; target and history are excluded
-    "negative_pool": "select item_rid from {item_train_counts} order by @md5(item_rid * 31 + 5), item_rid limit 200",
-    "loss_samples": "select sample_id, user_id, target_item_rid, history_end_position from {val_samples} order by @md5(sample_id * 17 + 3), sample_id limit 100",
+    # negatives: 40 hashed draws a sample from all train-seen items, numbered by ranges; target and history are excluded.
+    # Samples that keep fewer than 20 draw again, from all that is left; fewer than 20 then is an error.
+    "loss_samples": "select sample_id, user_id, target_item_rid, history_end_position from {split_samples} where split in ('train', 'validation')",
+    "pool_ranges": """
+        select pool_range, cast(coalesce(sum(n) over (order by pool_range rows between unbounded preceding and 1 preceding), 0) as bigint) as before
+        from (select cast(floor(item_rid / 4096.0) as bigint) as pool_range, count(*) as n from {item_train_counts} group by 1) c""",
+    "negative_pool": """
+        select t.item_rid, cast(r.before + row_number() over (partition by r.pool_range order by t.item_rid) - 1 as bigint) as number
+        from {item_train_counts} t join {pool_ranges} r on cast(floor(t.item_rid / 4096.0) as bigint) = r.pool_range""",
+    "pool_size": Operator(row=True, sql="select count(*) as items from {item_train_counts}"),
+    "draw_numbers": """
+        select sample_id, user_id, target_item_rid, history_end_position, draw, h2 * h2 % 2147483647 % items as number from (
+            select *, (h1 * h1 % 2147483647 * 16807 + draw) % 2147483647 as h2 from (
+                select *, (sample_id % 2147483647 * 48271 + draw * 69621 + 5) % 2147483647 as h1 from (
+                    select *, @explode(@range(1, 40)) as draw from {loss_samples}) a) b) c cross join {pool_size}""",
+    "negative_draws": """
+        select d.sample_id, d.item_rid, d.draw
+        from (select x.sample_id, x.user_id, x.history_end_position, p.item_rid, cast(min(x.draw) as bigint) as draw from {draw_numbers} x join {negative_pool} p on x.number = p.number
+              where p.item_rid <> x.target_item_rid group by x.sample_id, x.user_id, x.history_end_position, p.item_rid) d
+        where not exists (select 1 from {interactions} e where e.user_id = d.user_id and e.item_rid = d.item_rid and e.pos < d.history_end_position)""",
+    "negative_redraws": """
+        select d.sample_id, d.item_rid, cast(41 as bigint) as draw
+        from (select s.*, p.item_rid from {loss_samples} s left join (select sample_id, count(*) as n from {negative_draws} group by sample_id) c on s.sample_id = c.sample_id
+              cross join {negative_pool} p where coalesce(c.n, 0) < 20 and p.item_rid <> s.target_item_rid) d
+        where not exists (select 1 from {interactions} e where e.user_id = d.user_id and e.item_rid = d.item_rid and e.pos < d.history_end_position)
+          and not exists (select 1 from {negative_draws} k where k.sample_id = d.sample_id and k.item_rid = d.item_rid)""",
     "negative_samples": """
-        select sample_id, negative_item_rid, cast(place as bigint) as place from (
-            select s.sample_id, p.item_rid as negative_item_rid, row_number() over (partition by s.sample_id order by @md5(s.sample_id * 1000003 + p.item_rid), p.item_rid) as place
-            from {loss_samples} s cross join {negative_pool} p
-            left join (select distinct s.sample_id, e.item_rid from {loss_samples} s join {interactions} e on s.user_id = e.user_id and e.pos < s.history_end_position) h
-              on s.sample_id = h.sample_id and p.item_rid = h.item_rid
-            where p.item_rid <> s.target_item_rid and h.item_rid is null) x where place <= 20""",
+        select sample_id, negative_item_rid, case when n >= 20 then place else cast(@raise(concat('not enough eligible negatives: sample ', sample_id)) as bigint) end as place from (
+            select s.sample_id, x.item_rid as negative_item_rid, count(x.item_rid) over (partition by s.sample_id) as n,
+                   cast(row_number() over (partition by s.sample_id order by x.draw, @md5(s.sample_id * 1000003 + x.item_rid), x.item_rid) as bigint) as place
+            from {loss_samples} s left join (select * from {negative_draws} union all select * from {negative_redraws}) x on s.sample_id = x.sample_id) y where place <= 20""",
+    # histories pooled as in history_dims, for all samples; who has no vector has a zero one, as padding has
+    "loss_dims": """
+        select s.sample_id, cast(x.d as bigint) as dim, avg(cast(@at(x.emb, x.d) as double)) as value
+        from {loss_samples} s join {interactions} e on s.user_id = e.user_id and e.pos < s.history_end_position
+        join (select item_rid, emb, @explode(@range(1, 64)) as d from {vector_rows}) x on e.item_rid = x.item_rid
+        group by s.sample_id, x.d""",
+    "loss_vectors": """
+        select h.sample_id, @map(@pack(dim, unit), x.unit) as vector
+        from (select d.sample_id, d.dim, round(d.value / nullif(n.norm, 0), 6) as unit
+              from {loss_dims} d join (select sample_id, sqrt(sum(value * value)) as norm from {loss_dims} group by sample_id) n on d.sample_id = n.sample_id) h
+        group by h.sample_id""",
     "softmax_scores": """
-        select q.query_id, i.item_id, @dot(q.vector, i.vector) as score, i.item_id % 5 = 0 as positive
-        from (select * from {query_vectors} order by query_id limit 50) q cross join (select * from {index_vectors} order by item_id limit 40) i""",
+        select x.query_id, x.item_id, x.positive, coalesce(@dot(q.vector, i.vector), 0.0e0) as score
+        from (select s.sample_id as query_id, s.target_item_rid as item_id, true as positive from {loss_samples} s join {item_train_counts} t on s.target_item_rid = t.item_rid
+              union all select sample_id, negative_item_rid, false from {negative_samples}) x
+        left join {loss_vectors} q on x.query_id = q.sample_id left join {index_vectors} i on x.item_id = i.item_id""",
     "softmax_loss": """
         select s.query_id, s.item_id, round(ln(exp(s.score) + n.negatives) - s.score, 6) as loss
         from {softmax_scores} s join (select query_id, sum(exp(score)) as negatives from {softmax_scores} where not positive group by query_id) n on s.query_id = n.query_id where s.positive""",

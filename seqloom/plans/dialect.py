@@ -40,6 +40,7 @@ SPARK = {
     "strings": "transform({0}, x -> cast(x as string))",
     "slope": "regr_slope({0}, {1})",
     "contains": "array_contains({0}, {1})",
+    "raise": "raise_error({0})",
 }
 DUCKDB = {
     "epoch": "cast(floor(epoch({0})) as bigint)",
@@ -75,6 +76,7 @@ DUCKDB = {
     "strings": "list_transform({0}, lambda x: cast(x as varchar))",
     "slope": "regr_slope({0}, {1})",
     "contains": "list_contains({0}, {1})",
+    "raise": "error({0})",
 }
 #: Macros whose arguments are one list, commas included.
 WHOLE = {"array", "pack"}

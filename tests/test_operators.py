@@ -134,3 +134,25 @@ def test_scan_gives_all_users(spark):
     scan = lambda **x: GRAPH.frame(spark, "scan_projection", interactions=first_users(e, **x))
     assert scan().count() == 120
     assert {r["user_id"] for r in scan(max_users=3).collect()} == {1, 2, 3} and scan(max_users=3).count() == 6
+
+
+def test_negatives_and_loss_for_all_samples(spark):
+    import math
+
+    e = events(spark, {u: [(i, 1, i) for i in range(1, 31)] for u in range(1, 121)})  # whole histories of 30 items
+    samples = spark.createDataFrame([(u, u, 31, 30, "train" if u % 2 else "validation") for u in range(1, 121)] + [(999, 1, 31, 30, "test")], "sample_id long, user_id long, target_item_rid long, history_end_position long, split string")
+    given = {"split_samples": samples, "interactions": e}
+    pool = lambda n: spark.createDataFrame([(i, 1) for i in range(1, n + 1)], "item_rid long, train_event_count long")
+    for n in (51, 5000):  # of 51 items, exactly 20 are neither target nor history
+        got = {}
+        for s, i, place in rows(GRAPH.frame(spark, "negative_samples", item_train_counts=pool(n), **given)):
+            got.setdefault(s, {})[place] = i
+        assert set(got) == set(range(1, 121))
+        assert all(sorted(x) == list(range(1, 21)) and len(set(x.values())) == 20 and min(x.values()) > 31 for x in got.values())
+    assert len({i for x in got.values() for i in x.values()}) > 1200  # from the whole pool
+    with pytest.raises(Exception, match="not enough eligible negatives"):
+        GRAPH.frame(spark, "negative_samples", item_train_counts=pool(50), **given).collect()
+    vectors = spark.createDataFrame([(u, [1.0, 0.0]) for u in range(1, 120)], "sample_id long, vector array<double>")
+    index = spark.createDataFrame([(31, [0.5, 0.5])], "item_id long, vector array<double>")
+    loss = dict(r[::2] for r in rows(GRAPH.frame(spark, "softmax_loss", item_train_counts=pool(51), loss_vectors=vectors, index_vectors=index, **given)))
+    assert loss == {u: pytest.approx(math.log(math.exp(0.5) + 20) - 0.5 if u < 120 else math.log(21), abs=1e-6) for u in range(1, 121)}
