@@ -395,6 +395,7 @@ def near_duplicate_components(documents: DataFrame, shingle: int = 5, percent: i
 
 
 def one_of_each(documents: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """The documents that are the smallest doc_id of their component, with all their columns."""
+    """The documents that are the smallest doc_id of their component, with all their columns.
+    Rows without a doc_id stay: nothing tells them apart."""
     kept = near_duplicate_components(documents, shingle, percent).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    return documents.join(kept, documents["doc_id"].cast("long") == F.col("__kept"), "left_semi")
+    return documents.join(kept, documents["doc_id"].cast("long") == F.col("__kept"), "left_semi").unionByName(documents.where(F.col("doc_id").cast("long").isNull()))

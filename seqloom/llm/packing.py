@@ -336,7 +336,8 @@ def pack(documents: DataFrame, capacity: int = CAPACITY, tokenizer: str | None =
     out = full.unionByName(fitted).unionByName(whole)
     if n_again:
         hint = F.broadcast if n_again <= BROADCAST_ROWS else lambda x: x
-        few = docs.join(hint(again.select("doc_id").distinct()), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-        joined = few.join(hint(again), "doc_id").select("doc_id", "text", "starts", "ends", "sequences", "offsets", "tokens", "crc")
+        ids = hint(again.select(F.col("doc_id").alias("again_id")).distinct())
+        few = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("again_id")), "left_semi").dropDuplicates(["doc_id", "text"])
+        joined = few.join(hint(again.withColumnRenamed("doc_id", "again_id")), F.col("doc_id").eqNullSafe(F.col("again_id"))).select("doc_id", "text", "starts", "ends", "sequences", "offsets", "tokens", "crc")
         out = out.unionByName(joined.mapInArrow(recut(path), T.StructType([T.StructField(c, T.LongType()) for c in RESULT])))
     return out

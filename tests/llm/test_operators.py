@@ -422,3 +422,18 @@ def test_repeated_rows(spark):
     assert ngram_join.near_duplicate_components(docs).count() == 3
     assert fingerprints.fingerprints_with_edits(docs).count() == 3
     assert secrets.find_secrets(docs).count() == 4
+
+
+def test_one_of_each_keeps_rows_without_an_id(spark):
+    text = "one two three four five six seven eight"
+    df = table(spark, [(1, text), (2, text), (None, "nine ten eleven"), (None, "some other words")])
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in ngram_join.one_of_each(df).collect()) == [(0, "nine ten eleven"), (0, "some other words"), (1, text)]
+
+
+def test_packing_keeps_texts_without_an_id(spark):
+    tokenizers = pytest.importorskip("tokenizers")
+    pytest.importorskip("tiktoken")
+    t = tokenizers.Tokenizer.from_file(packing.default_tokenizer())
+    some = [" ".join(["word"] * n + [end]) for n in range(1, 9) for end in ("a", "b")]
+    rows = packing.pack(table(spark, [(None, x) for x in some]), 11).selectExpr("sum(length)").first()
+    assert rows[0] == sum(len(t.encode(x, add_special_tokens=False).ids) + 1 for x in some)
