@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import json
 import zlib
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -86,30 +87,32 @@ def piece_rows(path: str, capacity: int):
     return run
 
 
-def knapsack(lengths: np.ndarray, worth: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
-    """The most valuable pattern: its worth and how many of each length, by dynamic programming over the capacity."""
-    use = np.flatnonzero(worth > 1e-12)
-    size, value = lengths[use], worth[use]
+def knapsack(lengths: np.ndarray, worth: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each room up to the capacity the most worth that ascending lengths fill it with,
+    and the last length's number (-1: the room is not filled up)."""
     best, pick = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    order = np.argsort(size)
-    size, value, use = size[order], value[order], use[order]
-    upto = np.searchsorted(size, np.arange(capacity + 1), side="right")
-    for c in range(1, capacity + 1):
-        n = upto[c]
-        best[c], pick[c] = best[c - 1], -1
-        if n:
-            tried = best[c - size[:n]] + value[:n]
-            k = int(np.argmax(tried))
-            if tried[k] > best[c] + 1e-12:
-                best[c], pick[c] = tried[k], k
-    counts, c = np.zeros(len(lengths), np.int64), capacity
-    while c > 0:
-        if pick[c] < 0:
-            c -= 1
+    upto = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
+    for room in range(int(lengths[0]), capacity + 1):
+        tried = best[room - lengths[: upto[room]]] + worth[: upto[room]]
+        k = int(tried.argmax())
+        if tried[k] > best[room - 1] + 1e-12:
+            best[room], pick[room] = tried[k], k
         else:
-            counts[use[pick[c]]] += 1
-            c -= size[pick[c]]
-    return best[capacity], counts
+            best[room] = best[room - 1]
+    return best, pick
+
+
+def pattern_with(k: int, lengths: np.ndarray, pick: np.ndarray, capacity: int) -> np.ndarray:
+    """The most valuable pattern that holds length number k."""
+    counts, room = np.zeros(len(lengths)), capacity - int(lengths[k])
+    counts[k] = 1
+    while room > 0:
+        if pick[room] < 0:
+            room -= 1
+        else:
+            counts[pick[room]] += 1
+            room -= int(lengths[pick[room]])
+    return counts
 
 
 def greedy_basis(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> np.ndarray:
@@ -140,41 +143,167 @@ def greedy_basis(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> np.n
     return np.array(out)
 
 
-def column_generation(lengths: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 1e-3, rounds: int = 300) -> tuple[np.ndarray, np.ndarray]:
-    """(patterns, amounts) with patterns.T @ amounts = demand, nearly as few as the
-    linear program's optimum: the revised simplex method from a greedy basis, a
-    knapsack pricing each entering column, until within `gap` of the bound
-    sum(lengths * demand) / capacity, optimal, or after `rounds` pivots (then what
-    is missing to the optimum is padding, never a piece)."""
-    m = len(lengths)
-    patterns = greedy_basis(lengths, demand, capacity)
-    inverse = np.linalg.inv(patterns.T.astype(float))
-    x = np.maximum(inverse @ demand, 0)
-    bound = float(lengths @ demand) / capacity
-    for turn in range(rounds):
-        if x.sum() <= bound * (1 + gap):
-            break
-        dual = inverse.sum(axis=0)
-        worth, column = knapsack(lengths, dual, capacity)
-        if worth <= 1 + 1e-7:
+class Master:
+    """The linear program over the columns so far: a basis of patterns and surpluses (minus
+    one of a length, free of charge), its inverse, and the amounts, by the revised simplex method."""
+
+    def __init__(self, patterns: np.ndarray, demand: np.ndarray):
+        self.basis, self.cost, self.demand = patterns.T.astype(float), np.ones(len(demand)), demand
+        self.steps = 0
+        self.refactor()
+        self.good = self.basis.copy(), self.cost.copy()
+
+    def refactor(self) -> None:
+        self.inverse = np.linalg.inv(self.basis)
+        self.amounts = np.maximum(np.linalg.solve(self.basis, self.demand), 0)
+        self.since = 0
+
+    def residual(self) -> float:
+        return float(np.abs(self.basis @ self.amounts - self.demand).max()) / max(1.0, float(self.demand.max()))
+
+    def settle(self) -> bool:
+        """Refactorise if rounding errors show, or from time to time; False: back at the last good basis."""
+        if self.since < 50 and self.residual() <= 1e-9:
+            return True
+        try:
+            self.refactor()
+            sound = self.residual() <= 1e-7
+        except np.linalg.LinAlgError:
+            sound = False
+        if sound:
+            self.good = self.basis.copy(), self.cost.copy()
+        else:
+            self.basis, self.cost = (x.copy() for x in self.good)
+            self.refactor()
+        return sound
+
+    def enter(self, column: np.ndarray, cost: float) -> bool:
+        """Exchange a column of negative reduced cost for the one that bounds it; of ties the largest pivot."""
+        step = self.inverse @ column
+        ratio = np.full(len(step), np.inf)
+        np.divide(self.amounts, step, out=ratio, where=step > 1e-7)
+        least = ratio.min()
+        if not np.isfinite(least):
+            return False
+        ties = np.flatnonzero(ratio <= least * (1 + 1e-9) + 1e-9)
+        leave = int(ties[step[ties].argmax()])
+        if step[leave] < 1e-5:
+            return False
+        row = self.inverse[leave] / step[leave]
+        self.inverse -= np.outer(step, row)
+        self.inverse[leave] = row
+        amount = ratio[leave]
+        self.amounts = np.maximum(self.amounts - step * amount, 0)
+        self.amounts[leave] = amount
+        self.basis[:, leave], self.cost[leave] = column, cost
+        self.steps, self.since = self.steps + 1, self.since + 1
+        return True
+
+    def prices(self) -> np.ndarray:
+        """What one more of each length costs; surpluses enter until none is negative."""
+        for _ in range(4 * len(self.demand)):
+            dual = self.cost @ self.inverse
+            k = int(dual.argmin())
+            if dual[k] >= -1e-9:
+                break
+            surplus = np.zeros(len(dual))
+            surplus[k] = -1
+            if not self.enter(surplus, 0.0) or not self.settle():
+                break
+        return np.maximum(self.cost @ self.inverse, 0)
+
+    def solution(self) -> tuple[np.ndarray, np.ndarray]:
+        """Patterns and amounts that meet the demand exactly: a length's surplus is taken
+        out of patterns that hold it, which split for that."""
+        real = self.cost > 0
+        patterns, amounts = list(self.basis[:, real].T.round().astype(np.int64)), list(self.amounts[real])
+        surplus = np.zeros(len(self.demand))
+        for j in np.flatnonzero(~real):
+            surplus[int(self.basis[:, j].argmin())] += self.amounts[j]
+        for k in np.flatnonzero(surplus > 0):
+            at = 0
+            while surplus[k] > 1e-9 and at < len(patterns):
+                held = int(patterns[at][k])
+                if held and amounts[at] > 0:
+                    use = min(amounts[at], surplus[k] / held)
+                    less = patterns[at].copy()
+                    less[k] = 0
+                    surplus[k] -= use * held
+                    amounts[at] -= use
+                    patterns.append(less)
+                    amounts.append(use)
+                at += 1
+        return np.array(patterns), np.array(amounts)
+
+
+class Solution(NamedTuple):
+    patterns: np.ndarray
+    amounts: np.ndarray
+    bound: float  #: no solution of the linear program uses fewer sequences
+    priced: int  #: knapsacks solved
+    steps: int  #: columns that entered
+
+
+def column_generation(lengths: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 1e-3, smoothing: float = 0.7, batch: int = 20, rounds: int = 20_000) -> Solution:
+    """The cutting-stock linear program: patterns.T @ amounts = demand with the least
+    sum(amounts), up to a share `gap` above the bound.
+
+    From a greedy basis on, a knapsack over the prices gives for each length the most
+    valuable pattern that holds it; up to `batch` of those that are worth more than a
+    sequence enter.  Prices are smoothed towards those of the best bound so far (any
+    prices over the worth of their best pattern bound the optimum from below), which
+    keeps them from swinging.  However good the greedy start is, columns are priced and
+    enter until none is left under the plain prices (the optimum), or at least once and
+    until the bound is met; `rounds` pivots are a bound that no input met so far.
+    """
+    greedy = greedy_basis(lengths, demand, capacity)
+    master, pool = Master(greedy, demand.astype(float)), np.zeros((0, len(lengths)))
+    if master.residual() > 1e-9 or np.abs(master.inverse).max() > 1e6:
+        # such a triangle is too badly conditioned to start from: begin with one length to a pattern and let the greedy patterns enter
+        master, pool = Master(np.diag(capacity // lengths), demand.astype(float)), greedy.astype(float)
+    center = lengths / capacity
+    bound, priced, fails, rounds_done = float(center @ demand), 0, 0, 0
+    while True:
+        dual, share = master.prices(), smoothing if not fails else 0.0
+        while True:
+            price = share * center + (1 - share) * dual
+            best, pick = knapsack(lengths, price, capacity)
+            priced += 1
+            proof = float(price @ demand) / max(float(best[capacity]), 1e-12)
+            if proof > bound:
+                bound, center = proof, price / best[capacity]
+            near = rounds_done > 0 and master.cost @ master.amounts <= bound * (1 + gap)
+            columns, covered = [], np.zeros(len(lengths), bool)
+            for k in np.argsort(-(price + best[capacity - lengths]), kind="stable"):
+                if len(columns) == batch or near:
+                    break
+                if not covered[k]:
+                    column = pattern_with(int(k), lengths, pick, capacity)
+                    covered |= column > 0
+                    if dual @ column > 1 + 1e-7:
+                        columns.append(column)
+            if columns or near or not share or len(pool):
+                break
+            share = share / 2 if share > 0.3 else 0.0
+        if near or not (columns or len(pool)) or master.steps >= rounds:
             break
-        step = inverse @ column
-        ratio = np.full(m, np.inf)
-        np.divide(x, step, out=ratio, where=step > 1e-9)
-        leave = int(np.argmin(ratio))
-        if not np.isfinite(ratio[leave]):
+        before, table, pool = master.steps, np.concatenate([pool, np.array(columns).reshape(-1, len(lengths))]), pool[:0]
+        live = np.ones(len(table), bool)
+        while live.any():
+            reduced = np.where(live, table @ (master.cost @ master.inverse) - 1, -1)
+            j = int(reduced.argmax())
+            if reduced[j] <= 1e-8:
+                break
+            live[j] = False
+            if not (master.enter(table[j], 1.0) and master.settle()):
+                continue
+        sound, rounds_done = master.settle(), rounds_done + 1
+        fails = 0 if sound and master.steps > before else fails + 1
+        if fails > 2:
             break
-        pivot = inverse[leave] / step[leave]
-        inverse -= np.outer(step, pivot)
-        inverse[leave] = pivot
-        x -= step * ratio[leave]
-        x[leave] = ratio[leave]
-        x = np.maximum(x, 0)
-        patterns[leave] = column
-        if turn % 50 == 49:  # against rounding errors
-            inverse = np.linalg.inv(patterns.T.astype(float))
-            x = np.maximum(inverse @ demand, 0)
-    return patterns, x
+    if master.residual() > 1e-9:
+        master.refactor()
+    return Solution(*master.solution(), bound, priced, master.steps)
 
 
 def rounded(patterns: np.ndarray, amounts: np.ndarray, demand: np.ndarray) -> np.ndarray:
@@ -202,8 +331,9 @@ def plan_patterns(histogram: dict[int, int], capacity: int, waste: float = 0.005
         return [], 0, 0
     lengths = np.array(sorted(histogram))
     demand = np.array([histogram[n] for n in lengths])
-    patterns, amounts = column_generation(lengths, demand.astype(float), capacity)
-    whole = rounded(patterns, amounts, demand)
+    solved = column_generation(lengths, demand.astype(float), capacity)
+    patterns = solved.patterns
+    whole = rounded(patterns, solved.amounts, demand)
     plan: dict[int, list[list[int]]] = {int(n): [[], [], [], [], []] for n in lengths}
     used, sequence, stream = dict.fromkeys(plan, 0), 0, 0
     for p in np.flatnonzero(whole):

@@ -17,8 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Ranks and slots are counted in so many hash buckets, so that no window holds a whole size class or shard.
-BUCKETS = 4096
+#: Ranks and slots are counted in PARTS * PARTS hash buckets, so that no window holds a whole size class or shard.
+PARTS = 64
 
 
 def lpt_counts(sizes: list[tuple[int, int]], shards: int, loads: list[int] | None = None) -> list[tuple[int, list[int]]]:
@@ -57,13 +57,17 @@ def lpt_counts(sizes: list[tuple[int, int]], shards: int, loads: list[int] | Non
 def ranked(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
     """df with the zero-based rank `name` within keys, by (hash bucket of order, order).
 
-    Counts per key and bucket give each bucket's first rank; only a bucket is
-    sorted in one place, and the counts are joined back by key and bucket.
+    Rows are counted per key and bucket; the counts are summed up over PARTS groups of
+    PARTS buckets, first within each group, then over the groups.  So only a bucket is
+    sorted in one place, and no window sees more than PARTS counts.
     """
-    df = df.withColumn("__bucket", F.pmod(F.xxhash64(*order), F.lit(BUCKETS)))
-    counts = df.groupBy(*keys, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
-    before = F.sum("__n").over(W.partitionBy(*keys).orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1))
-    first = counts.select(*keys, "__bucket", F.coalesce(before, F.lit(0)).alias("__first"))
+    df = df.withColumn("__bucket", F.pmod(F.xxhash64(*order), F.lit(PARTS * PARTS)))
+    counts = df.groupBy(*keys, "__bucket").agg(F.count(F.lit(1)).alias("__n")).withColumn("__part", F.floor(F.col("__bucket") / PARTS))
+    earlier = lambda n, by, at: F.coalesce(F.sum(n).over(W.partitionBy(*by).orderBy(at).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    within_part = counts.select(*keys, "__bucket", "__part", earlier("__n", [*keys, "__part"], "__bucket").alias("__here"))
+    parts = counts.groupBy(*keys, "__part").agg(F.sum("__n").alias("__n"))
+    before_part = parts.select(*keys, "__part", earlier("__n", keys, "__part").alias("__before"))
+    first = within_part.join(before_part, [*keys, "__part"]).select(*keys, "__bucket", (F.col("__here") + F.col("__before")).alias("__first"))
     within = F.row_number().over(W.partitionBy(*keys, "__bucket").orderBy(*order)) - 1
     return df.withColumn("__within", within).join(first, [*keys, "__bucket"]).withColumn(name, (F.col("__first") + F.col("__within")).cast("long")).drop("__bucket", "__first", "__within")
 

@@ -377,15 +377,55 @@ def test_packing(spark, df, docs, empty):
     assert packing.pack(twice, 4).selectExpr("sum(length)").first()[0] == sum(len(t.encode(x, add_special_tokens=False).ids) + 1 for x in ("a b c", "a b c", "another text"))
 
 
-def test_column_generation_meets_demand():
+def best_worth(lengths, price, capacity):
+    """The most that a pattern is worth, by plain recursion over the room."""
+    best = [0.0] * (capacity + 1)
+    pairs = list(zip(lengths.tolist(), price.tolist(), strict=True))
+    for room in range(1, capacity + 1):
+        best[room] = max([best[room - 1], *(best[room - n] + v for n, v in pairs if n <= room)])
+    return best[capacity]
+
+
+def histograms():
     rng = np.random.default_rng(3)
     for n in (1, 5, 60):
-        lengths = np.sort(rng.choice(np.arange(1, 100), n, replace=False))
-        demand = rng.integers(1, 50, n)
-        patterns, amounts = packing.column_generation(lengths, demand.astype(float), 100)
-        assert (patterns @ lengths <= 100).all()
-        assert np.allclose(patterns.T @ amounts, demand)
-        assert (patterns.T @ packing.rounded(patterns, amounts, demand) <= demand).all()
+        yield np.sort(rng.choice(np.arange(1, 100), n, replace=False)), rng.integers(1, 50, n), 100
+    yield np.arange(24, 1024), (1 + rng.pareto(1.0, 1000) * 20).astype(int), 1024
+    yield np.arange(1, 1024), rng.integers(1, 200, 1023), 1024
+    for n in (2_000, 5_000, 20_000):  # remainders of documents of all sizes
+        lengths, demand = np.unique(1 + (rng.lognormal(5.5, 1.2, n).astype(int) % 1023), return_counts=True)
+        yield lengths, demand, 1024
+
+
+@pytest.mark.parametrize("case", range(8))
+def test_column_generation(case):
+    lengths, demand, capacity = list(histograms())[case]
+    found = packing.column_generation(lengths, demand.astype(float), capacity)
+    assert (found.patterns @ lengths <= capacity).all() and (found.amounts >= 0).all()
+    assert np.abs(found.patterns.T @ found.amounts - demand).max() <= 1e-6 * demand.max()
+    assert found.priced > 0 and found.amounts.sum() <= found.bound * 1.001
+    assert (found.patterns.T @ packing.rounded(found.patterns, found.amounts, demand) <= demand).all()
+    if capacity == 100:  # the bound by weak duality: no solution is better than prices under which no pattern is worth more than 1
+        price = lengths / capacity
+        assert found.amounts.sum() >= price @ demand / best_worth(lengths, price, capacity) - 1e-6
+
+
+def test_column_generation_by_all_patterns():
+    """Against the optimum over all patterns of a small case, found by trying all bases."""
+    import itertools
+
+    lengths, demand, capacity = np.array([3, 4, 5]), np.array([7.0, 5.0, 9.0]), 10
+    patterns = [np.array(p) for p in itertools.product(range(4), range(3), range(3)) if 0 < np.dot(p, lengths) <= capacity]
+    columns = [*((p, 1.0) for p in patterns), *((-np.eye(3)[k], 0.0) for k in range(3))]
+    best = np.inf
+    for chosen in itertools.combinations(columns, 3):
+        basis = np.array([c for c, _ in chosen], float).T
+        if abs(np.linalg.det(basis)) > 1e-9:
+            x = np.linalg.solve(basis, demand)
+            if (x >= -1e-9).all():
+                best = min(best, sum(a * c for a, (_, c) in zip(x, chosen, strict=True)))
+    found = packing.column_generation(lengths, demand, capacity, gap=0.0)
+    assert found.steps > 0 and abs(found.amounts.sum() - best) < 1e-6 and abs(found.bound - best) < 1e-6
 
 
 def test_secrets(spark, empty):
