@@ -6,12 +6,13 @@ one pattern of its own length.  For patterns of m words and blocks of two
 words, a block that occurs in no pattern allows the maximal shift of m - 1
 positions, so one probe of the shift table every m - 1 words rules out all
 windows that contain the probed block.  At the positions that remain, the hash
-of the last block (with that of the first) selects a bucket of patterns, and
-word by word comparison confirms the occurrence.
+of the last block (with that of the first) selects a bucket of patterns, the hashes
+of all words narrow it down, and direct comparison of the text confirms the occurrence.
 """
 
 from __future__ import annotations
 
+import functools
 from collections import defaultdict
 
 import numpy as np
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .stash import modest_batches
+from .stash import modest_batches, stash
 from .wordkit import ALNUM, LOWER, U64, chunks, mix, owners, words
 
 #: Benchmark text up to this many bytes is searched for in one pass, whose pattern table is then at most about 40 times as large; a larger benchmark is split into blocks of items, one pass each.
@@ -41,22 +42,28 @@ def block_hash(h: np.ndarray, at: np.ndarray) -> np.ndarray:
     return mix(h[at] * U64(0xD6E8FEB86659FD93) + h[at + 1])
 
 
+def plain(raw: bytes, starts: np.ndarray, ends: np.ndarray, at: int, m: int) -> bytes:
+    """m words from number `at` on, joined by single spaces."""
+    return b" ".join([raw[a:b] for a, b in zip(starts[at : at + m].tolist(), ends[at : at + m].tolist(), strict=True)])
+
+
 def compile_patterns(items: list[tuple[str, str]], window: int) -> dict[int, dict]:
     """By pattern length: the distinct patterns, their owners, shift table and buckets."""
     texts = pa.array([t for _, t in items], pa.large_string())
-    found: dict[int, dict[bytes, set[str]]] = defaultdict(lambda: defaultdict(set))
+    found: dict[int, dict[tuple[bytes, bytes], set[str]]] = defaultdict(lambda: defaultdict(set))
     for lo, hi, buf, off in chunks(texts):
-        _, _, h, r = words(LOWER[buf], off, ALNUM)
+        low = LOWER[buf]
+        starts, ends, h, r = words(low, off, ALNUM)
+        raw = low.tobytes()
         for i in range(hi - lo):
-            own = h[r[i] : r[i + 1]]
-            m = min(window, len(own))
-            for s in range(len(own) - m + 1 if m else 0):
-                found[m][own[s : s + m].tobytes()].add(items[lo + i][0])
+            m = min(window, int(r[i + 1] - r[i]))
+            for s in range(r[i], r[i + 1] - m + 1 if m else r[i]):
+                found[m][h[s : s + m].tobytes(), plain(raw, starts, ends, s, m)].add(items[lo + i][0])
     out = {}
     for m, by in found.items():
-        seqs = np.frombuffer(b"".join(by), np.uint64).reshape(len(by), m)
+        seqs = np.frombuffer(b"".join(k for k, _ in by), np.uint64).reshape(len(by), m)
         names = [sorted(x) for x in by.values()]
-        table = {"seqs": seqs, "names": names}
+        table = {"seqs": seqs, "names": names, "texts": [t for _, t in by]}
         if m >= 2:
             shift = np.full(1 << TABLE_BITS, m - 1, np.uint8 if m < 256 else np.int32)
             for j in range(m - 1):
@@ -73,7 +80,7 @@ def compile_patterns(items: list[tuple[str, str]], window: int) -> dict[int, dic
     return out
 
 
-def search(h: np.ndarray, r: np.ndarray, m: int, table: dict) -> tuple[np.ndarray, np.ndarray]:
+def search(low: np.ndarray, word_starts: np.ndarray, word_ends: np.ndarray, h: np.ndarray, r: np.ndarray, m: int, table: dict) -> tuple[np.ndarray, np.ndarray]:
     """Starts of occurrences and the pattern numbers found there."""
     none = np.zeros(0, np.int64), np.zeros(0, np.int64)
     if len(h) < m:
@@ -102,7 +109,12 @@ def search(h: np.ndarray, r: np.ndarray, m: int, table: dict) -> tuple[np.ndarra
     same = at + m <= r[doc + 1]
     for j in range(m):
         same[same] = h[at[same] + j] == table["seqs"][which[same], j]
-    return at[same], which[same]
+    at, which = at[same], which[same]
+    if len(at):
+        raw = low.tobytes()
+        equal = np.array([plain(raw, word_starts, word_ends, a, m) == table["texts"][p] for a, p in zip(at.tolist(), which.tolist(), strict=True)])
+        at, which = at[equal], which[equal]
+    return at, which
 
 
 def searcher(tables):
@@ -110,11 +122,12 @@ def searcher(tables):
         for batch in batches:
             ids, column = batch.column(0), batch.column(1)
             for lo, hi, buf, off in chunks(column):
-                _, _, h, r = words(LOWER[buf], off, ALNUM)
+                low = LOWER[buf]
+                starts, ends, h, r = words(low, off, ALNUM)
                 edge = np.zeros(len(h) + 1, np.int64)
                 names: dict[int, set[str]] = defaultdict(set)
                 for m, table in tables.value.items():
-                    at, which = search(h, r, m, table)
+                    at, which = search(low, starts, ends, h, r, m, table)
                     np.add.at(edge, at, 1)
                     np.add.at(edge, at + m, -1)
                     for d, p in zip((np.searchsorted(r, at, side="right") - 1).tolist(), which.tolist(), strict=True):
@@ -157,18 +170,21 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, window: int =
     same id once.  Columns other than doc_id, text, item_id are ignored.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    parts = [docs.mapInArrow(searcher(tables), FOUND) for tables in tables_of(benchmark, window, block_bytes)]
-    if len(parts) == 1:
-        return parts[0]
-    out = parts[0].withColumn("part", F.lit(0))
-    for k, part in enumerate(parts[1:], 1):
-        out = out.unionByName(part.withColumn("part", F.lit(k)))
-    merged = out.groupBy("doc_id", "n_words").agg(
+    passes = list(tables_of(benchmark, window, block_bytes))
+    if len(passes) == 1:
+        return docs.mapInArrow(searcher(passes[0]), FOUND)
+    # several passes meet by a row number, as a doc_id may be that of several rows; written, so that it is the same in each pass
+    numbered = stash(docs.withColumn("row", F.monotonically_increasing_id()), "numbered-documents")
+    kind = T.StructType([T.StructField("doc_id", T.LongType()), *FOUND.fields[1:]])
+    ids = numbered.select("row", F.col("doc_id").alias("own"))
+    found = [numbered.select("row", "text").mapInArrow(searcher(tables), kind) for tables in passes]
+    every = functools.reduce(DataFrame.unionByName, found).withColumnRenamed("doc_id", "row")
+    merged = every.groupBy("row").agg(
+        F.max("n_words").alias("n_words"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("hits"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        F.count_if(F.col("part") == 0).alias("copies"),
     )
-    return merged.select(*FOUND.names, F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("copy")).drop("copy")
+    return merged.join(ids, "row").select(F.col("own").alias("doc_id"), *FOUND.names[1:])
 
 
 def keeper(tables, column: int):
@@ -176,9 +192,10 @@ def keeper(tables, column: int):
         for batch in batches:
             keep = np.ones(batch.num_rows, bool)
             for lo, hi, buf, off in chunks(batch.column(column)):
-                _, _, h, r = words(LOWER[buf], off, ALNUM)
+                low = LOWER[buf]
+                starts, ends, h, r = words(low, off, ALNUM)
                 for m, table in tables.value.items():
-                    at, _ = search(h, r, m, table)
+                    at, _ = search(low, starts, ends, h, r, m, table)
                     keep[lo + np.searchsorted(r, at, side="right") - 1] = False
             yield batch.filter(pa.array(keep))
 
@@ -186,7 +203,11 @@ def keeper(tables, column: int):
 
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The documents in which no window occurs, with all their columns; no shuffle."""
+    """The documents in which no window occurs, with all their columns; no shuffle.
+
+    Null and empty texts stay, as do all documents for an empty benchmark; rows that
+    repeat are judged one by one; no column but text is looked at, whatever its name.
+    """
     out = documents
     for tables in tables_of(benchmark, window, block_bytes):
         out = out.mapInArrow(keeper(tables, documents.columns.index("text")), documents.schema)

@@ -16,6 +16,8 @@ look-up and never a line.
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .stash import modest_batches, stash
-from .wordkit import LOWER, NOT_SPACE, U64, as_int64, chunks, code_point_positions, hash_spans, mix
+from .wordkit import LOWER, NOT_SPACE, U64, as_int64, chunks, code_point_positions, mix
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -116,7 +118,8 @@ def line_spans(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def line_keys(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, min_chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The numbers of the lines whose key has min_chars code points, and two hashes of each key."""
+    """The numbers of the lines whose key has min_chars code points, and the two halves of
+    each key's 128-bit cryptographic digest, which stands for the key's text."""
     solid = np.flatnonzero(NOT_SPACE[buf])
     a, b = np.searchsorted(solid, starts), np.searchsorted(solid, ends)
     full = np.flatnonzero(b > a)
@@ -124,8 +127,15 @@ def line_keys(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, min_chars:
     chars = code_point_positions(buf)
     keep = chars[e] - chars[s] >= min_chars
     full, s, e = full[keep], s[keep], e[keep]
-    low = LOWER[buf]
-    return full, hash_spans(low, s, e), hash_spans(low ^ np.uint8(0x5C), s, e)
+    low = LOWER[buf].tobytes()
+    digests = b"".join([blake2b(low[x:y], digest_size=16).digest() for x, y in zip(s.tolist(), e.tolist(), strict=True)])
+    both = np.frombuffer(digests, "<u8").reshape(-1, 2)
+    return full, both[:, 0].copy(), both[:, 1].copy()
+
+
+def pairs(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """128-bit values from their halves, to be compared as one."""
+    return np.ascontiguousarray(np.stack([one, two], axis=1)).view("V16").ravel()
 
 
 POSTING = T.StructType([T.StructField("key", T.LongType()), T.StructField("check", T.LongType()), T.StructField("doc_id", T.LongType())])
@@ -140,10 +150,10 @@ def posting_rows(min_chars: int):
                 at, key, check = line_keys(buf, starts, ends, min_chars)
                 doc = np.searchsorted(r, at, side="right") - 1
                 # a key counts once for a document
-                order = np.lexsort((key, doc))
-                k, d = key[order], doc[order]
+                order = np.lexsort((check, key, doc))
+                k, c, d = key[order], check[order], doc[order]
                 new = np.ones(len(k), bool)
-                new[1:] = (k[1:] != k[:-1]) | (d[1:] != d[:-1])
+                new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1]) | (d[1:] != d[:-1])
                 pick = order[new]
                 yield pa.RecordBatch.from_arrays([pa.array(as_int64(key[pick])), pa.array(as_int64(check[pick])), ids.slice(lo, hi - lo).take(pa.array(doc[pick]))], names=POSTING.names)
 
@@ -252,7 +262,7 @@ class LineIndex:
     def dropped(self) -> DataFrame:
         """doc_id and the keys whose lines it loses."""
         hits = may_be_frequent(self.postings, self.frequent()).join(self.frequent(), ["key", "check"]).where(F.col("doc_id") != F.col("last_doc"))
-        return hits.groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
+        return hits.groupBy("doc_id").agg(F.collect_set(F.struct("key", "check")).alias("keys"))
 
     def clean(self, documents: DataFrame) -> DataFrame:
         """documents (all columns) with the repeated lines cut from text, and the
@@ -275,13 +285,14 @@ def cutter(text: int, keys: int, min_chars: int):
                 lists = part.column(keys)
                 marked = [i for i in range(hi - lo) if lists[i].is_valid]
                 if marked:
-                    at, key, _ = line_keys(buf, starts, ends, min_chars)
+                    at, key, check = line_keys(buf, starts, ends, min_chars)
                     doc = np.searchsorted(r, at, side="right") - 1
-                    key, raw, out = as_int64(key), buf.tobytes(), texts.to_pylist()
+                    digest, raw, out = pairs(key, check), buf.tobytes(), texts.to_pylist()
                     cut = np.searchsorted(doc, np.arange(hi - lo + 1))
                     for i in marked:
                         own = slice(cut[i], cut[i + 1])
-                        gone = set(at[own][np.isin(key[own], lists[i].values.to_numpy(zero_copy_only=False))].tolist())
+                        drop = lists[i].values.flatten()
+                        gone = set(at[own][np.isin(digest[own], pairs(*(x.to_numpy(zero_copy_only=False).view(np.uint64) for x in drop)))].tolist())
                         dropped[i] = len(gone)
                         out[i] = b"\n".join(raw[starts[k] : ends[k]] for k in range(r[i], r[i + 1]) if k not in gone).decode()
                     texts = pa.array(out, texts.type)

@@ -23,6 +23,8 @@ under a pseudo-random global order).  Equal sets are one class from the start.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -348,16 +350,8 @@ def partner_blocks(members: DataFrame, percent: int, block_tokens: int) -> DataF
     return sized.select("doc_id", F.col("root").alias("cluster"), own.alias("block"), F.concat(blocks(-1), blocks(0), blocks(1)).alias("partners"))
 
 
-def near_duplicate_components(documents: DataFrame, shingle: int = 5, percent: int = 80, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """One row per document: doc_id, n_shingles and component_id, the smallest doc_id
-    that can be reached over links; documents link if 100 * |intersection| >=
-    percent * |union| of their sets of `shingle`-word shingles (A-Z lower-cased).
-
-    A text with fewer words has one shingle, its whole sequence.  Null, empty and
-    blank texts have none and are their own components.  Equal texts are linked.
-    Repeated rows of a doc_id give repeated rows.  Rows with a null doc_id are left
-    out.  An empty table gives an empty result.
-    """
+def linked_classes(documents: DataFrame, shingle: int, percent: int, block_tokens: int = BLOCK_TOKENS) -> tuple[DataFrame, DataFrame]:
+    """The documents' sets (doc_id, n, class), and for each class its root and component_id."""
     spark = documents.sparkSession
     modest_batches(spark)
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -390,12 +384,45 @@ def near_duplicate_components(documents: DataFrame, shingle: int = 5, percent: i
 
     owned = classes.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     least = owned.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = owned.join(least, "root").select("class", "component_id")
-    return info.join(named, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return info, owned.join(least, "root").select("class", "root", "component_id")
+
+
+def near_duplicate_components(documents: DataFrame, shingle: int = 5, percent: int = 80, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """One row per document: doc_id, n_shingles and component_id, the smallest doc_id
+    that can be reached over links; documents link if 100 * |intersection| >=
+    percent * |union| of their sets of `shingle`-word shingles (A-Z lower-cased).
+
+    A text with fewer words has one shingle, its whole sequence.  Null, empty and
+    blank texts have none and are their own components.  Equal texts are linked.
+    Repeated rows of a doc_id give repeated rows.  Rows with a null doc_id are left
+    out.  An empty table gives an empty result.
+    """
+    info, named = linked_classes(documents, shingle, percent, block_tokens)
+    return info.join(named.drop("root"), "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def one_of_each(documents: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """The documents that are the smallest doc_id of their component, with all their columns.
-    Rows without a doc_id stay: nothing tells them apart."""
-    kept = near_duplicate_components(documents, shingle, percent).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    return documents.join(kept, documents["doc_id"].cast("long") == F.col("__kept"), "left_semi").unionByName(documents.where(F.col("doc_id").cast("long").isNull()))
+    """One row of each component, that of the smallest doc_id, with all its columns; of
+    several such rows (repeated, or near copies under one doc_id) any one stays.
+
+    Of null, empty and blank texts, which link with nothing, one row for a doc_id
+    stays.  Rows without a doc_id all stay: nothing tells them apart.  An empty
+    table gives an empty result; further columns, whatever their names, are kept.
+    """
+    info, named = linked_classes(documents, shingle, percent)
+    named = stash(named, "classes")
+    own = F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True))
+    counted = info.join(named, "class", "left").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.max(own).alias("own"))
+    kept = stash(counted.where("own").drop("own"), "one-of-each")
+    row, key, rows = (f"__{x}_{uuid.uuid4().hex[:8]}" for x in ("row", "key", "rows"))
+    known = documents.join(kept.select(F.col("doc_id").alias(key), F.col("rows").alias(rows)), F.col("doc_id").cast("long") == F.col(key))
+    out = known.where(F.col(rows) == 1).select(*documents.columns).unionByName(documents.where(F.col("doc_id").cast("long").isNull()))
+    if kept.where("rows > 1").isEmpty():
+        return out
+    # several rows of a doc_id: each gets a number in a written table, and its class anew; the least number of each component stays
+    repeated = stash(known.where(F.col(rows) > 1).withColumn(row, F.monotonically_increasing_id()), "repeated-rows")
+    numbered = repeated.select(F.col(row).alias("row"), F.col("text").cast("string").alias("text")).mapInArrow(info_rows(shingle), INFO).withColumnRenamed("doc_id", "row")
+    owners_ = numbered.join(repeated.select(F.col(row).alias("row"), F.col(key).alias("key")), "row").join(named, "class", "left")
+    least = owners_.where("component_id is null or component_id = key").groupBy("key", "root").agg(F.min("row").alias("first"))
+    one = repeated.join(least.select("first"), F.col(row) == F.col("first"), "left_semi").select(*documents.columns)
+    return out.unionByName(one)

@@ -70,6 +70,20 @@ def contamination(docs, bench, window=10):
     return out
 
 
+def hits(text, bench, window=10):
+    """The number of words, the hit ones and the items of one text."""
+    w = BENCH_WORD.findall((text or "").translate(LOWER))
+    hit, items = set(), set()
+    for i, t in bench:
+        own = BENCH_WORD.findall(t.translate(LOWER))
+        for s in range(len(own) - window + 1):
+            for p in range(len(w) - window + 1):
+                if w[p : p + window] == own[s : s + window]:
+                    hit.update(range(p, p + window))
+                    items.add(i)
+    return len(w), tuple(sorted(hit)), tuple(sorted(items))
+
+
 def shingles(text, k=3):
     w = WORD.findall((text or "").translate(LOWER))
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} or ({tuple(w)} if w else set())

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from seqloom.llm import components, decontaminate, fingerprints, lines, ngram_join, packing, secrets, sharding, substrings, suffix_tree, toxicity
+from seqloom.llm import components, decontaminate, fingerprints, lines, ngram_join, packing, secrets, sharding, substrings, suffix_tree, toxicity, wordkit
 from tests.llm import brute
 
 SCHEMA = "doc_id long, text string, lang string, n_words long, key string, part int, token string"
@@ -477,3 +477,45 @@ def test_packing_keeps_texts_without_an_id(spark):
     some = [" ".join(["word"] * n + [end]) for n in range(1, 9) for end in ("a", "b")]
     rows = packing.pack(table(spark, [(None, x) for x in some]), 11).selectExpr("sum(length)").first()
     assert rows[0] == sum(len(t.encode(x, add_special_tokens=False).ids) + 1 for x in some)
+
+
+def thue_morse(n):
+    word = "a"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_hashes_tell_structured_texts_apart(spark):
+    one, two = thue_morse(2048)
+    data = np.frombuffer((one + two).encode(), np.uint8)
+    edges = np.arange(0, len(data) + 1, 2048)
+    assert len(set(wordkit.hash_spans(data, edges[:-1], edges[1:]).tolist())) == 2
+    same = table(spark, [*((i, one) for i in range(3)), *((i, two) for i in range(3, 5))])
+    assert lines.dedup_lines(same).selectExpr("sum(__n_dropped)").first()[0] == 0
+    assert {r["n_known"] for r in suffix_tree.score_documents(table(spark, [(0, one), (1, two), (2, two), (3, two), (5, one)])).collect()} == {2}
+    found = decontaminate.find_contamination(same, spark.createDataFrame([("x", one)], "item_id string, text string")).collect()
+    assert {r["doc_id"] for r in found if r["hits"]} == {0, 1, 2}
+
+
+def test_decontamination_in_blocks_with_repeated_ids(spark, empty):
+    rng = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(300)]
+    items = [(f"i{k}", " ".join(rng.choice(vocabulary) for _ in range(25))) for k in range(40)]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    clean = " ".join(f"c{i}" for i in range(25))
+    rows = [(1, items[0][1]), (1, clean), (1, items[1][1]), (None, items[2][1]), (None, clean), (2, "Some words, then: " + items[3][1].upper().replace(" ", "-") + " end"), (3, None), (4, "")]
+    frame = table(spark, rows)
+    out = lambda block: sorted((r["doc_id"] or 0, r["n_words"], tuple(r["hits"]), tuple(r["items"])) for r in decontaminate.find_contamination(frame, bench, block_bytes=block).collect())
+    want = sorted((d or 0, *brute.hits(t, items)) for d, t in rows)
+    assert out(1 << 20) == want and out(500) == want
+    assert decontaminate.drop_contaminated(frame, bench, block_bytes=500).count() == 4
+    assert decontaminate.find_contamination(empty, bench, block_bytes=500).count() == 0
+
+
+def test_one_of_each_keeps_one_row(spark, empty):
+    text = "one two three four five six seven"
+    rows = table(spark, [(1, text), (1, text), (1, "another text"), (2, text), (3, "another text"), (4, None), (4, ""), (3, text), (None, text), (None, text)])
+    kept = ngram_join.one_of_each(rows)
+    assert sorted((r["doc_id"] or 0) for r in kept.collect()) == [0, 0, 1, 1, 4] and kept.columns == rows.columns
+    assert ngram_join.one_of_each(empty).count() == 0
