@@ -1,27 +1,34 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
-The tree's root is the add-one unigram distribution of the training tokens.  A
-node is a context of one or two preceding tokens; it is kept if it occurs often
-enough and its next-token distribution diverges from that of its own suffix (a
-likelihood-ratio test).  Distributions are smoothed by interpolation with the
-suffix's: P(w | s) = (c(s, w) + strength * P(w | suffix of s)) / (c(s) + strength).
-A token is scored in the longest retained context that the text before it ends in.
+The tree's root is the add-one unigram distribution of the training tokens.  A node is
+a context, a sequence of preceding tokens of varying length.  Contexts grow level by level:
+a candidate of d tokens occurs LEAST_CONTEXT times, its last d - 1 tokens are a kept
+context, and its first d - 1 tokens were a candidate; it is kept if its next-token
+distribution diverges from that of its suffix (a likelihood-ratio test).  Growth ends
+at the level without a candidate, wherever the data put that, or at DEPTH tokens, the
+order of the tree: each level reads the texts once, and what goes on beyond is runs of
+one word, whose every length is a context.  Distributions are
+smoothed by interpolation with the suffix's:
+P(w | s) = (c(s, w) + STRENGTH * P(w | suffix of s)) / (c(s) + STRENGTH),
+with what transitions counted less than LEAST times leave added to the weight.  A token
+is scored in the longest kept suffix of the text before it.
+
+A token's logarithm is then a sum of values over the n-grams that end there, each the
+bonus of a transition or the mass that a context leaves to its suffix, so that a
+document's score needs the values of its n-grams only.
 
 All counts cover the whole training corpus, and every context and transition that
 passes the constant floors and the test is kept, in written tables that grow with the
 corpus.  What is shipped to every task is bounded all the same: the values of n-grams
-that make up 1 / TRANSITIONS of the tokens (words: 1 / HEAD), so at most so many, and
-bit sets of BITS bits, which only tell what can't be in a table.  All other words and
-n-grams of a document are looked up exactly, by a shuffle join.
-
-A document's score over the root's is a sum over its words (log of the mass that a
-one-word context leaves to its suffix), its word pairs (the bonus of a transition of
-such a context, and the mass left by the pair as a context) and its triples (the bonus
-of a transition of a two-word context).
+that make up 1 / TRANSITIONS of the tokens (words: 1 / HEAD), and bit sets of BITS
+bits, which only tell what can't be in a table.  Everything else is looked up exactly
+by a shuffle.  Counts and look-ups travel as arrays, one for each task and shard, not as rows.
 """
 
 from __future__ import annotations
 
+from itertools import groupby
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -29,15 +36,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .stash import drop_stash, modest_batches, release, stash
-from .wordkit import LOWER, U64, as_int64, chunks, mix, owners, words
+from .wordkit import LOWER, U64, as_int64, chunks, mix, words
 
-#: Pairs, triples and words in the broadcast tables, at most (16 to 24 bytes each); bits of a set that is broadcast.
-TRANSITIONS, HEAD, BITS = 1 << 20, 1 << 22, 1 << 27
+#: N-grams of each length and words in the broadcast tables, at most (16 to 24 bytes each); bits of a set that is broadcast.
+TRANSITIONS, HEAD, BITS = 1 << 21, 1 << 22, 1 << 27
 STRENGTH = 20.0
 #: Transitions counted at least so often are evidence; the divergence test's threshold on the gain in nats.
 LEAST, LEAST_CONTEXT, GAIN = 3, 8, 12.0
+#: Tokens of the longest contexts, the order of the tree.
+DEPTH = 5
+#: N-grams that a task gathers before it sends them on.
+GATHERED = 2_000_000
 END = mix(np.array([0x454E44], np.uint64))[0]
-C1, C2, C3 = U64(0x8CB92BA72F3D8DD7), U64(0xABC98388FB8FAC03), U64(0xD6E8FEB86659FD93)
+C1, C2 = U64(0x8CB92BA72F3D8DD7), U64(0xABC98388FB8FAC03)
 
 
 def in_training(folds: int = 7, out: int = 2) -> Column:
@@ -54,24 +65,11 @@ def token_stream(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return out, ranges
 
 
-def pair_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def gram_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The key of an n-gram from the keys of all its tokens but the last, and of all but the first (a token's is its hash)."""
     return mix(mix(a ^ C1) + b * C2)
 
 
-def triple_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """From the keys of the first and the last two tokens."""
-    return mix(mix(a ^ C3) + b * C2)
-
-
-def grams(tokens: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Where a token has one and two tokens before it in its text: the positions, and the keys of the pairs and triples that end there."""
-    place = np.arange(len(tokens)) - np.repeat(r[:-1], np.diff(r))
-    second, third = np.flatnonzero(place >= 1), np.flatnonzero(place >= 2)
-    pair = np.zeros(len(tokens), np.uint64)
-    pair[second] = pair_key(tokens[second - 1], tokens[second])
-    return second, pair[second], third, triple_key(pair[third - 1], pair[third])
-
-
 def unigram_rows(batches):
     """Counts of the task's tokens, emitted whenever many have gathered."""
     held: list[np.ndarray] = []
@@ -101,288 +99,345 @@ def find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, table[at] == keys
 
 
-def gather(batches, pick, limit: int = 2_000_000):
-    """Counts of the keys that pick(tokens, ranges) returns as (a, b) columns, emitted
-    whenever `limit` have gathered: bounded memory, pre-aggregated before the shuffle."""
-    held: list[np.ndarray] = []
-    size = 0
-
-    def out():
-        pair = np.concatenate(held, axis=1)
-        _, first, n = np.unique(mix(pair[0]) + pair[1] * C2, return_index=True, return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(as_int64(pair[0][first])), pa.array(as_int64(pair[1][first])), pa.array(n)], names=["a", "b", "n"])
-
-    for batch in batches:
-        for _, _, buf, off in chunks(batch.column(0)):
-            part = pick(*token_stream(buf, off))
-            held.append(part)
-            size += part.shape[1]
-            if size > limit:
-                yield out()
-                held, size = [], 0
-    if size:
-        yield out()
-
-
-COUNTS = "a long, b long, n long"
-
-
 def within(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """False for keys that are not in the set."""
-    at = keys & U64(BITS - 1)
-    return (bits[at >> U64(6)] >> (at & U64(63))) & U64(1) == 1
+    """False for keys that are not in the set; a key has two bits in it."""
+    n = U64(len(bits) * 64 - 1)
+    one, two = keys & n, (keys >> U64(32)) & n
+    return (bits[one >> U64(6)] >> (one & U64(63))) & (bits[two >> U64(6)] >> (two & U64(63))) & U64(1) == 1
 
 
-def bit_set(df: DataFrame, key: str) -> np.ndarray:
-    """A set of BITS bits, those of the keys' low bits, whatever the number of keys."""
-    low = F.col(key).bitwiseAND(F.lit(BITS - 1))
-    table = df.groupBy(F.shiftright(low, 6).alias("at")).agg(F.expr(f"bit_or(shiftleft(1L, cast({key} & 63 as int)))").alias("bits")).toArrow()
-    out = np.zeros(BITS >> 6, np.uint64)
+def bit_set(df: DataFrame, key: str, bits: int) -> np.ndarray:
+    """A set of so many bits (a power of two, up to 2 ** 32) of the keys, whatever their number."""
+    both = df.select(F.explode(F.array(F.col(key).bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned(key, 32).bitwiseAND(F.lit(bits - 1)))).alias("bit"))
+    table = both.groupBy(F.shiftright("bit", 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))").alias("bits")).toArrow()
+    out = np.zeros(bits >> 6, np.uint64)
     out[table.column("at").to_numpy()] = table.column("bits").to_numpy().view(np.uint64)
     return out
 
 
-def pairs_of(first, second):
-    """Counts of two adjacent tokens, without pairs of which a token is too rare for the pair to be kept."""
+def grams(tokens: np.ndarray, r: np.ndarray, filters: list[tuple[np.ndarray, np.ndarray]]):
+    """Level by level the n-grams of two tokens and more whose beginning may be a candidate
+    and whose end may be a counted transition: positions of the last token, and the two keys."""
+    place = np.arange(len(tokens)) - np.repeat(r[:-1], np.diff(r))
+    key, live = tokens, np.ones(len(tokens), bool)
+    for d, (first, second) in enumerate(filters, 1):
+        at = np.flatnonzero(live[1:] & live[:-1] & (place[1:] >= d)) + 1 if len(tokens) > 1 else np.zeros(0, np.int64)
+        a, b = key[at - 1], key[at]
+        hit = within(first, a) & within(second, b)
+        at, a, b = at[hit], a[hit], b[hit]
+        yield at, a, b
+        key, live = np.zeros(len(tokens), np.uint64), np.zeros(len(tokens), bool)
+        key[at], live[at] = gram_key(a, b), True
+
+
+def shards_of(key: np.ndarray, shards: int) -> np.ndarray:
+    return ((key >> U64(20)) % U64(shards)).astype(np.int64)
+
+
+SHARDED = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("data", T.BinaryType())])
+
+
+def counted_rows(filters, shards: int):
+    """The n-grams of the last level of the filters, counted in the task and dealt to shards:
+    runs of equal beginnings, whose number comes first."""
+
+    def out(held):
+        a, b = (np.concatenate(x) for x in zip(*held, strict=True))
+        key = gram_key(a, b)
+        _, at, n = np.unique(key, return_index=True, return_counts=True)
+        a, b, shard = a[at], b[at], shards_of(key[at], shards)
+        order = np.lexsort((a, shard))
+        a, b, n, shard = a[order], b[order], n[order].astype(np.uint32), shard[order]
+        cut = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))
+        data = []
+        for lo, hi in zip(cut, np.append(cut[1:], len(a)), strict=True):
+            run = np.flatnonzero(np.append(True, a[lo + 1 : hi] != a[lo : hi - 1]))
+            size = np.diff(np.append(run, hi - lo)).astype(np.uint32)
+            data.append(b"".join([np.uint32(len(run)).tobytes(), a[lo:hi][run].tobytes(), size.tobytes(), b[lo:hi].tobytes(), n[lo:hi].tobytes()]))
+        return pa.RecordBatch.from_arrays([pa.array(shard[cut].astype(np.int32)), pa.array(data, pa.binary())], names=SHARDED.names)
 
     def run(batches):
-        def pick(tokens, r):
-            at = grams(tokens, r)[0]
-            a, b = tokens[at - 1], tokens[at]
-            hit = within(first.value, a) & within(second.value, b)
-            return np.stack([a[hit], b[hit]])
-
-        return gather(batches, pick)
+        tables = [(first.value, second.value) for first, second in filters]
+        held, size = [], 0
+        for batch in batches:
+            for _, _, buf, off in chunks(batch.column(0)):
+                *_, (_, a, b) = grams(*token_stream(buf, off), tables)
+                held.append((a, b))
+                size += len(a)
+                if size > GATHERED:
+                    yield out(held)
+                    held, size = [], 0
+        if size:
+            yield out(held)
 
     return run
 
 
-def triples_of(first, second):
-    """Counts of three adjacent tokens, as the keys of their first and last two, likewise."""
+COUNTED = T.StructType([T.StructField(c, T.LongType()) for c in ("key", "a", "b", "n")])
 
-    def run(batches):
-        def pick(tokens, r):
-            second_at, key, at, _ = grams(tokens, r)
-            pair = np.zeros(len(tokens), np.uint64)
-            pair[second_at] = key
-            a, b = pair[at - 1], pair[at]
-            hit = within(first.value, a) & within(second.value, b)
-            return np.stack([a[hit], b[hit]])
 
-        return gather(batches, pick)
+def by_shard(batches, columns: int):
+    """(shard, rows) of batches sorted by shard, as lists of Python values."""
+    rows = (row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in range(columns)), strict=True))
+    return groupby(rows, key=lambda row: row[0])
 
-    return run
 
+def summed_rows(least: int):
+    """The n-grams counted at least so often, from their shards."""
 
-def keyed(df: DataFrame, kernel) -> DataFrame:
-    """df with the key of its columns a and b."""
+    def unpack(data):
+        runs = int(np.frombuffer(data, np.uint32, 1)[0])
+        a = np.frombuffer(data, np.uint64, runs, 4)
+        size = np.frombuffer(data, np.uint32, runs, 4 + 8 * runs)
+        total, at = int(size.sum()), 4 + 12 * runs
+        return np.repeat(a, size), np.frombuffer(data, np.uint64, total, at), np.frombuffer(data, np.uint32, total, at + 8 * total)
 
     def run(batches):
-        for batch in batches:
-            a, b = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False).view(np.uint64) for c in "ab")
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(as_int64(kernel(a, b)))], names=[*batch.schema.names, "key"])
-
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("key", T.LongType())]))
-
-
-class SuffixTree:
-    """What is broadcast of the fitted tree: arrays of the frequent words', pairs' and triples' logs."""
-
-    def __init__(self):
-        none = np.zeros(0, np.uint64)
-        self.head, self.head_count, self.head_left = none, np.zeros(0), np.zeros(0)
-        self.total = self.distinct = 0
-        #: kept contexts of one and two words among the frequent ones
-        self.nodes = [none, none]
-        self.keys, self.bonus, self.left = [none, none], [np.zeros(0)] * 2, [np.zeros(0)] * 2
-        #: bits of the n-grams that are only in the table
-        self.more: np.ndarray | None = None
-
-    def root(self, token: np.ndarray) -> np.ndarray:
-        """Add-one probability of tokens that are in the head."""
-        at, hit = find(self.head, token)
-        count = np.where(hit, self.head_count[at] if len(self.head) else 0, 0)
-        return (count + 1) / (self.total + self.distinct + 1)
-
-    def parts(self, tokens: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """log10 of P(token | longest kept context) over the root's, for each token, as far as
-        the frequent n-grams give it; the positions and keys of n-grams to look up."""
-        out = np.zeros(len(tokens))
-        second, pair, third, triple = grams(tokens, r)
-        at, hit = find(self.head, tokens[second - 1])
-        if len(self.head):
-            out[second] += np.where(hit, self.head_left[at], 0)
-        where, keys = [], []
-        for depth, (place, key) in enumerate(((second, pair), (third, triple))):
-            at, hit = find(self.keys[depth], key)
-            h = np.flatnonzero(hit)
-            out[place[h]] += self.bonus[depth][at[h]]
-            if depth == 0:  # what a pair leaves as a context counts for the token after it; the end is no part of a context
-                h = h[(self.left[0][at[h]] != 0) & (place[h] + 1 < len(tokens))]
-                out[place[h] + 1] += self.left[0][at[h]]
-            if self.more is not None:
-                m = np.flatnonzero(~hit)
-                m = m[within(self.more, key[m])]
-                where.append(place[m])
-                keys.append(key[m])
-        if not where:
-            return out, np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        return out, np.concatenate(where), np.concatenate(keys)
-
-    def gains(self, tokens: np.ndarray, r: np.ndarray) -> np.ndarray:
-        return self.parts(tokens, r)[0]
-
-
-def grow(moves: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
-    """From the transitions (context a, key, count n, the context's size, below: the
-    probability by the suffix) of all contexts those contexts that diverge from their
-    suffix (a, size, left, scale), and their transitions (key, n, bonus, p)."""
-    kept = moves.groupBy("a").agg(F.sum("n").alias("kept"))
-    joined = moves.join(kept, "a").withColumns({"left": F.lit(STRENGTH) + F.col("size") - F.col("kept"), "scale": F.col("size") + F.lit(STRENGTH)})
-    term = F.col("n") * F.log((F.col("n") + F.col("left") * F.col("below")) / F.col("scale") / F.col("below"))
-    # written, as a sum straight above the join would keep a context's rows in one task
-    all_moves = stash(joined.withColumn("term", term), f"{label}-terms")
-    gain = F.col("terms") + (F.col("size") - F.col("kept")) * F.log(F.col("left") / F.col("scale"))
-    sums = all_moves.groupBy("a").agg(F.sum("term").alias("terms"), *(F.max(c).alias(c) for c in ("size", "kept", "left", "scale")))
-    nodes = stash(sums.where(gain >= GAIN).select("a", "size", "left", "scale"), f"{label}-contexts")
-    bonus = F.log10((F.col("n") / F.col("below") + F.col("left")) / F.col("left"))
-    p = (F.col("n") + F.col("left") * F.col("below")) / F.col("scale")
-    grown = stash(all_moves.join(nodes.select("a"), "a", "left_semi").select("key", "n", bonus.alias("bonus"), p.alias("p")), f"{label}-moves")
-    drop_stash(all_moves)
-    release(moves.sparkSession)
-    return nodes, grown
+        for _, rows in by_shard(batches, 2):
+            a, b, n = (np.concatenate(x) for x in zip(*(unpack(data) for _, data in rows), strict=True))
+            key, at, of = np.unique(gram_key(a, b), return_index=True, return_inverse=True)
+            total = np.bincount(of, weights=n).astype(np.int64)
+            often = total >= least
+            yield pa.RecordBatch.from_arrays([*(pa.array(as_int64(x[often])) for x in (key, a[at], b[at])), pa.array(total[often])], names=COUNTED.names)
+
+    return run
 
 
-def often_found(texts: DataFrame, kernel, label: str, finish) -> DataFrame:
-    """The written counts of what the kernel gives, from LEAST on; its shuffle files can go when this returns."""
-    found = texts.mapInArrow(kernel, COUNTS).groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST)
-    return stash(finish(found), label)
+def counted(texts: DataFrame, filters, shards: int, parts: int) -> DataFrame:
+    """key, a, b, n of the n-grams of a level that are counted LEAST times; a shard is a
+    bounded share of all n-grams, whatever single ones are frequent."""
+    dealt = texts.mapInArrow(counted_rows(filters, shards), SHARDED)
+    return dealt.repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(summed_rows(LEAST), COUNTED)
 
 
-LOOKUP = "key long, n long, gain double"
+def grow(moves: DataFrame, sizes: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
+    """From the transitions (a, key, n, below: the probability by the suffix) of the
+    candidates (a, size) those that diverge from their suffix (a, size, left, scale), and
+    their transitions (key, n, bonus, p).
+
+    The gain is the log-likelihood ratio of the counted transitions, all others lumped
+    together, so that sums per context, taken before any shuffle, are all it needs.
+    """
+    term = F.col("n") * F.log(F.col("n") / F.col("below"))
+    sums = moves.groupBy("a").agg(F.sum("n").alias("kept"), F.sum(term).alias("terms"), F.sum("below").alias("mass"))
+    rest = F.col("size") - F.col("kept")
+    lumped = F.when(rest > 0, rest * F.log(rest / F.col("size") / F.greatest(F.lit(1e-12), 1 - F.col("mass")))).otherwise(0.0)
+    gain = F.col("terms") - F.col("kept") * F.log(F.col("size")) + lumped
+    diverging = sums.join(sizes, "a").where(gain >= GAIN)
+    nodes = stash(diverging.select("a", "size", (STRENGTH + rest).alias("left"), (F.col("size") + STRENGTH).alias("scale")), f"{label}-contexts")
+    p = (F.col("n") + F.col("left") * F.col("below")) / F.col("scale")
+    bonus = F.log10((F.col("n") / F.col("below") + F.col("left")) / F.col("left"))
+    return nodes, stash(moves.join(nodes.drop("size"), "a").select("key", "n", bonus.alias("bonus"), p.alias("p")), f"{label}-moves")
 
 
-def fit(documents: DataFrame) -> tuple[SuffixTree, DataFrame, DataFrame]:
-    """The tree, the table of all training tokens' counts (token, n), and what isn't in
-    the tree's arrays: words (key, n, gain) and n-grams (the same without n)."""
+class Fitted:
+    """The tree: total and distinct training tokens, the table of all their counts (token,
+    n), the table of all values (key, n, value; n is null but for words) with the counts
+    that decide what is broadcast, and the filters of each level."""
+
+    def __init__(self, counts: DataFrame, total: int, distinct: int):
+        self.counts, self.total, self.distinct = counts, total, distinct
+        self.values: DataFrame | None = None
+        self.filters: list = []
+        self.nodes: list[DataFrame] = []  #: by level; read while the tables are there
+        self.moves: list[DataFrame] = []
+
+
+def fit(documents: DataFrame) -> Fitted:
+    """The tree of the documents' texts."""
     spark = documents.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = 4 * parts
     texts = documents.select(F.col("text").cast("string").alias("text"))
     counts = stash(texts.mapInArrow(unigram_rows, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")), "unigrams")
     release(spark)
-    tree = SuffixTree()
     row = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    tree.total, tree.distinct = row["n"], row["v"]
-    if not tree.total:
-        return tree, counts, spark.createDataFrame([], LOOKUP)
-    broadcast = spark.sparkContext.broadcast
+    tree = Fitted(counts, row["n"], row["v"])
     end = int(as_int64(np.array([END], np.uint64))[0])
-
-    # pairs: the transitions of contexts of one token; the end never precedes a token
-    first = broadcast(bit_set(counts.where(F.col("n") >= LEAST_CONTEXT), "token"))
-    second = broadcast(bit_set(counts.where(F.col("n") >= LEAST), "token"))
-    pairs = often_found(texts, pairs_of(first, second), "pairs", lambda found: keyed(found, pair_key))
-    release(spark)
+    # the end never precedes a token
+    candidates = counts.where((F.col("n") >= LEAST_CONTEXT) & (F.col("token") != end)).select(F.col("token").alias("a"), F.col("n").alias("size"))
     root = (F.col("n") + 1) / F.lit(float(tree.total + tree.distinct + 1))
-    sizes = counts.where((F.col("n") >= LEAST_CONTEXT) & (F.col("token") != end)).select(F.col("token").alias("a"), F.col("n").alias("size"))
-    sized = pairs.join(counts.select(F.col("token").alias("b"), root.alias("below")), "b").join(sizes, "a").select("a", "key", "n", "size", "below")
-    moves = stash(sized, "pairs-sized")
-    ones, one_moves = grow(moves, "pairs")
-    drop_stash(moves)
-
-    # triples: the transitions of contexts of two tokens whose suffix was kept
-    contexts = stash(pairs.where(F.col("n") >= LEAST_CONTEXT).join(ones.select(F.col("a").alias("b")), "b", "left_semi").select(F.col("key").alias("a"), F.col("n").alias("size")), "contexts")
-    drop_stash(pairs)
-    first = broadcast(bit_set(contexts, "a"))
-    second = broadcast(bit_set(one_moves, "key"))
-    triples = often_found(texts, triples_of(first, second), "triples", lambda found: found)
-    release(spark)
-    sized = triples.join(one_moves.select(F.col("key").alias("b"), F.col("p").alias("below")), "b").join(contexts, "a").select("a", "b", "n", "size", "below")
-    moves = stash(keyed(sized, triple_key), "triples-sized")
-    drop_stash(triples)
-    twos, two_moves = grow(moves, "triples")
-    drop_stash(moves)
-    drop_stash(contexts)
+    known = counts.where(F.col("n") >= LEAST).select(F.col("token").alias("key"), root.alias("p"))
+    level = 0
+    while level < DEPTH and not candidates.isEmpty():
+        level += 1
+        bits = BITS if level <= 2 else BITS >> 2
+        tree.filters.append(tuple(spark.sparkContext.broadcast(bit_set(*x, bits)) for x in ((candidates, "a"), (known, "key"))))
+        found = stash(counted(texts, tree.filters, shards, parts), f"level-{level}")
+        release(spark)
+        # the filters let some others through: the joins settle what is a candidate and a transition of its suffix
+        moves = found.join(known.select(F.col("key").alias("b"), F.col("p").alias("below")), "b").join(candidates.select("a"), "a", "left_semi")
+        moves = stash(moves.select("a", "key", "n", "below"), f"level-{level}-moves")
+        nodes, kept = grow(moves, candidates, f"level-{level}")
+        grown = found.where(F.col("n") >= LEAST_CONTEXT).join(candidates.select("a"), "a", "left_semi").join(nodes.select(F.col("a").alias("b")), "b", "left_semi")
+        following = stash(grown.select(F.col("key").alias("a"), F.col("n").alias("size")), f"candidates-{level + 1}")
+        for used in (found, moves, *([candidates] if level > 1 else [])):
+            drop_stash(used)
+        tree.nodes.append(nodes)
+        tree.moves.append(kept)
+        candidates, known = following, kept.select("key", "p")
+        release(spark)
 
     remains = F.log10(F.col("left") / F.col("scale"))
-    words_left = counts.join(ones.select(F.col("a").alias("token"), remains.alias("left")), "token", "left").select("token", "n", F.coalesce("left", F.lit(0.0)).alias("left"))
-    word_values = stash(words_left, "word-values")
-    none = F.lit(0.0)
-    both = one_moves.select("key", "n", "bonus", none.alias("left")).union(twos.select(F.col("a").alias("key"), F.col("size").alias("n"), none.alias("bonus"), remains.alias("left")))
-    pair_values = stash(both.groupBy("key").agg(F.max("n").alias("n"), F.sum("bonus").alias("bonus"), F.sum("left").alias("left")), "pair-values")
-    for used in (ones, one_moves, twos):
-        drop_stash(used)
-    triple_values = two_moves.select("key", "n", "bonus", none.alias("left"))
-
-    def table(df):
-        got = df.toArrow()
-        key = got.column(0).to_numpy().view(np.uint64)
-        order = np.argsort(key, kind="stable")
-        return [key[order], *(got.column(c).to_numpy().astype(float)[order] for c in range(1, got.num_columns))]
-
-    tree.head, tree.head_count, tree.head_left = table(word_values.where(F.col("n") >= tree.total / HEAD))
-    often = tree.total / TRANSITIONS
-    for depth, values in enumerate((pair_values, triple_values)):
-        tree.keys[depth], _, tree.bonus[depth], tree.left[depth] = table(values.where(F.col("n") >= often))
-    tree.nodes = [tree.head[tree.head_left != 0], tree.keys[0][tree.left[0] != 0]]
-    rare = pair_values.union(triple_values).where(F.col("n") < often).select("key", F.lit(None).cast("long").alias("n"), (F.col("bonus") + F.col("left")).alias("gain"))
-    bits = bit_set(rare, "key")
-    tree.more = bits if bits.any() else None
-    lookup = word_values.where(F.col("n") < tree.total / HEAD).select(F.col("token").alias("key"), "n", F.col("left").alias("gain")).union(rare)
+    nothing = F.lit(None).cast("long")
+    tokens = counts.select(F.col("token").alias("key"), "n", F.col("n").alias("seen"), F.lit(0.0).alias("value"))
+    grams_ = [kept.select("key", nothing, "n", "bonus") for kept in tree.moves] + [nodes.select("a", nothing, "size", remains) for nodes in tree.nodes]
+    for part in grams_:
+        tokens = tokens.union(part)
+    tree.values = stash(tokens.groupBy("key").agg(F.max("n").alias("n"), F.max("seen").alias("seen"), F.sum("value").alias("value")), "values")
     release(spark)
-    return tree, counts, lookup
+    return tree
+
+
+def often(tree: Fitted) -> Column:
+    """What is in the broadcast tables."""
+    return F.when(F.col("n").isNotNull(), F.col("seen") >= tree.total / HEAD).otherwise(F.col("seen") >= tree.total / TRANSITIONS)
 
 
-def train(documents: DataFrame) -> tuple[SuffixTree, DataFrame]:
-    """The tree, and the table of all training tokens' counts (token, n)."""
-    return fit(documents)[:2]
+def arrays(table: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted keys, counts and values of a bounded table."""
+    got = table.select("key", F.coalesce("n", F.lit(0)).alias("n"), "value").toArrow()
+    key = got.column("key").to_numpy().view(np.uint64)
+    order = np.argsort(key, kind="stable")
+    return key[order], got.column("n").to_numpy()[order].astype(float), got.column("value").to_numpy()[order]
 
 
-PARTIAL = T.StructType(
+#: What goes to the shards: kind 0 is a part of the table of values, 1 a document, 2 look-ups of the documents from `row` on.
+SENT = T.StructType(
     [
+        T.StructField("shard", T.IntegerType()),
+        T.StructField("kind", T.IntegerType()),
+        T.StructField("row", T.LongType()),
         T.StructField("doc_id", T.LongType()),
         T.StructField("n_tokens", T.LongType()),
         T.StructField("known", T.LongType()),
         T.StructField("logs", T.DoubleType()),
         T.StructField("gain", T.DoubleType()),
-        T.StructField("rare", T.ArrayType(T.LongType())),
+        T.StructField("data", T.BinaryType()),
     ]
 )
 
 
-def partial_rows(tree):
-    """Per document what the broadcast tables give, and the tokens and n-grams they lack."""
+def sent(**columns) -> pa.RecordBatch:
+    n = max(len(c) for c in columns.values())
+    kinds = {"shard": pa.int32(), "kind": pa.int32(), "logs": pa.float64(), "gain": pa.float64(), "data": pa.binary()}
+    return pa.RecordBatch.from_arrays([pa.array(columns[c], kinds.get(c, pa.int64())) if c in columns else pa.nulls(n, kinds.get(c, pa.int64())) for c in SENT.names], names=SENT.names)
+
+
+def dealt_arrays(key: np.ndarray, shards: int, *others: np.ndarray):
+    """(shards, their parts of the arrays as bytes), the key's first."""
+    shard = shards_of(key, shards)
+    order = np.argsort(shard, kind="stable")
+    shard, columns = shard[order], [x[order] for x in (key, *others)]
+    cut = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))
+    ends = np.append(cut[1:], len(shard))
+    return shard[cut], [b"".join(x[lo:hi].tobytes() for x in columns) for lo, hi in zip(cut, ends, strict=True)]
+
 
+def value_rows(shards: int):
     def run(batches):
-        t: SuffixTree = tree.value
+        for batch in batches:
+            if batch.num_rows:
+                key = batch.column(0).to_numpy().view(np.uint64)
+                n = batch.column(1).fill_null(-1).to_numpy(zero_copy_only=False)
+                shard, data = dealt_arrays(key, shards, n, batch.column(2).to_numpy())
+                yield sent(shard=shard, kind=np.zeros(len(shard), np.int64), data=data)
+
+    return run
+
+
+def scored_rows(tree, filters, shards: int):
+    """Per document what the broadcast tables give, and the words and n-grams they lack."""
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        head_key, head_n, head_value, more = tree.value
+        tables = [(first.value, second.value) for first, second in filters]
+        row = TaskContext.get().partitionId() << 33
+        base, held, size = row, [], 0
+
+        def out():
+            key, at = (np.concatenate(x) for x in zip(*held, strict=True))
+            shard, data = dealt_arrays(key, shards, (at - base).astype(np.uint32))
+            return sent(shard=shard, kind=np.full(len(shard), 2), row=np.full(len(shard), base), data=data)
+
         for batch in batches:
             for lo, hi, buf, off in chunks(batch.column(1)):
-                tokens, r = token_stream(buf, off)
-                doc = owners(r)
-                at, hit = find(t.head, tokens)
-                logs = np.log10(np.where(hit, t.head_count[at] if len(t.head) else 0, 0) + 1)
-                gain, place, key = t.parts(tokens, r)
                 n = hi - lo
-                miss = np.flatnonzero(~hit)
-                place, key = np.concatenate([miss, place]), np.concatenate([tokens[miss], key])
-                order = np.argsort(place, kind="stable")
-                place, key = place[order], key[order]
-                cut = np.searchsorted(doc[place], np.arange(n + 1))
-                total = lambda x: np.bincount(doc, weights=x, minlength=n)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(lo, n),
-                        pa.array(np.diff(r)),
-                        pa.array(total(hit).astype(np.int64)),
-                        pa.array(total(logs)),
-                        pa.array(total(gain)),
-                        pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(as_int64(key))),
-                    ],
-                    names=PARTIAL.names,
-                )
+                tokens, r = token_stream(buf, off)
+                doc = np.repeat(np.arange(n), np.diff(r))
+                total = lambda of, x: np.bincount(of, weights=x, minlength=n)  # noqa: B023, E731
+                at, hit = find(head_key, tokens)
+                count = np.where(hit, head_n[at] if len(head_key) else 0, 0)
+                gain = total(doc, np.where(hit, head_value[at] if len(head_key) else 0, 0))
+                missed = [(tokens[~hit], doc[~hit])]
+                for last, a, b in grams(tokens, r, tables):
+                    key, of = gram_key(a, b), doc[last]
+                    at, found = find(head_key, key)
+                    gain += total(of[found], head_value[at[found]])
+                    lack = np.flatnonzero(~found)
+                    lack = lack[within(more, key[lack])]
+                    missed.append((key[lack], of[lack]))
+                ids = np.arange(row, row + n)
+                doc_id = batch.column(0).slice(lo, n)
+                yield sent(shard=ids % shards, kind=np.ones(n, np.int64), row=ids, doc_id=doc_id, n_tokens=np.diff(r), known=total(doc, hit).astype(np.int64), logs=total(doc, np.log10(count + 1)), gain=gain)
+                for key, of in missed:
+                    if len(key):
+                        held.append((key, of + row))
+                        size += len(key)
+                row += n
+                if size > GATHERED:
+                    yield out()
+                    base, held, size = row, [], 0
+        if size:
+            yield out()
 
     return run
 
 
+LOOKED = T.StructType([*SENT.fields[2:8]])
+
+
+def looked_up_rows(batches):
+    """The documents, and what the look-ups of each shard add to them; the shard's table of values comes first."""
+    for _, rows in by_shard(batches, len(SENT)):
+        tables, key, n, value = [], None, None, None
+        documents: list[tuple] = []
+        for _, kind, row, *numbers, data in rows:
+            if kind == 0:
+                size = len(data) // 24
+                tables.append((np.frombuffer(data, np.uint64, size), np.frombuffer(data, np.int64, size, 8 * size), np.frombuffer(data, np.float64, size, 16 * size)))
+            elif kind == 1:
+                documents.append((row, *numbers))
+            elif tables:
+                if key is None:
+                    key, n, value = (np.concatenate(x) for x in zip(*tables, strict=True))
+                    order = np.argsort(key, kind="stable")
+                    key, n, value = key[order], n[order], value[order]
+                size = len(data) // 12
+                wanted, of = np.frombuffer(data, np.uint64, size), np.frombuffer(data, np.uint32, size, 8 * size)
+                at, hit = find(key, wanted)
+                at, of = at[hit], of[hit]
+                if len(at):
+                    own, of = np.unique(of, return_inverse=True)
+                    word = n[at] >= 0
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(own.astype(np.int64) + row),
+                            pa.nulls(len(own), pa.int64()),
+                            pa.nulls(len(own), pa.int64()),
+                            pa.array(np.bincount(of, weights=word, minlength=len(own)).astype(np.int64)),
+                            pa.array(np.bincount(of, weights=np.where(word, np.log10(np.maximum(n[at], 0) + 1), 0), minlength=len(own))),
+                            pa.array(np.bincount(of, weights=value[at], minlength=len(own))),
+                        ],
+                        names=LOOKED.names,
+                    )
+        if documents:
+            columns = list(zip(*documents, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64() if f.name in ("logs", "gain") else pa.int64()) for c, f in zip(columns, LOOKED.fields, strict=True)], names=LOOKED.names)
+
+
 def score_documents(documents: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens,
     base_score (add-one unigrams) and score (the tree), both log10 probabilities.
@@ -390,24 +445,21 @@ def score_documents(documents: DataFrame) -> DataFrame:
     The tree is trained on the documents whose crc32(doc_id as text) modulo 7 is not
     2; a null doc_id is in the training part.  A null or empty text is one end
     token.  Repeated rows are trained on and scored as often as they occur.  With
-    no training document every token has the probability 1.  An empty table gives
-    an empty result.
+    no training document every token has the probability 1.  Columns other than
+    doc_id and text are ignored.  An empty table gives an empty result.
     """
-    modest_batches(documents.sparkSession)
+    spark = documents.sparkSession
+    modest_batches(spark)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    tree, _, lookup = fit(docs.where(in_training()))
-    shared = documents.sparkSession.sparkContext.broadcast(tree)
-    partial = stash(docs.mapInArrow(partial_rows(shared), PARTIAL).withColumn("row", F.monotonically_increasing_id()), "partial-scores")
-    release(documents.sparkSession)
-    rare = partial.select("row", F.explode("rare").alias("key"))
-    looked = rare.join(lookup, "key").groupBy("row").agg(F.count("n").alias("more"), F.sum(F.log10(F.col("n") + 1)).alias("more_logs"), F.sum("gain").alias("more_gain"))
-    base = F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) - F.col("n_tokens") * F.log10(F.lit(float(tree.total + tree.distinct + 1)))
-    return partial.join(looked, "row", "left").select(
-        "doc_id",
-        (~in_training()).alias("held_out"),
-        "n_tokens",
-        (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
-        F.lit(tree.total).cast("long").alias("train_tokens"),
-        base.alias("base_score"),
-        (base + F.col("gain") + F.coalesce("more_gain", F.lit(0.0))).alias("score"),
+    tree = fit(docs.where(in_training()))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rare = tree.values.where(~often(tree))
+    more = bit_set(rare.where("n is null"), "key", BITS)
+    shipped = spark.sparkContext.broadcast((*arrays(tree.values.where(often(tree))), more))
+    sends = docs.mapInArrow(scored_rows(shipped, tree.filters, parts), SENT).unionByName(rare.select("key", "n", "value").mapInArrow(value_rows(parts), SENT))
+    looked = sends.repartition(parts, "shard").sortWithinPartitions("shard", "kind").mapInArrow(looked_up_rows, LOOKED)
+    summed = looked.groupBy("row").agg(F.max("doc_id").alias("doc_id"), *(F.sum(c).alias(c) for c in ("n_tokens", "known", "logs", "gain")))
+    base = F.col("logs") - F.col("n_tokens") * F.log10(F.lit(float(tree.total + tree.distinct + 1)))
+    return summed.select(
+        "doc_id", (~in_training()).alias("held_out"), "n_tokens", F.col("known").alias("n_known"), F.lit(tree.total).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("gain")).alias("score")
     )

@@ -1,9 +1,13 @@
 """The operators against brute force, on small tables with nulls, ties, repeats, long texts and clashing columns."""
 
 import hashlib
+import os
 import random
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -218,62 +222,92 @@ def test_lm_scoring(df, docs, empty):
     assert suffix_tree.score_documents(empty).count() == 0
 
 
-def test_suffix_tree_is_a_distribution(spark):
-    rng = random.Random(4)
-    text = " ".join(rng.choice(["a b c", "a b d", "x y", "c"]) for _ in range(3000))
-    df = spark.createDataFrame([(i, text) for i in (1, 2, 3)], "doc_id long, text string")
-    tree, counts = suffix_tree.train(df)
-    assert len(tree.nodes[0]) and len(tree.nodes[1])
-    vocabulary = np.array([r["token"] for r in counts.collect()], np.int64).view(np.uint64)
-    a, b = (suffix_tree.token_stream(np.frombuffer(x, np.uint8), np.array([0, len(x)]))[0][0] for x in (b"a", b"b"))
-    root = tree.root(vocabulary)
-    unseen = 1 / (tree.total + tree.distinct + 1)
-    assert root.sum() + unseen == pytest.approx(1)
-    context = np.array([a, b, 0], np.uint64)
-    total = 0.0
-    for w, p in zip(vocabulary, root, strict=True):
-        stream = np.array([a, b, w], np.uint64)
-        total += p * 10 ** tree.gains(stream, np.array([0, 3]))[2]
-    stream = np.array([a, b, np.uint64(12345)], np.uint64)
-    total += unseen * 10 ** tree.gains(stream, np.array([0, 3]))[2]
-    assert total == pytest.approx(1, abs=1e-6)
-    assert len(context) == 3
+class BruteTree:
+    """The tree by definition, over Python tuples."""
+
+    def __init__(self, texts, depth):
+        streams = [[*t.split(), None] for t in texts]
+        self.counts = [Counter(tuple(w[i : i + n]) for w in streams for i in range(len(w) - n + 1)) for n in range(1, depth + 2)]
+        self.z = sum(self.counts[0].values()) + len(self.counts[0]) + 1
+        self.nodes, self.levels = {}, []
+        candidates = {c for c, n in self.counts[0].items() if n >= 8 and c != (None,)}
+        known = {c for c, n in self.counts[0].items() if n >= 3}
+        for d in range(1, depth + 1):
+            moves = defaultdict(dict)
+            for g, n in self.counts[d].items():
+                if n >= 3 and g[:-1] in candidates and g[1:] in known:
+                    moves[g[:-1]][g[-1]] = n
+            kept = {}
+            for c, own in moves.items():
+                size, seen = self.counts[d - 1][c], sum(own.values())
+                below = {x: self.p(c[1:], x) for x in own}
+                gain = sum(n * np.log(n / size / below[x]) for x, n in own.items())
+                if size > seen:
+                    gain += (size - seen) * np.log((size - seen) / size / max(1e-12, 1 - sum(below.values())))
+                if gain >= 12:
+                    kept[c] = (own, 20 + size - seen, size + 20)
+            self.nodes |= kept
+            self.levels.append(set(kept))
+            known = {(*c, x) for c, (own, _, _) in kept.items() for x in own}
+            candidates = {g for g, n in self.counts[d].items() if n >= 8 and g[:-1] in candidates and g[1:] in kept and None not in g and n >= 3}
+
+    def p(self, context, x):
+        while context and context not in self.nodes:
+            context = context[1:]
+        if not context:
+            return (self.counts[0][(x,)] + 1) / self.z
+        own, left, scale = self.nodes[context]
+        return (own.get(x, 0) + left * self.p(context[1:], x)) / scale
+
+    def score(self, text):
+        w = [*text.split(), None]
+        return sum(np.log10(self.p(tuple(w[max(0, i - len(self.levels)) : i]), x)) for i, x in enumerate(w))
 
 
 @pytest.mark.parametrize("share", [1 << 20, 16])
-def test_suffix_tree_keeps_rare_contexts(spark, monkeypatch, share):
+def test_suffix_tree_by_definition(spark, monkeypatch, share):
     # "q w z" is far below every share of the tokens, but above the constant floors; with 16 it is in no broadcast table
     monkeypatch.setattr(suffix_tree, "TRANSITIONS", share)
     monkeypatch.setattr(suffix_tree, "HEAD", share)
-    monkeypatch.setattr(suffix_tree, "CONTEXTS", 16, raising=False)
+    monkeypatch.setattr(suffix_tree, "GATHERED", 500)
     rng = random.Random(5)
     texts = [" ".join(rng.choice("abcd") for _ in range(60)) for _ in range(200)] + ["q w z"] * 40 + ["v w y"] * 40
+    # a word nearly follows from the four before it
+    rule = defaultdict(lambda: rng.choice("mnp"))
+    for _ in range(60):
+        w = [rng.choice("mnp") for _ in range(4)]
+        for _ in range(60):
+            w.append(rule[tuple(w[-4:])] if rng.random() < 0.9 else rng.choice("mnp"))
+        texts.append(" ".join(w))
     ids = [d for d in range(2000) if zlib.crc32(str(d).encode()) % 7 != 2][: len(texts)]
-    df = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
-    got = {r["doc_id"]: r["score"] for r in suffix_tree.score_documents(df).collect()}
-    one, two, three = Counter(), Counter(), Counter()
-    for t in texts:
-        w = [*t.split(), "END"]
-        one.update(w)
-        two.update(zip(w, w[1:], strict=False))
-        three.update(zip(w, w[1:], w[2:], strict=False))
-    z = sum(one.values()) + len(one) + 1
-
-    def node(moves, size, below):
-        kept = {x: n for x, n in moves.items() if n >= 3}
-        left, scale = 20 + size - sum(kept.values()), size + 20
-        p = lambda x: (kept.get(x, 0) + left * below(x)) / scale
-        gain = sum(n * np.log(p(x) / below(x)) for x, n in kept.items()) + (size - sum(kept.values())) * np.log(left / scale)
-        return p if size >= 8 and gain >= 12 else None
-
-    root = lambda x: (one[x] + 1) / z
-    ones = {a: node({y: n for (x, y), n in two.items() if x == a}, one[a], root) for a in one if a != "END"}
-    twos = {(a, b): node({y: n for (x, m, y), n in three.items() if (x, m) == (a, b)}, n, ones[b]) if b != "END" and ones[b] else None for (a, b), n in two.items()}
-    assert ones["q"] and ones["w"] and twos["q", "w"] and twos["v", "w"]
-    for d, t in zip(ids, texts, strict=True):
-        w = [*t.split(), "END"]
-        p = [(i > 1 and twos[w[i - 2], w[i - 1]] or i and ones[w[i - 1]] or root)(x) for i, x in enumerate(w)]
-        assert got[d] == pytest.approx(np.log10(p).sum(), abs=1e-6)
+    held = [(9000 + i, t) for i, t in enumerate(["q w z unheard f m n o f", "", "a b"]) if zlib.crc32(str(9000 + i).encode()) % 7 == 2]
+    rows = [*zip(ids, texts, strict=True), *held]
+    tree = BruteTree(texts, suffix_tree.DEPTH)
+    assert ("q", "w") in tree.nodes and any(len(c) >= 4 for c in tree.nodes)
+    vocabulary = [x for (x,) in tree.counts[0]]
+    for context in [(), *list(tree.nodes)[:40]]:
+        assert sum(tree.p(context, x) for x in [*vocabulary, "unheard"]) == pytest.approx(1)
+    got = {r["doc_id"]: r["score"] for r in suffix_tree.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for d, t in rows:
+        assert got[d] == pytest.approx(tree.score(t), abs=1e-6)
+
+
+def test_workers_need_no_copy_of_the_package(tmp_path):
+    code = """
+import sys
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").getOrCreate()
+sys.path.insert(0, sys.argv[1])
+from seqloom.llm import decontaminate, lines, suffix_tree
+docs = spark.createDataFrame([(i, "a b c d " * 20) for i in range(20)], "doc_id long, text string")
+assert suffix_tree.score_documents(docs).count() == 20
+assert lines.dedup_lines(docs).count() == 20
+assert decontaminate.find_contamination(docs, spark.createDataFrame([("x", "a b c d")], "item_id string, text string")).count() == 20
+"""
+    root = Path(__file__).resolve().parent.parent.parent
+    env = {k: v for k, v in os.environ.items() if k not in ("PYTHONPATH", "SPARK_CHECKPOINT_DIR")} | {"PYSPARK_PYTHON": sys.executable}
+    done = subprocess.run([sys.executable, "-c", code, str(root)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
 
 
 def test_toxicity(spark, empty):
