@@ -20,7 +20,7 @@ document's score needs the values of its n-grams only.
 All counts cover the whole training corpus, and every context and transition that
 passes the constant floors and the test is kept, in written tables that grow with the
 corpus.  What is shipped to every task is bounded all the same: the values of n-grams
-that make up 1 / TRANSITIONS of the tokens (words: 1 / HEAD), and bit sets of BITS
+that make up 1 / TRANSITIONS of the tokens (words: 1 / HEAD), and bit sets of up to BITS
 bits, which only tell what can't be in a table.  Everything else is looked up exactly
 by a shuffle.  Counts and look-ups travel as arrays, one for each task and shard, not as rows.
 """
@@ -106,8 +106,9 @@ def within(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bits[one >> U64(6)] >> (one & U64(63))) & (bits[two >> U64(6)] >> (two & U64(63))) & U64(1) == 1
 
 
-def bit_set(df: DataFrame, key: str, bits: int) -> np.ndarray:
-    """A set of so many bits (a power of two, up to 2 ** 32) of the keys, whatever their number."""
+def bit_set(df: DataFrame, key: str) -> np.ndarray:
+    """A set of the keys: 16 bits for each, up to BITS (a power of two, at most 2 ** 32) in all."""
+    bits = min(BITS, 1 << max(6, (16 * df.count()).bit_length()))
     both = df.select(F.explode(F.array(F.col(key).bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned(key, 32).bitwiseAND(F.lit(bits - 1)))).alias("bit"))
     table = both.groupBy(F.shiftright("bit", 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))").alias("bits")).toArrow()
     out = np.zeros(bits >> 6, np.uint64)
@@ -261,8 +262,7 @@ def fit(documents: DataFrame) -> Fitted:
     level = 0
     while level < DEPTH and not candidates.isEmpty():
         level += 1
-        bits = BITS if level <= 2 else BITS >> 2
-        tree.filters.append(tuple(spark.sparkContext.broadcast(bit_set(*x, bits)) for x in ((candidates, "a"), (known, "key"))))
+        tree.filters.append(tuple(spark.sparkContext.broadcast(bit_set(*x)) for x in ((candidates, "a"), (known, "key"))))
         found = stash(counted(texts, tree.filters, shards, parts), f"level-{level}")
         release(spark)
         # the filters let some others through: the joins settle what is a candidate and a transition of its suffix
@@ -454,7 +454,7 @@ def score_documents(documents: DataFrame) -> DataFrame:
     tree = fit(docs.where(in_training()))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rare = tree.values.where(~often(tree))
-    more = bit_set(rare.where("n is null"), "key", BITS)
+    more = bit_set(rare.where("n is null"), "key")
     shipped = spark.sparkContext.broadcast((*arrays(tree.values.where(often(tree))), more))
     sends = docs.mapInArrow(scored_rows(shipped, tree.filters, parts), SENT).unionByName(rare.select("key", "n", "value").mapInArrow(value_rows(parts), SENT))
     looked = sends.repartition(parts, "shard").sortWithinPartitions("shard", "kind").mapInArrow(looked_up_rows, LOOKED)
