@@ -5,9 +5,10 @@ a context, a sequence of preceding tokens of varying length.  Contexts grow leve
 a candidate of d tokens occurs LEAST_CONTEXT times, its last d - 1 tokens are a kept
 context, and its first d - 1 tokens were a candidate; it is kept if its next-token
 distribution diverges from that of its suffix (a likelihood-ratio test).  Growth ends
-at the level without a candidate, wherever the data put that, or at DEPTH tokens, the
-order of the tree: each level reads the texts once, and what goes on beyond is runs of
-one word, whose every length is a context.  Distributions are
+where the data put it: at the level without a candidate, or after the one whose contexts
+all together gain less than LEVEL_GAIN nats a training token (beyond it only runs of one
+word go on, whose every length is a context, and each level reads the texts once), at
+DEPTH tokens at the latest.  Distributions are
 smoothed by interpolation with the suffix's:
 P(w | s) = (c(s, w) + STRENGTH * P(w | suffix of s)) / (c(s) + STRENGTH),
 with what transitions counted less than LEAST times leave added to the weight.  A token
@@ -43,8 +44,8 @@ TRANSITIONS, HEAD, BITS = 1 << 21, 1 << 22, 1 << 27
 STRENGTH = 20.0
 #: Transitions counted at least so often are evidence; the divergence test's threshold on the gain in nats.
 LEAST, LEAST_CONTEXT, GAIN = 3, 8, 12.0
-#: Tokens of the longest contexts, the order of the tree.
-DEPTH = 5
+#: Tokens of the longest contexts at most; what a level must gain, in nats a training token, for the next one to be grown.
+DEPTH, LEVEL_GAIN = 16, 0.002
 #: N-grams that a task gathers before it sends them on.
 GATHERED = 2_000_000
 END = mix(np.array([0x454E44], np.uint64))[0]
@@ -225,10 +226,10 @@ def grow(moves: DataFrame, sizes: DataFrame, label: str) -> tuple[DataFrame, Dat
     lumped = F.when(rest > 0, rest * F.log(rest / F.col("size") / F.greatest(F.lit(1e-12), 1 - F.col("mass")))).otherwise(0.0)
     gain = F.col("terms") - F.col("kept") * F.log(F.col("size")) + lumped
     diverging = sums.join(sizes, "a").where(gain >= GAIN)
-    nodes = stash(diverging.select("a", "size", (STRENGTH + rest).alias("left"), (F.col("size") + STRENGTH).alias("scale")), f"{label}-contexts")
+    nodes = stash(diverging.select("a", "size", (STRENGTH + rest).alias("left"), (F.col("size") + STRENGTH).alias("scale"), gain.alias("gain")), f"{label}-contexts")
     p = (F.col("n") + F.col("left") * F.col("below")) / F.col("scale")
     bonus = F.log10((F.col("n") / F.col("below") + F.col("left")) / F.col("left"))
-    return nodes, stash(moves.join(nodes.drop("size"), "a").select("key", "n", bonus.alias("bonus"), p.alias("p")), f"{label}-moves")
+    return nodes, stash(moves.join(nodes.drop("size", "gain"), "a").select("key", "n", bonus.alias("bonus"), p.alias("p")), f"{label}-moves")
 
 
 class Fitted:
@@ -269,12 +270,17 @@ def fit(documents: DataFrame) -> Fitted:
         moves = found.join(known.select(F.col("key").alias("b"), F.col("p").alias("below")), "b").join(candidates.select("a"), "a", "left_semi")
         moves = stash(moves.select("a", "key", "n", "below"), f"level-{level}-moves")
         nodes, kept = grow(moves, candidates, f"level-{level}")
+        gained = nodes.agg(F.coalesce(F.sum("gain"), F.lit(0.0)).alias("gain")).first()["gain"]
+        tree.nodes.append(nodes)
+        tree.moves.append(kept)
+        if gained < LEVEL_GAIN * tree.total:
+            drop_stash(found)
+            drop_stash(moves)
+            break
         grown = found.where(F.col("n") >= LEAST_CONTEXT).join(candidates.select("a"), "a", "left_semi").join(nodes.select(F.col("a").alias("b")), "b", "left_semi")
         following = stash(grown.select(F.col("key").alias("a"), F.col("n").alias("size")), f"candidates-{level + 1}")
         for used in (found, moves, *([candidates] if level > 1 else [])):
             drop_stash(used)
-        tree.nodes.append(nodes)
-        tree.moves.append(kept)
         candidates, known = following, kept.select("key", "p")
         release(spark)
 
@@ -302,26 +308,16 @@ def arrays(table: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return key[order], got.column("n").to_numpy()[order].astype(float), got.column("value").to_numpy()[order]
 
 
-#: What goes to the shards: kind 0 is a part of the table of values, 1 a document, 2 look-ups of the documents from `row` on.
-SENT = T.StructType(
-    [
-        T.StructField("shard", T.IntegerType()),
-        T.StructField("kind", T.IntegerType()),
-        T.StructField("row", T.LongType()),
-        T.StructField("doc_id", T.LongType()),
-        T.StructField("n_tokens", T.LongType()),
-        T.StructField("known", T.LongType()),
-        T.StructField("logs", T.DoubleType()),
-        T.StructField("gain", T.DoubleType()),
-        T.StructField("data", T.BinaryType()),
-    ]
-)
+#: What goes to the shards, as arrays: kind 0 is a part of the table of values, 1 the documents of a batch, 2 look-ups for the batch.
+SENT = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("kind", T.IntegerType()), T.StructField("batch", T.LongType()), T.StructField("data", T.BinaryType())])
+#: The documents of a batch, and what look-ups add to the one of that number.
+DOCUMENT = np.dtype([("known_id", "?"), ("doc_id", "<i8"), ("n_tokens", "<i8"), ("known", "<i8"), ("logs", "<f8"), ("gain", "<f8")])
+ADDED = np.dtype([("at", "<u4"), ("known", "<u4"), ("logs", "<f8"), ("gain", "<f8")])
 
 
-def sent(**columns) -> pa.RecordBatch:
-    n = max(len(c) for c in columns.values())
-    kinds = {"shard": pa.int32(), "kind": pa.int32(), "logs": pa.float64(), "gain": pa.float64(), "data": pa.binary()}
-    return pa.RecordBatch.from_arrays([pa.array(columns[c], kinds.get(c, pa.int64())) if c in columns else pa.nulls(n, kinds.get(c, pa.int64())) for c in SENT.names], names=SENT.names)
+def sent(shard, kind: int, batch: int, data: list[bytes]) -> pa.RecordBatch:
+    n = len(data)
+    return pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array([kind] * n, pa.int32()), pa.array([batch] * n, pa.int64()), pa.array(data, pa.binary())], names=SENT.names)
 
 
 def dealt_arrays(key: np.ndarray, shards: int, *others: np.ndarray):
@@ -341,7 +337,7 @@ def value_rows(shards: int):
                 key = batch.column(0).to_numpy().view(np.uint64)
                 n = batch.column(1).fill_null(-1).to_numpy(zero_copy_only=False)
                 shard, data = dealt_arrays(key, shards, n, batch.column(2).to_numpy())
-                yield sent(shard=shard, kind=np.zeros(len(shard), np.int64), data=data)
+                yield sent(shard, 0, -1, data)
 
     return run
 
@@ -354,13 +350,15 @@ def scored_rows(tree, filters, shards: int):
 
         head_key, head_n, head_value, more = tree.value
         tables = [(first.value, second.value) for first, second in filters]
-        row = TaskContext.get().partitionId() << 33
-        base, held, size = row, [], 0
+        number = TaskContext.get().partitionId() << 33
+        documents, held, size, count = [], [], 0, 0
 
         def out():
-            key, at = (np.concatenate(x) for x in zip(*held, strict=True))
-            shard, data = dealt_arrays(key, shards, (at - base).astype(np.uint32))
-            return sent(shard=shard, kind=np.full(len(shard), 2), row=np.full(len(shard), base), data=data)
+            yield sent([number % shards], 1, number, [np.concatenate(documents).tobytes()])
+            if held:
+                key, at = (np.concatenate(x) for x in zip(*held, strict=True))
+                shard, data = dealt_arrays(key, shards, at.astype(np.uint32))
+                yield sent(shard, 2, number, data)
 
         for batch in batches:
             for lo, hi, buf, off in chunks(batch.column(1)):
@@ -369,47 +367,53 @@ def scored_rows(tree, filters, shards: int):
                 doc = np.repeat(np.arange(n), np.diff(r))
                 total = lambda of, x: np.bincount(of, weights=x, minlength=n)  # noqa: B023, E731
                 at, hit = find(head_key, tokens)
-                count = np.where(hit, head_n[at] if len(head_key) else 0, 0)
-                gain = total(doc, np.where(hit, head_value[at] if len(head_key) else 0, 0))
+                seen = np.where(hit, head_n[at] if len(head_key) else 0, 0)
+                own = np.zeros(n, DOCUMENT)
+                ids = batch.column(0).slice(lo, n)
+                own["known_id"], own["doc_id"] = ids.is_valid().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy()
+                own["n_tokens"], own["known"], own["logs"] = np.diff(r), total(doc, hit), total(doc, np.log10(seen + 1))
+                own["gain"] = total(doc, np.where(hit, head_value[at] if len(head_key) else 0, 0))
                 missed = [(tokens[~hit], doc[~hit])]
                 for last, a, b in grams(tokens, r, tables):
                     key, of = gram_key(a, b), doc[last]
                     at, found = find(head_key, key)
-                    gain += total(of[found], head_value[at[found]])
+                    own["gain"] += total(of[found], head_value[at[found]])
                     lack = np.flatnonzero(~found)
                     lack = lack[within(more, key[lack])]
                     missed.append((key[lack], of[lack]))
-                ids = np.arange(row, row + n)
-                doc_id = batch.column(0).slice(lo, n)
-                yield sent(shard=ids % shards, kind=np.ones(n, np.int64), row=ids, doc_id=doc_id, n_tokens=np.diff(r), known=total(doc, hit).astype(np.int64), logs=total(doc, np.log10(count + 1)), gain=gain)
+                documents.append(own)
                 for key, of in missed:
                     if len(key):
-                        held.append((key, of + row))
+                        held.append((key, of + count))
                         size += len(key)
-                row += n
-                if size > GATHERED:
-                    yield out()
-                    base, held, size = row, [], 0
-        if size:
-            yield out()
+                count += n
+                if size > GATHERED or count > GATHERED:
+                    yield from out()
+                    documents, held, size, count = [], [], 0, 0
+                    number += 1
+        if documents:
+            yield from out()
 
     return run
 
 
-LOOKED = T.StructType([*SENT.fields[2:8]])
+LOOKED = T.StructType(SENT.fields[1:])
 
 
 def looked_up_rows(batches):
-    """The documents, and what the look-ups of each shard add to them; the shard's table of values comes first."""
+    """The documents as they came, and what the look-ups of each shard add to them; the shard's table of values comes first."""
+
+    def out(kind, batch, data):
+        return pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([batch], pa.int64()), pa.array([data], pa.binary())], names=LOOKED.names)
+
     for _, rows in by_shard(batches, len(SENT)):
         tables, key, n, value = [], None, None, None
-        documents: list[tuple] = []
-        for _, kind, row, *numbers, data in rows:
+        for _, kind, batch, data in rows:
             if kind == 0:
                 size = len(data) // 24
                 tables.append((np.frombuffer(data, np.uint64, size), np.frombuffer(data, np.int64, size, 8 * size), np.frombuffer(data, np.float64, size, 16 * size)))
             elif kind == 1:
-                documents.append((row, *numbers))
+                yield out(kind, batch, data)
             elif tables:
                 if key is None:
                     key, n, value = (np.concatenate(x) for x in zip(*tables, strict=True))
@@ -420,22 +424,28 @@ def looked_up_rows(batches):
                 at, hit = find(key, wanted)
                 at, of = at[hit], of[hit]
                 if len(at):
-                    own, of = np.unique(of, return_inverse=True)
+                    where, of = np.unique(of, return_inverse=True)
                     word = n[at] >= 0
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(own.astype(np.int64) + row),
-                            pa.nulls(len(own), pa.int64()),
-                            pa.nulls(len(own), pa.int64()),
-                            pa.array(np.bincount(of, weights=word, minlength=len(own)).astype(np.int64)),
-                            pa.array(np.bincount(of, weights=np.where(word, np.log10(np.maximum(n[at], 0) + 1), 0), minlength=len(own))),
-                            pa.array(np.bincount(of, weights=value[at], minlength=len(own))),
-                        ],
-                        names=LOOKED.names,
-                    )
-        if documents:
-            columns = list(zip(*documents, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64() if f.name in ("logs", "gain") else pa.int64()) for c, f in zip(columns, LOOKED.fields, strict=True)], names=LOOKED.names)
+                    added = np.zeros(len(where), ADDED)
+                    added["at"], added["known"] = where, np.bincount(of, weights=word, minlength=len(where))
+                    added["logs"] = np.bincount(of, weights=np.where(word, np.log10(np.maximum(n[at], 0) + 1), 0), minlength=len(where))
+                    added["gain"] = np.bincount(of, weights=value[at], minlength=len(where))
+                    yield out(kind, batch, added.tobytes())
+
+
+SUMMED = T.StructType([T.StructField(c, T.DoubleType() if c in ("logs", "gain") else T.LongType()) for c in DOCUMENT.names[1:]])
+
+
+def summed_documents(batches):
+    """The documents of each batch with all that was added, from rows sorted by (batch, kind)."""
+    rows = (row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in (1, 2)), strict=True))
+    for _, own in groupby(rows, key=lambda row: row[0]):
+        out = np.frombuffer(next(own)[1], DOCUMENT).copy()
+        for _, data in own:
+            added = np.frombuffer(data, ADDED)
+            for c in ("known", "logs", "gain"):
+                out[c][added["at"]] += added[c]
+        yield pa.RecordBatch.from_arrays([pa.array(out[c], mask=~out["known_id"] if c == "doc_id" else None) for c in SUMMED.names], names=SUMMED.names)
 
 
 def score_documents(documents: DataFrame) -> DataFrame:
@@ -458,7 +468,7 @@ def score_documents(documents: DataFrame) -> DataFrame:
     shipped = spark.sparkContext.broadcast((*arrays(tree.values.where(often(tree))), more))
     sends = docs.mapInArrow(scored_rows(shipped, tree.filters, parts), SENT).unionByName(rare.select("key", "n", "value").mapInArrow(value_rows(parts), SENT))
     looked = sends.repartition(parts, "shard").sortWithinPartitions("shard", "kind").mapInArrow(looked_up_rows, LOOKED)
-    summed = looked.groupBy("row").agg(F.max("doc_id").alias("doc_id"), *(F.sum(c).alias(c) for c in ("n_tokens", "known", "logs", "gain")))
+    summed = looked.repartition(parts, "batch").sortWithinPartitions("batch", "kind").mapInArrow(summed_documents, SUMMED)
     base = F.col("logs") - F.col("n_tokens") * F.log10(F.lit(float(tree.total + tree.distinct + 1)))
     return summed.select(
         "doc_id", (~in_training()).alias("held_out"), "n_tokens", F.col("known").alias("n_known"), F.lit(tree.total).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("gain")).alias("score")

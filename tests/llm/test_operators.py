@@ -282,7 +282,9 @@ def test_suffix_tree_by_definition(spark, monkeypatch, share):
     ids = [d for d in range(2000) if zlib.crc32(str(d).encode()) % 7 != 2][: len(texts)]
     held = [(9000 + i, t) for i, t in enumerate(["q w z unheard f m n o f", "", "a b"]) if zlib.crc32(str(9000 + i).encode()) % 7 == 2]
     rows = [*zip(ids, texts, strict=True), *held]
-    tree = BruteTree(texts, suffix_tree.DEPTH)
+    monkeypatch.setattr(suffix_tree, "DEPTH", 5)
+    monkeypatch.setattr(suffix_tree, "LEVEL_GAIN", 0.0)
+    tree = BruteTree(texts, 5)
     assert ("q", "w") in tree.nodes and any(len(c) >= 4 for c in tree.nodes)
     vocabulary = [x for (x,) in tree.counts[0]]
     for context in [(), *list(tree.nodes)[:40]]:
