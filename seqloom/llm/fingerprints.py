@@ -181,7 +181,7 @@ def fingerprints_with_edits(documents: DataFrame, rows_per_bucket: int = ROWS_PE
     total = docs.count()
     if not total:
         return spark.createDataFrame([], RESULT)
-    n = min(-(-total // rows_per_bucket), 100_000)
+    n = -(-total // rows_per_bucket)
     cuts = sorted(set(docs.approxQuantile("doc_id", [i / n for i in range(1, n)], min(0.1, 0.25 / n)))) if n > 1 else []
     bounds = spark.sparkContext.broadcast(np.array([int(c) for c in cuts], np.int64))
 

@@ -1,12 +1,14 @@
 """Reversible line deduplication: sharded cuckoo filters over exact reference counts.
 
-State (`LineIndex`) is two tables in the shared folder:
+State (`LineIndex`) is three tables in the shared folder:
 
-* postings: one row per (line key, document), the exact reference counts once
-  grouped by key; inserting a document adds its rows, deleting it removes them;
-* filters: one cuckoo filter per shard of the key space, holding the keys that
-  at least `min_docs` documents share.  A cuckoo filter (unlike a Bloom filter)
-  supports deletion, so a key that falls below the threshold leaves it again.
+* postings: one row per (line key, document), the references;
+* counts: per key the exact number of its documents and the largest of them; inserting
+  documents adds theirs, deleting takes them away;
+* filters: one cuckoo filter per shard of the key space, holding the keys that at
+  least `min_docs` documents share.  An insertion puts just the keys that reach the
+  threshold into their shards' filters, a deletion takes just those that fall below it
+  out again, which a cuckoo filter (unlike a Bloom filter) allows.
 
 Cleaning a document asks the filters first: a line whose key is not in its
 shard's filter stays without touching the counts; the few that may be there are
@@ -16,6 +18,7 @@ look-up and never a line.
 
 from __future__ import annotations
 
+import uuid
 from hashlib import blake2b
 
 import numpy as np
@@ -175,29 +178,34 @@ def reference_counts(postings: DataFrame) -> DataFrame:
     return distinct.groupBy("key", "check").agg(F.count("one").alias("n_docs"), F.max("doc_id").alias("last_doc"))
 
 
-FILTER = "shard long, n_keys long, data binary, overflow array<long>"
+FILTER = "shard long, capacity long, n_keys long, data binary, overflow array<long>"
 
 
-def filter_builder(capacity: int):
-    def run(key, pdf):
+def filter_updater(capacity: int):
+    """Keys that go in and out of a shard's filter; a shard without one gets one for so many keys."""
+
+    def run(key, old, changes):
         import pandas as pd
 
-        keys = np.unique(pdf["key"].to_numpy(np.int64).view(np.uint64))
-        out = CuckooFilter(max(capacity, len(keys)))
-        out.insert(keys)
-        data, overflow = out.dump()
-        return pd.DataFrame({"shard": [int(key[0])], "n_keys": [len(keys)], "data": [data], "overflow": [overflow]})
+        if len(old):
+            room, n = int(old["capacity"][0]), int(old["n_keys"][0])
+            own = CuckooFilter.load(bytes(old["data"][0]), [int(x) for x in old["overflow"][0]])
+        else:
+            room, n, own = max(capacity, len(changes)), 0, CuckooFilter(max(capacity, len(changes)))
+        into, out = (changes["key"][changes["up"] == up].to_numpy(np.int64).view(np.uint64) for up in (True, False))
+        own.delete(out)
+        own.insert(into)
+        data, overflow = own.dump()
+        return pd.DataFrame({"shard": [int(key[0])], "capacity": [room], "n_keys": [n + len(into) - len(out)], "data": [data], "overflow": [overflow]})
 
     return run
 
 
-def build_filters(frequent: DataFrame, n_keys: int) -> tuple[DataFrame, int]:
-    """The filters of the frequent keys, by shard (key modulo the number of shards; a
-    key is a hash); a shard holds about SHARD_KEYS keys however many there are."""
-    shards = max(1, -(-n_keys // SHARD_KEYS))
-    capacity = max(1024, int(1.2 * -(-n_keys // shards)))
-    dealt = frequent.select("key", F.pmod("key", F.lit(shards)).alias("shard"))
-    return dealt.groupBy("shard").applyInPandas(filter_builder(capacity), FILTER), shards
+def updated_filters(filters: DataFrame, changes: DataFrame, shards: int, capacity: int) -> DataFrame:
+    """The filters after changes (key, up): only shards with changes are touched; a shard
+    (key modulo the number of shards; a key is a hash) holds about SHARD_KEYS keys."""
+    dealt = changes.select("key", "up", F.pmod("key", F.lit(shards)).alias("shard"))
+    return filters.groupBy("shard").cogroup(dealt.groupBy("shard")).applyInPandas(filter_updater(capacity), FILTER)
 
 
 def prober(filters, shards: int):
@@ -218,58 +226,110 @@ def prober(filters, shards: int):
     return run
 
 
-def may_be_frequent(postings: DataFrame, frequent: DataFrame) -> DataFrame:
-    """The postings that pass the filters.  Filters are broadcast only if together
-    they are within BROADCAST_BYTES; beyond that all postings go to the exact join."""
-    n_keys = frequent.count()
-    if n_keys * 3 > BROADCAST_BYTES:
-        return postings
-    filters, shards = build_filters(frequent, n_keys)
-    rows = [(r.shard, bytes(r.data), list(r.overflow)) for r in filters.collect()]
-    return postings.mapInArrow(prober(postings.sparkSession.sparkContext.broadcast(rows), shards), POSTING)
+def shard_prober(batches):
+    """From rows sorted by (shard, filter first): the keys that may be in their shard's filter."""
+    shard, own = None, None
+    for batch in batches:
+        of, key, data, overflow = (batch.column(batch.schema.get_field_index(c)) for c in ("shard", "key", "data", "overflow"))
+        of = of.to_numpy(zero_copy_only=False)
+        edges = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else of
+        for lo, hi in zip(edges.tolist(), [*edges[1:].tolist(), len(of)], strict=True):
+            if of[lo] != shard:
+                shard, own = of[lo], None
+            if data[lo].is_valid:
+                own, lo = CuckooFilter.load(data[lo].as_py(), overflow[lo].as_py()), lo + 1
+            if own is not None and lo < hi:
+                keys = key.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([keys.filter(pa.array(own.contains(keys.to_numpy(zero_copy_only=False).view(np.uint64))))], names=["key"])
+
+
+def may_be_frequent(postings: DataFrame, filters: DataFrame, shards: int, broadcast_bytes: int | None = None) -> DataFrame:
+    """The postings that pass the filters.  Filters are broadcast only if together they are
+    within broadcast_bytes; larger ones meet the postings' distinct keys shard by shard."""
+    size = filters.agg(F.coalesce(F.sum(F.length("data") + 8 * F.size("overflow")), F.lit(0)).alias("n")).first()["n"]
+    if size <= (BROADCAST_BYTES if broadcast_bytes is None else broadcast_bytes):
+        rows = [(r.shard, bytes(r.data), list(r.overflow)) for r in filters.collect()]
+        return postings.mapInArrow(prober(postings.sparkSession.sparkContext.broadcast(rows), shards), POSTING)
+    parts = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = postings.groupBy("key").agg(F.lit(0).alias("one")).select(F.pmod("key", F.lit(shards)).alias("shard"), "key")
+    both = filters.select("shard", F.lit(None).cast("long").alias("key"), "data", "overflow").unionByName(keys, allowMissingColumns=True)
+    found = both.repartition(max(parts, min(shards, 10 * parts)), "shard").sortWithinPartitions("shard", F.col("data").isNull()).mapInArrow(shard_prober, "key long")
+    return postings.join(found, "key", "left_semi").select(*POSTING.names)
+
+
+COUNT = "key long, check long, n_docs long, last_doc long"
 
 
 class LineIndex:
     """The incremental state: insert and delete documents, then ask what to drop."""
 
-    def __init__(self, spark: SparkSession, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, postings: DataFrame | None = None):
+    def __init__(self, spark: SparkSession, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, state: tuple | None = None):
         modest_batches(spark)
         self.spark, self.min_chars, self.min_docs = spark, min_chars, min_docs
-        self.postings = spark.createDataFrame([], POSTING) if postings is None else postings
-        self._frequent: DataFrame | None = None
+        none = lambda schema: spark.createDataFrame([], schema)
+        self.postings, self.counts, self.filters, self.shards = state or (none(POSTING), none(COUNT), none(FILTER), 0)
+
+    def _empty(self) -> bool:
+        return not self.shards
+
+    def _next(self, postings: DataFrame, changed: DataFrame) -> LineIndex:
+        """The index with these postings and counts; `before` in the latter is the number of documents so far."""
+        changed = stash(changed, "line-counts")
+        counts = changed.where("n_docs > 0").drop("before")
+        was, now = F.col("before") >= self.min_docs, F.col("n_docs") >= self.min_docs
+        n_keys = counts.where(now).count()
+        shards, filters = self.shards, self.filters
+        crossing = changed.where(was != now).select("key", now.alias("up"))
+        full = not self._empty() and (n_keys > 4 * shards * SHARD_KEYS or not filters.where("n_keys > capacity").isEmpty())
+        if self._empty() or full:  # filters are built anew only when the keys have outgrown them
+            shards, filters, crossing = max(1, -(-n_keys // SHARD_KEYS)), self.spark.createDataFrame([], FILTER), counts.where(now).select("key", F.lit(True).alias("up"))
+        capacity = max(1024, int(1.5 * -(-n_keys // shards)))
+        made = stash(updated_filters(filters, crossing, shards, capacity), "line-filters")
+        return LineIndex(self.spark, self.min_chars, self.min_docs, (postings, counts, made, shards))
 
     def insert(self, documents: DataFrame) -> LineIndex:
-        """A new index that also counts the lines of documents."""
-        new = stash(postings_of(documents, self.min_chars), "line-postings")
-        return LineIndex(self.spark, self.min_chars, self.min_docs, new if self._empty() else self.postings.unionByName(new))
+        """A new index that also counts the lines of documents; what a doc_id refers to
+        already counts once.  Rows without a doc_id are passed over."""
+        new = postings_of(documents.where("doc_id is not null"), self.min_chars)
+        if not self._empty():
+            new = new.join(self.postings, POSTING.names, "left_anti")
+        new = stash(new, "line-postings")
+        added = reference_counts(new)
+        if self._empty():
+            return self._next(new, added.withColumn("before", F.lit(0).cast("long")))
+        both = self.counts.withColumn("before", F.col("n_docs")).unionByName(added.withColumn("before", F.lit(0).cast("long")))
+        summed = both.groupBy("key", "check").agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"), F.sum("before").alias("before"))
+        return self._next(self.postings.unionByName(new), summed)
 
     def delete(self, doc_ids: DataFrame) -> LineIndex:
         """A new index without the documents whose doc_id is listed: their references
         are gone, and the keys that become rarer leave the filters."""
+        if self._empty():
+            return self
         gone = doc_ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
         kept = stash(self.postings.join(gone, "doc_id", "left_anti").select(*POSTING.names), "line-postings")
-        return LineIndex(self.spark, self.min_chars, self.min_docs, kept)
-
-    def _empty(self) -> bool:
-        return not self.postings.inputFiles()
+        lost = stash(reference_counts(self.postings.join(gone, "doc_id", "left_semi")), "lost-references").select("key", "check", F.col("n_docs").alias("lost"))
+        last = kept.join(lost, ["key", "check"], "left_semi").groupBy("key", "check").agg(F.max("doc_id").alias("left_doc"))
+        joined = self.counts.join(lost, ["key", "check"], "left").join(last, ["key", "check"], "left")
+        left = (F.col("n_docs") - F.coalesce("lost", F.lit(0))).alias("n_docs")
+        return self._next(kept, joined.select("key", "check", left, F.when(F.col("lost").isNull(), F.col("last_doc")).otherwise(F.col("left_doc")).alias("last_doc"), F.col("n_docs").alias("before")))
 
     def frequent(self) -> DataFrame:
         """key, check, last_doc of the keys in at least min_docs documents."""
-        if self._frequent is None:
-            self._frequent = stash(reference_counts(self.postings).where(F.col("n_docs") >= self.min_docs).select("key", "check", "last_doc"), "line-counts")
-        return self._frequent
+        return self.counts.where(F.col("n_docs") >= self.min_docs).select("key", "check", "last_doc")
 
     def dropped(self) -> DataFrame:
         """doc_id and the keys whose lines it loses."""
-        hits = may_be_frequent(self.postings, self.frequent()).join(self.frequent(), ["key", "check"]).where(F.col("doc_id") != F.col("last_doc"))
+        hits = may_be_frequent(self.postings, self.filters, max(1, self.shards)).join(self.frequent(), ["key", "check"]).where(F.col("doc_id") != F.col("last_doc"))
         return hits.groupBy("doc_id").agg(F.collect_set(F.struct("key", "check")).alias("keys"))
 
     def clean(self, documents: DataFrame) -> DataFrame:
         """documents (all columns) with the repeated lines cut from text, and the
         columns __n_lines and __n_dropped; the documents must be in the index."""
-        gone = self.dropped().select(F.col("doc_id").alias("__doc"), F.col("keys").alias("__keys"))
-        plain = documents.withColumn("text", F.col("text").cast("string"))
-        joined = plain.join(gone, plain["doc_id"].cast("long") == F.col("__doc"), "left").drop("__doc")
+        plain = documents.withColumn("text", F.col("text").cast("string")).drop("__n_lines", "__n_dropped")
+        doc, keys = f"__doc_{uuid.uuid4().hex[:8]}", f"__keys_{uuid.uuid4().hex[:8]}"
+        gone = self.dropped().select(F.col("doc_id").alias(doc), F.col("keys").alias(keys))
+        joined = plain.join(gone, plain["doc_id"].cast("long") == F.col(doc), "left").drop(doc)
         kind = T.StructType([*plain.schema.fields, T.StructField("__n_lines", T.LongType()), T.StructField("__n_dropped", T.LongType())])
         return joined.mapInArrow(cutter(plain.columns.index("text"), len(plain.columns), self.min_chars), kind)
 
@@ -311,7 +371,6 @@ def dedup_lines(documents: DataFrame, min_chars: int = MIN_CHARS, min_docs: int
     input.  A key counts once per doc_id, so repeated rows of a document count
     once.  Rows with a null doc_id count as no document and keep their lines.  An
     empty table gives an empty result.  All columns stay, then __n_lines and
-    __n_dropped follow.
+    __n_dropped follow, in place of columns of these names.
     """
-    index = LineIndex(documents.sparkSession, min_chars, min_docs).insert(documents.where("doc_id is not null"))
-    return index.clean(documents)
+    return LineIndex(documents.sparkSession, min_chars, min_docs).insert(documents).clean(documents)

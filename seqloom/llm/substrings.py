@@ -21,7 +21,8 @@ symbol with its three words of context on either side.
 3. cut: each document drops the words such windows cover.
 
 Both sorts stream through Python with one carried row, whatever the size of a
-group.  Texts equal as a whole (their last symbol, so to speak) are settled by
+group, and of a group's rows in one chunk of texts at most two go to it; what the
+others are is settled in the chunk.  Texts equal as a whole (their last symbol, so to speak) are settled by
 the smallest doc_id alone and take no part in the search.
 """
 
@@ -115,9 +116,9 @@ def window_hashes(h: np.ndarray, window: np.ndarray, width: int) -> tuple[np.nda
     return mix(one), mix(two)
 
 
-ANCHOR = T.StructType([T.StructField("key", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("twin", T.LongType())])
+ANCHOR = T.StructType([T.StructField("key", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("twin", T.LongType()), T.StructField("sure", T.BooleanType())])
 SHARED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("key", T.LongType())])
-WINDOW = T.StructType([T.StructField("hash", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("tail", T.LongType())])
+WINDOW = T.StructType([T.StructField("hash", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("tail", T.LongType()), T.StructField("sure", T.BooleanType())])
 COVERED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("at", T.IntegerType())])
 
 
@@ -129,7 +130,18 @@ def anchor_rows(width: int):
                 _, _, h, r = words(buf, off)
                 _, _, key, at = anchor_windows(h, r, width)
                 doc = np.searchsorted(r, at, side="right") - 1
-                yield pa.RecordBatch.from_arrays([pa.array(as_int64(key)), pa.array(ids[lo:hi][doc]), pa.array(twins[lo:hi][doc])], names=ANCHOR.names)
+                doc, twin = ids[lo:hi][doc], twins[lo:hi][doc]
+                # a key of several texts in this chunk is shared: one row of each of two texts tells the
+                # others so, and the rest need not meet them
+                order = np.lexsort((twin, key))
+                start = np.append(True, key[order][1:] != key[order][:-1])[: len(order)]
+                change = np.append(False, twin[order][1:] != twin[order][:-1])[: len(order)] & ~start
+                group = np.cumsum(start) - 1
+                nth = np.cumsum(change) - np.append(0, np.cumsum(change))[np.flatnonzero(start)][group] if len(order) else group
+                several = np.bincount(group, weights=change) > 0
+                sure = np.empty(len(order), bool)
+                sure[order] = several[group] & ~start & ~(change & (nth == 1))
+                yield pa.RecordBatch.from_arrays([pa.array(as_int64(key)), pa.array(doc), pa.array(twin), pa.array(sure)], names=ANCHOR.names)
 
     return run
 
@@ -139,13 +151,18 @@ def shared_rows(batches):
 
     Rows of the last group stay back until a row of another text, or of another
     key, decides about them; as documents of one text are all but one copies,
-    only the first of them is held.
+    only the first of them is held.  Rows known to be shared come first.
     """
     held, decided = None, False  # first row of the open group; whether it is known to be shared
     for batch in batches:
         if not batch.num_rows:
             continue
-        key, doc, twin = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(3))
+        key, doc, twin, sure = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(4))
+        if sure.any():
+            yield pa.RecordBatch.from_arrays([pa.array(doc[sure]), pa.array(key[sure])], names=SHARED.names)
+            key, doc, twin = key[~sure], doc[~sure], twin[~sure]
+            if not len(key):
+                continue
         fresh = 0
         if held is not None:
             key, doc, twin = (np.concatenate([[x], y]) for x, y in zip(held, (key, doc, twin), strict=True))
@@ -188,18 +205,31 @@ def window_rows(width: int):
                 one, two = window_hashes(h, window, width)
                 doc = np.searchsorted(r, window, side="right") - 1
                 tail = (two >> U64(32) << U64(32)) | (window - r[doc]).astype(np.uint64)
-                yield pa.RecordBatch.from_arrays([pa.array(as_int64(one)), pa.array(ids[lo:hi][doc]), pa.array(as_int64(tail))], names=WINDOW.names)
+                # an equal window of a smaller document in this chunk settles a window: only the
+                # smallest document's first one meets those of other chunks
+                own, check = ids[lo:hi][doc], two >> U64(32)
+                order = np.lexsort((own, check, one))
+                start = np.append(True, (one[order][1:] != one[order][:-1]) | (check[order][1:] != check[order][:-1]))[: len(order)]
+                least = own[order][np.flatnonzero(start)][np.cumsum(start) - 1] if len(order) else own
+                sure = np.empty(len(order), bool)
+                sure[order] = own[order] > least
+                yield pa.RecordBatch.from_arrays([pa.array(as_int64(one)), pa.array(own), pa.array(as_int64(tail)), pa.array(sure)], names=WINDOW.names)
 
     return run
 
 
 def later_rows(batches):
-    """From windows sorted by (hash, doc_id): those with an equal one in a smaller document."""
+    """From windows sorted by (hash, doc_id): those with an equal one in a smaller document; rows known to be such come first."""
     open_key, open_doc = None, 0
     for batch in batches:
         if not batch.num_rows:
             continue
-        key, check, doc, tail = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(4))
+        key, check, doc, tail, sure = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(5))
+        if sure.any():
+            yield pa.RecordBatch.from_arrays([pa.array(doc[sure]), pa.array((tail[sure] & 0xFFFFFFFF).astype(np.int32))], names=COVERED.names)
+            key, check, doc, tail = (x[~sure] for x in (key, check, doc, tail))
+            if not len(key):
+                continue
         start = np.ones(len(key), bool)
         start[1:] = (key[1:] != key[:-1]) | (check[1:] != check[:-1])
         if open_key is not None and (key[0], check[0]) == open_key:
@@ -254,7 +284,7 @@ def cutter(text: int, extra: int, width: int):
 def dedup_substrings(documents: DataFrame, width: int = WIDTH) -> DataFrame:
     """documents with every word cut that is covered by a window of `width` words
     which also starts in a document with a smaller doc_id; the kept words are
-    joined by single spaces.  __n_words and __n_removed are appended.
+    joined by single spaces.  __n_words and __n_removed are appended, in place of columns of these names.
 
     Windows are judged on the input.  A null or empty text has no words and
     becomes empty.  Windows of one document don't count against each other;
@@ -265,7 +295,7 @@ def dedup_substrings(documents: DataFrame, width: int = WIDTH) -> DataFrame:
     if width < 2 * CONTEXT + 2 * LONGEST - 1:
         raise ValueError(f"width {width}: a window must have a symbol in its interior")
     spark = documents.sparkSession
-    plain = documents.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
+    plain = documents.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit(""))).drop("__n_words", "__n_removed")
     modest_batches(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = plain.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -274,23 +304,24 @@ def dedup_substrings(documents: DataFrame, width: int = WIDTH) -> DataFrame:
     # texts that are equal as a whole: all but the smallest doc_id are copies
     ids = known.select("doc_id", F.xxhash64("text").alias("twin"), F.md5("text").alias("group"))
     least = ids.groupBy("twin", "group").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
-    copies = stash(ids.join(least, ["twin", "group"]).where("doc_id > least").select(F.col("doc_id").alias("__copy")).distinct(), "text-copies")
+    copies = stash(ids.join(least, ["twin", "group"]).where("doc_id > least").select(F.col("doc_id").alias("__seqloom__copy")).distinct(), "text-copies")
 
     anchors = known.select("doc_id", "text", F.xxhash64("text").alias("twin")).mapInArrow(anchor_rows(width), ANCHOR)
-    shared = anchors.repartition(n, "key").sortWithinPartitions("key", "twin").mapInArrow(shared_rows, SHARED)
+    apart = lambda key: F.when(F.col("sure"), F.xxhash64("doc_id", key)).otherwise(F.col(key))
+    shared = anchors.repartition(n, apart("key")).sortWithinPartitions(F.desc("sure"), "key", "twin").mapInArrow(shared_rows, SHARED)
     names = stash(shared.groupBy("doc_id").agg(F.collect_list("key").alias("keys")), "shared-anchors")
     release(spark)
 
-    candidates = known.join(names, "doc_id").join(copies, F.col("doc_id") == F.col("__copy"), "left_anti").select("doc_id", "text", "keys")
-    found = candidates.mapInArrow(window_rows(width), WINDOW).withColumn("check", F.expr("shiftrightunsigned(tail, 32)")).select("hash", "check", "doc_id", "tail")
-    later = found.repartition(n, "hash").sortWithinPartitions("hash", "check", "doc_id").mapInArrow(later_rows, COVERED)
-    covered = stash(later.groupBy("doc_id").agg(F.collect_list("at").alias("__at")).withColumnRenamed("doc_id", "__doc"), "covered-windows")
+    candidates = known.join(names, "doc_id").join(copies, F.col("doc_id") == F.col("__seqloom__copy"), "left_anti").select("doc_id", "text", "keys")
+    found = candidates.mapInArrow(window_rows(width), WINDOW).withColumn("check", F.expr("shiftrightunsigned(tail, 32)")).select("hash", "check", "doc_id", "tail", "sure")
+    later = found.repartition(n, apart("hash")).sortWithinPartitions(F.desc("sure"), "hash", "check", "doc_id").mapInArrow(later_rows, COVERED)
+    covered = stash(later.groupBy("doc_id").agg(F.collect_list("at").alias("__seqloom__at")).withColumnRenamed("doc_id", "__seqloom__doc"), "covered-windows")
     release(spark)
 
     joined = (
-        plain.join(covered, plain["doc_id"].cast("long") == F.col("__doc"), "left")
-        .join(copies, plain["doc_id"].cast("long") == F.col("__copy"), "left")
-        .select(*[plain[c] for c in plain.columns], F.col("__copy").isNotNull().alias("__is_copy"), "__at")
+        plain.join(covered, plain["doc_id"].cast("long") == F.col("__seqloom__doc"), "left")
+        .join(copies, plain["doc_id"].cast("long") == F.col("__seqloom__copy"), "left")
+        .select(*[plain[c] for c in plain.columns], F.col("__seqloom__copy").isNotNull().alias("__seqloom__is_copy"), "__seqloom__at")
     )
     kind = T.StructType([*plain.schema.fields, T.StructField("__n_words", T.LongType()), T.StructField("__n_removed", T.LongType())])
     return joined.mapInArrow(cutter(plain.columns.index("text"), len(plain.columns), width), kind)

@@ -88,7 +88,7 @@ def test_substrings_streams_cut_groups_anywhere():
     doc = twin * 1000 + rng.integers(0, 5, 300)
     shared = {k for k in set(key.tolist()) if len(set(twin[key == k])) > 1}
     for size in (1, 2, 7, 300):
-        batches = [pa.RecordBatch.from_arrays([pa.array(x[i : i + size]) for x in (key, doc, twin)], names=["a", "b", "c"]) for i in range(0, 300, size)]
+        batches = [pa.RecordBatch.from_arrays([pa.array(x[i : i + size]) for x in (key, doc, twin, np.zeros(300, bool))], names=["a", "b", "c", "d"]) for i in range(0, 300, size)]
         rows = [(d, k) for b in substrings.shared_rows(batches) for d, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
         assert {k for _, k in rows} == shared
         # every text's smallest document is among the rows of a shared key
@@ -115,6 +115,37 @@ def test_lines_are_reversible(spark, df, docs):
     assert digest(again.clean(df), "__n_lines", "__n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256)) == brute.line_dedup(docs)
 
 
+def test_line_filters_follow_insertions_and_deletions(spark, monkeypatch):
+    line = lambda k: f"this line number {k} is repeated in many a document"
+    rows = [(d, "\n".join(line(k) for k in range(40) if (d * k) % 3 == 0) + f"\nown line of document number {d} and of no other one") for d in range(24)]
+    first, second = table(spark, rows[:12]), table(spark, rows[12:])
+    keys = lambda index: {(r["key"], r["check"]): r["last_doc"] for r in index.frequent().collect()}
+
+    def in_filters(index):
+        tables = {r["shard"]: lines.CuckooFilter.load(bytes(r["data"]), r["overflow"]) for r in index.filters.collect()}
+        return sum(r["n_keys"] for r in index.filters.collect()), lambda k: tables[k % index.shards].contains(np.array([k], np.int64).view(np.uint64))[0]
+
+    half = lines.LineIndex(spark).insert(first)
+    whole = half.insert(second)
+    again = whole.insert(second)
+    gone = whole.delete(spark.createDataFrame([(r[0],) for r in rows[12:]], "doc_id long"))
+    assert keys(gone) == keys(half) and keys(whole) == keys(again) == keys(lines.LineIndex(spark).insert(table(spark, rows)))
+    assert len(keys(whole)) == 40 > len(keys(half))
+    for index in (half, whole, gone):
+        n, has = in_filters(index)
+        assert n == len(keys(index)) and all(has(k) for k, _ in keys(index))
+    left = [k for k, _ in set(keys(whole)) - set(keys(gone))]
+    assert not any(in_filters(gone)[1](k) for k in left)  # a deletion reaches the stored filters
+    want = sorted((r["doc_id"], tuple(sorted(tuple(k) for k in r["keys"]))) for r in whole.dropped().collect())
+    monkeypatch.setattr(lines, "BROADCAST_BYTES", 0)  # the filters' shards meet the keys by a shuffle
+    assert sorted((r["doc_id"], tuple(sorted(tuple(k) for k in r["keys"]))) for r in whole.dropped().collect()) == want
+    monkeypatch.setattr(lines, "SHARD_KEYS", 8)
+    sharded = lines.LineIndex(spark).insert(first).insert(second)
+    assert sharded.shards > 1 and sorted((r["doc_id"], tuple(sorted(tuple(k) for k in r["keys"]))) for r in sharded.dropped().collect()) == want
+    once = lines.dedup_lines(first)
+    assert lines.dedup_lines(once).columns == once.columns
+
+
 def test_cuckoo_filter():
     keys = np.random.default_rng(1).integers(1, 1 << 63, 5000, dtype=np.uint64)
     f = lines.CuckooFilter(4096)
