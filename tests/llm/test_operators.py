@@ -508,15 +508,37 @@ def test_secrets(spark, empty):
     for d, t in docs:
         assert got[d][0] == brute.base_secrets(t), t
         assert set(got[d][0]) <= set(got[d][1])
-    assert any(k == "random" and e - s == 40 for k, s, e in got[17][1]) and any(k == "random" for k, _, _ in got[18][1])
     assert not [x for x in got[19][1] if x[0] == "random"]
     assert secrets.find_secrets(empty).count() == 0
 
 
-def test_false_discovery_bounds():
-    assert secrets.dismissal_bounds([(0, 10, 50)], 0.01)[0] == float("inf")
-    bound = secrets.dismissal_bounds([(0, 10, 5), (0, 900, 5)], 0.01)[0]
-    assert bound == pytest.approx(9.0)
+def test_finding_bounds():
+    # 1000 decoys from bin 100 on: what lies below is found, as long as the share of decoys there allows
+    decoys = [(0, 100 + i, 1) for i in range(1000)]
+    assert secrets.finding_bounds([(0, 5, 50), (0, 800, 50)], decoys, 0.01) == {0: 5}
+    assert secrets.finding_bounds([(0, 5, 1), (0, 800, 5000)], decoys, 0.01) == {0: -1}
+    assert secrets.finding_bounds([(0, 5, 10)], [], 0.01) == {0: -1}
+
+
+def test_planted_random_strings_are_found(spark):
+    rng = random.Random(3)
+    vocabulary = ["".join(rng.choice(["th", "er", "an", "in", "es", "o", "e", "a", "s", "t", "al"]) for _ in range(rng.randint(2, 5))) for _ in range(300)]
+    prose = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    letters = {26: "abcdefghijklmnopqrstuvwxyz", 36: "ghijklmnopqrstuvwxyz0123456789", 62: "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"}
+    rows, planted = [], {}
+    for d in range(600):
+        text = prose(80)
+        if d < 60:
+            value = "".join(rng.choice(letters[(26, 36, 62)[d % 3]]) for _ in range(64))
+            planted[d] = value
+            text += " " + value + " " + prose(3)
+        elif d < 200:  # ordinary writing as long as that
+            text += " " + prose(30).replace(" ", "")[:64] + " " + prose(3)
+        rows.append((d, text))
+    found = secrets.find_secrets(table(spark, rows)).select("doc_id", F.explode("spans").alias("s")).where("s.kind = 'random'").select("doc_id", "s.start", "s.end").collect()
+    right = {r["doc_id"] for r in found if r["doc_id"] in planted and dict(rows)[r["doc_id"]][r["start"] : r["end"]] == planted[r["doc_id"]]}
+    wrong = [r for r in found if r["doc_id"] not in planted]
+    assert len(right) >= 54 and len(wrong) <= 2
 
 
 def test_repeated_rows(spark):
