@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Items scored at a time: a block's matrix is broadcast, and blocks follow each other, so memory doesn't grow with the items.
-BLOCK_ITEMS = 1 << 17
+from ..sources.staging import materialize
+
+#: Items scored at a time: a block's matrix is broadcast; bytes of the scores that a task holds at a time.
+BLOCK_ITEMS, SCORE_BYTES = 1 << 15, 32 << 20
 
 SCORED = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("item_id", T.LongType()), T.StructField("score", T.DoubleType())])
 
@@ -17,42 +19,61 @@ SCORED = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("i
 def _block_scorer(block, k: int, digits: int):
     def run(batches):
         ids, matrix = block.value
+        n = min(k, len(ids))
+        rows = max(1, SCORE_BYTES // (8 * max(1, len(ids))))
         for batch in batches:
-            queries = batch.column(0).to_numpy(zero_copy_only=False)
-            vectors = np.array(batch.column(1).to_pylist(), np.float64)
-            if not len(queries) or not len(ids):
-                continue
-            live = np.einsum("ij,ij->i", vectors, vectors) > 0
-            queries, vectors = queries[live], vectors[live]
-            scores = np.round(vectors @ matrix.T, digits)
-            n = min(k, len(ids))
-            # items come by id, so a stable sort breaks ties by id
-            best = np.argsort(-scores, axis=1, kind="stable")[:, :n]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(queries, n)), pa.array(ids[best].ravel()), pa.array(np.take_along_axis(scores, best, axis=1).ravel())], names=SCORED.names
-            )
+            for lo in range(0, batch.num_rows if n else 0, rows):
+                part = batch.slice(lo, rows)
+                queries = part.column(0).to_numpy(zero_copy_only=False)
+                vectors = np.array(part.column(1).to_pylist(), np.float64)
+                scores = np.round(vectors @ matrix.T, digits)
+                skip = part.column(2)
+                of = np.repeat(np.arange(len(queries)), np.nan_to_num(skip.value_lengths().to_numpy(zero_copy_only=False).astype(float)).astype(np.int64))
+                gone = skip.flatten().to_numpy(zero_copy_only=False)
+                at = np.minimum(np.searchsorted(ids, gone), len(ids) - 1)
+                hit = ids[at] == gone
+                scores[of[hit], at[hit]] = -np.inf
+                least = np.partition(scores, -n, axis=1)[:, -n]
+                out: list[list[np.ndarray]] = [[], [], []]
+                for q in np.flatnonzero(np.einsum("ij,ij->i", vectors, vectors) > 0):
+                    # items come by id, so a stable sort breaks ties by id
+                    near = np.flatnonzero((scores[q] >= least[q]) & np.isfinite(scores[q]))
+                    best = near[np.argsort(-scores[q, near], kind="stable")[:n]]
+                    for column, value in zip(out, (np.full(len(best), queries[q]), ids[best], scores[q, best]), strict=True):
+                        column.append(value)
+                if out[0]:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=SCORED.names)
 
     return run
 
 
-def exact_top_k(queries: DataFrame, items: DataFrame, k: int, digits: int = 6, block_items: int = BLOCK_ITEMS) -> DataFrame:
+def exact_top_k(queries: DataFrame, items: DataFrame, k: int, digits: int = 6, block_items: int | None = None) -> DataFrame:
     """query_id, item_id, score, rank: the k items of largest inner product per query.
 
     queries(query_id, vector) without a vector, or with a zero one, get no rows; so do
-    items(item_id, vector) without one.  Scores are rounded, ties go to the smaller
-    id.  Each block of items keeps its k best per query; the blocks' winners are
-    then ranked together.
+    items(item_id, vector) without one.  A column `skip` of queries lists items that a
+    query doesn't want.  Scores are rounded, ties go to the smaller id.  Each block of
+    items keeps its k best per query; the blocks' winners are then ranked together.
+    Blocks follow each other: the driver and the tasks hold one block at a time.
     """
     spark = queries.sparkSession
+    size = block_items or BLOCK_ITEMS
     whole = items.where("vector is not null").select(F.col("item_id").cast("long").alias("item_id"), "vector")
-    blocks = max(1, -(-whole.count() // block_items))
-    live = queries.where("vector is not null").select(F.col("query_id").cast("long").alias("query_id"), "vector")
+    blocks = max(1, -(-whole.count() // size))
+    skip = F.col("skip") if "skip" in queries.columns else F.expr("cast(array() as array<bigint>)")
+    live = queries.where("vector is not null").select(F.col("query_id").cast("long").alias("query_id"), "vector", skip.alias("skip"))
+    if blocks > 1:
+        whole, live = materialize(whole, "items-to-search"), materialize(live, "queries-to-search")
     parts = None
     for b in range(blocks):
         own = whole if blocks == 1 else whole.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
         table = own.orderBy("item_id").toArrow()
         matrix = np.array(table.column("vector").to_pylist(), np.float64)
-        part = live.mapInArrow(_block_scorer(spark.sparkContext.broadcast((table.column("item_id").to_numpy(), matrix)), k, digits), SCORED)
+        block = spark.sparkContext.broadcast((table.column("item_id").to_numpy(), matrix))
+        part = live.mapInArrow(_block_scorer(block, k, digits), SCORED)
+        if blocks > 1:  # written, so that the block can go
+            part = materialize(part, "block-winners")
+            block.destroy()
         parts = part if parts is None else parts.unionByName(part)
     ranked = F.expr("row_number() over (partition by query_id order by score desc, item_id)")
     return parts.withColumn("rank", ranked).where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long"))

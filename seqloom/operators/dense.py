@@ -1,5 +1,7 @@
 """Dense retrieval over given vectors: pooling, exact and hashed top-k, losses, sampling, gates."""
 
+from pyspark.sql import functions as F
+
 from ..functions.dense import exact_top_k, lsh_top_k
 from ..plans.graph import Operator
 
@@ -19,14 +21,13 @@ def _top_lsh(query_vectors, index_vectors):
 
 
 def _top_unseen(query_vectors, index_vectors, history_items):
-    """Top 50 without the query's own history: over-fetched by the longest history, then anti-joined and ranked again."""
-    longest = history_items.groupBy("query_id").count().selectExpr("coalesce(max(count), 0) as n").first()["n"]
-    more = exact_top_k(query_vectors, index_vectors, 50 + longest).drop("rank")
-    left = more.join(history_items, ["query_id", "item_id"], "left_anti")
-    return left.selectExpr("query_id", "item_id", "score", "row_number() over (partition by query_id order by score desc, item_id) as place").where("place <= 50").selectExpr(
-        "query_id", "item_id", "score", "cast(place as bigint) as rank"
-    )
+    """Top 50 without the query's own history, which the kernel leaves out per query."""
+    skip = history_items.groupBy("query_id").agg(F.collect_set("item_id").alias("skip"))
+    return exact_top_k(query_vectors.join(skip, "query_id", "left"), index_vectors, 50)
+
 
+def _channel_top(channel_vectors, index_vectors):
+    return exact_top_k(channel_vectors, index_vectors, 100)
 
 DENSE = {
     "vector_rows": """
@@ -55,6 +56,28 @@ DENSE = {
         where v.item_rid in (select item_rid from {item_train_counts})""",
     "dense_topk_exact": Operator(function=_top, takes=("query_vectors", "index_vectors"), oracle=TOP_SQL.replace("{filter}", "")),
     "dense_topk_lsh": Operator(function=_top_lsh, takes=("query_vectors", "index_vectors")),
+    # the dense channel: pooled histories of the evaluation's samples in three variants, the query's number being 4 * sample + variant
+    "pooling": """
+        select * from (values ('dense_all', 0, 1000000000, true), ('dense_recent20', 1, 20, true), ('dense_clicks', 2, 1000000000, false)) x(variant, place, history_limit, exposures)""",
+    "channel_dims": """
+        select q.sample_id * 4 + p.place as query_id, cast(x.d as bigint) as dim, avg(cast(@at(x.emb, x.d) as double)) as value
+        from {query_samples} q join {interactions} e on q.user_id = e.user_id and e.pos < q.history_end_position
+        cross join {pooling} p
+        join (select item_rid, emb, @explode(@range(1, 64)) as d from {vector_rows}) x on e.item_rid = x.item_rid
+        where q.history_end_position - e.pos <= p.history_limit and (p.exposures or e.action_type = 1) group by q.sample_id * 4 + p.place, x.d""",
+    "channel_vectors": """
+        select h.query_id, @map(@pack(dim, unit), x.unit) as vector
+        from (select d.query_id, d.dim, round(d.value / nullif(n.norm, 0), 6) as unit
+              from {channel_dims} d join (select query_id, sqrt(sum(value * value)) as norm from {channel_dims} group by query_id) n on d.query_id = n.query_id) h
+        group by h.query_id""",
+    "channel_top": Operator(function=_channel_top, takes=("channel_vectors", "index_vectors"), oracle=TOP_SQL.replace("{filter}", "").replace("{query_vectors}", "{channel_vectors}").replace("<= 50", "<= 100")),
+    "dense_retrieve": """
+        select p.variant, q.split, q.sample_id, t.item_id as item_rid, t.score, t.rank
+        from {query_samples} q cross join {pooling} p join {channel_top} t on t.query_id = q.sample_id * 4 + p.place""",
+    "dense_ranks": """
+        select p.variant, q.split, q.sample_id, q.target_item_rid, i.strength_group, r.rank as target_rank
+        from {query_samples} q cross join {pooling} p join {item_strength} i on q.target_item_rid = i.item_rid
+        left join {dense_retrieve} r on r.variant = p.variant and r.split = q.split and r.sample_id = q.sample_id and r.item_rid = q.target_item_rid""",
     "history_items": """
         select distinct s.sample_id as query_id, e.item_rid as item_id from {val_samples} s join {interactions} e on s.user_id = e.user_id and e.pos < s.history_end_position""",
     "dense_topk_no_history": Operator(
