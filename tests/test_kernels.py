@@ -81,6 +81,50 @@ def test_training_lowers_the_loss(spark):
     assert best.ravel().tolist() == [0, 1, 2]
 
 
+def circle(spark):
+    rows = [([2 + i % 3], 5 + i % 3, [5 + (i + 1) % 3, 5 + (i + 2) % 3]) for i in range(60)]
+    return spark.createDataFrame(rows, "history array<long>, positive long, negatives array<long>")
+
+
+def test_an_interrupted_run_ends_as_one_that_was_not(spark, tmp_path):
+    df = circle(spark)
+    path = str(tmp_path / "run.npz")
+    stopping = lambda: training.EarlyStopping(2, 0.0)
+    whole = training.train_id_tower(df, 8, dim=4, epochs=4, rate=0.3, batches=3, stopping=stopping())
+    training.train_id_tower(df, 8, dim=4, epochs=2, rate=0.3, batches=3, stopping=stopping(), checkpoint=path)
+    again = training.train_id_tower(df, 8, dim=4, epochs=4, rate=0.3, batches=3, stopping=stopping(), checkpoint=path)
+    assert np.allclose(whole[0], again[0]) and np.allclose(whole[1], again[1]) and np.allclose(whole[2], again[2])
+
+
+def test_a_failed_save_keeps_the_checkpoint(tmp_path, monkeypatch):
+    path = str(tmp_path / "c.npz")
+    training.save_checkpoint(path, {"user": np.ones(3)}, {"epoch": 1})
+
+    def broken(f, **arrays):
+        f.write(b"half")
+        raise OSError("disk full")
+
+    with monkeypatch.context() as m:
+        m.setattr(training.np, "savez", broken)
+        with pytest.raises(OSError):
+            training.save_checkpoint(path, {"user": np.zeros(3)}, {"epoch": 2})
+    arrays, state = training.load_checkpoint(path)
+    assert state == {"epoch": 1} and arrays["user"].tolist() == [1, 1, 1] and [p.name for p in tmp_path.iterdir()] == ["c.npz"]
+
+
+def test_variants_follow_their_parents(spark, tmp_path):
+    df, asked = circle(spark), []
+    variants = [training.Variant("fine", "base", frozenset({"item"}), 2, 0.3), training.Variant("base", epochs=3, rate=0.3)]
+    out = training.train_variants(variants, lambda v: asked.append(v.name) or df, str(tmp_path), 8, dim=4)
+    assert asked == ["base", "fine"]
+    assert np.array_equal(out["fine"][1], out["base"][1]) and not np.array_equal(out["fine"][0], out["base"][0])
+    assert out["fine"][2][-1] < out["base"][2][0]
+    with pytest.raises(ValueError):
+        training.train_variants([training.Variant("a", "b"), training.Variant("b", "a")], lambda v: df, str(tmp_path), 8)
+    with pytest.raises(ValueError):
+        training.train_id_tower(df, 9, dim=4, parent=dict(zip(training.TABLES, out["base"][:2], strict=True)))
+
+
 def test_early_stopping_resumes():
     a = training.EarlyStopping(2, 0.01)
     assert [a.update(x, i) for i, x in enumerate([1.0, 0.5, 0.499])] == [False, False, False]
