@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .stash import stash
+
 #: Ranks and slots are counted in PARTS * PARTS hash buckets, so that no window holds a whole size class or shard.
 PARTS = 64
 
@@ -92,7 +94,9 @@ def shard_by_size(documents: DataFrame, shards: int = 8) -> DataFrame:
         F.md5(text).alias("group"),
         F.xxhash64(text).alias("twin"),
     )
-    groups = docs.groupBy("group", "twin").agg(F.sum("size").alias("bytes"))
+    # texts are read and hashed once
+    docs = stash(docs, "sized-documents")
+    groups = stash(docs.groupBy("group", "twin").agg(F.sum("size").alias("bytes")), "text-groups")
     histogram = groups.groupBy("bytes").agg(F.count(F.lit(1)).alias("n"))
     schedule = lpt_counts([(r["bytes"], r["n"]) for r in histogram.toLocalIterator()], shards)
     spark = documents.sparkSession
