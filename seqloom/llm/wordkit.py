@@ -28,6 +28,8 @@ LOWER[ord("A") : ord("Z") + 1] += 32
 
 BYTE_CODE = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
 RADIX = U64(0x9E3779B97F4A7C15)
+#: Masks of the lowest 0 to 8 bytes.
+LOW_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def powers(n: int, base: np.uint64 = RADIX) -> np.ndarray:
@@ -92,8 +94,17 @@ def spans(inside: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
+def load_blocks(padded: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The `size` (1 to 8) bytes from each position on, as little-endian numbers, out of aligned blocks of eight."""
+    block, shift = at >> 3, ((at & 7) << 3).astype(np.uint64)
+    out = padded[block] >> shift
+    out |= padded[block + 1] << (U64(64) - shift)  # a shift by 64 gives 0
+    out &= LOW_BYTES[size]
+    return out
+
+
 def hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit content hash of each of the disjoint, ascending, non-empty spans.
+    """A 64-bit content hash of each of the non-empty spans.
 
     A span is cut into blocks of eight bytes; each goes, with its place, through the
     finaliser before the sum, so that no arithmetic structure of a text (as with a
@@ -102,15 +113,18 @@ def hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     if not len(starts):
         return np.zeros(0, np.uint64)
     lens = ends - starts
-    first = np.cumsum(lens) - lens
-    within = np.arange(int(first[-1] + lens[-1])) - np.repeat(first, lens)
-    data = buf[within + np.repeat(starts, lens)].astype(np.uint64)
-    data <<= (within & 7).astype(np.uint64) << U64(3)
-    blocks = np.add.reduceat(data, np.flatnonzero(within & 7 == 0))
-    n_blocks = (lens + 7) >> 3
-    edge = np.cumsum(n_blocks) - n_blocks
-    place = (np.arange(len(blocks)) - np.repeat(edge, n_blocks) + 1).astype(np.uint64)
-    return mix(np.add.reduceat(mix(blocks ^ mix(place * RADIX)), edge) + lens.astype(np.uint64))
+    padded = np.zeros((len(buf) >> 3) + 2, "<u8")
+    padded.view(np.uint8)[: len(buf)] = buf
+    total = mix(load_blocks(padded, starts, np.minimum(lens, 8)) ^ mix(np.array([RADIX])))
+    long = np.flatnonzero(lens > 8)
+    if len(long):
+        more = (lens[long] - 1) >> 3
+        edge = np.cumsum(more) - more
+        place = np.arange(int(more.sum())) - np.repeat(edge, more) + 1
+        at = np.repeat(starts[long], more) + (place << 3)
+        blocks = load_blocks(padded, at, np.minimum(np.repeat(ends[long], more) - at, 8))
+        total[long] += np.add.reduceat(mix(blocks ^ mix((place + 1).astype(np.uint64) * RADIX)), edge)
+    return mix(total + lens.astype(np.uint64))
 
 
 def words(buf: np.ndarray, off: np.ndarray, word_bytes: np.ndarray = NOT_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
