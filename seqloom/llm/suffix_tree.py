@@ -20,8 +20,8 @@ document's score needs the values of its n-grams only.
 
 All counts cover the whole training corpus, and every context and transition that
 passes the constant floors and the test is kept, in written tables that grow with the
-corpus.  What is shipped to every task is bounded all the same: the values of n-grams
-that make up 1 / TRANSITIONS of the tokens (words: 1 / HEAD), and bit sets of up to BITS
+corpus.  What is shipped to every task is bounded all the same: the values of the
+SHIPPED words and n-grams seen most, and bit sets of up to BITS
 bits, which only tell what can't be in a table.  Everything else is looked up exactly
 by a shuffle.  Counts and look-ups travel as arrays, one for each task and shard, not as rows.
 """
@@ -39,8 +39,8 @@ from pyspark.sql import types as T
 from .stash import drop_stash, modest_batches, release, stash
 from .wordkit import LOWER, U64, as_int64, chunks, mix, words
 
-#: N-grams of each length and words in the broadcast tables, at most (16 to 24 bytes each); bits of a set that is broadcast.
-TRANSITIONS, HEAD, BITS = 1 << 21, 1 << 22, 1 << 27
+#: Words and n-grams in the broadcast table, at most (24 bytes each); bits of a set that is broadcast.
+SHIPPED, BITS = 1 << 22, 1 << 27
 STRENGTH = 20.0
 #: Transitions counted at least so often are evidence; the divergence test's threshold on the gain in nats.
 LEAST, LEAST_CONTEXT, GAIN = 3, 8, 12.0
@@ -92,12 +92,33 @@ def unigram_rows(batches):
         yield out()
 
 
-def find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions in a sorted table, and whether the keys are there."""
-    if not len(table):
-        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-    return at, table[at] == keys
+class Index:
+    """A sorted table of hashes whose buckets, by the highest bits, say where to look: a key
+    costs two or three steps however large the table is."""
+
+    def __init__(self, table: np.ndarray):
+        self.table = table
+        bits = max(1, len(table).bit_length())
+        self.shift = U64(64 - bits)
+        self.first = np.zeros(1 << bits, np.uint32)
+        np.cumsum(np.bincount((table >> self.shift).astype(np.int64), minlength=1 << bits)[:-1], out=self.first[1:], dtype=np.uint32)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions in the table, and whether the keys are there."""
+        if not len(self.table):
+            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        last = len(self.table) - 1
+        at = np.minimum(self.first[(keys >> self.shift).astype(np.int64)], last).astype(np.int64)
+        there = self.table[at]
+        hit = there == keys
+        behind = np.flatnonzero(there < keys)
+        while len(behind):
+            behind = behind[at[behind] < last]
+            at[behind] += 1
+            there, wanted = self.table[at[behind]], keys[behind]
+            hit[behind] = there == wanted
+            behind = behind[there < wanted]
+        return at, hit
 
 
 def within(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -296,8 +317,15 @@ def fit(documents: DataFrame) -> Fitted:
 
 
 def often(tree: Fitted) -> Column:
-    """What is in the broadcast tables."""
-    return F.when(F.col("n").isNotNull(), F.col("seen") >= tree.total / HEAD).otherwise(F.col("seen") >= tree.total / TRANSITIONS)
+    """What is in the broadcast table: the words and n-grams seen most, by classes of their counts, as many as it holds."""
+    count_class = F.floor(16 * F.log2("seen"))
+    held, least = 0, None
+    for row in tree.values.groupBy(count_class.alias("c")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("c")).collect():
+        held += row["n"]
+        if held > SHIPPED:
+            break
+        least = row["c"]
+    return F.lit(False) if least is None else count_class >= least
 
 
 def arrays(table: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -349,6 +377,7 @@ def scored_rows(tree, filters, shards: int):
         from pyspark import TaskContext
 
         head_key, head_n, head_value, more = tree.value
+        head = Index(head_key)
         tables = [(first.value, second.value) for first, second in filters]
         number = TaskContext.get().partitionId() << 33
         documents, held, size, count = [], [], 0, 0
@@ -366,7 +395,7 @@ def scored_rows(tree, filters, shards: int):
                 tokens, r = token_stream(buf, off)
                 doc = np.repeat(np.arange(n), np.diff(r))
                 total = lambda of, x: np.bincount(of, weights=x, minlength=n)  # noqa: B023, E731
-                at, hit = find(head_key, tokens)
+                at, hit = head.find(tokens)
                 seen = np.where(hit, head_n[at] if len(head_key) else 0, 0)
                 own = np.zeros(n, DOCUMENT)
                 ids = batch.column(0).slice(lo, n)
@@ -376,7 +405,7 @@ def scored_rows(tree, filters, shards: int):
                 missed = [(tokens[~hit], doc[~hit])]
                 for last, a, b in grams(tokens, r, tables):
                     key, of = gram_key(a, b), doc[last]
-                    at, found = find(head_key, key)
+                    at, found = head.find(key)
                     own["gain"] += total(of[found], head_value[at[found]])
                     lack = np.flatnonzero(~found)
                     lack = lack[within(more, key[lack])]
@@ -407,7 +436,7 @@ def looked_up_rows(batches):
         return pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([batch], pa.int64()), pa.array([data], pa.binary())], names=LOOKED.names)
 
     for _, rows in by_shard(batches, len(SENT)):
-        tables, key, n, value = [], None, None, None
+        tables, key, n, value, index = [], None, None, None, None
         for _, kind, batch, data in rows:
             if kind == 0:
                 size = len(data) // 24
@@ -419,9 +448,10 @@ def looked_up_rows(batches):
                     key, n, value = (np.concatenate(x) for x in zip(*tables, strict=True))
                     order = np.argsort(key, kind="stable")
                     key, n, value = key[order], n[order], value[order]
+                    index = Index(key)
                 size = len(data) // 12
                 wanted, of = np.frombuffer(data, np.uint64, size), np.frombuffer(data, np.uint32, size, 8 * size)
-                at, hit = find(key, wanted)
+                at, hit = index.find(wanted)
                 at, of = at[hit], of[hit]
                 if len(at):
                     where, of = np.unique(of, return_inverse=True)
@@ -463,9 +493,10 @@ def score_documents(documents: DataFrame) -> DataFrame:
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     tree = fit(docs.where(in_training()))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rare = tree.values.where(~often(tree))
+    shipping = often(tree)
+    rare = tree.values.where(~shipping)
     more = bit_set(rare.where("n is null"), "key")
-    shipped = spark.sparkContext.broadcast((*arrays(tree.values.where(often(tree))), more))
+    shipped = spark.sparkContext.broadcast((*arrays(tree.values.where(shipping)), more))
     sends = docs.mapInArrow(scored_rows(shipped, tree.filters, parts), SENT).unionByName(rare.select("key", "n", "value").mapInArrow(value_rows(parts), SENT))
     looked = sends.repartition(parts, "shard").sortWithinPartitions("shard", "kind").mapInArrow(looked_up_rows, LOOKED)
     summed = looked.repartition(parts, "batch").sortWithinPartitions("batch", "kind").mapInArrow(summed_documents, SUMMED)

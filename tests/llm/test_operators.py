@@ -295,11 +295,10 @@ class BruteTree:
         return sum(np.log10(self.p(tuple(w[max(0, i - len(self.levels)) : i]), x)) for i, x in enumerate(w))
 
 
-@pytest.mark.parametrize("share", [1 << 20, 16])
-def test_suffix_tree_by_definition(spark, monkeypatch, share):
-    # "q w z" is far below every share of the tokens, but above the constant floors; with 16 it is in no broadcast table
-    monkeypatch.setattr(suffix_tree, "TRANSITIONS", share)
-    monkeypatch.setattr(suffix_tree, "HEAD", share)
+@pytest.mark.parametrize("shipped", [1 << 20, 16, 0])
+def test_suffix_tree_by_definition(spark, monkeypatch, shipped):
+    # "q w z" is rare, but above the constant floors; with 16 it isn't in the broadcast table
+    monkeypatch.setattr(suffix_tree, "SHIPPED", shipped)
     monkeypatch.setattr(suffix_tree, "GATHERED", 500)
     rng = random.Random(5)
     texts = [" ".join(rng.choice("abcd") for _ in range(60)) for _ in range(200)] + ["q w z"] * 40 + ["v w y"] * 40
@@ -575,6 +574,29 @@ def thue_morse(n):
     return word, word.translate(str.maketrans("ab", "ba"))
 
 
+def test_hashes_by_definition():
+    rng = np.random.default_rng(7)
+    data = rng.integers(0, 256, 5000, dtype=np.uint8)
+    starts = rng.integers(0, 4900, 400)
+    ends = starts + rng.integers(1, 60, 400)
+    one = lambda x: int(wordkit.mix(np.array([x % (1 << 64)], np.uint64))[0])
+    radix = int(wordkit.RADIX)
+    for got, lo, hi in zip(wordkit.hash_spans(data, starts, ends).tolist(), starts.tolist(), ends.tolist(), strict=True):
+        blocks = [int.from_bytes(data[at : min(at + 8, hi)].tobytes(), "little") for at in range(lo, hi, 8)]
+        assert got == one(sum(one(x ^ one(i * radix)) for i, x in enumerate(blocks, 1)) + hi - lo)
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 1000])
+def test_index_by_binary_search(n):
+    rng = np.random.default_rng(n)
+    spread = rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2)
+    for table in (np.unique(spread), np.unique(spread >> np.uint64(55)), np.unique(~(spread >> np.uint64(55)))):
+        keys = np.concatenate([table, table + np.uint64(1), np.array([0, 1, (1 << 64) - 1], np.uint64)])
+        at, hit = suffix_tree.Index(table).find(keys)
+        assert (hit == np.isin(keys, table)).all()
+        assert (table[at[hit]] == keys[hit]).all()
+
+
 def test_hashes_tell_structured_texts_apart(spark):
     one, two = thue_morse(2048)
     data = np.frombuffer((one + two).encode(), np.uint8)
