@@ -32,6 +32,11 @@ RADIX = U64(0x9E3779B97F4A7C15)
 LOW_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
+def by_byte(table: np.ndarray, buf: np.ndarray) -> np.ndarray:
+    """The entries (of one byte) of a table of 256 for each byte of a buffer."""
+    return np.frombuffer(buf.tobytes().translate(table.tobytes()), table.dtype)
+
+
 def powers(n: int, base: np.uint64 = RADIX) -> np.ndarray:
     """base ** 0 .. base ** (n - 1) modulo 2 ** 64."""
     out = np.full(max(n, 1), base, dtype=np.uint64)
@@ -129,7 +134,7 @@ def hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
 
 def words(buf: np.ndarray, off: np.ndarray, word_bytes: np.ndarray = NOT_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and hashes of all words, and each text's range of words."""
-    starts, ends = spans(word_bytes[buf], off)
+    starts, ends = spans(by_byte(word_bytes, buf), off)
     return starts, ends, hash_spans(buf, starts, ends), np.searchsorted(starts, off)
 
 
