@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .stash import drop_stash, modest_batches, release, stash
-from .wordkit import LOWER, U64, as_int64, chunks, mix, words
+from .wordkit import LOWER, U64, as_int64, by_byte, chunks, mix, words
 
 #: Words and n-grams in the broadcast table, at most (24 bytes each); bits of a set that is broadcast.
 SHIPPED, BITS = 1 << 22, 1 << 27
@@ -46,8 +46,8 @@ STRENGTH = 20.0
 LEAST, LEAST_CONTEXT, GAIN = 3, 8, 12.0
 #: Tokens of the longest contexts at most; what a level must gain, in nats a training token, for the next one to be grown.
 DEPTH, LEVEL_GAIN = 16, 0.002
-#: N-grams that a task gathers before it sends them on.
-GATHERED = 2_000_000
+#: N-grams that a task gathers before it counts and sends them on, and look-ups that it gathers.
+GATHERED, ASKED = 2_000_000, 500_000
 END = mix(np.array([0x454E44], np.uint64))[0]
 C1, C2 = U64(0x8CB92BA72F3D8DD7), U64(0xABC98388FB8FAC03)
 
@@ -58,7 +58,7 @@ def in_training(folds: int = 7, out: int = 2) -> Column:
 
 def token_stream(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all tokens (each text's words, then its end), and each text's range of them."""
-    _, _, h, r = words(LOWER[buf], off)
+    _, _, h, r = words(by_byte(LOWER, buf), off)
     n = np.diff(r)
     ranges = r + np.arange(len(r))
     out = np.full(len(h) + len(n), END, np.uint64)
@@ -98,17 +98,17 @@ class Index:
 
     def __init__(self, table: np.ndarray):
         self.table = table
-        bits = max(1, len(table).bit_length())
+        bits = max(1, len(table).bit_length() - 1)
         self.shift = U64(64 - bits)
         self.first = np.zeros(1 << bits, np.uint32)
-        np.cumsum(np.bincount((table >> self.shift).astype(np.int64), minlength=1 << bits)[:-1], out=self.first[1:], dtype=np.uint32)
+        np.cumsum(np.bincount((table >> self.shift).view(np.int64), minlength=1 << bits)[:-1], out=self.first[1:], dtype=np.uint32)
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions in the table, and whether the keys are there."""
         if not len(self.table):
             return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
         last = len(self.table) - 1
-        at = np.minimum(self.first[(keys >> self.shift).astype(np.int64)], last).astype(np.int64)
+        at = np.minimum(self.first[(keys >> self.shift).view(np.int64)], last).astype(np.int64)
         there = self.table[at]
         hit = there == keys
         behind = np.flatnonzero(there < keys)
@@ -122,18 +122,18 @@ class Index:
 
 
 def within(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """False for keys that are not in the set; a key has two bits in it."""
-    n = U64(len(bits) * 64 - 1)
-    one, two = keys & n, (keys >> U64(32)) & n
-    return (bits[one >> U64(6)] >> (one & U64(63))) & (bits[two >> U64(6)] >> (two & U64(63))) & U64(1) == 1
+    """False for keys that are not in the set; a key has three bits in one of its words."""
+    word = bits[((keys >> U64(20)) & U64(len(bits) - 1)).view(np.int64)]
+    return (word >> (keys & U64(63))) & (word >> ((keys >> U64(6)) & U64(63))) & (word >> ((keys >> U64(12)) & U64(63))) & U64(1) == 1
 
 
 def bit_set(df: DataFrame, key: str) -> np.ndarray:
-    """A set of the keys: 16 bits for each, up to BITS (a power of two, at most 2 ** 32) in all."""
-    bits = min(BITS, 1 << max(6, (16 * df.count()).bit_length()))
-    both = df.select(F.explode(F.array(F.col(key).bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned(key, 32).bitwiseAND(F.lit(bits - 1)))).alias("bit"))
-    table = both.groupBy(F.shiftright("bit", 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))").alias("bits")).toArrow()
-    out = np.zeros(bits >> 6, np.uint64)
+    """A set of the keys: 16 bits for each, up to BITS (a power of two, at most 2 ** 50) in all."""
+    size = min(BITS, 1 << max(6, (16 * df.count()).bit_length())) >> 6
+    place = F.shiftrightunsigned(key, 20).bitwiseAND(F.lit(size - 1)).alias("at")
+    own = " | ".join(f"shiftleft(1L, cast(shiftright(k, {shift}) & 63 as int))" for shift in (0, 6, 12))
+    table = df.select(place, F.col(key).alias("k")).groupBy("at").agg(F.expr(f"bit_or({own})").alias("bits")).toArrow()
+    out = np.zeros(size, np.uint64)
     out[table.column("at").to_numpy()] = table.column("bits").to_numpy().view(np.uint64)
     return out
 
@@ -166,6 +166,7 @@ def counted_rows(filters, shards: int):
 
     def out(held):
         a, b = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
         key = gram_key(a, b)
         _, at, n = np.unique(key, return_index=True, return_counts=True)
         a, b, shard = a[at], b[at], shards_of(key[at], shards)
@@ -416,7 +417,7 @@ def scored_rows(tree, filters, shards: int):
                         held.append((key, of + count))
                         size += len(key)
                 count += n
-                if size > GATHERED or count > GATHERED:
+                if size > ASKED or count > ASKED:
                     yield from out()
                     documents, held, size, count = [], [], 0, 0
                     number += 1

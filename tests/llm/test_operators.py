@@ -300,6 +300,7 @@ def test_suffix_tree_by_definition(spark, monkeypatch, shipped):
     # "q w z" is rare, but above the constant floors; with 16 it isn't in the broadcast table
     monkeypatch.setattr(suffix_tree, "SHIPPED", shipped)
     monkeypatch.setattr(suffix_tree, "GATHERED", 500)
+    monkeypatch.setattr(suffix_tree, "ASKED", 100)
     rng = random.Random(5)
     texts = [" ".join(rng.choice("abcd") for _ in range(60)) for _ in range(200)] + ["q w z"] * 40 + ["v w y"] * 40
     # a word nearly follows from the four before it
@@ -574,6 +575,14 @@ def thue_morse(n):
     return word, word.translate(str.maketrans("ab", "ba"))
 
 
+def test_bit_sets(spark):
+    rng = np.random.default_rng(3)
+    keys = rng.integers(-(1 << 63), 1 << 63, 20_000)
+    bits = suffix_tree.bit_set(spark.createDataFrame([(int(k),) for k in keys[:10_000]], "key long"), "key")
+    hit = suffix_tree.within(bits, keys.view(np.uint64))
+    assert hit[:10_000].all() and hit[10_000:].mean() < 0.03
+
+
 def test_hashes_by_definition():
     rng = np.random.default_rng(7)
     data = rng.integers(0, 256, 5000, dtype=np.uint8)
