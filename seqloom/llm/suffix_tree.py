@@ -40,7 +40,7 @@ from .stash import drop_stash, modest_batches, release, stash
 from .wordkit import LOWER, U64, as_int64, by_byte, chunks, mix, words
 
 #: Words and n-grams in the broadcast table, at most (24 bytes each); bits of a set that is broadcast.
-SHIPPED, BITS = 1 << 22, 1 << 27
+SHIPPED, BITS = 1 << 21, 1 << 27
 STRENGTH = 20.0
 #: Transitions counted at least so often are evidence; the divergence test's threshold on the gain in nats.
 LEAST, LEAST_CONTEXT, GAIN = 3, 8, 12.0
