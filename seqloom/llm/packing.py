@@ -352,6 +352,41 @@ def plan_patterns(histogram: dict[int, int], capacity: int, waste: float = 0.005
     return [(n, *columns, used[n]) for n, columns in plan.items()], sequence, stream
 
 
+PLAN = T.StructType(
+    [
+        T.StructField("length", T.LongType()),
+        *(T.StructField(c, T.ArrayType(T.LongType())) for c in ("firsts", "per", "uses", "offsets", "fills")),
+        *(T.StructField(c, T.LongType()) for c in ("used", "sequences", "stream")),
+    ]
+)
+
+
+def plan_rows(capacity: int):
+    """The plan of a histogram (length, n): a row per length, with the numbers that hold for all."""
+
+    def run(batches):
+        histogram: dict[int, int] = {}
+        for batch in batches:
+            histogram.update(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        plan, sequences, stream = plan_patterns(histogram, capacity)
+        if plan:
+            rows = [(*p, sequences, stream) for p in plan]
+            kinds = [pa.int64(), *[pa.list_(pa.int64())] * 5, *[pa.int64()] * 3]
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names=PLAN.names)
+
+    return run
+
+
+def planned(rest: DataFrame, capacity: int) -> DataFrame:
+    """plan_patterns of the pieces' lengths, solved in a task of one small table (at most
+    capacity - 1 rows).  Not on the driver: there LAPACK's threads can hang once Spark has
+    started its JVM from the same process; a worker has one thread."""
+    spark = rest.sparkSession
+    histogram = rest.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()
+    rows = spark.createDataFrame([tuple(r) for r in histogram], "length long, n long").coalesce(1)
+    return stash(rows.mapInArrow(plan_rows(capacity), PLAN), "plan")
+
+
 def tail_bounds(total: int, capacity: int) -> np.ndarray:
     """Ends of the sequences that hold `total` tokens laid end to end: full ones, then powers of two."""
     ends = list(range(capacity, total + 1, capacity))
@@ -437,13 +472,12 @@ def pack(documents: DataFrame, capacity: int = CAPACITY, tokenizer: str | None =
     pieces = stash(docs.mapInArrow(piece_rows(path, capacity), PIECE), "pieces")
     release(spark)
     rest = pieces.where(F.col("length") < capacity)
-    histogram = {r["length"]: r["n"] for r in rest.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    plan, n_patterns, n_stream = plan_patterns(histogram, capacity)
+    plan = planned(rest, capacity)
+    # one row per length: at most capacity - 1
+    table, (n_patterns, n_stream) = plan.drop("sequences", "stream"), plan.agg(F.coalesce(F.max("sequences"), F.lit(0)), F.coalesce(F.max("stream"), F.lit(0))).first()
     n_full = pieces.where(F.col("length") == capacity).count()
 
     full = ranked(pieces.where(F.col("length") == capacity), [], ["doc_id", "start", "ids_crc32"], "rank").select(*PIECE.names, (F.col("rank") + n_patterns).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    # one row per length: at most capacity - 1
-    table = spark.createDataFrame(plan, "length long, firsts array<long>, per array<long>, uses array<long>, offsets array<long>, fills array<long>, used long")
     placed = stash(ranked(rest, ["length"], ["doc_id", "start", "ids_crc32"], "rank").join(F.broadcast(table), "length"), "placed")
     at = F.size(F.filter("firsts", lambda x: x <= F.col("rank")))
     use = F.floor((F.col("rank") - F.element_at("firsts", at)) / F.element_at("per", at)).cast("long")

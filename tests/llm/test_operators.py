@@ -5,6 +5,7 @@ import os
 import random
 import subprocess
 import sys
+import time
 import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
@@ -464,10 +465,15 @@ def histograms():
         yield lengths, demand, 1024
 
 
+def in_a_task(spark, work):
+    """work() on a worker, whose linear algebra has one thread."""
+    return spark.sparkContext.parallelize([0], 1).map(lambda _: work()).first()
+
+
 @pytest.mark.parametrize("case", range(8))
-def test_column_generation(case):
+def test_column_generation(spark, case):
     lengths, demand, capacity = list(histograms())[case]
-    found = packing.column_generation(lengths, demand.astype(float), capacity)
+    found = packing.Solution(*in_a_task(spark, lambda: tuple(packing.column_generation(lengths, demand.astype(float), capacity))))
     assert (found.patterns @ lengths <= capacity).all() and (found.amounts >= 0).all()
     assert np.abs(found.patterns.T @ found.amounts - demand).max() <= 1e-6 * demand.max()
     assert found.priced > 0 and found.amounts.sum() <= found.bound * 1.001
@@ -477,6 +483,14 @@ def test_column_generation(case):
         assert found.amounts.sum() >= price @ demand / best_worth(lengths, price, capacity) - 1e-6
 
 
+def test_a_thousand_lengths_after_the_session_has_started(spark):
+    began = time.time()
+    rows = spark.range(1000).selectExpr("id + 24 as length", "id % 7 + 1 as n").selectExpr("length", "explode(sequence(1, n)) as x")
+    plan = packing.planned(rows, 1024)
+    assert plan.count() == 1000 and plan.selectExpr("sum(length * used) <= max(sequences) * 1024 + max(stream)").first()[0]
+    assert time.time() - began < 30
+
+
 def test_column_generation_by_all_patterns():
     """Against the optimum over all patterns of a small case, found by trying all bases."""
     import itertools
