@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import decontaminate, fingerprints, lines, ngram_join, packing, secrets, sharding, substrings, suffix_tree, toxicity
+from . import changes, decontaminate, fingerprints, lines, ngram_join, packing, secrets, sharding, substrings, suffix_tree, toxicity
 from .oracles import ORACLES
 
 
@@ -73,6 +73,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_change_applier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return changes.apply_changes(read_table(spark, sf_dir, "client_changes"))
+
+
 def queries() -> dict:
     return {
         "op1_substring_dedup": op1_substring_dedup,
@@ -85,6 +89,7 @@ def queries() -> dict:
         "op8_ngram_join": op8_ngram_join,
         "op9_secret_scan": op9_secret_scan,
         "op10_decontamination": op10_decontamination,
+        "op11_change_applier": op11_change_applier,
     }
 
 
