@@ -47,4 +47,20 @@ items as (select doc_id, count(*) as n_items, string_agg(item_id, ',' order by i
 select t.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(list, '')) as items_sha256, n_hit is not null as contaminated
 from t left join hits on t.doc_id = hits.doc_id left join items on t.doc_id = items.doc_id"""
 
-ORACLES = {"op1_substring_dedup": SUBSTRINGS, "op2_line_dedup": LINES, "op8_ngram_join": NGRAMS, "op10_decontamination": CONTAMINATION}
+COLLOCATIONS = rf"""
+with p as (select doc_id, coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(coalesce(text, ''), {UPPER}, {SMALL}), '[.,;:!?\x0A-\x0D]')) as piece from documents),
+w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from p),
+g as (select lang, size, unnest(list_transform(range(1, len(w) - size + 2), lambda s: array_to_string(list_slice(w, s, s + size - 1), ' '))) as phrase from w cross join (select unnest([1, 2, 3]) as size)),
+f as (select lang, size, phrase, count(*) as n from g group by all),
+total as (select lang, cast(sum(n) as bigint) as n from f where size = 1 group by lang),
+c as (select lang, size, phrase, n as a, string_split(phrase, ' ') as w from f where size > 1 and n >= 10),
+cut as (select lang, phrase, a, k, array_to_string(list_slice(w, 1, k), ' ') as x, array_to_string(list_slice(w, k + 1, size), ' ') as y from (select *, unnest(range(1, size)) as k from c)),
+s as (select cut.lang, cut.phrase, a, k, fx.n as l, fy.n as r, cast((cast(1000000 as hugeint) * a * a) // (cast(fx.n as hugeint) * fy.n) as bigint) as score
+      from cut join f fx on cut.lang = fx.lang and cut.x = fx.phrase join f fy on cut.lang = fy.lang and cut.y = fy.phrase),
+worst as (select * from s qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+inner_ as (select lang, unnest([array_to_string(list_slice(w, 1, 2), ' '), array_to_string(list_slice(w, 2, 3), ' ')]) as phrase, a as held from c where size = 3),
+kept as (select worst.* from worst left join (select lang, phrase, max(held) as held from inner_ group by all) i on worst.lang = i.lang and worst.phrase = i.phrase where i.held is null or 100 * i.held < 50 * a)
+select kept.lang, row_number() over (partition by kept.lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, total.n, score
+from kept join total on kept.lang = total.lang qualify rank <= 2000"""
+
+ORACLES = {"op1_substring_dedup": SUBSTRINGS, "op2_line_dedup": LINES, "op8_ngram_join": NGRAMS, "op10_decontamination": CONTAMINATION, "op12_collocations": COLLOCATIONS}

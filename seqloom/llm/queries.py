@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import changes, decontaminate, fingerprints, lines, ngram_join, packing, secrets, sharding, substrings, suffix_tree, toxicity
+from . import changes, decontaminate, fingerprints, lines, ngram_join, packing, phrases, quality, secrets, sharding, substrings, suffix_tree, toxicity
 from .oracles import ORACLES
 
 
@@ -77,6 +77,14 @@ def op11_change_applier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.apply_changes(read_table(spark, sf_dir, "client_changes"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine_phrases(read_table(spark, sf_dir, "documents", ["text", "lang"]))
+
+
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(read_table(spark, sf_dir, "documents", ["doc_id", "text"]), read_table(spark, sf_dir, "labels", ["doc_id", "quality"]))
+
+
 def queries() -> dict:
     return {
         "op1_substring_dedup": op1_substring_dedup,
@@ -90,6 +98,8 @@ def queries() -> dict:
         "op9_secret_scan": op9_secret_scan,
         "op10_decontamination": op10_decontamination,
         "op11_change_applier": op11_change_applier,
+        "op12_collocations": op12_collocations,
+        "op13_quality": op13_quality,
     }
 
 
