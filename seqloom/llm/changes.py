@@ -33,7 +33,7 @@ PATIENCE = 3
 #: The day of the first batch, its number of days and the number of batches.
 FIRST_DAY, SPAN, BATCHES = 19723, 160, 12
 #: Sequence numbers are ranked in blocks of so many, which bounds a window's group whatever one client holds.
-BLOCK = 1024
+BLOCK = 128
 #: Changes per bucket: the number of buckets grows with the input.
 BUCKET_ROWS = 20_000
 
