@@ -1,4 +1,4 @@
-"""Exact and approximate inner-product retrieval over vector tables."""
+"""Exact and approximate inner-product retrieval over vector tables: blocked search, an inverted file, hashing."""
 
 from __future__ import annotations
 
@@ -6,77 +6,220 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..sources.staging import materialize
 
-#: Items scored at a time: a block's matrix is broadcast; bytes of the scores that a task holds at a time.
-BLOCK_ITEMS, SCORE_BYTES = 1 << 15, 32 << 20
+#: A block pair's sizes; bytes of the scores that a task holds at a time.
+BLOCK_ITEMS, BLOCK_QUERIES, SCORE_BYTES = 1 << 14, 1 << 12, 32 << 20
 
-SCORED = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("item_id", T.LongType()), T.StructField("score", T.DoubleType())])
+SCORED = "query_id long, item_id long, score double"
+NAMES = ["query_id", "item_id", "score"]
 
 
-def _block_scorer(block, k: int, digits: int):
-    def run(batches):
-        ids, matrix = block.value
-        n = min(k, len(ids))
-        rows = max(1, SCORE_BYTES // (8 * max(1, len(ids))))
-        for batch in batches:
-            for lo in range(0, batch.num_rows if n else 0, rows):
-                part = batch.slice(lo, rows)
-                queries = part.column(0).to_numpy(zero_copy_only=False)
-                vectors = np.array(part.column(1).to_pylist(), np.float64)
-                scores = np.round(vectors @ matrix.T, digits)
-                skip = part.column(2)
-                of = np.repeat(np.arange(len(queries)), np.nan_to_num(skip.value_lengths().to_numpy(zero_copy_only=False).astype(float)).astype(np.int64))
-                gone = skip.flatten().to_numpy(zero_copy_only=False)
-                at = np.minimum(np.searchsorted(ids, gone), len(ids) - 1)
-                hit = ids[at] == gone
-                scores[of[hit], at[hit]] = -np.inf
-                least = np.partition(scores, -n, axis=1)[:, -n]
-                out: list[list[np.ndarray]] = [[], [], []]
-                for q in np.flatnonzero(np.einsum("ij,ij->i", vectors, vectors) > 0):
-                    # items come by id, so a stable sort breaks ties by id
-                    near = np.flatnonzero((scores[q] >= least[q]) & np.isfinite(scores[q]))
-                    best = near[np.argsort(-scores[q, near], kind="stable")[:n]]
-                    for column, value in zip(out, (np.full(len(best), queries[q]), ids[best], scores[q, best]), strict=True):
-                        column.append(value)
-                if out[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=SCORED.names)
+def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Vectors of one length as a matrix."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+
+
+def _best(queries: pa.Table, ids: np.ndarray, vectors: np.ndarray, k: int, digits: int) -> pa.Table:
+    """The k best of the items (by ascending id) for each of the queries (query_id, vector, skip)."""
+    n, rows = min(k, len(ids)), max(1, SCORE_BYTES // (8 * max(1, len(ids))))
+    names, found = queries.column("query_id").to_numpy(), matrix(queries.column("vector"))
+    out: list[list[np.ndarray]] = [[], [], []]
+    for lo in range(0, len(names) if n else 0, rows):
+        own = found[lo : lo + rows]
+        scores = np.round(own @ vectors.T, digits)
+        skip = queries.column("skip").slice(lo, rows).combine_chunks()
+        of = np.repeat(np.arange(len(own)), np.nan_to_num(skip.value_lengths().to_numpy(zero_copy_only=False).astype(float)).astype(np.int64))
+        gone = skip.flatten().to_numpy(zero_copy_only=False)
+        at = np.minimum(np.searchsorted(ids, gone), len(ids) - 1)
+        hit = ids[at] == gone
+        scores[of[hit], at[hit]] = -np.inf
+        least = np.partition(scores, -n, axis=1)[:, -n]
+        for q in np.flatnonzero(np.einsum("ij,ij->i", own, own) > 0):
+            # items come by id, so a stable sort breaks ties by id
+            near = np.flatnonzero((scores[q] >= least[q]) & np.isfinite(scores[q]))
+            best = near[np.argsort(-scores[q, near], kind="stable")[:n]]
+            for column, value in zip(out, (np.full(len(best), names[lo + q]), ids[best], scores[q, best]), strict=True):
+                column.append(value)
+    kinds = (np.int64, np.int64, np.float64)
+    return pa.table([pa.array(np.concatenate(c) if c else np.zeros(0, kind)) for c, kind in zip(out, kinds, strict=True)], names=NAMES)
+
+
+def _pair_scorer(k: int, digits: int):
+    def run(queries: pa.Table, items: pa.Table) -> pa.Table:
+        items = items.sort_by("item_id")
+        return _best(queries, items.column("item_id").to_numpy(), matrix(items.column("vector")), k, digits)
 
     return run
 
 
-def exact_top_k(queries: DataFrame, items: DataFrame, k: int, digits: int = 6, block_items: int | None = None) -> DataFrame:
+def _ranked(parts: DataFrame, k: int) -> DataFrame:
+    """The k best of what the blocks found, per query."""
+    ranked = F.expr("row_number() over (partition by query_id order by score desc, item_id)")
+    return parts.withColumn("rank", ranked).where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long"))
+
+
+def _queries(queries: DataFrame) -> DataFrame:
+    skip = F.col("skip") if "skip" in queries.columns else F.expr("cast(array() as array<bigint>)")
+    return queries.where("vector is not null").select(F.col("query_id").cast("long").alias("query_id"), F.col("vector").cast("array<double>").alias("vector"), skip.alias("skip"))
+
+
+def _items(items: DataFrame) -> DataFrame:
+    return items.where("vector is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("vector").cast("array<double>").alias("vector"))
+
+
+def exact_top_k(queries: DataFrame, items: DataFrame, k: int, digits: int = 6, block_items: int | None = None, block_queries: int | None = None) -> DataFrame:
     """query_id, item_id, score, rank: the k items of largest inner product per query.
 
     queries(query_id, vector) without a vector, or with a zero one, get no rows; so do
     items(item_id, vector) without one.  A column `skip` of queries lists items that a
-    query doesn't want.  Scores are rounded, ties go to the smaller id.  Each block of
-    items keeps its k best per query; the blocks' winners are then ranked together.
-    Blocks follow each other: the driver and the tasks hold one block at a time.
+    query doesn't want.  Scores are rounded, ties go to the smaller id.
+
+    Queries and items are dealt into blocks by hash, and every pair of blocks meets in a
+    shuffle: a task holds one block of each, the driver nothing but the two counts.  Each
+    pair keeps its k best per query; the winners of a query's pairs are ranked together.
     """
-    spark = queries.sparkSession
-    size = block_items or BLOCK_ITEMS
-    whole = items.where("vector is not null").select(F.col("item_id").cast("long").alias("item_id"), "vector")
-    blocks = max(1, -(-whole.count() // size))
-    skip = F.col("skip") if "skip" in queries.columns else F.expr("cast(array() as array<bigint>)")
-    live = queries.where("vector is not null").select(F.col("query_id").cast("long").alias("query_id"), "vector", skip.alias("skip"))
-    if blocks > 1:
-        whole, live = materialize(whole, "items-to-search"), materialize(live, "queries-to-search")
-    parts = None
-    for b in range(blocks):
-        own = whole if blocks == 1 else whole.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
-        table = own.orderBy("item_id").toArrow()
-        matrix = np.array(table.column("vector").to_pylist(), np.float64)
-        block = spark.sparkContext.broadcast((table.column("item_id").to_numpy(), matrix))
-        part = live.mapInArrow(_block_scorer(block, k, digits), SCORED)
-        if blocks > 1:  # written, so that the block can go
-            part = materialize(part, "block-winners")
-            block.destroy()
-        parts = part if parts is None else parts.unionByName(part)
-    ranked = F.expr("row_number() over (partition by query_id order by score desc, item_id)")
-    return parts.withColumn("rank", ranked).where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long"))
+    whole, live = _items(items), _queries(queries)
+    n_items, n_queries = whole.count(), live.count()
+    cores = queries.sparkSession.sparkContext.defaultParallelism
+    across = max(1, -(-n_items // (block_items or BLOCK_ITEMS)))
+    down = max(1, -(-n_queries // (block_queries or BLOCK_QUERIES)), min(cores, -(-n_queries // 256)))
+    q = live.withColumn("row", F.pmod(F.xxhash64("query_id"), F.lit(down))).withColumn("column", F.explode(F.sequence(F.lit(0), F.lit(across - 1))))
+    i = whole.withColumn("column", F.pmod(F.xxhash64("item_id"), F.lit(across)).cast("int")).withColumn("row", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(down - 1).cast("long"))))
+    parts = q.groupBy("row", "column").cogroup(i.groupBy("row", "column")).applyInArrow(_pair_scorer(k, digits), SCORED)
+    return _ranked(parts, k)
+
+
+# An inverted file: centroids learnt by rounds of k-means, items listed by their nearest
+# centroid, a query compared with the lists of the centroids that it is nearest to.
+
+#: Cells: CELL_FACTOR times the root of the number of items, at most MOST_CELLS (their centroids are broadcast, 32 MB of 64 dimensions).
+CELL_FACTOR, MOST_CELLS = 4, 1 << 16
+#: Items of a list that one task holds; longer lists are cut into several.
+LIST_ITEMS = 1 << 14
+
+
+def _nearest(centroids, probes: int):
+    """(id, cell, place) of the `probes` centroids of largest inner product, and the vector."""
+
+    def run(batches):
+        c = centroids.value
+        for batch in batches:
+            vectors = matrix(batch.column(1))
+            if not len(vectors):
+                continue
+            rows = max(1, SCORE_BYTES // (8 * len(c)))
+            best = []
+            for lo in range(0, len(vectors), rows):
+                score = vectors[lo : lo + rows] @ c.T
+                top = np.argpartition(-score, min(probes, len(c)) - 1, axis=1)[:, :probes]
+                best.append(np.take_along_axis(top, np.argsort(-np.take_along_axis(score, top, 1), axis=1, kind="stable"), 1))
+            cells = np.concatenate(best)
+            at = np.repeat(np.arange(len(cells)), cells.shape[1])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(cells.ravel()), pa.array(np.tile(np.arange(cells.shape[1]), len(cells)))], names=["id", "cell", "place"])
+
+    return run
+
+
+def _cell_sums(centroids):
+    """Per cell the sum and number of the vectors whose nearest centroid it is."""
+
+    def run(batches):
+        c = centroids.value
+        total, n = np.zeros_like(c), np.zeros(len(c), np.int64)
+        for batch in batches:
+            vectors = matrix(batch.column(0))
+            rows = max(1, SCORE_BYTES // (8 * len(c)))
+            for lo in range(0, len(vectors), rows):
+                own = vectors[lo : lo + rows]
+                cell = (own @ c.T).argmax(1)
+                np.add.at(total, cell, own)
+                n += np.bincount(cell, minlength=len(c))
+        used = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(n[used]), pa.array(list(total[used]), pa.list_(pa.float64()))], names=["cell", "n", "total"])
+
+    return run
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    norm = np.linalg.norm(x, axis=1, keepdims=True)
+    return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+
+
+class VectorIndex:
+    """lists(cell, part, item_id, vector) in the shared folder, unit centroids, and the number of parts of each cell."""
+
+    def __init__(self, lists: DataFrame, centroids: np.ndarray, n_items: int):
+        self.lists, self.centroids, self.n_items = lists, centroids, n_items
+        self.shared = lists.sparkSession.sparkContext.broadcast(centroids) if len(centroids) else None
+
+    @classmethod
+    def build(cls, items: DataFrame, cells: int | None = None, rounds: int = 8, seed: int = 7) -> VectorIndex:
+        """Spherical k-means over all items from `cells` hashed ones; an empty cell keeps its centroid."""
+        spark = items.sparkSession
+        whole = materialize(_items(items), "items-to-index")
+        n = whole.count()
+        if not n:
+            return cls(spark.createDataFrame([], "cell long, part long, item_id long, vector array<double>"), np.zeros((0, 0)), 0)
+        cells = min(n, MOST_CELLS, cells or max(1, int(CELL_FACTOR * n**0.5)))
+        first = whole.orderBy(F.xxhash64("item_id", F.lit(seed)), "item_id").limit(cells).toArrow()  # bounded by MOST_CELLS
+        centroids = _unit(matrix(first.column("vector")))
+        for _ in range(rounds):
+            shared = spark.sparkContext.broadcast(centroids)
+            sums = whole.select("vector").mapInArrow(_cell_sums(shared), "cell long, n long, total array<double>").select("cell", F.posexplode("total").alias("d", "x")).groupBy("cell", "d").agg(F.sum("x").alias("x"))
+            table = sums.groupBy("cell").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda v: v["x"]).alias("total")).toArrow()  # a row per cell
+            moved = centroids.copy()
+            moved[table.column("cell").to_numpy()] = matrix(table.column("total"))
+            moved, before = _unit(moved), centroids
+            centroids = np.where((np.linalg.norm(moved, axis=1) > 0)[:, None], moved, before)
+            shared.destroy()
+            if np.abs(centroids - before).max() < 1e-9:
+                break
+        index = cls(whole, centroids, n)
+        of = whole.select("item_id", "vector").mapInArrow(_nearest(index.shared, 1), "id long, cell long, place long").select(F.col("id").alias("item_id"), "cell")
+        placed = whole.join(of, "item_id")
+        sizes = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / LIST_ITEMS).alias("parts"))
+        index.lists = materialize(placed.join(sizes, "cell").select("cell", F.pmod(F.xxhash64("item_id"), F.col("parts")).alias("part"), "parts", "item_id", "vector"), "inverted-lists")
+        return index
+
+    def top_k(self, queries: DataFrame, k: int, probes: int, digits: int = 6) -> DataFrame:
+        """As exact_top_k, among the items of the `probes` lists whose centroids have the largest inner product with the query."""
+        live = _queries(queries)
+        if not self.n_items:
+            return _ranked(live.sparkSession.createDataFrame([], SCORED), k)
+        cells = live.select("query_id", "vector").mapInArrow(_nearest(self.shared, probes), "id long, cell long, place long").select(F.col("id").alias("query_id"), "cell")
+        parts = self.lists.select("cell", "part").distinct()
+        q = live.join(cells, "query_id").join(parts, "cell").select(F.col("cell").alias("c"), F.col("part").alias("p"), "query_id", "vector", "skip")
+        found = q.groupBy("c", "p").cogroup(self.lists.select("cell", "part", "item_id", "vector").groupBy("cell", "part")).applyInArrow(_pair_scorer(k, digits), SCORED)
+        return _ranked(found, k)
+
+    def compared(self, queries: DataFrame, probes: int) -> float:
+        """The share of all (query, item) pairs that a search compares."""
+        live = _queries(queries)
+        cells = live.select("query_id", "vector").mapInArrow(_nearest(self.shared, probes), "id long, cell long, place long")
+        pairs = cells.join(self.lists.groupBy("cell").agg(F.count(F.lit(1)).alias("n")), "cell").agg(F.sum("n")).first()[0] or 0
+        return pairs / max(1, self.n_items * live.count())
+
+    def probes_for(self, queries: DataFrame, k: int, recall: float = 0.97, sample: int = 256) -> int:
+        """The least number of probes (by halving steps) with which `sample` queries, the first by hash,
+        find the share `recall` of what exact search finds for them."""
+        few = materialize(_queries(queries).orderBy(F.xxhash64("query_id"), "query_id").limit(sample), "tried-queries")
+        exact = materialize(exact_top_k(few, self.lists, k).select("query_id", "item_id"), "tried-exact")
+        n = exact.count()
+        # the place of each exact neighbour's cell in its query's order says how many probes find it
+        cell = self.lists.select("item_id", "cell")
+        order = few.select("query_id", "vector").mapInArrow(_nearest(self.shared, len(self.centroids)), "id long, cell long, place long").select(F.col("id").alias("query_id"), "cell", "place")
+        places = exact.join(cell, "item_id").join(order, ["query_id", "cell"]).groupBy("place").agg(F.count(F.lit(1)).alias("n")).orderBy("place").collect()  # a row per cell
+        total = 0
+        for r in places:
+            total += r["n"]
+            if total >= recall * n:
+                return r["place"] + 1
+        return max(1, len(self.centroids))
 
 
 def _buckets(planes: np.ndarray, probes: int):

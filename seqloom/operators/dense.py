@@ -2,32 +2,43 @@
 
 from pyspark.sql import functions as F
 
-from ..functions.dense import exact_top_k, lsh_top_k
+from ..functions.dense import VectorIndex, exact_top_k, lsh_top_k
 from ..plans.graph import Operator
 
 TOP_SQL = """
     select query_id, item_id, score, cast(place as bigint) as rank from (
         select *, row_number() over (partition by query_id order by score desc, item_id) as place from (
             select q.query_id, i.item_id, round(@dot(q.vector, i.vector), 6) as score from {query_vectors} q cross join {index_vectors} i {filter}) s) r
-    where place <= 50"""
+    where place <= 500"""
+
+
+#: Dense lists hold so many items, the largest K that is evaluated.
+TOP = 500
 
 
 def _top(query_vectors, index_vectors):
-    return exact_top_k(query_vectors, index_vectors, 50)
+    return exact_top_k(query_vectors, index_vectors, TOP)
 
 
 def _top_lsh(query_vectors, index_vectors):
-    return lsh_top_k(query_vectors, index_vectors, 50)
+    return lsh_top_k(query_vectors, index_vectors, TOP)
+
+
+def _top_index(query_vectors, index_vectors):
+    """The inverted file's lists, with as many probes as a sample of the queries needs."""
+    index = VectorIndex.build(index_vectors)
+    return index.top_k(query_vectors, TOP, index.probes_for(query_vectors, TOP) if index.n_items else 1)
 
 
 def _top_unseen(query_vectors, index_vectors, history_items):
-    """Top 50 without the query's own history, which the kernel leaves out per query."""
+    """The best without the query's own history, which the kernel leaves out per query."""
     skip = history_items.groupBy("query_id").agg(F.collect_set("item_id").alias("skip"))
-    return exact_top_k(query_vectors.join(skip, "query_id", "left"), index_vectors, 50)
+    return exact_top_k(query_vectors.join(skip, "query_id", "left"), index_vectors, TOP)
 
 
 def _channel_top(channel_vectors, index_vectors):
-    return exact_top_k(channel_vectors, index_vectors, 100)
+    return exact_top_k(channel_vectors, index_vectors, TOP)
+
 
 DENSE = {
     "vector_rows": """
@@ -48,14 +59,23 @@ DENSE = {
         from {history_dims} h join (select sample_id, sqrt(sum(value * value)) as norm from {history_dims} group by sample_id) n on h.sample_id = n.sample_id""",
     "query_vectors": """
         select sample_id as query_id, @map(@pack(dim, value), x.value) as vector from {user_vectors} group by sample_id""",
-    "indexed_candidates": """
-        select c.item_oid, c.item_rid, c.retrieval_id, cast(row_number() over (order by c.retrieval_id) - 1 as bigint) as row_number
+    "train_candidates": """
+        select c.item_oid, c.item_rid, c.retrieval_id, cast(floor(c.retrieval_id / 4096.0) as bigint) as id_range
         from {eval_candidates} c join {item_train_counts} t on c.item_rid = t.item_rid""",
+    "indexed_candidates": Operator(
+        """
+        select c.item_oid, c.item_rid, c.retrieval_id, cast(r.before + row_number() over (partition by c.id_range order by c.retrieval_id) - 1 as bigint) as row_number
+        from {train_candidates} c
+        join (select id_range, cast(coalesce(sum(n) over (order by id_range rows between unbounded preceding and 1 preceding), 0) as bigint) as before
+              from (select id_range, count(*) as n from {train_candidates} group by id_range) x) r on c.id_range = r.id_range""",
+        "select item_oid, item_rid, retrieval_id, cast(row_number() over (order by retrieval_id) - 1 as bigint) as row_number from {train_candidates}",
+    ),
     "index_vectors": """
         select v.item_rid as item_id, @map(v.emb, cast(x as double)) as vector from {vector_rows} v
         where v.item_rid in (select item_rid from {item_train_counts})""",
     "dense_topk_exact": Operator(function=_top, takes=("query_vectors", "index_vectors"), oracle=TOP_SQL.replace("{filter}", "")),
     "dense_topk_lsh": Operator(function=_top_lsh, takes=("query_vectors", "index_vectors")),
+    "dense_topk_index": Operator(function=_top_index, takes=("query_vectors", "index_vectors")),
     # the dense channel: pooled histories of the evaluation's samples in three variants, the query's number being 4 * sample + variant
     "pooling": """
         select * from (values ('dense_all', 0, 1000000000, true), ('dense_recent20', 1, 20, true), ('dense_clicks', 2, 1000000000, false)) x(variant, place, history_limit, exposures)""",
@@ -70,7 +90,7 @@ DENSE = {
         from (select d.query_id, d.dim, round(d.value / nullif(n.norm, 0), 6) as unit
               from {channel_dims} d join (select query_id, sqrt(sum(value * value)) as norm from {channel_dims} group by query_id) n on d.query_id = n.query_id) h
         group by h.query_id""",
-    "channel_top": Operator(function=_channel_top, takes=("channel_vectors", "index_vectors"), oracle=TOP_SQL.replace("{filter}", "").replace("{query_vectors}", "{channel_vectors}").replace("<= 50", "<= 100")),
+    "channel_top": Operator(function=_channel_top, takes=("channel_vectors", "index_vectors"), oracle=TOP_SQL.replace("{filter}", "").replace("{query_vectors}", "{channel_vectors}")),
     "dense_retrieve": """
         select p.variant, q.split, q.sample_id, t.item_id as item_rid, t.score, t.rank
         from {query_samples} q cross join {pooling} p join {channel_top} t on t.query_id = q.sample_id * 4 + p.place""",
@@ -85,20 +105,22 @@ DENSE = {
         takes=("query_vectors", "index_vectors", "history_items"),
         oracle=TOP_SQL.replace("{filter}", "where not exists (select 1 from {history_items} h where h.query_id = q.query_id and h.item_id = i.item_id)"),
     ),
-    # all queries' hashed lists against their exact ones, cut at the same k
+    # all queries' lists by hashing and by the inverted file against their exact ones, cut at the same k
+    "ann_lists": """
+        select 'hashing' as method, query_id, item_id, rank from {dense_topk_lsh} union all select 'inverted_file', query_id, item_id, rank from {dense_topk_index}""",
     "ann_recall_audit": """
-        select k, avg(overlap) as mean_overlap, @percentile(overlap, 0.05) as p05_overlap, @percentile(overlap, 0.5) as p50_overlap, min(overlap) as min_overlap, count(*) as query_count
-        from (select k.k, e.query_id, cast(count(a.item_id) as double) / count(*) as overlap
-              from {dense_topk_exact} e join (select cast(k as bigint) as k from (values (10), (20), (50)) v(k)) k on e.rank <= k.k
-              left join {dense_topk_lsh} a on e.query_id = a.query_id and e.item_id = a.item_id and a.rank <= k.k group by k.k, e.query_id) o
-        group by k""",
+        select method, k, avg(overlap) as mean_overlap, @percentile(overlap, 0.05) as p05_overlap, @percentile(overlap, 0.5) as p50_overlap, min(overlap) as min_overlap, count(*) as query_count
+        from (select k.method, k.k, e.query_id, cast(count(a.item_id) as double) / count(*) as overlap
+              from {dense_topk_exact} e join (select m.method, cast(k as bigint) as k from (values (10), (50), (100), (500)) v(k) cross join (values ('hashing'), ('inverted_file')) m(method)) k on e.rank <= k.k
+              left join {ann_lists} a on a.method = k.method and e.query_id = a.query_id and e.item_id = a.item_id and a.rank <= k.k group by k.method, k.k, e.query_id) o
+        group by method, k""",
     "two_tower_metrics": """
         select k.k as k, count(*) as sample_count, cast(@count_if(rank <= k.k) as double) / count(*) as recall,
                round(sum(case when rank <= k.k then 1.0e0 / @ilog2(rank + 1.0e0) else 0.0e0 end) / count(*), 6) as ndcg
         from (select s.sample_id, case when i.strength_group = 'Unseen' then null else r.rank end as rank
               from {val_samples} s join {item_strength} i on s.target_item_rid = i.item_rid
               left join {dense_topk_exact} r on s.sample_id = r.query_id and s.target_item_rid = r.item_id) x
-        cross join (select cast(k as bigint) as k from (values (10), (50)) v(k)) k group by k.k""",
+        cross join (select cast(k as bigint) as k from (values (10), (50), (100), (500)) v(k)) k group by k.k""",
     "strength_gate": """
         select item_rid, train_event_count, case when train_event_count = 0 then 0.0e0
                else round(1.0e0 / (1.0e0 + exp(0 - (ln(1 + exp(0.5e0)) * @log1p(train_event_count) - 1.0e0))), 6) end as gate

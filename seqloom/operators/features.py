@@ -23,8 +23,16 @@ FEATURES = {
         union select 'item', 'f101', f.f101 from {item_features} f join {item_train_counts} t on f.item_rid = t.item_rid where f.f101 is not null
         union select 'item', 'f102', f.f102 from {item_features} f join {item_train_counts} t on f.item_rid = t.item_rid where f.f102 is not null
         union select 'item', 'f121', f.f121 from {item_features} f join {item_train_counts} t on f.item_rid = t.item_rid where f.f121 is not null""",
-    "feature_vocab": """
-        select entity, field, value, cast(2 + row_number() over (partition by entity, field order by value) as bigint) as token from {vocab_values}""",
+    # numbered within ranges of values, to which the sizes of the field's earlier ranges are added
+    "feature_vocab": Operator(
+        """
+        select v.entity, v.field, v.value, cast(2 + r.before + row_number() over (partition by v.entity, v.field, r.value_range order by v.value) as bigint) as token
+        from {vocab_values} v
+        join (select entity, field, value_range, coalesce(sum(n) over (partition by entity, field order by value_range rows between unbounded preceding and 1 preceding), 0) as before
+              from (select entity, field, cast(floor(value / 4096.0) as bigint) as value_range, count(*) as n from {vocab_values} group by 1, 2, 3) c) r
+          on v.entity = r.entity and v.field = r.field and cast(floor(v.value / 4096.0) as bigint) = r.value_range""",
+        "select entity, field, value, cast(2 + row_number() over (partition by entity, field order by value) as bigint) as token from {vocab_values}",
+    ),
     "user_lists": """
         select x.user_id, x.place, coalesce(v.token, 2) as token from (
             select user_id, cast(row_number() over (partition by user_id order by v) - 1 as bigint) as place, v from (select user_id, @explode(f106) as v from {user_raw}) e) x
@@ -128,14 +136,16 @@ FEATURES = {
         select s.sample_id, s.gap_seconds, least(s.short_length, coalesce(l.short_events, s.short_length)) as short_kept, least(s.long_length, coalesce(l.long_events, s.long_length)) as long_kept,
                coalesce(s.short_length > l.short_events, false) as short_truncated, coalesce(s.long_length > l.long_events, false) as long_truncated
         from {session_split} s cross join {batch_limits} l""",
-    "length_ranks": """
-        select gap_seconds, short_length, row_number() over (partition by gap_seconds order by short_length, sample_id) as place, count(*) over (partition by gap_seconds) as n from {session_split}""",
+    # quantiles from the histogram of lengths: its rows are the distinct lengths of a gap, not the samples
+    "length_counts": """
+        select gap_seconds, short_length, sum(n) over (partition by gap_seconds order by short_length) as upto, sum(n) over (partition by gap_seconds) as n
+        from (select gap_seconds, short_length, count(*) as n from {session_split} group by gap_seconds, short_length) x""",
     "session_gap_stats": """
-        select l.gap_seconds, max(l.n) as sample_count,
-               max(case when l.place = ceil(0.5e0 * (l.n - 1)) + 1 then l.short_length end) as p50, max(case when l.place = ceil(0.9e0 * (l.n - 1)) + 1 then l.short_length end) as p90,
-               max(case when l.place = ceil(0.95e0 * (l.n - 1)) + 1 then l.short_length end) as p95, max(case when l.place = ceil(0.99e0 * (l.n - 1)) + 1 then l.short_length end) as p99,
+        select l.gap_seconds, cast(max(l.n) as bigint) as sample_count,
+               min(case when l.upto >= ceil(0.5e0 * (l.n - 1)) + 1 then l.short_length end) as p50, min(case when l.upto >= ceil(0.9e0 * (l.n - 1)) + 1 then l.short_length end) as p90,
+               min(case when l.upto >= ceil(0.95e0 * (l.n - 1)) + 1 then l.short_length end) as p95, min(case when l.upto >= ceil(0.99e0 * (l.n - 1)) + 1 then l.short_length end) as p99,
                max(r.empty_long) as empty_long, max(r.single_short) as single_short, max(r.truncated) as truncated
-        from {length_ranks} l
+        from {length_counts} l
         join (select gap_seconds, cast(@count_if(long_length = 0) as double) / count(*) as empty_long, cast(@count_if(short_length = 1) as double) / count(*) as single_short,
                      cast(@count_if(short_length > 20) as double) / count(*) as truncated from {session_split} group by gap_seconds) r on l.gap_seconds = r.gap_seconds
         group by l.gap_seconds""",

@@ -2,6 +2,7 @@
 
 from pyspark.sql import DataFrame
 
+from ..functions.quantiles import exact_quantiles
 from ..plans.graph import Operator
 
 
@@ -12,6 +13,14 @@ def first_users(interactions: DataFrame, max_users: int | None = None) -> DataFr
     return interactions.join(interactions.select("user_id").distinct().orderBy("user_id").limit(max_users), "user_id", "left_semi")
 
 
+
+
+def _gap_quantiles(gaps):
+    """One row, by histograms that are refined round by round: gaps are as many as events."""
+    found = exact_quantiles(gaps, "gap", {"p50": 0.5, "p90": 0.9, "p99": 0.99})
+    return gaps.sparkSession.createDataFrame([tuple(found[c] for c in ("count", "p50", "p90", "p99", "maximum"))], "gap_count long, p50 double, p90 double, p99 double, maximum long")
+
+
 PROFILE = {
     # scans and scalar conversions
     "scan_projection": "select user_id, pos, item_rid, action_type, ts from {interactions}",
@@ -94,9 +103,13 @@ PROFILE = {
         from {user_action_ratios}""",
     "gaps": """
         select user_id, pos, ts, ts - lag(ts) over (partition by user_id order by pos) as gap from {interactions}""",
-    "gap_quantiles": """
+    "gap_quantiles": Operator(
+        function=_gap_quantiles,
+        takes=("gaps",),
+        oracle="""
         select count(gap) as gap_count, @percentile(gap, 0.5) as p50, @percentile(gap, 0.9) as p90, @percentile(gap, 0.99) as p99, max(gap) as maximum
         from {gaps} where gap is not null""",
+    ),
     "gap_log_histogram": """
         select bin, count(*) as gap_count from (
             select cast(least(119, floor(@log1p(gap) * 120 / top)) as bigint) as bin

@@ -37,12 +37,19 @@ PROTOCOL = {
                avg(case when action_type = 1 then cast(history_end as double) end) as mean_history
         from {interactions}""",
     # splits
-    "timestamp_counts": "select target_timestamp as ts, count(*) as n from {next_click_samples} group by target_timestamp",
+    # seconds of the samples (clicks with an event before them), counted without positions; sums run over days, then within a day
+    "timestamp_counts": """
+        select e.ts, cast(floor(e.ts / 86400.0) as bigint) as day, count(*) as n
+        from {events_plain} e join (select user_id, min(ts) as first_ts from {events_plain} group by user_id) f on e.user_id = f.user_id
+        where e.action_type = 1 and e.ts > f.first_ts group by e.ts""",
     "boundaries": """
-        select ts, cast(coalesce(sum(n) over (order by ts rows between unbounded preceding and 1 preceding), 0) as double) as before, cast(sum(n) over () as double) as total,
-               row_number() over (order by ts) as place, count(*) over () as places
-        from {timestamp_counts}""",
-    "first_cutoff": Operator(row=True, sql="select @arg_min(ts, abs(before - total * 0.8e0), ts) as validation_start from {boundaries} where place > 1 and place < places"),
+        select t.ts, cast(d.before + coalesce(sum(t.n) over (partition by t.day order by t.ts rows between unbounded preceding and 1 preceding), 0) as double) as before,
+               a.total, t.ts > a.least and t.ts < a.most as inside
+        from {timestamp_counts} t
+        join (select day, coalesce(sum(n) over (order by day rows between unbounded preceding and 1 preceding), 0) as before
+              from (select day, sum(n) as n from {timestamp_counts} group by day) x) d on t.day = d.day
+        cross join (select cast(sum(n) as double) as total, min(ts) as least, max(ts) as most from {timestamp_counts}) a""",
+    "first_cutoff": Operator(row=True, sql="select @arg_min(ts, abs(before - total * 0.8e0), ts) as validation_start from {boundaries} where inside"),
     "temporal_cutoffs": Operator(row=True, sql="""
         select max(c.validation_start) as validation_start, @arg_min(ts, abs(before - total * (0.8e0 + 0.1e0)), ts) as test_start
         from {boundaries} cross join {first_cutoff} c where ts > c.validation_start"""),
@@ -87,7 +94,7 @@ PROTOCOL = {
         from {split_samples} s left join {candidates} c on s.target_item_oid = c.item_oid group by s.split""",
     # strength
     "item_train_counts": """
-        select e.item_rid, count(*) as train_event_count from {interactions} e cross join {temporal_cutoffs} c where e.ts < c.validation_start group by e.item_rid""",
+        select e.item_rid, count(*) as train_event_count from {events_plain} e cross join {temporal_cutoffs} c where e.ts < c.validation_start group by e.item_rid""",
     "strength_thresholds": Operator(row=True, sql="""
         select @percentile(train_event_count, 0.5) as p50, @percentile(train_event_count, 0.9) as p90, count(*) as seen_items, cast(sum(train_event_count) as bigint) as counted_events
         from {item_train_counts}"""),

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources.staging import materialize
+from ..sources.staging import bucketed, materialize
 from ..sources.tables import read_table
 from .dialect import DUCKDB, SPARK, expand
 
@@ -38,10 +38,12 @@ class Operator:
 
 class Graph:
     """keep: operators that are written to the shared folder where a plan needs them more
-    than once (Spark has no common table expressions that are computed once)."""
+    than once (Spark has no common table expressions that are computed once).
+    buckets: operators that are always written, in buckets of these keys, so that an
+    equi-join on the keys reads them without a shuffle."""
 
-    def __init__(self, operators: Mapping[str, Operator | str], keep: frozenset[str] = frozenset()):
-        self.keep = keep
+    def __init__(self, operators: Mapping[str, Operator | str], keep: frozenset[str] = frozenset(), buckets: Mapping[str, tuple[str, ...]] | None = None):
+        self.keep, self.buckets = keep, dict(buckets or {})
         self.operators = {k: o if isinstance(o, Operator) else Operator(o) for k, o in operators.items()}
 
     def inputs(self, name: str, oracle: bool = False) -> list[str]:
@@ -58,8 +60,9 @@ class Graph:
 
         def count(node: str) -> None:
             for x in self.inputs(node):
-                uses[x] = uses.get(x, 0) + 1
-                if uses[x] == 1 and x in self.operators and x not in given:
+                seen = x in uses
+                uses[x] = uses.get(x, 0) + max(1, len(re.findall(rf"\{{{x}\}}", self.operators[node].sql)))
+                if not seen and x in self.operators and x not in given:
                     count(x)
 
         if name in self.operators:
@@ -71,7 +74,13 @@ class Graph:
                     op = self.operators[node]
                     frames = {x: build(x) for x in self.inputs(node)}
                     df = op.function(**frames) if op.function else spark.sql(expand(op.sql, SPARK), **frames)
-                    done[node] = spark.createDataFrame(df.limit(2).collect(), df.schema) if op.row else materialize(df, node) if node in self.keep and uses.get(node, 0) > 1 else df
+                    if op.row:
+                        df = spark.createDataFrame(df.limit(2).collect(), df.schema)
+                    elif node in self.buckets and node != name:
+                        df = bucketed(df, node, self.buckets[node])
+                    elif node in self.keep and uses.get(node, 0) > 1:
+                        df = materialize(df, node)
+                    done[node] = df
                 elif root is None or node not in TABLES:
                     raise KeyError(f"{node} is neither an operator nor given")
                 else:

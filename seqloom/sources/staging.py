@@ -30,3 +30,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, label: str, keys: tuple[str, ...]) -> DataFrame:
+    """As materialize, but in as many buckets of the keys as a shuffle has partitions: a join on all
+    of the keys then shuffles the other side only.  The table's name ends with the session."""
+    spark = df.sparkSession
+    name = f"{label}_{uuid.uuid4().hex}"
+    path, n = f"{shared_folder(spark)}/{name}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartition(n, *keys)  # one file a bucket
+    dealt.write.bucketBy(n, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.table(name)
