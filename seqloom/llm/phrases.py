@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from .stash import modest_batches, release, stash
 from .wordkit import LOWER, U64, buffer_of, by_byte, chunks, hash_spans, mix, spans
 
-#: Words of one suffix array.
-SHARD_WORDS = 1 << 21
+#: Words of one suffix array, and rows of a batch of results.
+SHARD_WORDS, BATCH_ROWS = 1 << 20, 1 << 16
 #: The bit set has BITS_A_KEY bits a frequent phrase, and at most MAX_BITS (16 MB); beyond that it is left out.
 BITS_A_KEY, MAX_BITS = 16, 1 << 27
 
@@ -198,8 +198,9 @@ def count_phrases(sizes: range, frequent):
             for size in sizes:
                 first, n = intervals(ids, order, lcp, size)
                 first = back[first]
-                if len(first):
-                    yield pa.RecordBatch.from_arrays([names.take(pa.array(lang[first])), phrase_texts(words, word, first, size), pa.array(n)], names=["lang", "phrase", "n"])
+                for lo in range(0, len(first), BATCH_ROWS):
+                    some = first[lo : lo + BATCH_ROWS]
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(lang[some])), phrase_texts(words, word, some, size), pa.array(n[lo : lo + BATCH_ROWS])], names=["lang", "phrase", "n"])
             if sizes[0] == 1:
                 total = np.bincount(lang[:own], minlength=len(names))
                 yield pa.RecordBatch.from_arrays([names, pa.array([""] * len(names)), pa.array(total)], names=["lang", "phrase", "n"])
