@@ -2,9 +2,9 @@
 
 Each task numbers the words of its texts shard by shard (a bounded number of words),
 sorts all suffixes of the shard by prefix doubling and reads the n-gram counts off the
-LCP intervals; Spark adds the shards' counts by (lang, phrase).  Words and pairs come
-first.  A longer phrase occurs no more often than those inside it, so its suffixes
-are taken only where both of the phrases that are one word shorter are frequent; a bit set
+LCP intervals; Spark adds the shards' counts by (lang, phrase).  Words come first.  A
+longer phrase occurs no more often than those inside it, so its suffixes are taken
+only where both of the phrases that are one word shorter are frequent; a bit set
 of those, of bounded size, is broadcast, and where they don't fit, nothing is left out
 before the shuffle.  The bit set saves shuffling and changes no count.
 """
@@ -43,15 +43,13 @@ def suffix_array(ids: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]
     Prefix doubling: a round gives every position the rank of its first 2 * width ids from
     the ranks of the first width.  What follows a break only splits ties after it.
     """
-    n = len(ids)
-    rank, width = ids.astype(np.int64), 1
+    starts = np.flatnonzero(ids)
+    rank, width = np.concatenate([ids.astype(np.int64), np.zeros(longest, np.int64)]), 1
     while width < longest:
-        ahead = np.zeros(n, np.int64)
-        ahead[: max(0, n - width)] = rank[width:]
-        _, following = np.unique(rank * (int(rank.max(initial=0)) + 1) + ahead, return_inverse=True)
-        rank = np.where(ids == 0, 0, following + 1)
+        pair = rank[starts] * (int(rank.max(initial=0)) + 1)
+        pair += rank[starts + width]
+        rank[starts] = np.unique(pair, return_inverse=True)[1] + 1
         width *= 2
-    starts = np.flatnonzero(ids)
     order = starts[np.argsort(rank[starts], kind="stable")]
     lcp, same = np.zeros(len(order), np.int64), np.ones(max(0, len(order) - 1), bool)
     padded = np.concatenate([ids, np.zeros(longest, ids.dtype)])
@@ -167,9 +165,8 @@ def count_phrases(sizes: range, frequent):
         for word, cut, lang, own, words in shard.parts(longest):
             place = np.arange(len(word)) + np.cumsum(cut)  # a break before each cut
             ids = np.zeros(int(place[-1]) + 1, np.int64)
-            code = word * len(names) + lang
-            ids[place] = np.unique(code, return_inverse=True)[1] + 1
-            back = np.zeros(len(ids), np.int64)
+            ids[place] = word * len(names) + lang + 1
+            back = np.zeros(len(ids), np.int32)
             back[place] = np.arange(len(word))
             if frequent is not None:
                 if marks is None:
@@ -272,10 +269,10 @@ def frequent_phrases(documents: DataFrame, least: int, longest: int) -> DataFram
         rows = docs.mapInArrow(count_phrases(sizes, bits), COUNTS)
         return stash(rows.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | (F.col("phrase") == "")), "phrases")
 
-    found = summed(range(1, min(2, longest) + 1), None)
+    found = summed(range(1, 2), None)
     release(documents.sparkSession)
-    last = found.where(words_of("phrase") == 2)
-    for size in range(3, longest + 1):
+    last = found.where("phrase <> ''")
+    for size in range(2, longest + 1):
         last = summed(range(size, size + 1), bit_set(last))
         release(documents.sparkSession)
         found = found.unionByName(last)
