@@ -21,17 +21,26 @@ def shared_folder(spark: SparkSession) -> str:
     return root
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, by: tuple[str, ...] = ()) -> DataFrame:
     """Write df to the shared folder and return the written table: its lineage ends
-    there, so a lost executor costs no recomputation of what came before."""
+    there, so a lost executor costs no recomputation of what came before.  Columns in
+    `by` become folders, of which a filter on them reads only its own."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete a materialized table that nothing reads any more."""
+    spark = df.sparkSession
+    for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def bucketed(df: DataFrame, label: str, keys: tuple[str, ...]) -> DataFrame:
     """As materialize, but in as many buckets of the keys as a shuffle has partitions: a join on all
     of the keys then shuffles the other side only.  The table's name ends with the session."""

@@ -1,130 +1,18 @@
-"""Tower kernels, training, retrieval, contracts, sinks, runner, sessions."""
+"""Early stopping, retrieval, contracts, sinks, runner, sessions."""
 
 import numpy as np
 import pytest
 
-from seqloom.functions import dense, towers, training
+from seqloom.functions import dense, training
 from seqloom.plans import contracts, runner
 from seqloom.plans.dialect import DUCKDB, SPARK, expand
 from seqloom.plans.registry import GRAPH
 from seqloom.sources import sinks, tables
+from seqloom.sources.staging import materialize
 
 RNG = np.random.default_rng(0)
 
 
-def weights(d):
-    return {k: RNG.normal(size=(d, d)) for k in ("q", "k", "v", "long_q")} | {"gate": RNG.normal(size=(2 * d, d)), "gate_b": np.zeros(d)}
-
-
-def test_pooling_leaves_out_padding_and_unknown():
-    table = RNG.normal(size=(6, 4))
-    got = towers.pooled_user([[0, 1, 3, 5], [], [1, 0]], table)
-    want = (table[3] + table[5]) / 2
-    assert np.allclose(got[0], want / np.linalg.norm(want)) and not got[1:].any()
-
-
-def test_session_tower_falls_back():
-    d, w = 4, weights(4)
-    short, long = RNG.normal(size=(3, 2, d)), RNG.normal(size=(3, 5, d))
-    sp = np.array([[False, False], [False, True], [True, True]])
-    lp = np.array([[False] * 5, [True] * 5, [False] * 5])
-    out = towers.session_user(short, sp, long, lp, w)
-    assert np.allclose(np.linalg.norm(out[:2], axis=1), 1) and not out[2].any()
-    changed = short.copy()
-    changed[1, 1] = 99  # padding has no influence
-    assert np.allclose(towers.session_user(changed, sp, long, lp, w)[1], out[1])
-
-
-def test_events_reject_what_is_not_finite():
-    x = np.ones((1, 2, 3))
-    pad = np.array([[False, True]])
-    assert not towers.encode_events(x, None, None, pad, {})[0, 1].any()
-    x[0, 0, 0] = np.nan
-    with pytest.raises(ValueError):
-        towers.encode_events(x, None, None, pad, {})
-
-
-def test_gate_is_zero_without_history_and_rises():
-    g = towers.strength_gate(np.array([0, 1, 2, 22, 100]), 0.5, -1.0)
-    assert g[0] == 0 and (np.diff(g) > 0).all()
-    w = {"item": RNG.normal(size=(3, 4)), "project": RNG.normal(size=(2, 4)), "missing": np.ones(4), "slope": 0.5, "bias": 0.0, "side": [RNG.normal(size=(4, 4))]}
-    out = towers.content_item(np.array([1, 2]), np.array([[3], [0]]), np.array([[np.nan, 0], [1.0, 2.0]]), np.array([False, True]), np.array([0, 5]), w)
-    content = w["side"][0][3] + 1
-    assert np.allclose(out[0], content / np.linalg.norm(content))
-
-
-def test_sampled_softmax():
-    u, p, n = RNG.normal(size=(5, 3)), RNG.normal(size=(5, 3)), RNG.normal(size=(5, 7, 3))
-    logits = np.concatenate([np.sum(u * p, 1)[:, None], np.einsum("bd,bnd->bn", u, n)], 1)
-    assert np.allclose(towers.sampled_softmax(u, p, n), np.log(np.exp(logits).sum(1)) - logits[:, 0])
-
-
-def test_gradients_agree_with_differences():
-    users, items = RNG.normal(size=(6, 3)), RNG.normal(size=(6, 3))
-    case = ([[2, 3, 0]], np.array([4]), np.array([[2, 5]]))
-    loss, gu, gi = training.batch_gradient(users, items, *case)
-    for table, grads in ((users, gu), (items, gi)):
-        for t, g in grads.items():
-            for d in range(3):
-                table[t, d] += 1e-6
-                up = training.batch_gradient(users, items, *case)[0]
-                table[t, d] -= 1e-6
-                assert (up - loss) / 1e-6 == pytest.approx(g[d], abs=1e-4)
-
-
-def test_training_lowers_the_loss(spark):
-    rows = [([2 + i % 3], 5 + i % 3, [5 + (i + 1) % 3, 5 + (i + 2) % 3]) for i in range(60)]
-    df = spark.createDataFrame(rows, "history array<long>, positive long, negatives array<long>")
-    users, items, losses = training.train_id_tower(df, 8, dim=4, epochs=6, rate=0.3)
-    assert losses[-1] < 0.6 * losses[0] and not users[0].any()
-    best = towers.recommend(users[2:5], items[5:8], 1)
-    assert best.ravel().tolist() == [0, 1, 2]
-
-
-def circle(spark):
-    rows = [([2 + i % 3], 5 + i % 3, [5 + (i + 1) % 3, 5 + (i + 2) % 3]) for i in range(60)]
-    return spark.createDataFrame(rows, "history array<long>, positive long, negatives array<long>")
-
-
-def test_an_interrupted_run_ends_as_one_that_was_not(spark, tmp_path):
-    df = circle(spark)
-    path = str(tmp_path / "run.npz")
-    stopping = lambda: training.EarlyStopping(2, 0.0)
-    whole = training.train_id_tower(df, 8, dim=4, epochs=4, rate=0.3, batches=3, stopping=stopping())
-    training.train_id_tower(df, 8, dim=4, epochs=2, rate=0.3, batches=3, stopping=stopping(), checkpoint=path)
-    again = training.train_id_tower(df, 8, dim=4, epochs=4, rate=0.3, batches=3, stopping=stopping(), checkpoint=path)
-    assert np.allclose(whole[0], again[0]) and np.allclose(whole[1], again[1]) and np.allclose(whole[2], again[2])
-
-
-def test_a_failed_save_keeps_the_checkpoint(tmp_path, monkeypatch):
-    path = str(tmp_path / "c.npz")
-    training.save_checkpoint(path, {"user": np.ones(3)}, {"epoch": 1})
-
-    def broken(f, **arrays):
-        f.write(b"half")
-        raise OSError("disk full")
-
-    with monkeypatch.context() as m:
-        m.setattr(training.np, "savez", broken)
-        with pytest.raises(OSError):
-            training.save_checkpoint(path, {"user": np.zeros(3)}, {"epoch": 2})
-    arrays, state = training.load_checkpoint(path)
-    assert state == {"epoch": 1} and arrays["user"].tolist() == [1, 1, 1] and [p.name for p in tmp_path.iterdir()] == ["c.npz"]
-
-
-def test_variants_follow_their_parents(spark, tmp_path):
-    df, asked = circle(spark), []
-    variants = [training.Variant("fine", "base", frozenset({"item"}), 2, 0.3), training.Variant("base", epochs=3, rate=0.3)]
-    out = training.train_variants(variants, lambda v: asked.append(v.name) or df, str(tmp_path), 8, dim=4)
-    assert asked == ["base", "fine"]
-    assert np.array_equal(out["fine"][1], out["base"][1]) and not np.array_equal(out["fine"][0], out["base"][0])
-    assert out["fine"][2][-1] < out["base"][2][0]
-    with pytest.raises(ValueError):
-        training.train_variants([training.Variant("a", "b"), training.Variant("b", "a")], lambda v: df, str(tmp_path), 8)
-    with pytest.raises(ValueError):
-        training.train_id_tower(df, 9, dim=4, parent=dict(zip(training.TABLES, out["base"][:2], strict=True)))
-
-
 def test_early_stopping_resumes():
     a = training.EarlyStopping(2, 0.01)
     assert [a.update(x, i) for i, x in enumerate([1.0, 0.5, 0.499])] == [False, False, False]
@@ -148,7 +36,7 @@ def test_top_k_by_blocks(spark):
 
 def test_hashed_top_k_finds_the_neighbours(spark):
     # the registered queries' parameters over the tables' vectors
-    q, it = (GRAPH.frame(spark, x, "/root/testdata/sf0.01").localCheckpoint() for x in ("query_vectors", "index_vectors"))
+    q, it = (materialize(GRAPH.frame(spark, x, "/root/testdata/sf0.01"), x) for x in ("query_vectors", "index_vectors"))
     exact = {(r["query_id"], r["item_id"]) for r in dense.exact_top_k(q, it, 50).collect()}
     near = {(r["query_id"], r["item_id"]) for r in dense.lsh_top_k(q, it, 50).collect()}
     assert len(exact & near) / len(exact) >= 0.95
