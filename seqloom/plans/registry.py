@@ -6,26 +6,27 @@ from ..operators.dense import DENSE
 from ..operators.evaluation import EVALUATION
 from ..operators.features import FEATURES
 from ..operators.itemcf import ITEMCF
+from ..operators.models import MODELS
 from ..operators.profile import PROFILE
 from ..operators.protocol import PROTOCOL
 from ..operators.relations import RELATIONS
 from .graph import Graph
 
 #: Relations that only feed other operators.
-INTERNAL = {"banded_events", "train_candidates", "ann_lists", "gaps", "count_histogram", "popularity_thresholds", "popularity_labels", "candidate_fields", "valid_vectors", "sample_rows", "sample_offsets", "timestamp_counts", "boundaries", "first_cutoff", "split_samples", "ordered_targets", "additions", "strength_groups", "drift_targets", "drift_days", "side_values", "train_users", "vocab_values", "user_lists", "val_samples", "train_prefix_sums", "activity_events", "activity_samples", "session_candidates", "session_starts", "length_counts", "batch_limits", "train_events", "known_items", "item_norms", "pair_sums", "query_samples", "experiments", "cutoffs_k", "metric_groups", "rank_pairs", "channel_lists", "alphas", "fused_scores", "fused_ranks", "ablation_metrics", "channel_ranks", "channel_retrieve", "pooling", "channel_dims", "channel_vectors", "channel_top", "dense_retrieve", "dense_ranks", "vector_rows", "history_dims", "query_vectors", "index_vectors", "history_items", "negative_pool", "loss_samples", "pool_ranges", "pool_size", "draw_numbers", "negative_draws", "negative_redraws", "loss_dims", "loss_vectors", "softmax_scores", "epoch_losses"}
+INTERNAL = {"model_gap", "model_bounds", "model_targets", "model_events", "model_items", "model_draw_numbers", "model_negative_draws", "model_negative_redraws", "model_negative_samples", "model_trained", "variant_ranks", "variant_metrics", "banded_events", "train_candidates", "ann_lists", "gaps", "count_histogram", "popularity_thresholds", "popularity_labels", "candidate_fields", "valid_vectors", "sample_rows", "sample_offsets", "timestamp_counts", "boundaries", "first_cutoff", "split_samples", "ordered_targets", "additions", "strength_groups", "drift_targets", "drift_days", "side_values", "train_users", "vocab_values", "user_lists", "val_samples", "train_prefix_sums", "activity_events", "activity_samples", "session_candidates", "session_starts", "length_counts", "batch_limits", "train_events", "known_items", "item_norms", "pair_sums", "query_samples", "experiments", "cutoffs_k", "metric_groups", "rank_pairs", "channel_lists", "alphas", "fused_scores", "fused_ranks", "ablation_metrics", "channel_ranks", "channel_retrieve", "pooling", "channel_dims", "channel_vectors", "channel_top", "dense_retrieve", "dense_ranks", "vector_rows", "history_dims", "query_vectors", "index_vectors", "history_items", "negative_pool", "loss_samples", "pool_ranges", "pool_size", "draw_numbers", "negative_draws", "negative_redraws", "loss_dims", "loss_vectors", "softmax_scores", "epoch_losses"}
 #: Without a SQL form: hashing decides which pairs are compared.
-ROWS_ONLY = {"dense_topk_lsh", "dense_topk_index", "ann_recall_audit"}
+ROWS_ONLY = {"dense_topk_lsh", "dense_topk_index", "variant_ablation", "ann_recall_audit"}
 
 #: Costly where several branches of a plan need them.
 KEEP = frozenset(
-    "vocab_values timestamp_counts boundaries banded_events dense_topk_lsh dense_topk_index interactions split_samples item_strength item_train_counts drift_daily feature_vocab user_features candidate_side eval_candidates activity_events session_split "
+    "model_targets model_events model_negative_draws variant_ranks variant_metrics gaps vocab_values timestamp_counts boundaries banded_events dense_topk_lsh dense_topk_index interactions split_samples item_strength item_train_counts drift_daily feature_vocab user_features candidate_side eval_candidates activity_events session_split "
     "itemcf_neighbors itemcf_retrieve itemcf_ranks retrieval_metrics item_norms fused_scores fused_ranks rank_pairs history_dims query_vectors index_vectors dense_topk_exact channel_dims channel_top dense_retrieve channel_ranks channel_retrieve user_action_ratios negative_draws loss_dims softmax_scores".split()
 )
 
 #: Of these, the ones that are written in buckets of the keys by which they are looked up.
 BUCKETS = {"itemcf_neighbors": ("weight_variant", "item_rid")}
 
-GRAPH = Graph(RELATIONS | PROFILE | PROTOCOL | FEATURES | ITEMCF | EVALUATION | DENSE, KEEP, BUCKETS)
+GRAPH = Graph(RELATIONS | PROFILE | PROTOCOL | FEATURES | ITEMCF | EVALUATION | DENSE | MODELS, KEEP, BUCKETS)
 
 
 def names() -> list[str]:
