@@ -22,6 +22,7 @@ def _gap_quantiles(gaps):
 
 
 PROFILE = {
+    "first_events": "select user_id, pos, item_rid, action_type, ts from {interactions} order by user_id, pos limit 20",
     # scans and scalar conversions
     "scan_projection": "select user_id, pos, item_rid, action_type, ts from {interactions}",
     "events_exploded": """

@@ -38,10 +38,13 @@ PROTOCOL = {
         from {interactions}""",
     # splits
     # seconds of the samples (clicks with an event before them), counted without positions; sums run over days, then within a day
-    "timestamp_counts": """
+    "timestamp_counts": Operator(
+        """
         select e.ts, cast(floor(e.ts / 86400.0) as bigint) as day, count(*) as n
         from {events_plain} e join (select user_id, min(ts) as first_ts from {events_plain} group by user_id) f on e.user_id = f.user_id
         where e.action_type = 1 and e.ts > f.first_ts group by e.ts""",
+        instead=(("next_click_samples", "select target_timestamp as ts, cast(floor(target_timestamp / 86400.0) as bigint) as day, count(*) as n from {next_click_samples} group by target_timestamp"),),
+    ),
     "boundaries": """
         select t.ts, cast(d.before + coalesce(sum(t.n) over (partition by t.day order by t.ts rows between unbounded preceding and 1 preceding), 0) as double) as before,
                a.total, t.ts > a.least and t.ts < a.most as inside

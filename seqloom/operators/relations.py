@@ -9,11 +9,8 @@ RELATIONS = {
                     l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate) - 1 as bigint) as pos,
                cast(rank() over (partition by o_custkey order by o_orderdate) - 1 as bigint) as history_end
         from {lineitem} join {orders} on l_orderkey = o_orderkey""",
-    # the same without positions: a count needs no order
-    "events_plain": """
-        select o_custkey as user_id, l_partkey * 10 + l_suppkey % 10 + 1 as item_rid,
-               case l_returnflag when 'R' then 1 when 'A' then 0 else null end as action_type, @epoch(o_orderdate) as ts
-        from {lineitem} join {orders} on l_orderkey = o_orderkey""",
+    # without positions: where nothing else needs them, the windows go from the plan
+    "events_plain": "select user_id, item_rid, action_type, ts from {interactions}",
     "item_map": "select distinct 20000000000 + item_rid as item_oid, item_rid from {events_plain}",
     "item_features": """
         select m.item_rid, cast(p.p_size as bigint) as f100, cast(substr(p.p_brand, 7) as bigint) as f101,

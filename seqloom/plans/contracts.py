@@ -20,6 +20,17 @@ class ContractError(ValueError):
     pass
 
 
+def resolve_path(value: str, base: str) -> str:
+    """An absolute path or URI as it is; a relative path below base."""
+    return value if value.startswith("/") or "://" in value or value.startswith("file:") else f"{base.rstrip('/')}/{value}"
+
+
+def check_apart(inner: str, outer: str) -> None:
+    """A stage's output must not lie within another's."""
+    if f"{inner.rstrip('/')}/".startswith(f"{outer.rstrip('/')}/"):
+        raise ContractError(f"{inner} lies within {outer}")
+
+
 def check_special_tokens(configured: dict[str, dict[str, int]]) -> None:
     """The configured special tokens must be the fixed ones."""
     for name, fixed in (("item", ITEM_TOKENS), ("category", CATEGORY_TOKENS), ("action", ACTION_TOKENS)):
@@ -62,9 +73,9 @@ class Settings:
     train_ratio: float = 0.8
     validation_ratio: float = 0.1
     pair_window: int = 20
-    neighbors: int = 50
+    neighbors: int = 500
     session_gap: int | None = None
-    ks: tuple[int, ...] = (10, 50, 100)
+    ks: tuple[int, ...] = (10, 50, 100, 500)
     debug: bool = False
     tokens: dict = field(default_factory=dict)
 
@@ -77,8 +88,15 @@ class Settings:
 
     @classmethod
     def load(cls, text: str, **changes) -> Settings:
-        """From JSON text; unknown keys raise."""
-        given = json.loads(text)
+        """From YAML text where PyYAML is installed, else from JSON (which is YAML too); unknown keys raise."""
+        try:
+            import yaml
+        except ModuleNotFoundError:
+            given = json.loads(text)
+        else:
+            given = yaml.safe_load(text)
+        if not isinstance(given, dict):
+            raise ContractError("settings are a mapping")
         unknown = set(given) - set(cls.__dataclass_fields__)
         if unknown:
             raise ContractError(f"unknown settings {sorted(unknown)}")
@@ -86,6 +104,13 @@ class Settings:
             given["ks"] = tuple(given["ks"])
         return replace(cls(**given), **changes)
 
+    @classmethod
+    def read(cls, spark: SparkSession, path: str, base: str | None = None, **changes) -> Settings:
+        """From a file on any file system that Spark reads; a relative output_root counts from `base`, or from the file's folder."""
+        text = "".join(r[0] for r in spark.read.text(path, wholetext=True).collect())
+        own = cls.load(text, **changes)
+        return replace(own, output_root=resolve_path(own.output_root, base or path.rpartition("/")[0]))
+
     @property
     def root(self) -> str:
         return self.output_root.rstrip("/") + ("_debug" if self.debug else "")

@@ -27,13 +27,16 @@ class Operator:
     """sql: for both engines, or for Spark only where `oracle` gives DuckDB's text.
     row: the result is one row by definition (cutoffs, thresholds); it is computed once
     and enters further plans as a literal relation.
-    function, takes: a DataFrame function of the named inputs instead of SQL."""
+    function, takes: a DataFrame function of the named inputs instead of SQL.
+    instead: SQL by the name of a relation, used where that relation is given; for operators
+    whose own SQL gets the same result from something nearer to the tables."""
 
     sql: str = ""
     oracle: str | None = None
     row: bool = False
     function: Callable[..., DataFrame] | None = None
     takes: tuple[str, ...] = ()
+    instead: tuple[tuple[str, str], ...] = ()
 
 
 class Graph:
@@ -46,6 +49,11 @@ class Graph:
         self.keep, self.buckets = keep, dict(buckets or {})
         self.operators = {k: o if isinstance(o, Operator) else Operator(o) for k, o in operators.items()}
 
+    def with_given(self, given: Mapping[str, DataFrame]) -> Graph:
+        """This graph, with the SQL that operators have for given relations."""
+        changed = {k: Operator(sql) for k, o in self.operators.items() for name, sql in o.instead if name in given}
+        return Graph(self.operators | changed, self.keep, self.buckets) if changed else self
+
     def inputs(self, name: str, oracle: bool = False) -> list[str]:
         op = self.operators[name]
         if op.function and not oracle:
@@ -55,6 +63,9 @@ class Graph:
     def frame(self, spark: SparkSession, name: str, root: str | None = None, **given: DataFrame) -> DataFrame:
         """The operator's result over the tables under root; relations in `given` replace
         the ones of that name, so any operator applies to any DataFrame."""
+        return self.with_given(given)._frame(spark, name, root, given)
+
+    def _frame(self, spark: SparkSession, name: str, root: str | None, given: Mapping[str, DataFrame]) -> DataFrame:
         done: dict[str, DataFrame] = dict(given)
         uses: dict[str, int] = {}
 

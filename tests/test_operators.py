@@ -78,7 +78,7 @@ def test_metrics_by_hand(spark):
     got = {(r["strength_group"], r["k"]): (r["sample_count"], r["recall"], r["ndcg"]) for r in GRAPH.frame(spark, "retrieval_metrics", channel_ranks=ranks).collect()}
     assert got[("Overall", 10)] == (3, pytest.approx(1 / 3), pytest.approx(0.333333, abs=1e-6))
     assert got[("Head", 100)][1] == 1.0 and got[("Tail", 100)] == (1, 0.0, 0.0) and got[("Unseen", 10)] == (0, 0.0, 0.0)
-    assert len(got) == 15
+    assert len(got) == 20
 
 
 def test_early_stopping_replay_agrees_with_the_class(spark):
