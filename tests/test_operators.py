@@ -107,8 +107,9 @@ def test_recall_audit_reads_the_hashed_lists(spark):
     exact = spark.createDataFrame([(q, i, 1.0 - i / 100, i) for q in (1, 2) for i in range(1, 51)], "query_id long, item_id long, score double, rank long")
     near = exact.where("query_id = 1 or rank > 10")  # the second query's list lacks the ten best
     near = near.selectExpr("query_id", "item_id", "score", "case when query_id = 1 then rank else rank - 10 end as rank")
-    got = {r["k"]: (r["mean_overlap"], r["min_overlap"], r["query_count"]) for r in GRAPH.frame(spark, "ann_recall_audit", dense_topk_exact=exact, dense_topk_lsh=near).collect()}
-    assert got == {10: (0.5, 0.0, 2), 20: (0.75, 0.5, 2), 50: (0.9, 0.8, 2)}
+    got = {(r["method"], r["k"]): (r["mean_overlap"], r["min_overlap"], r["query_count"]) for r in GRAPH.frame(spark, "ann_recall_audit", dense_topk_exact=exact, dense_topk_lsh=near, dense_topk_index=exact).collect()}
+    assert {k: v for (m, k), v in got.items() if m == "hashing"} == {10: (0.5, 0.0, 2), 50: (0.9, 0.8, 2), 100: (0.9, 0.8, 2), 500: (0.9, 0.8, 2)}
+    assert {k: v for (m, k), v in got.items() if m == "inverted_file"} == dict.fromkeys((10, 50, 100, 500), (1.0, 1.0, 2))
 
 
 LIMITS = "max_history long, short_events long, long_events long"
