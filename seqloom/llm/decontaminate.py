@@ -87,8 +87,11 @@ def search(low: np.ndarray, word_starts: np.ndarray, word_ends: np.ndarray, h: n
         return none
     if m >= 2:
         probe = np.arange(0, len(h) - 1, m - 1)
-        live = probe[table["shift"][(block_hash(h, probe) >> U64(64 - TABLE_BITS)).astype(np.int64)] < m - 1]
-        starts = (live[:, None] - np.arange(m - 1)[None, :]).ravel()
+        shift = table["shift"][(block_hash(h, probe) >> U64(64 - TABLE_BITS)).astype(np.int64)]
+        live, shift = probe[shift < m - 1], shift[shift < m - 1].astype(np.int64)
+        # a block that is at least `shift` words before every pattern's end can't be later in a window
+        back = np.arange(m - 1)[None, :]
+        starts = (live[:, None] - back)[back <= m - 2 - shift[:, None]]
         starts = starts[(starts >= 0) & (starts <= len(h) - m)]
         if not len(starts):
             return none
@@ -144,20 +147,19 @@ def searcher(tables):
     return run
 
 
-def tables_of(benchmark: DataFrame, window: int, block_bytes: int):
-    """Broadcast pattern tables, one for each block of the benchmark.
-
-    At most about block_bytes of benchmark text (an uneven hash or one long item
-    apart) are on the driver and in a broadcast at a time.
-    """
+def items_in_blocks(benchmark: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
+    """The items (item_id, text) and the number of blocks that they are searched for in."""
     modest_batches(benchmark.sparkSession)
-    sc = benchmark.sparkSession.sparkContext
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text") + F.octet_length("item_id")), F.lit(0)).alias("b")).first()["b"]
-    blocks = 1 + total // block_bytes
-    for k in range(blocks):
-        own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        yield sc.broadcast(compile_patterns([(x.item_id, x.text) for x in own.toLocalIterator()], window))
+    return items, 1 + total // block_bytes
+
+
+def block_tables(items: DataFrame, blocks: int, k: int, window: int):
+    """The broadcast pattern tables of block k: of at most about block_bytes of text (an uneven hash or
+    one long item apart), and the only ones that are alive where there are several blocks."""
+    own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
+    return items.sparkSession.sparkContext.broadcast(compile_patterns([(x.item_id, x.text) for x in own.toLocalIterator()], window))
 
 
 def find_contamination(documents: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -170,14 +172,19 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, window: int =
     same id once.  Columns other than doc_id, text, item_id are ignored.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    passes = list(tables_of(benchmark, window, block_bytes))
-    if len(passes) == 1:
-        return docs.mapInArrow(searcher(passes[0]), FOUND)
+    items, blocks = items_in_blocks(benchmark, block_bytes)
+    if blocks == 1:
+        return docs.mapInArrow(searcher(block_tables(items, 1, 0, window)), FOUND)
     # several passes meet by a row number, as a doc_id may be that of several rows; written, so that it is the same in each pass
     numbered = stash(docs.withColumn("row", F.monotonically_increasing_id()), "numbered-documents")
     kind = T.StructType([T.StructField("doc_id", T.LongType()), *FOUND.fields[1:]])
     ids = numbered.select("row", F.col("doc_id").alias("own"))
-    found = [numbered.select("row", "text").mapInArrow(searcher(tables), kind) for tables in passes]
+    found = []
+    for k in range(blocks):  # each pass is written, so that its tables can go; all but the first keep hits only
+        tables = block_tables(items, blocks, k, window)
+        own = numbered.select("row", "text").mapInArrow(searcher(tables), kind)
+        found.append(stash(own if k == 0 else own.where("size(hits) > 0"), "found"))
+        tables.destroy()
     every = functools.reduce(DataFrame.unionByName, found).withColumnRenamed("doc_id", "row")
     merged = every.groupBy("row").agg(
         F.max("n_words").alias("n_words"),
@@ -203,12 +210,18 @@ def keeper(tables, column: int):
 
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The documents in which no window occurs, with all their columns; no shuffle.
+    """The documents in which no window occurs, with all their columns; no shuffle.  A benchmark of
+    several blocks is searched for block by block, in what the blocks before left.
 
     Null and empty texts stay, as do all documents for an empty benchmark; rows that
     repeat are judged one by one; no column but text is looked at, whatever its name.
     """
-    out = documents
-    for tables in tables_of(benchmark, window, block_bytes):
-        out = out.mapInArrow(keeper(tables, documents.columns.index("text")), documents.schema)
+    items, blocks = items_in_blocks(benchmark, block_bytes)
+    out, text = documents, documents.columns.index("text")
+    for k in range(blocks):
+        tables = block_tables(items, blocks, k, window)
+        out = out.mapInArrow(keeper(tables, text), documents.schema)
+        if blocks > 1:
+            out = stash(out, "clean")
+            tables.destroy()
     return out
