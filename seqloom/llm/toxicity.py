@@ -1,7 +1,7 @@
 """Toxicity: noisy-channel deobfuscation, then a linear model on the restored words.
 
-A word that looks disguised (digits or signs among letters, letters repeated three
-times, single letters set apart) is read as the output of a noisy channel.  Each of
+A word that looks disguised (digits or signs among letters or at an edge, letters repeated
+three times, single letters set apart) is read as the output of a noisy channel.  Each of
 its characters may stand for several letters, a repeated letter or a separator for
 none; Viterbi decoding finds the most probable letters under a trigram language
 model of characters.  The restored word then counts like any other.
@@ -26,8 +26,8 @@ from .wordkit import LOWER, NOT_SPACE, U64, as_int64, chunks, hash_spans, spans
 
 #: Labelled documents that the classifier is fitted on, at most; the least by hash of doc_id.
 SAMPLE = 16_384
-#: Features kept, at most; each must be in MIN_DOCS sampled documents and differ by MIN_Z standard errors.
-FEATURES, MIN_DOCS, MIN_Z = 2048, 4, 4.0
+#: A feature must be in MIN_DOCS sampled documents and differ by MIN_Z standard errors.
+MIN_DOCS, MIN_Z = 4, 4.0
 PREFIXES = (4, 5, 6)
 
 LETTER = np.zeros(256, bool)
@@ -57,6 +57,10 @@ STANDS_FOR = {
 SEPARATORS = ".-_*/~:, "
 SIGN = np.zeros(256, bool)
 SIGN[[ord(c) for c in STANDS_FOR]] = True
+#: Signs that may stand for a letter at a word's begin or end, where the others are punctuation.
+LEAD, TRAIL = SIGN.copy(), SIGN.copy()
+LEAD[ord("(")] = False
+TRAIL[[ord("("), ord("!")]] = False
 GAP = np.zeros(256, bool)
 GAP[[ord(c) for c in SEPARATORS]] = True
 
@@ -88,11 +92,9 @@ def log_model(counts: np.ndarray) -> np.ndarray:
     return table / table.sum(axis=2, keepdims=True)
 
 
-def restore(word: str, model: np.ndarray) -> str:
-    """The most probable letters behind a word, by Viterbi over (last two letters)."""
-    states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-    logs = model
-    previous = ""
+def channel(word: str) -> list[list[tuple[str, float]]]:
+    """For each character what letters it may stand for, with the log weight of that."""
+    out, previous = [], ""
     for c in word:
         options: list[tuple[str, float]] = []
         if c in STANDS_FOR:
@@ -103,18 +105,45 @@ def restore(word: str, model: np.ndarray) -> str:
             options.append((c, -0.1))
         if c == previous:
             options.append(("", -1.0))
+        out.append(options)
+        previous = c
+    return out
+
+
+def symbol_of(letter: str) -> int:
+    return int(CODE[letter.encode()[0]])
+
+
+def restore(word: str, model: np.ndarray) -> str:
+    """The most probable letters behind a word, by Viterbi over (last two letters)."""
+    states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    for options in channel(word):
         following: dict[tuple[int, int], tuple[float, str]] = {}
         for (a, b), (score, text) in states.items():
             for letters, cost in options:
                 if letters:
-                    symbol = int(CODE[letters.encode()[0]])
-                    key, total = (b, symbol), score + cost + logs[a, b, symbol]
+                    symbol = symbol_of(letters)
+                    key, total = (b, symbol), score + cost + model[a, b, symbol]
                 else:
                     key, total = (a, b), score + cost
                 if key not in following or total > following[key][0]:
                     following[key] = (total, text + letters)
-        states, previous = following, c
-    return max((score + logs[a, b, 0], text) for (a, b), (score, text) in states.items())[1]
+        states = following
+    return max((score + model[a, b, 0], text) for (a, b), (score, text) in states.items())[1]
+
+
+def bare(word: str) -> str:
+    """A word without the punctuation around it, and without runs of three or more of one sign at
+    its edges; signs that may stand for letters stay."""
+    while True:
+        cut = word.lstrip(".,;:?\"'()[]*#%&-_/~").rstrip(".,;:!?\"'()[]*#%&-_/~")
+        for edge, at in ((cut[:1], 0), (cut[-1:], -1)):
+            run = len(cut) - len(cut.lstrip(edge) if at == 0 else cut.rstrip(edge)) if edge else 0
+            if run >= 3 and not edge.isalpha():
+                cut = cut[run:] if at == 0 else cut[:-run]
+        if cut == word:
+            return word
+        word = cut
 
 
 def suspects(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -135,27 +164,35 @@ def suspects(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
     after[:-1] = letter[1:]
     same = np.zeros(len(low), bool)
     same[2:] = letter[2:] & (low[2:] < 0x80) & (low[2:] == low[1:-1]) & (low[2:] == low[:-2])
-    n = ends - starts
-    letters, digits = count(letter), count(SIGN[low])
+    letters, signs = count(letter), count(SIGN[low] & (low != ord("!")))
     gaps = count(GAP[low])
-    leet = (count(SIGN[low] & before & after) > 0) & (letters >= 2) & (2 * digits <= n)
+    inside = count(SIGN[low] & before & after) > 0
+    # at the edges, but not as a run of three or more of one sign, which is decoration
+    first, last = low[starts], low[ends - 1]
+    long = ends - starts >= 3
+    third, back = low[np.minimum(starts + 2, ends - 1)], low[np.maximum(ends - 3, starts)]
+    lead = long & LEAD[first] & ~((low[np.minimum(starts + 1, ends - 1)] == first) & (third == first))
+    trail = long & TRAIL[last] & ~((low[np.maximum(ends - 2, starts)] == last) & (back == last))
+    leet = (inside | lead | trail) & (letters >= 2) & (signs <= 2 * letters)
     tripled = count(same) > 0
-    apart = (gaps >= 3) & (letters >= 4) & (gaps >= letters - 2)
+    apart = (gaps >= 2) & (letters >= 2) & (letters + signs >= 3) & (gaps >= letters + signs - 2)
     return np.flatnonzero(leet | tripled | apart)
 
 
 def spaced_runs(raw: bytes, starts: np.ndarray, ends: np.ndarray, doc: np.ndarray) -> list[tuple[int, str]]:
-    """(document, joined letters) of four or more one-letter words in a row."""
+    """(document, joined letters) of three or more one-letter words in a row: the whole run, and what is
+    left without its first or last one, which may be words of their own."""
     short = np.flatnonzero((ends - starts) == 1)
     out = []
-    if len(short) < 4:
+    if len(short) < 3:
         return out
     brk = np.flatnonzero((np.diff(short) != 1) | (np.diff(doc[short]) != 0))
     for a, b in zip(np.append(0, brk + 1).tolist(), np.append(brk + 1, len(short)).tolist(), strict=True):
-        if b - a >= 4:
+        if b - a >= 3:
             letters = b"".join(raw[starts[k] : ends[k]] for k in short[a:b].tolist()).decode("ascii", "ignore")
-            if len(set(letters)) >= 3:
-                out.append((int(doc[short[a]]), letters))
+            for part in dict.fromkeys((letters, letters[1:], letters[:-1], letters[1:-1])):
+                if len(part) >= 3 and len(set(part)) >= 3 and sum(map(str.isalpha, part)) >= 2:
+                    out.append((int(doc[short[a]]), part))
     return out
 
 
@@ -191,7 +228,7 @@ def features(buf: np.ndarray, off: np.ndarray, model: np.ndarray) -> tuple[np.nd
         known: dict[str, bytes] = {}
         for _, word in found:
             if word not in known:
-                known[word] = restore(word.strip(".,;:!?\"'()[]*$"), model).encode()
+                known[word] = restore(bare(word), model).encode()
         rows = [(d, known[word]) for d, word in found if known[word]]
         if rows:
             size = np.array([len(x) for _, x in rows])
@@ -334,7 +371,7 @@ class ToxicityModel:
             )
             share = (F.col("a") + F.col("b") + 1) / F.lit(n1 + n0 + 2)
             z = F.abs(F.col("a") / n1 - F.col("b") / n0) / F.sqrt(share * (1 - share) * (1 / n1 + 1 / n0))
-            top = by.where(F.col("a") + F.col("b") >= MIN_DOCS).withColumn("z", z).where(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "feature").limit(FEATURES).collect()
+            top = by.where(F.col("a") + F.col("b") >= MIN_DOCS).withColumn("z", z).where(F.col("z") >= MIN_Z).select("feature").collect()  # of at most `sample` documents
             chosen = np.sort(np.array([r["feature"] for r in top], np.int64).view(np.uint64))
             if len(chosen):
                 rows = learn.mapInArrow(chosen_rows(plain, broadcast(chosen)), "label int, features array<int>").collect()

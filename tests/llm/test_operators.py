@@ -371,6 +371,52 @@ def test_toxicity(spark, empty):
     assert toxicity.score_toxicity(empty, marks).count() == 0
 
 
+def character_model(words):
+    buf = np.frombuffer(words, np.uint8)
+    _, _, s, e, _ = toxicity.trimmed(buf, np.array([0, len(words)]))
+    return np.log(toxicity.log_model(toxicity.trigram_counts(buf, s, e)))
+
+
+@pytest.mark.parametrize("word", ["1d10t", "cl0wn", "tr@$h", "idiooot", "c.l.o.w.n", "$tup1d", "mm00rr", "6oo6", "!d!0t", "a--b", "0"])
+def test_viterbi_against_all_readings(word):
+    """The best of all paths through the lattice, tried one by one."""
+    import itertools
+
+    model = character_model(b"idiot clown trash stupid moron goob idiot")
+
+    def weight(path):
+        text, total, a, b = "", 0.0, 0, 0
+        for letters, cost in path:
+            total += cost
+            if letters:
+                symbol = toxicity.symbol_of(letters)
+                total, a, b, text = total + model[a, b, symbol], b, symbol, text + letters
+        return total + model[a, b, 0], text
+
+    assert toxicity.restore(word, model) == max(weight(p) for p in itertools.product(*toxicity.channel(word)))[1]
+
+
+def test_disguises_reach_the_lattice(spark):
+    """Through the whole operator: digits for most letters, signs at the edges, gaps of every kind; clean look-alikes stay clean."""
+    rng = random.Random(16)
+    plain = ["lorem", "ipsum", "dolor", "sit", "amet", "tempor", "labore", "magna", "a", "i", "5th", "mp3", "covid19"]
+    bad = ["idiot", "moron", "dumbass", "stupid", "jerk"]
+    rows, labels = [], []
+    for i in range(900):
+        w = [rng.choice(plain) for _ in range(30)]
+        if i % 3 == 0:
+            w[rng.randrange(30)] = rng.choice(bad)
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(i % 3 == 0)))
+    disguised = ["1d10t", "m.0.r.0.n", "dumba$$", "$tup1d", "!diot", "m o r o n", "a j e r k a", "j e r k", "1d10t!!", "(1d10t)", "m-0-r-0-n.", "dumbaaa$$", "stup!d,", "i d 1 o t"]
+    clean = ["lorem$$$", "ipsum!!", "(dolor)", "5th", "mp3", "$100k", "1 2 3 4", "a i a", "sit***", "2024", "lorem.ipsum", "###", "$$$$$"]
+    cases = [(2000 + k, f"lorem {w} ipsum") for k, w in enumerate(disguised)] + [(3000 + k, f"lorem {w} ipsum") for k, w in enumerate(clean)]
+    marks = spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.score_toxicity(table(spark, rows + cases), marks).collect()}
+    assert [w for k, w in enumerate(disguised) if not got[2000 + k]] == []
+    assert [w for k, w in enumerate(clean) if got[3000 + k]] == []
+
+
 def test_restoring():
     words = b"idiot clown trash idiot clown idiot"
     buf = np.frombuffer(words, np.uint8)
