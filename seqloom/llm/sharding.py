@@ -10,6 +10,7 @@ Which group takes which place follows from its rank among those of its size.
 
 from __future__ import annotations
 
+import functools
 import heapq
 import itertools
 
@@ -21,6 +22,8 @@ from .stash import stash
 
 #: Ranks and slots are counted in PARTS * PARTS hash buckets, so that no window holds a whole size class or shard.
 PARTS = 64
+#: Group sizes that the driver schedules at a time.
+BLOCK_SIZES = 1 << 18
 
 
 def lpt_counts(sizes: list[tuple[int, int]], shards: int, loads: list[int] | None = None) -> list[tuple[int, list[int]]]:
@@ -56,6 +59,22 @@ def lpt_counts(sizes: list[tuple[int, int]], shards: int, loads: list[int] | Non
     return out
 
 
+def schedule_table(histogram: DataFrame, shards: int, block: int = BLOCK_SIZES) -> DataFrame:
+    """(bytes, ends) of a histogram (bytes, n): groups of a size with a rank below ends[k] go to shards 0 .. k.
+
+    The sizes come to the driver in descending order and in blocks, of which it holds one
+    beside the shards' loads; each block's part of the schedule is written before the next."""
+    spark = histogram.sparkSession
+    kind = "bytes long, ends array<long>"
+    loads, parts, rows = [0] * shards, [], histogram.orderBy(F.desc("bytes")).toLocalIterator()
+    while own := [(r["bytes"], r["n"]) for r in itertools.islice(rows, block)]:
+        given = lpt_counts(own, shards, loads)
+        for size, counts in given:
+            loads = [load + size * n for load, n in zip(loads, counts, strict=True)]
+        parts.append(stash(spark.createDataFrame([(size, list(itertools.accumulate(counts))) for size, counts in given], kind), "schedule"))
+    return functools.reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], kind)
+
+
 def ranked(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
     """df with the zero-based rank `name` within keys, by (hash bucket of order, order).
 
@@ -83,7 +102,8 @@ def shard_by_size(documents: DataFrame, shards: int = 8) -> DataFrame:
     ("bytes"), shard, slot (gapless from 0 within the shard), grown_shard (null).
 
     A null text counts as empty, and is grouped with empty texts.  Repeated rows
-    are rows of their own, in one shard.  An empty table gives an empty result.
+    are rows of their own, in one shard.  An empty table gives an empty result.  Columns
+    other than doc_id and text are ignored, whatever their names.
     A group larger than a shard's fair share fills its shard alone.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -98,10 +118,7 @@ def shard_by_size(documents: DataFrame, shards: int = 8) -> DataFrame:
     docs = stash(docs, "sized-documents")
     groups = stash(docs.groupBy("group", "twin").agg(F.sum("size").alias("bytes")), "text-groups")
     histogram = groups.groupBy("bytes").agg(F.count(F.lit(1)).alias("n"))
-    schedule = lpt_counts([(r["bytes"], r["n"]) for r in histogram.toLocalIterator()], shards)
-    spark = documents.sparkSession
-    # ends[k]: groups of that size with a rank below it go to shards 0 .. k
-    plan = spark.createDataFrame([(size, list(itertools.accumulate(given))) for size, given in schedule], "bytes long, ends array<long>")
+    plan = schedule_table(histogram, shards)
     placed = ranked(groups, ["bytes"], ["group", "twin"], "rank").join(plan, "bytes").select("group", "twin", F.size(F.filter("ends", lambda e: e <= F.col("rank"))).alias("shard"))
     out = docs.join(placed, ["group", "twin"])
     return ranked(out, ["shard"], ["doc_id", "text_crc32"], "slot").select(

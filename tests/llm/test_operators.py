@@ -227,6 +227,16 @@ def test_sharding(spark, df, docs, empty):
     assert sharding.shard_by_size(empty).count() == 0
 
 
+def test_schedule_in_blocks_equals_the_whole(spark):
+    rng = random.Random(9)
+    sizes = {rng.randrange(1, 4000): rng.randrange(1, 6) for _ in range(200)}
+    histogram = spark.createDataFrame(list(sizes.items()), "bytes long, n long").repartition(4)
+    want = {size: [sum(given[: k + 1]) for k in range(8)] for size, given in sharding.lpt_counts(list(sizes.items()), 8)}
+    for block in (7, 1000):
+        assert {r["bytes"]: r["ends"] for r in sharding.schedule_table(histogram, 8, block).collect()} == want
+    assert sharding.schedule_table(histogram.limit(0), 8).count() == 0
+
+
 def test_lpt_equals_the_plain_heap():
     import heapq
 
