@@ -30,6 +30,8 @@ K, S, SIZE, SLACK = 16, 6, 64, 8
 SHORT = (6, 2)
 #: Range buckets of document ids; each is sorted in one task.
 ROWS_PER_BUCKET = 1024
+#: Ranges per shuffle partition, at most: what the driver holds grows with the partitions, not with the rows.
+RANGES_A_PARTITION = 8
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -172,8 +174,9 @@ def fingerprints_with_edits(documents: DataFrame, rows_per_bucket: int = ROWS_PE
     table gives an empty result.
 
     Documents are dealt to ranges of doc_id; each range also gets the first row of
-    the next one.  The range bounds are quantiles, one per rows_per_bucket rows, and
-    only these come to the driver.
+    the next one.  The range bounds are quantiles, one per rows_per_bucket rows but at most
+    RANGES_A_PARTITION per shuffle partition; only these, and one row number per range, come
+    to the driver.  A range is streamed, not held, so it may have any number of rows.
     """
     spark = documents.sparkSession
     modest_batches(spark)
@@ -181,7 +184,8 @@ def fingerprints_with_edits(documents: DataFrame, rows_per_bucket: int = ROWS_PE
     total = docs.count()
     if not total:
         return spark.createDataFrame([], RESULT)
-    n = -(-total // rows_per_bucket)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = min(-(-total // rows_per_bucket), RANGES_A_PARTITION * parts)
     cuts = sorted(set(docs.approxQuantile("doc_id", [i / n for i in range(1, n)], min(0.1, 0.25 / n)))) if n > 1 else []
     bounds = spark.sparkContext.broadcast(np.array([int(c) for c in cuts], np.int64))
 
@@ -204,5 +208,4 @@ def fingerprints_with_edits(documents: DataFrame, rows_per_bucket: int = ROWS_PE
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(np.zeros(len(ids), bool)), ids, batch.column(1)], names=["bucket", "ahead", "doc_id", "text"])
 
     dealt = docs.mapInArrow(dealt_rows, "bucket long, ahead boolean, doc_id long, text string").unionByName(least)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return dealt.repartition(parts, "bucket").sortWithinPartitions("bucket", "ahead", "doc_id", "text").mapInArrow(compare_rows, RESULT)
