@@ -138,3 +138,52 @@ def base_secrets(text):
     order = ["assign", "access", "hex"]
     spans.sort(key=lambda s: (s[1], order.index(s[0])))
     return spans
+
+
+MASK = (1 << 64) - 1
+
+
+def finalise(x):
+    x ^= x >> 30
+    x = x * 0xBF58476D1CE4E5B9 & MASK
+    x ^= x >> 27
+    x = x * 0x94D049BB133111EB & MASK
+    return x ^ x >> 31
+
+
+def syncmer_anchors(data, k, s, codes, radix):
+    """(position, hash) of every k-mer whose least s-mer by hash is its first or last one, k-mer by k-mer."""
+    power = [pow(radix, i, 1 << 64) for i in range(k)]
+    hashed = lambda at, n: finalise(sum(codes[data[at + i]] * power[i] for i in range(n)) & MASK)
+    inner = [hashed(i, s) for i in range(len(data) - s + 1)]
+    out = []
+    for i in range(len(data) - k + 1):
+        least = min(inner[i : i + k - s + 1])
+        if least in (inner[i], inner[i + k - s]):
+            out.append((i, hashed(i, k)))
+    return out
+
+
+def fingerprint(data, codes, radix, k=16, s=6, size=64):
+    """{32-bit hash: first position} of the `size` anchors of least hash."""
+    anchors = []
+    if len(data) >= 4 * k:
+        anchors += syncmer_anchors(data, k, s, codes, radix)
+    if len(data) < 8 * k:
+        anchors += syncmer_anchors(data, 6, 2, codes, radix)
+    first = {}
+    for at, h in anchors:
+        first.setdefault(h >> 32, at)
+    if not first and data:
+        first = {int.from_bytes(hashlib.sha256(data).digest()[:4], "little"): 0}
+    return dict(sorted(first.items())[:size])
+
+
+def fingerprint_likeness(a, b, size=64, slack=8):
+    """Share of common anchors among the least of the union, of those whose offset agrees with a neighbour's."""
+    if not a or not b:
+        return float(len(a) == len(b))
+    union = sorted(set(a) | set(b))[:size]
+    common = sorted((a[h], b[h] - a[h]) for h in union if h in a and h in b)
+    kept = sum(len(common) == 1 or (i > 0 and abs(common[i][1] - common[i - 1][1]) <= slack) or (i + 1 < len(common) and abs(common[i][1] - common[i + 1][1]) <= slack) for i in range(len(common)))
+    return kept / len(union)
