@@ -2,6 +2,22 @@
 
 from ..plans.graph import Operator
 
+
+
+def _numbered(values: str, entity: str) -> Operator:
+    """Tokens from 2 on of each field's values, in order: within ranges of values, to which the sizes of the field's earlier ranges are added."""
+    return Operator(
+        f"""
+        select v.entity, v.field, v.value, cast(2 + r.before + row_number() over (partition by v.entity, v.field, r.value_range order by v.value) as bigint) as token
+        from {{{values}}} v
+        join (select entity, field, value_range, coalesce(sum(n) over (partition by entity, field order by value_range rows between unbounded preceding and 1 preceding), 0) as before
+              from (select entity, field, cast(floor(value / 4096.0) as bigint) as value_range, count(*) as n from {{{values}}} group by 1, 2, 3) c) r
+          on v.entity = r.entity and v.field = r.field and cast(floor(v.value / 4096.0) as bigint) = r.value_range""",
+        f"select entity, field, value, cast(2 + row_number() over (partition by entity, field order by value) as bigint) as token from {{{values}}}",
+        instead=(("feature_vocab", f"select * from {{feature_vocab}} where entity = '{entity}'"),),
+    )
+
+
 FEATURES = {
     "item_tokens": """
         select item_rid, cast(case when train_event_count > 0 and item_rid > 0 then item_rid + 1 else 1 end as bigint) as item_token from {item_strength}""",
@@ -15,40 +31,34 @@ FEATURES = {
         from {eval_candidates} e left join {candidates} c on e.retrieval_id = c.retrieval_id and e.item_oid = c.item_oid left join {item_features} f on e.item_rid = f.item_rid""",
     "train_users": "select distinct user_id from {split_samples} where split = 'train'",
     "relevant_users": "select u.user_id, t.user_id is not null as in_train from (select distinct user_id from {split_samples}) u left join {train_users} t on u.user_id = t.user_id",
-    "vocab_values": """
+    "user_vocab_values": """
         select 'user' as entity, 'f103' as field, f103 as value from {user_raw} where f103 is not null and user_id in (select user_id from {train_users})
         union select 'user', 'f104', f104 from {user_raw} where f104 is not null and user_id in (select user_id from {train_users})
-        union select 'user', 'f106', v from (select @explode(f106) as v from {user_raw} where user_id in (select user_id from {train_users})) x where v is not null
-        union select 'item', 'f100', f.f100 from {item_features} f join {item_train_counts} t on f.item_rid = t.item_rid where f.f100 is not null
+        union select 'user', 'f106', v from (select @explode(f106) as v from {user_raw} where user_id in (select user_id from {train_users})) x where v is not null""",
+    "item_vocab_values": """
+        select 'item' as entity, 'f100' as field, f.f100 as value from {item_features} f join {item_train_counts} t on f.item_rid = t.item_rid where f.f100 is not null
         union select 'item', 'f101', f.f101 from {item_features} f join {item_train_counts} t on f.item_rid = t.item_rid where f.f101 is not null
         union select 'item', 'f102', f.f102 from {item_features} f join {item_train_counts} t on f.item_rid = t.item_rid where f.f102 is not null
         union select 'item', 'f121', f.f121 from {item_features} f join {item_train_counts} t on f.item_rid = t.item_rid where f.f121 is not null""",
-    # numbered within ranges of values, to which the sizes of the field's earlier ranges are added
-    "feature_vocab": Operator(
-        """
-        select v.entity, v.field, v.value, cast(2 + r.before + row_number() over (partition by v.entity, v.field, r.value_range order by v.value) as bigint) as token
-        from {vocab_values} v
-        join (select entity, field, value_range, coalesce(sum(n) over (partition by entity, field order by value_range rows between unbounded preceding and 1 preceding), 0) as before
-              from (select entity, field, cast(floor(value / 4096.0) as bigint) as value_range, count(*) as n from {vocab_values} group by 1, 2, 3) c) r
-          on v.entity = r.entity and v.field = r.field and cast(floor(v.value / 4096.0) as bigint) = r.value_range""",
-        "select entity, field, value, cast(2 + row_number() over (partition by entity, field order by value) as bigint) as token from {vocab_values}",
-    ),
+    "user_vocab": _numbered("user_vocab_values", "user"),
+    "item_vocab": _numbered("item_vocab_values", "item"),
+    "feature_vocab": "select * from {user_vocab} union all select * from {item_vocab}",
     "user_lists": """
         select x.user_id, x.place, coalesce(v.token, 2) as token from (
             select user_id, cast(row_number() over (partition by user_id order by v) - 1 as bigint) as place, v from (select user_id, @explode(f106) as v from {user_raw}) e) x
-        left join (select * from {feature_vocab} where entity = 'user' and field = 'f106') v on x.v = v.value""",
+        left join (select * from {user_vocab} where field = 'f106') v on x.v = v.value""",
     "user_features": """
         select u.user_id, case when r.f103 is null then 1 else coalesce(a.token, 2) end as f103_token, r.f103 is null as f103_missing, r.f103 is not null and a.token is null as f103_oov,
                case when r.f104 is null then 1 else coalesce(b.token, 2) end as f104_token, r.f104 is null as f104_missing, r.f104 is not null and b.token is null as f104_oov,
                coalesce(l.tokens, case when r.f106 is null then '1' else '' end) as f106_tokens
         from {relevant_users} u left join {user_raw} r on u.user_id = r.user_id
-        left join (select value, token from {feature_vocab} where entity = 'user' and field = 'f103') a on r.f103 = a.value
-        left join (select value, token from {feature_vocab} where entity = 'user' and field = 'f104') b on r.f104 = b.value
+        left join (select value, token from {user_vocab} where field = 'f103') a on r.f103 = a.value
+        left join (select value, token from {user_vocab} where field = 'f104') b on r.f104 = b.value
         left join (select user_id, @join(@strings(@map(@pack(place, token), x.token))) as tokens from {user_lists} group by user_id) l on u.user_id = l.user_id""",
     "candidate_side": """
         select s.item_oid, s.retrieval_id, s.source, case when s.f100_value is null then 1 else coalesce(v.token, 2) end as f100_token, s.f100_value is null as f100_missing,
                s.f100_value is not null and v.token is null as f100_oov, coalesce(i.train_event_count, 0) as train_event_count, coalesce(i.strength_group, 'Unseen') as strength_group
-        from {side_values} s left join (select value, token from {feature_vocab} where entity = 'item' and field = 'f100') v on s.f100_value = v.value
+        from {side_values} s left join (select value, token from {item_vocab} where field = 'f100') v on s.f100_value = v.value
         left join {item_strength} i on s.item_rid = i.item_rid""",
     "vocab_coverage": """
         select 'user' as entity, 'f103' as field, count(*) as row_count, @count_if(f103_missing) as missing, @count_if(f103_oov) as oov from {user_features}
