@@ -248,6 +248,8 @@ def apply_changes(changes: DataFrame) -> DataFrame:
         return spark.createDataFrame([], RESULT)
     buckets = max(64, sum(n for _, n in largest.values()) // BUCKET_ROWS)
     root = f"{shared_folder(spark)}/changes-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     feed = fed(rows, buckets)
     tick = None
     for batch in range(1, BATCHES + 2):
