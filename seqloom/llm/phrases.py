@@ -23,7 +23,7 @@ from .stash import modest_batches, release, stash
 from .wordkit import LOWER, U64, buffer_of, by_byte, chunks, hash_spans, mix, spans
 
 #: Words of one suffix array, and rows of a batch of results.
-SHARD_WORDS, BATCH_ROWS = 1 << 20, 1 << 16
+SHARD_WORDS, BATCH_ROWS = 1 << 19, 1 << 16
 #: The bit set has BITS_A_KEY bits a frequent phrase, and at most MAX_BITS (16 MB); beyond that it is left out.
 BITS_A_KEY, MAX_BITS = 16, 1 << 27
 
