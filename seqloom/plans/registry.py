@@ -19,7 +19,7 @@ ROWS_ONLY = {"dense_topk_lsh", "dense_topk_index", "training_history", "variant_
 
 #: Costly where several branches of a plan need them.
 KEEP = frozenset(
-    "events_plain model_targets model_events model_negative_draws variant_ranks variant_metrics gaps user_vocab item_vocab timestamp_counts boundaries banded_events dense_topk_lsh dense_topk_index interactions split_samples item_strength item_train_counts drift_daily feature_vocab user_features candidate_side eval_candidates activity_events session_split "
+    "events_plain model_targets model_events model_negative_draws variant_ranks variant_metrics gaps user_vocab item_vocab timestamp_counts banded_events dense_topk_lsh dense_topk_index interactions split_samples item_strength item_train_counts drift_daily feature_vocab user_features candidate_side eval_candidates activity_events session_split "
     "itemcf_neighbors itemcf_retrieve itemcf_ranks retrieval_metrics item_norms fused_scores fused_ranks rank_pairs history_dims query_vectors index_vectors dense_topk_exact channel_dims channel_top dense_retrieve channel_ranks channel_retrieve user_action_ratios negative_draws loss_dims softmax_scores".split()
 )
 
