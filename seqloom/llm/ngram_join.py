@@ -35,8 +35,8 @@ from .components import connected_components
 from .stash import modest_batches, release, stash
 from .wordkit import LOWER, U64, as_int64, chunks, mix, owners, powers, words
 
-#: Tokens in one block of a cluster.
-BLOCK_TOKENS = 1 << 19
+#: Tokens in one block of a cluster (8 MB); a task holds two blocks, at the peak about 40 bytes a token.
+BLOCK_TOKENS = 1 << 20
 #: Documents of clusters up to this many (16 bytes each) are found by a broadcast of their ids; beyond that by a shuffle join.
 BROADCAST_IDS = 1 << 20
 #: Classes a task remembers so as not to index copies again.
@@ -75,7 +75,7 @@ def class_ids(token: np.ndarray, r: np.ndarray) -> np.ndarray:
 
 
 INFO = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("class", T.LongType())])
-POSTING = T.StructType([T.StructField("token", T.LongType()), T.StructField("class", T.LongType()), T.StructField("n", T.LongType())])
+POSTING = T.StructType([T.StructField("token", T.LongType()), T.StructField("class", T.LongType())])
 CANDIDATE = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
 
@@ -125,42 +125,42 @@ def prefix_rows(k: int, percent: int):
                 rank = np.arange(len(token)) - np.repeat(r[:-1], n)
                 pick = rank < np.repeat(take, n)
                 of = np.repeat(np.arange(len(n)), take)
-                yield pa.RecordBatch.from_arrays([pa.array(as_int64(token[pick])), pa.array(as_int64(own[of])), pa.array(n[of])], names=POSTING.names)
+                yield pa.RecordBatch.from_arrays([pa.array(as_int64(token[pick])), pa.array(as_int64(own[of]))], names=POSTING.names)
 
     return run
 
 
 def lists(batches):
-    """Batches of postings sorted by (token, class), without repeated ones: classes, n, the
+    """Batches of postings sorted by (token, class), without repeated ones: classes, the
     list's number, its start, and how many first rows were there before.  The last
     list's first two rows are carried into the next batch."""
     carry = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        key, own, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(3))
+        key, own = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(2))
         old = 0
         if carry is not None:
-            key, own, n = (np.concatenate([x, y]) for x, y in zip(carry, (key, own, n), strict=True))
+            key, own = (np.concatenate([x, y]) for x, y in zip(carry, (key, own), strict=True))
             old = len(carry[0])
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (own[1:] != own[:-1])
         new[:old] = True
-        key, own, n = key[new], own[new], n[new]
+        key, own = key[new], own[new]
         start = np.ones(len(key), bool)
         start[1:] = key[1:] != key[:-1]
-        yield own, n, np.cumsum(start) - 1, np.flatnonzero(start), old
+        yield own, np.cumsum(start) - 1, np.flatnonzero(start), old
         last = int(np.flatnonzero(start)[-1])
         at = [last] if last == len(key) - 1 else [last, len(key) - 1]
-        carry = (key[at], own[at], n[at])
+        carry = (key[at], own[at])
 
 
-SHARED = T.StructType([T.StructField("class", T.LongType()), T.StructField("n", T.LongType()), T.StructField("shared", T.LongType())])
+SHARED = T.StructType([T.StructField("class", T.LongType()), T.StructField("shared", T.LongType())])
 
 
 def shared_rows(batches):
     """For each class how many of its postings are in lists with other classes."""
-    for own, n, group, at, old in lists(batches):
+    for own, group, at, old in lists(batches):
         size = np.diff(np.append(at, len(own)))
         shared = size[group] > 1
         if old == 2:
@@ -168,13 +168,13 @@ def shared_rows(batches):
         elif old == 1:
             pass  # a list of one so far: its row counts now, if others follow
         if shared.any():
-            u, where, count = np.unique(own[shared], return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(n[shared][where]), pa.array(count)], names=SHARED.names)
+            u, count = np.unique(own[shared], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(count)], names=SHARED.names)
 
 
 def star_rows(batches):
     """Candidate edges from each list's other classes to its first."""
-    for own, _, group, at, _ in lists(batches):
+    for own, group, at, _ in lists(batches):
         other = np.ones(len(own), bool)
         other[at] = False
         if other.any():
@@ -222,7 +222,7 @@ def combination_rows(k: int, percent: int):
                     use &= n[doc] > 0
                     number = (np.arange(len(doc)) - first[doc]).astype(np.uint64)
                     key = mix(mix(total + count.astype(np.uint64)) + mix(number + (level[doc] + up).astype(np.uint64) * U64(0x9E3779B97F4A7C15)))
-                    yield pa.RecordBatch.from_arrays([pa.array(as_int64(key[use])), pa.array(as_int64(own[doc[use]])), pa.array(n[doc[use]])], names=POSTING.names)
+                    yield pa.RecordBatch.from_arrays([pa.array(as_int64(key[use])), pa.array(as_int64(own[doc[use]]))], names=POSTING.names)
 
     return run
 
@@ -255,23 +255,24 @@ def linked(sets: list[np.ndarray], side: np.ndarray, percent: int) -> np.ndarray
     n = np.array([len(x) for x in sets])
     order = np.argsort(n, kind="stable")
     flat = np.concatenate([sets[i] for i in order])
-    of = np.repeat(np.arange(g), n[order])
     n, side = n[order], side[order]
-    by = np.argsort(flat, kind="stable")
-    sorted_tokens, docs = flat[by], of[by]
-    start = np.ones(len(by), bool)
-    start[1:] = sorted_tokens[1:] != sorted_tokens[:-1]
-    list_start = np.flatnonzero(start)[np.cumsum(start) - 1]
+    by = np.argsort(flat, kind="stable").astype(np.uint32)
+    flat = flat[by]
+    docs = np.repeat(np.arange(g, dtype=np.uint32), n)[by]
+    start = np.flatnonzero(np.append(True, flat[1:] != flat[:-1])).astype(np.uint32)
+    del flat
+    list_start = np.repeat(start, np.diff(np.append(start, len(by))))
     # for each token of a set, in the set's order: where its list begins and how many sets precede
-    begin, before = np.empty(len(by), np.int64), np.empty(len(by), np.int64)
+    begin, before = np.empty(len(by), np.uint32), np.empty(len(by), np.uint32)
     begin[by] = list_start
-    before[by] = np.arange(len(by)) - list_start
+    before[by] = np.arange(len(by), dtype=np.uint32) - list_start
+    del by, list_start
     edge = np.cumsum(n) - n
     label = np.arange(g)
     two = side.any() and not side.all()
     for i in range(g):
         own = slice(edge[i], edge[i] + n[i])
-        length = before[own]
+        length = before[own].astype(np.int64)
         total = int(length.sum())
         if not total:
             continue
@@ -363,11 +364,11 @@ def linked_classes(documents: DataFrame, shingle: int, percent: int, block_token
         return postings.repartition(n_parts, key).sortWithinPartitions(key, "class")
 
     singles = docs.mapInArrow(prefix_rows(shingle, percent), POSTING)
-    shared = sorted_by(singles, "token").mapInArrow(shared_rows, SHARED).groupBy("class").agg(F.sum("shared").alias("shared"), F.first("n").alias("n"))
+    shared = sorted_by(singles, "token").mapInArrow(shared_rows, SHARED).groupBy("class").agg(F.sum("shared").alias("shared"))
     m = F.expr(f"(n * {percent} + 99) div 100")
     spare = F.expr(f"m - (m * {percent} + 99) div 100")
-    enough = shared.withColumn("m", m).withColumn("spare", spare).where("shared >= least(m, 2 * spare + 2) - spare")
-    extended = stash(enough.select("class").join(classes, "class").select("doc_id"), "extended")
+    enough = shared.join(classes, "class").withColumn("m", m).withColumn("spare", spare).where("shared >= least(m, 2 * spare + 2) - spare")
+    extended = stash(enough.select("doc_id"), "extended")
     release(spark)
     combos = restricted(docs, extended, extended.count()).select("doc_id", "text").mapInArrow(combination_rows(shingle, percent), POSTING)
     clusters = connected_components(sorted_by(combos, "token").mapInArrow(star_rows, CANDIDATE).distinct())
