@@ -121,3 +121,10 @@ def test_pairs_by_bands(spark):
     got = {(r["user_id"], r["item_rid"], r["neighbor_item_rid"]) for r in GRAPH.frame(spark, "itemcf_pairs", interactions=events, temporal_cutoffs=cut, known_items=known).collect()}
     want = {(a[0], a[2], b[2]) for a in rows for b in rows if a[0] == b[0] and 1 <= abs(a[1] - b[1]) <= 20 and a[2] != b[2] and b[2] < 20}
     assert got == want
+
+
+def test_item_cf_adds_up_where_a_users_lists_arrive(spark, sf001):
+    """After the one shuffle by user neither scores nor ranks are shuffled again."""
+    for name in ("itemcf_retrieve", "itemcf_ranked"):
+        plan = GRAPH.frame(spark, name, sf001)._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan[plan.index("Window") : plan.index("REPARTITION_BY_COL")].rpartition("\n")[0]
