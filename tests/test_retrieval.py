@@ -128,3 +128,16 @@ def test_item_cf_adds_up_where_a_users_lists_arrive(spark, sf001):
     for name in ("itemcf_retrieve", "itemcf_ranked"):
         plan = GRAPH.frame(spark, name, sf001)._jdf.queryExecution().executedPlan().toString()
         assert "Exchange" not in plan[plan.index("Window") : plan.index("REPARTITION_BY_COL")].rpartition("\n")[0]
+
+
+def test_exact_lists_are_not_shuffled_and_wanted_items_alone(spark):
+    rng = np.random.default_rng(9)
+    q, x = rng.standard_normal((40, 6)), rng.standard_normal((90, 6))
+    items = vectors(spark, x, "item_id")
+    for size in (30, 90):
+        whole = dense.exact_top_k(vectors(spark, q, "query_id"), items, 12, block_items=size, block_queries=7)
+        assert "Window" not in whole._jdf.queryExecution().executedPlan().toString()
+        ranks = {(r["query_id"], r["item_id"]): r["rank"] for r in whole.collect()}
+        asked = vectors(spark, q, "query_id").withColumn("wanted", F.col("query_id") * 2)
+        got = {(r["query_id"], r["item_id"]): r["rank"] for r in dense.exact_top_k(asked, items, 12, block_items=size, block_queries=7).collect()}
+        assert got == {k: v for k, v in ranks.items() if k[1] == 2 * k[0]} and got
