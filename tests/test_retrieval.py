@@ -141,3 +141,46 @@ def test_exact_lists_are_not_shuffled_and_wanted_items_alone(spark):
         asked = vectors(spark, q, "query_id").withColumn("wanted", F.col("query_id") * 2)
         got = {(r["query_id"], r["item_id"]): r["rank"] for r in dense.exact_top_k(asked, items, 12, block_items=size, block_queries=7).collect()}
         assert got == {k: v for k, v in ranks.items() if k[1] == 2 * k[0]} and got
+
+
+@pytest.mark.parametrize("name", ["channel_overlap", "channel_incremental", "channel_complementarity", "rrf_fusion", "rrf_weight_grid", "ablation_deltas"])
+def test_whole_lists_are_neither_written_nor_multiplied(name):
+    """Fusion, overlap and metrics take lists of one split and experiment, or only the targets' places."""
+    written = GRAPH.keep | set(GRAPH.buckets)
+    lists = {"itemcf_retrieve", "dense_retrieve", "channel_retrieve", "channel_top", "fused_scores", "fused_ranks", "channel_dims", "history_dims"}
+    seen, todo = set(), [name]
+    while todo:
+        node = todo.pop()
+        if node in GRAPH.operators and node not in seen:
+            seen.add(node)
+            todo += GRAPH.inputs(node)
+    assert not seen & lists and "itemcf_neighbors" in seen & written
+
+
+def test_packed_lists_are_the_rows_lists(spark):
+    rng = np.random.default_rng(11)
+    q, x = rng.integers(-2, 3, (40, 5)) / 2, rng.integers(-2, 3, (90, 5)) / 2
+    q[0] = 0
+    for size in (30, 90):
+        rows = lists(dense.exact_top_k(vectors(spark, q, "query_id"), vectors(spark, x, "item_id"), 12, block_items=size, block_queries=7))
+        packed = dense.exact_top_k(vectors(spark, q, "query_id"), vectors(spark, x, "item_id"), 12, block_items=size, block_queries=7, packed=True)
+        assert {r["query_id"]: r["items"] for r in packed.collect()} == rows and 0 not in rows
+
+
+def test_fused_place_of_the_target(spark):
+    """Against a ranking of the whole fused list, with ties and targets in one list, in both and in none."""
+    rng = np.random.default_rng(12)
+    rows = []
+    for s in range(30):
+        a, b = ([int(i) for i in rng.permutation(40)[: rng.integers(1, 30)]] if s % 5 else None for _ in range(2))
+        rows.append((s, int(rng.integers(0, 50)), a, b))
+    channels = spark.createDataFrame(rows, "sample_id long, target_item_rid long, first_items array<bigint>, second_items array<bigint>")
+    got = {(r["sample_id"], r["alpha"]): r["rank"] for r in GRAPH.frame(spark, "test_fused_targets", test_channels=channels).collect()}
+    want = {}
+    for s, target, a, b in rows:
+        for alpha in (0.0, 0.25, 0.5, 0.75, 1.0):
+            score = {i: round((alpha / (61 + a.index(i)) if i in (a or ()) else 0) + ((1 - alpha) / (61 + b.index(i)) if i in (b or ()) else 0), 12) for i in {*(a or ()), *(b or ())}}
+            order = sorted(score, key=lambda i: (-score[i], i))
+            if target in order:
+                want[s, alpha] = order.index(target) + 1
+    assert got == want and want
