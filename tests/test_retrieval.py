@@ -184,3 +184,24 @@ def test_fused_place_of_the_target(spark):
             if target in order:
                 want[s, alpha] = order.index(target) + 1
     assert got == want and want
+
+
+def test_approximate_search_shuffles_no_pairs(spark, monkeypatch):
+    """Hashing compares what agrees in a table's signs; items pass by in blocks, without rows of pairs or ranks."""
+    rng = np.random.default_rng(13)
+    x, q = rng.integers(-2, 3, (120, 6)) / 2 + 0.01, rng.integers(-2, 3, (50, 6)) / 2 + 0.01
+    planes = np.random.default_rng(7).standard_normal((3, 4, 6))
+    sign = lambda v: np.einsum("nd,tbd->ntb", v, planes) > 0
+    near = (sign(q)[:, None] == sign(x)[None]).all(3).any(2)
+    skip = {i: set(np.flatnonzero(~near[i]).tolist()) for i in range(len(q))}
+    want = {i: o for i, o in brute(q, x, 7, skip).items() if o}
+    for size in (1 << 14, 16):
+        monkeypatch.setattr(dense, "BLOCK_ITEMS", size)
+        frame = dense.lsh_top_k(vectors(spark, q, "query_id"), vectors(spark, x, "item_id"), 7, tables=3, bits=4, probes=0)
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan and "Join" not in plan and lists(frame) == want
+    monkeypatch.setattr(dense, "LIST_ITEMS", 16)
+    index = dense.VectorIndex.build(vectors(spark, x, "item_id"), rounds=2)
+    frame = index.top_k(vectors(spark, q, "query_id"), 7, len(index.centroids))
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Join" not in plan and lists(frame) == brute(q, x, 7)
