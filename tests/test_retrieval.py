@@ -205,3 +205,15 @@ def test_approximate_search_shuffles_no_pairs(spark, monkeypatch):
     frame = index.top_k(vectors(spark, q, "query_id"), 7, len(index.centroids))
     plan = frame._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "Join" not in plan and lists(frame) == brute(q, x, 7)
+
+
+def test_negatives_are_shuffled_by_number_and_by_user_only(spark, sf001):
+    keep = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        frame = GRAPH.frame(spark, "negative_top", sf001)
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan[: plan.index("REPARTITION_BY_COL")].rpartition("\n")[0]
+        assert "negative_draws" not in GRAPH.inputs("negative_samples") and "softmax_scores" not in GRAPH.inputs("softmax_loss")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", keep)
