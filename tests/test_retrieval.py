@@ -217,3 +217,13 @@ def test_negatives_are_shuffled_by_number_and_by_user_only(spark, sf001):
         assert "negative_draws" not in GRAPH.inputs("negative_samples") and "softmax_scores" not in GRAPH.inputs("softmax_loss")
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", keep)
+
+
+def test_what_a_function_reads_again_is_written(spark, sf001, monkeypatch):
+    """Quantiles read the gaps in several rounds; each would shuffle all events anew."""
+    from seqloom.plans import graph
+
+    labels, write = [], graph.materialize
+    monkeypatch.setattr(graph, "materialize", lambda df, label, *by: labels.append(label) or write(df, label, *by))
+    GRAPH.frame(spark, "gap_quantiles", sf001)
+    assert labels.count("gaps") == 1
