@@ -13,7 +13,10 @@ RELATIONS = {
         from {lineitem} join {orders} on l_orderkey = o_orderkey""",
     # without positions: where nothing else needs them, the windows go from the plan
     "events_plain": "select user_id, item_rid, action_type, ts from {interactions}",
-    "item_map": "select distinct 20000000000 + item_rid as item_oid, item_rid from {events_plain}",
+    "item_map": Operator(
+        "select distinct 20000000000 + item_rid as item_oid, item_rid from {events_plain}",
+        beside=(("item_counts", "select 20000000000 + item_rid as item_oid, item_rid from {item_counts}"),),
+    ),
     "item_features": """
         select m.item_rid, cast(p.p_size as bigint) as f100, cast(substr(p.p_brand, 7) as bigint) as f101,
                nullif((m.item_rid - 1) % 10, 0) as f102, p.p_partkey as f121

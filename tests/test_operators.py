@@ -157,3 +157,17 @@ def test_negatives_and_loss_for_all_samples(spark):
     index = spark.createDataFrame([(31, [0.5, 0.5])], "item_id long, vector array<double>")
     loss = dict(r[::2] for r in rows(GRAPH.frame(spark, "softmax_loss", item_train_counts=pool(51), loss_vectors=vectors, index_vectors=index, **given)))
     assert loss == {u: pytest.approx(math.log(math.exp(0.5) + 20) - 0.5 if u < 120 else math.log(21), abs=1e-6) for u in range(1, 121)}
+
+
+def test_counts_and_samples_come_without_the_map_of_items(spark):
+    assert "item_map" not in GRAPH.needed("next_click_features", {}) and "item_map" not in GRAPH.needed("drift_daily", {})
+    e = spark.createDataFrame([(1, 10, 0, 5, 0, 0), (1, 10, 1, 6, 1, 1), (1, None, 1, 7, 2, 2), (2, 11, 1, 30, 0, 0), (2, 12, 1, 40, 1, 1)], "user_id long, item_rid long, action_type int, ts long, pos long, history_end long")
+    given = {"interactions": e, "temporal_cutoffs": spark.createDataFrame([(20, 35)], "validation_start long, test_start long")}
+    known = {"item_map": GRAPH.frame(spark, "item_map", interactions=e)}
+    for name in ("item_strength", "sample_rows", "next_click_samples", "split_counts"):
+        got, want = (sorted(GRAPH.frame(spark, name, **given, **more).collect(), key=repr) for more in ({}, known))
+        assert got == want and got
+    # the map from the counts has the same rows
+    beside = GRAPH.with_neighbors("candidate_side", {})
+    assert "item_counts" in beside.inputs("item_map")
+    assert sorted(beside.frame(spark, "item_map", **given).collect(), key=repr) == sorted(known["item_map"].collect(), key=repr)
