@@ -171,3 +171,8 @@ def test_counts_and_samples_come_without_the_map_of_items(spark):
     beside = GRAPH.with_neighbors("candidate_side", {})
     assert "item_counts" in beside.inputs("item_map")
     assert sorted(beside.frame(spark, "item_map", **given).collect(), key=repr) == sorted(known["item_map"].collect(), key=repr)
+
+
+def test_batches_read_the_histories_of_validation_samples_only():
+    needed = GRAPH.needed("collated_events", {})
+    assert "collated_history" in needed and "model_events" not in needed
