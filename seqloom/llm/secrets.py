@@ -13,9 +13,9 @@ from being drawn uniformly from that alphabet:
 
 Fisher's method combines them into a score.  To call a candidate a secret is to reject
 that it is ordinary writing, and what scores ordinary writing reaches is fitted: every
-document gives decoys, words of a passage at a hashed place run together in the ways
-identifiers are (plain, capitalised, with separators), which go through the same
-battery.  A candidate's p-value is the share of the decoys of its length class that
+document gives decoys, all of its words run together in the ways identifiers are
+(plain, capitalised, with separators) and cut up, which go through the same battery;
+blocks of them that are equal count once.  A candidate's p-value is the share of the decoys of its length class that
 look at least as random; Benjamini-Hochberg control within the class bounds the
 expected share of ordinary strings among the findings.  Where strings are too short
 for the tests to tell them apart, decoys look random too, and nothing is found.
@@ -40,8 +40,8 @@ KINDS = ["assign", "access", "hex", "random"]
 FDR = 0.01
 #: Scores are counted in bins of this width, up to BIN_LIMIT bins.
 BIN, BIN_LIMIT = 0.02, 20_000
-#: Code points of a document's passage that decoys are made of, and the lengths they are cut to.
-PASSAGE, DECOY_LENGTHS = 400, (24, 40, 64, 128)
+#: The lengths that texts are cut to for decoys.
+DECOY_LENGTHS = (24, 40, 64, 128)
 #: Spans that are counted up in one go; arrays grow within a block and by blocks.
 BLOCK = 256
 SPAN = "array<struct<kind:string,start:long,end:long,value:string>>"
@@ -77,17 +77,12 @@ def all_spans(text: Column, pattern: str, kind: str) -> Column:
     return F.when(F.regexp_like(text, F.lit(pattern)), F.flatten(F.aggregate(blocks, none, follow, lambda acc: acc["blocks"]))).otherwise(F.expr(f"cast(array() as {SPAN})"))
 
 
-def normal_tail(z: Column) -> Column:
-    """Upper tail of the standard normal law (Abramowitz and Stegun 26.2.17), at least 1e-300."""
-    x = F.abs(z)
-    t = F.lit(1.0) / (1 + 0.2316419 * x)
-    poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
-    upper = 0.3989422804014327 * F.exp(-x * x / 2) * poly
-    return F.greatest(F.lit(1e-300), F.when(z >= 0, upper).otherwise(1 - upper))
-
-
-def two_sided(z: Column) -> Column:
-    return F.least(F.lit(1.0), 2 * normal_tail(F.abs(z)))
+def normal_tails(z: Column) -> Column:
+    """Upper tails of the standard normal law (Abramowitz and Stegun 26.2.17) of an array, at least 1e-300."""
+    start = F.transform(z, lambda x: F.struct(x.alias("z"), (F.lit(1.0) / (1 + 0.2316419 * F.abs(x))).alias("t")))
+    poly = lambda t: t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+    upper = F.transform(start, lambda s: F.struct(s["z"].alias("z"), (0.3989422804014327 * F.exp(-F.abs(s["z"]) * F.abs(s["z"]) / 2) * poly(s["t"])).alias("upper")))
+    return F.transform(upper, lambda s: F.greatest(F.lit(1e-300), F.when(s["z"] >= 0, s["upper"]).otherwise(1 - s["upper"])))
 
 
 def alphabet_size(value: Column) -> Column:
@@ -103,58 +98,85 @@ def alphabet_size(value: Column) -> Column:
     )
 
 
-def letter_rank(code: Column, size: Column) -> Column:
-    """A letter's place in the alphabet of that size."""
-    digit, upper, lower = code.between(48, 57), code.between(65, 90), code.between(97, 122)
-    in_64 = F.when(upper, code - 65).when(lower, code - 71).when(digit, code + 4).when(code.isin(43, 45), 62).otherwise(63)
-    in_32 = F.when(upper, code - 65).otherwise(code - 24)
-    in_62 = F.when(digit, code - 48).when(upper, code - 55).otherwise(code - 61)
-    narrow = F.when(digit, code - 48).when(upper, code - 55).otherwise(code - 87)
-    in_26 = F.when(upper, code - 65).otherwise(code - 97)
-    return F.when(size == 64, in_64).when(size == 62, in_62).when(size == 32, in_32).when(size == 26, in_26).otherwise(narrow)
+#: What the letters of each alphabet become, 48 + rank as a character, by (letters, ranks from 0) of each alphabet's size; 0 for 10, 16 and 36.
+RANKS = "".join(chr(48 + i) for i in range(64))
+UPPER, LOWER_CASE, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+ALPHABETS = {
+    64: (UPPER + LOWER_CASE + DIGITS + "+-/_", RANKS[:62] + RANKS[62] * 2 + RANKS[63] * 2),
+    62: (DIGITS + UPPER + LOWER_CASE, RANKS[:62]),
+    32: (UPPER + "234567", RANKS[:32]),
+    26: (LOWER_CASE + UPPER, RANKS[:26] * 2),
+    0: (DIGITS + LOWER_CASE + UPPER, RANKS[:36] + RANKS[10:36]),
+}
 
 
-def sums(x: Column, size: Column) -> Column:
-    """What the tests need of an array of ranks, in one pass and one over the sorted array:
-    n, their sum, sum of squares and of products of neighbours, how many are in the upper
-    half of the alphabet and how often that changes, the first and last, and the sum of
-    the letters' squared counts."""
-    zero, nothing = F.lit(0.0), F.lit(-1.0)
-    names = ("last", "sum", "squares", "products", "high", "changes")
-    start = F.struct(*(v.alias(k) for k, v in zip(names, (nothing, zero, zero, zero, zero, zero), strict=True)))
+def ranked(value: Column, size: Column) -> Column:
+    """The value's letters as those of RANKS."""
+    out = F.translate(value, *ALPHABETS[0])
+    for n in (26, 32, 62, 64):
+        out = F.when(size == n, F.translate(value, *ALPHABETS[n])).otherwise(out)
+    return out
 
-    def step(acc, rank):
-        v, fresh = rank.cast("double"), acc["last"] < 0
-        up = F.when(v * 2 >= size, 1.0).otherwise(0.0)
-        was = F.when(acc["last"] * 2 >= size, 1.0).otherwise(0.0)
-        values = (v, acc["sum"] + v, acc["squares"] + v * v, acc["products"] + F.when(fresh, 0.0).otherwise(acc["last"] * v), acc["high"] + up, acc["changes"] + F.when(fresh | (up == was), 0.0).otherwise(1.0))
-        return F.struct(*(value.alias(k) for k, value in zip(names, values, strict=True)))
 
-    def square(acc, rank):
-        run = F.when(acc["letter"] == rank, acc["run"] + 1).otherwise(0.0)
-        return F.struct(rank.cast("double").alias("letter"), run.alias("run"), (acc["sum"] + 2 * run + 1).alias("sum"))
+def halves(value: Column, size: Column) -> Column:
+    """Of ranked letters: a 0 for each of the lower half of the alphabet, a 1 for each of the upper."""
+    marks = lambda n: "".join("1" if 2 * i >= n else "0" for i in range(64))
+    out = F.translate(value, RANKS, marks(36))
+    for n in (10, 16, 26, 32, 62, 64):
+        out = F.when(size == n, F.translate(value, RANKS, marks(n))).otherwise(out)
+    return out
 
-    counts = F.aggregate(F.array_sort(x), F.struct(nothing.alias("letter"), zero.alias("run"), zero.alias("sum")), square, lambda acc: acc["sum"])
-    return F.struct(F.size(x).cast("double").alias("n"), F.element_at(x, 1).cast("double").alias("first"), counts.alias("counts"), F.aggregate(x, start, step).alias("of"))
 
+def rank_of(letter: Column) -> Column:
+    return (F.ascii(letter) - 48).cast("double")
 
-def tests(c: Column) -> Column:
-    """The p-values of "uniformly random" of the three tests, for a struct with size and sums."""
-    size, n, of = c["size"].cast("double"), c["sums"]["n"], c["sums"]["of"]
-    free = size - 1
-    chi = normal_tail((F.pow(F.greatest(F.lit(0.0), c["sums"]["counts"] * size / n - n) / free, F.lit(1 / 3)) - (1 - 2 / (9 * free))) / F.sqrt(2 / (9 * free)))
-    # runs above and below the middle of the alphabet
-    n1 = of["high"]
-    n2 = n - n1
-    mean = 2 * n1 * n2 / n + 1
+
+def sums(c: Column) -> Column:
+    """What the tests need, from ranked letters (letters, an array; runs, each letter repeated as often as it
+    occurs; halves): n, the sum of the ranks, of their squares and of products of neighbours, how many are in
+    the upper half of the alphabet and how often that changes, the first and last, and the sum of the
+    letters' squared counts."""
+    zero, n = F.lit(0.0), F.size(c["letters"])
+    counted = F.transform(c["runs"], lambda r: F.struct(rank_of(r).alias("rank"), F.char_length(r).cast("double").alias("n")))
+    start = F.struct(*(zero.alias(x) for x in ("sum", "squares", "counts")))
+    totals = F.aggregate(counted, start, lambda acc, r: F.struct((acc["sum"] + r["n"] * r["rank"]).alias("sum"), (acc["squares"] + r["n"] * r["rank"] * r["rank"]).alias("squares"), (acc["counts"] + r["n"] * r["n"]).alias("counts")))
+    following = F.slice(c["letters"], 2, F.greatest(n - 1, F.lit(0)))
+    products = F.aggregate(F.zip_with(c["letters"], following, lambda x, y: rank_of(x) * rank_of(y)), zero, lambda acc, r: acc + F.coalesce(r, zero))
+    high = F.char_length(F.replace(c["halves"], F.lit("0"), F.lit("")))
+    changes = F.regexp_count(c["halves"], F.lit("0(?=1)|1(?=0)"))
+    return F.struct(n.cast("double").alias("n"), rank_of(F.element_at(c["letters"], 1)).alias("first"), rank_of(F.element_at(c["letters"], -1)).alias("last"), totals.alias("of"), products.alias("products"), high.cast("double").alias("high"), changes.cast("double").alias("changes"))
+
+
+def means(c: Column) -> Column:
+    """The expected number of runs above and below the middle of the alphabet, and the mean rank."""
+    s = c["sums"]
+    return F.struct((2 * s["high"] * (s["n"] - s["high"]) / s["n"] + 1).alias("runs"), (s["of"]["sum"] / s["n"]).alias("rank"))
+
+
+def lags(c: Column) -> Column:
+    """The ranks' sum of squared deviations, and of products of neighbouring ones."""
+    s, middle = c["sums"], c["means"]["rank"]
+    power = s["of"]["squares"] - s["n"] * middle * middle
+    lagged = s["products"] - middle * (2 * s["of"]["sum"] - s["first"] - s["last"]) + (s["n"] - 1) * middle * middle
+    return F.struct(power.alias("power"), lagged.alias("lagged"))
+
+
+def deviates(c: Column) -> Column:
+    """The standard normal deviates of the three tests; null where a test can't be made, as nothing varies."""
+    size, s, mean = c["size"].cast("double"), c["sums"], c["means"]["runs"]
+    free, n = size - 1, s["n"]
+    chi = (F.pow(F.greatest(F.lit(0.0), s["of"]["counts"] * size / n - n) / free, F.lit(1 / 3)) - (1 - 2 / (9 * free))) / F.sqrt(2 / (9 * free))
     spread = F.sqrt(F.greatest(F.lit(1e-9), (mean - 1) * (mean - 2) / (n - 1)))
-    run = F.when((n1 < 1) | (n2 < 1), F.lit(1e-12)).otherwise(two_sided((1 + of["changes"] - mean) / spread))
-    # serial correlation of neighbours
-    middle = of["sum"] / n
-    power = of["squares"] - n * middle * middle
-    lagged = of["products"] - middle * (2 * of["sum"] - c["sums"]["first"] - of["last"]) + (n - 1) * middle * middle
-    serial = F.when(power <= 1e-9, F.lit(1e-12)).otherwise(two_sided((lagged / power + 1 / n) * F.sqrt(n)))
-    return F.struct(F.least(chi, F.lit(1.0)).alias("chi"), run.alias("run"), serial.alias("serial"))
+    run = F.when((s["high"] >= 1) & (n - s["high"] >= 1), F.abs((1 + s["changes"] - mean) / spread))
+    serial = F.when(c["lags"]["power"] > 1e-9, F.abs((c["lags"]["lagged"] / c["lags"]["power"] + 1 / n) * F.sqrt(n)))
+    return F.array(chi, run, serial)
+
+
+def tests(c: Column) -> Column:
+    """The p-values of "uniformly random" of the three tests, from (z, upper tail) of their deviates."""
+    p = lambda k: c["tails"][k]
+    both = lambda k: F.when(c["z"][k].isNull(), F.lit(1e-12)).otherwise(F.least(F.lit(1.0), 2 * p(k)))
+    return F.struct(F.least(p(0), F.lit(1.0)).alias("chi"), both(1).alias("run"), both(2).alias("serial"))
 
 
 def fisher(p: Column) -> Column:
@@ -191,24 +213,35 @@ def scored(values: Column) -> Column:
     """start, end, class and bin of an array of strings (value, start, end)."""
     bare = F.transform(values, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), F.regexp_replace(c["value"], "=+$", "").alias("value")))
     sized = F.transform(bare, lambda c: F.struct(*(c[x].alias(x) for x in ("start", "end", "value")), alphabet_size(c["value"]).alias("size")))
-    ranks = lambda c: F.transform(F.split(c["value"], ""), lambda x: letter_rank(F.ascii(x), c["size"]))
     # one step's results are the next one's variables: an expression used twice within a step would be computed twice
     carry = lambda c, *names: [c[x].alias(x) for x in ("start", "end", *names)]
-    coded = F.transform(sized, lambda c: F.struct(*carry(c, "size"), ranks(c).alias("ranks")))
-    summed = F.transform(coded, lambda c: F.struct(*carry(c, "size"), sums(c["ranks"], c["size"]).alias("sums")))
-    tested = F.transform(summed, lambda c: F.struct(*carry(c), length_class(c["sums"]["n"]).alias("class"), tests(c).alias("p")))
+    spelled = F.transform(sized, lambda c: F.struct(*carry(c, "size"), ranked(c["value"], c["size"]).alias("value")))
+    lettered = F.transform(spelled, lambda c: F.struct(*carry(c, "size"), F.split(c["value"], "").alias("letters"), halves(c["value"], c["size"]).alias("halves")))
+    # equal letters stand together in the sorted string
+    runs = lambda c: F.regexp_extract_all(F.array_join(F.sort_array(c["letters"]), ""), F.lit(r"(.)\1*"), F.lit(0))
+    step = F.transform(lettered, lambda c: F.struct(*carry(c, "size", "letters", "halves"), runs(c).alias("runs")))
+    step = F.transform(step, lambda c: F.struct(*carry(c, "size"), sums(c).alias("sums")))
+    step = F.transform(step, lambda c: F.struct(*carry(c, "size", "sums"), means(c).alias("means")))
+    step = F.transform(step, lambda c: F.struct(*carry(c, "size", "sums", "means"), lags(c).alias("lags")))
+    step = F.transform(step, lambda c: F.struct(*carry(c), length_class(c["sums"]["n"]).alias("class"), deviates(c).alias("z")))
+    step = F.transform(step, lambda c: F.struct(*carry(c, "class", "z"), normal_tails(c["z"]).alias("tails")))
+    tested = F.transform(step, lambda c: F.struct(*carry(c, "class"), tests(c).alias("p")))
     return F.transform(tested, lambda c: F.struct(*carry(c, "class"), F.least(F.floor(fisher(c["p"]) / BIN), F.lit(BIN_LIMIT)).cast("int").alias("bin")))
 
 
-def decoys(text: Column, doc_id: Column) -> Column:
-    """An ordinary string of each length, from the words of a passage: run together, capitalised, or with a separator."""
-    place = 1 + F.pmod(F.xxhash64(doc_id, F.char_length(text)), F.greatest(F.lit(1), F.char_length(text) - PASSAGE)).cast("int")
-    words = F.trim(F.regexp_replace(F.substr(text, place, F.lit(PASSAGE)), "[^A-Za-z0-9]+", " "))
+def decoy_blocks(text: Column, doc_id: Column) -> Column:
+    """All of a text, its words run together, capitalised, or with a separator, in blocks of one decoy of each length."""
+    words = F.trim(F.regexp_replace(text, "[^A-Za-z0-9]+", " "))
     form = F.pmod(F.xxhash64(doc_id, F.lit(1)), F.lit(3))
     joined = F.when(form == 0, F.lower(F.regexp_replace(words, " ", ""))).when(form == 1, F.regexp_replace(F.initcap(words), " ", "")).otherwise(F.translate(words, " ", "_"))
-    cut = [F.substr(joined, F.lit(1 + 7 * k), F.lit(n)) for k, n in enumerate(DECOY_LENGTHS)]
-    pieces = F.array_distinct(F.filter(F.array(*cut), lambda v: F.char_length(v) >= 20))
-    return F.transform(pieces, lambda v: F.struct(F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end"), v.alias("value")))
+    return F.regexp_extract_all(joined, F.lit(f".{{1,{sum(DECOY_LENGTHS)}}}"), F.lit(0))
+
+
+def decoys(block: Column) -> Column:
+    """The strings of a block; each letter is in one, but for an end of less than a candidate's 20."""
+    starts = [1 + sum(DECOY_LENGTHS[:k]) for k in range(len(DECOY_LENGTHS))]
+    cut = F.array(*(F.substr(block, F.lit(at), F.lit(n)) for at, n in zip(starts, DECOY_LENGTHS, strict=True)))
+    return F.transform(F.filter(cut, lambda v: F.char_length(v) >= 20), lambda v: F.struct(F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end"), v.alias("value")))
 
 
 def find_secrets(documents: DataFrame, rate: float = FDR) -> DataFrame:
@@ -228,19 +261,21 @@ def find_secrets(documents: DataFrame, rate: float = FDR) -> DataFrame:
         all_spans(F.col("text"), ACCESS, "access").alias("access"),
         all_spans(F.col("text"), HEX, "hex").alias("hex"),
         all_spans(F.col("text"), CANDIDATE, "random").alias("random"),
-        decoys(F.col("text"), F.col("doc_id")).alias("decoys"),
     )
-    based = found.select("doc_id", F.concat("assign", "access", "hex").alias("base"), "random", "decoys")
+    based = found.select("doc_id", F.concat("assign", "access", "hex").alias("base"), "random")
     alone = F.filter("random", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
     plain = F.transform("base", lambda b: F.struct(b["start"].alias("start"), F.array_position(F.array(*map(F.lit, KINDS)), b["kind"]).cast("int").alias("rank"), b["kind"].alias("kind"), b["end"].alias("end")))
-    tested = stash(based.select("doc_id", plain.alias("base"), scored(alone).alias("random"), F.transform(scored(F.col("decoys")), lambda d: F.struct(d["class"].alias("class"), d["bin"].alias("bin"))).alias("decoys")), "secret-candidates")
+    tested = stash(based.select("doc_id", plain.alias("base"), scored(alone).alias("random")), "secret-candidates")
+    # equal blocks (copies, one letter over and over) are no further evidence; what is distinct is dealt out anew
+    blocks = docs.select(F.explode_outer(decoy_blocks(F.col("text"), F.col("doc_id"))).alias("block")).where("block is not null").distinct()
+    ordinary = blocks.select(scored(decoys(F.col("block"))).alias("decoys"))
 
-    def bins(column: str) -> list[tuple[int, int, int]]:
+    def bins(strings: DataFrame, column: str) -> list[tuple[int, int, int]]:
         """At most four classes of BIN_LIMIT bins."""
-        each = tested.select(F.explode(column).alias("c")).groupBy("c.class", "c.bin").agg(F.count(F.lit(1)).alias("n"))
+        each = strings.select(F.explode_outer(column).alias("c")).where("c is not null").groupBy("c.class", "c.bin").agg(F.count(F.lit(1)).alias("n"))
         return [(r["class"], r["bin"], r["n"]) for r in each.collect()]
 
-    bounds = finding_bounds(bins("random"), bins("decoys"), rate)
+    bounds = finding_bounds(bins(tested, "random"), bins(ordinary, "decoys"), rate)
 
     def kept(c):
         limit = F.lit(-1)

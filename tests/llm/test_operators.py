@@ -619,6 +619,19 @@ def test_finding_bounds():
     assert secrets.finding_bounds([(0, 5, 10)], [], 0.01) == {0: -1}
 
 
+def test_decoys_are_of_whole_texts(spark, monkeypatch):
+    text = " ".join(f"word{i}" for i in range(3000))
+    joined, seen = text.replace(" ", ""), []
+    bounds = secrets.finding_bounds
+    monkeypatch.setattr(secrets, "finding_bounds", lambda found, decoys, rate: seen.extend(decoys) or bounds(found, decoys, rate))
+    secrets.find_secrets(table(spark, [(1, text), (2, None), (3, "")])).count()
+    full, rest = divmod(len(joined), sum(secrets.DECOY_LENGTHS))
+    assert 4 * full <= sum(n for _, _, n in seen) <= 4 * full + 4 * (rest > 0) + 4 * (len(text) - len(joined) > 0) * 13
+    row = table(spark, [(1, text)]).select(F.explode(secrets.decoy_blocks(F.col("text"), F.col("doc_id"))).alias("b")).select("b", secrets.decoys(F.col("b")).alias("d")).collect()
+    assert "".join(r["b"] for r in row).replace("_", "").lower() == joined
+    assert all("".join(d["value"] for d in r["d"]) == r["b"] for r in row[:-1])
+
+
 def test_planted_random_strings_are_found(spark):
     rng = random.Random(3)
     vocabulary = ["".join(rng.choice(["th", "er", "an", "in", "es", "o", "e", "a", "s", "t", "al"]) for _ in range(rng.randint(2, 5))) for _ in range(300)]
