@@ -103,6 +103,18 @@ def test_user_lists_keep_missing_and_oov_apart(spark):
     assert got == [(1, 3, False, False, 3, False, False, "3,2"), (2, 1, True, False, 2, False, True, "1"), (3, 2, False, True, 1, True, False, "")]
 
 
+def test_vocabulary_coverage_has_every_field(spark):
+    raw = spark.createDataFrame([(1, 5, 1, [3, 4]), (2, None, 2, None), (3, 9, None, []), (4, 5, 1, [3])], "user_id long, f103 long, f104 int, f106 array<long>")
+    users = spark.createDataFrame([(1, True), (2, False), (3, False), (7, False)], "user_id long, in_train boolean")
+    vocab = spark.createDataFrame([("user", "f103", 5, 3), ("user", "f104", 1, 3), ("user", "f106", 3, 3), ("item", "f100", 8, 3), ("item", "f100", 9, 4), ("item", "f121", 1, 3)], "entity string, field string, value long, token long")
+    items = spark.createDataFrame([(1, 8, None, 2, 1), (2, 7, None, 2, 2), (3, None, 4, None, 1)], "item_rid long, f100 long, f101 long, f102 long, f121 long")
+    side = spark.createDataFrame([(False, False), (True, False), (False, True)], "f100_missing boolean, f100_oov boolean")
+    got = {r[:2]: tuple(r[2:7]) for r in GRAPH.frame(spark, "vocab_coverage", user_raw=raw, relevant_users=users, feature_vocab=vocab, item_features=items, candidate_side=side).collect()}
+    # (rows, missing, out of vocabulary, values, known); the list of a user is missing as a whole, of its elements 4 isn't known
+    want = {("user", "f103"): (4, 2, 1, 4, 1), ("user", "f104"): (4, 2, 1, 4, 1), ("user", "f106"): (4, 2, 1, 2, 1), ("candidate", "f100"): (3, 1, 1, 3, 2)}
+    assert got == want | {("item", "f100"): (3, 1, 1, 3, 2), ("item", "f101"): (3, 2, 1, 3, 0), ("item", "f102"): (3, 1, 2, 3, 0), ("item", "f121"): (3, 0, 1, 3, 1)}
+
+
 def test_recall_audit_reads_the_hashed_lists(spark):
     exact = spark.createDataFrame([(q, i, 1.0 - i / 100, i) for q in (1, 2) for i in range(1, 51)], "query_id long, item_id long, score double, rank long")
     near = exact.where("query_id = 1 or rank > 10")  # the second query's list lacks the ten best
