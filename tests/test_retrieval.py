@@ -227,3 +227,30 @@ def test_what_a_function_reads_again_is_written(spark, sf001, monkeypatch):
     monkeypatch.setattr(graph, "materialize", lambda df, label, *by: labels.append(label) or write(df, label, *by))
     GRAPH.frame(spark, "gap_quantiles", sf001)
     assert labels.count("gaps") == 1
+
+
+def test_ranks_of_targets_take_lists_of_reached_samples_only(spark):
+    """A sample whose target is in no list of its history has no rank, and gets no lists."""
+    rng = np.random.default_rng(21)
+    neighbors = [(w, i, int(j), float(rng.integers(1, 9)) / 8, 1) for w in ("equal", "click3") for i in range(40) for j in rng.permutation(60)[:6]]
+    events = [(u, p, int(rng.integers(0, 40)), int(rng.integers(0, 2)), p, p) for u in range(25) for p in range(int(rng.integers(1, 30)))]
+    ends = {u: p + 1 for u, p, *_ in events}
+    samples = [(("validation", "test")[u % 2], 100 + u, u, int(rng.integers(0, 60)), ends[u]) for u in ends]
+    given = {
+        "itemcf_neighbors": spark.createDataFrame(neighbors, "weight_variant string, item_rid long, neighbor_item_rid long, similarity double, rank long"),
+        "interactions": spark.createDataFrame(events, "user_id long, pos long, item_rid long, action_type int, ts long, history_end long"),
+        "query_samples": spark.createDataFrame(samples, "split string, sample_id long, user_id long, target_item_rid long, history_end_position long"),
+        "item_strength": spark.createDataFrame([(i, 1, "Tail") for i in range(60)], "item_rid long, train_event_count long, strength_group string"),
+    }
+    lists = GRAPH.frame(spark, "itemcf_ranked", **given).collect()
+    want = {(r["variant"], r["sample_id"]): r["rank"] for r in lists if r["item_rid"] == r["target_item_rid"]}
+    got = {(r["variant"], r["sample_id"]): r["target_rank"] for r in GRAPH.frame(spark, "itemcf_ranks", **given).collect()}
+    assert {k: v for k, v in got.items() if v is not None} == want and len(got) == 3 * len(samples) and want
+    reached = {r["sample_id"] for r in GRAPH.frame(spark, "all_reached", **given).collect()}
+    of = {}
+    for _, i, j, *_ in neighbors:
+        of.setdefault(i, set()).add(j)
+    assert reached == {s for _, s, u, target, _ in samples if any(target in of[i] for v, _, i, *_ in events if v == u)} and len(reached) < len(samples)
+    for name in ("itemcf_ranks", "itemcf_metrics", "select_best_variant", "retrieval_metrics", "recall_comparison", "ablation_deltas", "channel_complementarity", "channel_incremental"):
+        assert not {"itemcf_ranked", "test_ranked", "validation_ranked"} & set(GRAPH.needed(name, {}))
+    assert not {"dense_ranks", "test_dense_vectors"} & set(GRAPH.needed("select_best_variant", {}))
