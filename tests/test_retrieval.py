@@ -1,6 +1,7 @@
 """Blocked search, the inverted file, exact quantiles, bucketed tables and banded pairs."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -254,3 +255,20 @@ def test_ranks_of_targets_take_lists_of_reached_samples_only(spark):
     for name in ("itemcf_ranks", "itemcf_metrics", "select_best_variant", "retrieval_metrics", "recall_comparison", "ablation_deltas", "channel_complementarity", "channel_incremental"):
         assert not {"itemcf_ranked", "test_ranked", "validation_ranked"} & set(GRAPH.needed(name, {}))
     assert not {"dense_ranks", "test_dense_vectors"} & set(GRAPH.needed("select_best_variant", {}))
+
+
+def test_hashing_places_items_once_a_batch(monkeypatch):
+    """Items get their buckets once, not once for every few queries, and the same pairs are admitted as by a look at each."""
+    rng = np.random.default_rng(22)
+    planes, q, x = rng.standard_normal((5, 4, 6)), rng.standard_normal((75, 6)), rng.standard_normal((40, 6))
+    admit = dense.Hashed(planes, 2)
+    wanted = admit.asks(q)
+    want = np.array([[any(wanted[i, b] for b in dense._buckets(x[j : j + 1], planes, 0)[0]) for j in range(40)] for i in range(75)])
+    assert (admit.pairs(q, wanted, admit.places(x, None)) == want).all() and 0 < want.sum() < want.size
+    calls, buckets = [], dense._buckets
+    monkeypatch.setattr(dense, "_buckets", lambda v, *a: calls.append(len(v)) or buckets(v, *a))
+    monkeypatch.setattr(dense, "SCORE_BYTES", 8 * 50 * 10)  # ten queries at a time
+    table = lambda kind, v: pa.table({"row": np.zeros(len(v), np.int64), "kind": np.full(len(v), kind), "cell": np.zeros(len(v), np.int64), "id": np.arange(len(v)), "vector": pa.array(v.tolist()), "skip": pa.nulls(len(v), pa.list_(pa.int64())), "wanted": pa.nulls(len(v), pa.int64())})
+    rows = [b for t in (table(0, q), table(1, x)) for b in t.to_batches()]
+    assert sum(b.num_rows for b in dense._stream_scorer(7, 6, True, admit)(rows)) > 0
+    assert calls == [75, 40]
